@@ -24,25 +24,46 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, BLANK, " "))
 
 
+def bind(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def _rare_folds() -> list[tuple[str, str]]:
-    """Characters that full case folding changes although they are already lower case.
+    """Characters above Latin-1 that full case folding changes although they are already lower case.
 
-    Derived from the interpreter's Unicode tables; the common sharp s is handled separately.
+    Derived from the interpreter's Unicode tables.
     """
-    chars = (chr(i) for i in range(0x80, 0x1FFFF))
-    return [(ch, ch.casefold()) for ch in chars if ch.lower() == ch and ch.casefold() != ch and ch != "ß"]
+    chars = (chr(i) for i in range(0x100, 0x1FFFF))
+    return [(ch, ch.casefold()) for ch in chars if ch.lower() == ch and ch.casefold() != ch]
+
+
+def _ranges(chars: list[str]) -> str:
+    """A character class of ranges: long lists of single characters match far more slowly."""
+    runs: list[list[int]] = []
+    for point in sorted(map(ord, chars)):
+        if runs and point == runs[-1][1] + 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 _FOLDS = _rare_folds()
-_RARE = "[" + "".join(ch for ch, _ in _FOLDS) + "]"
+_TABLE = " ".join(ch + folded for ch, folded in _FOLDS)
+_RARE = _ranges([ch for ch, _ in _FOLDS])
 
 
 def casefold(c: Column) -> Column:
     """Full case folding. The table walk runs only for rows that hold one of the rare characters."""
-    plain = F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
-    table = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _FOLDS])
-    folded = F.aggregate(table, plain, lambda acc, x: F.replace(acc, x["a"], x["b"]))
-    return F.when(plain.rlike(_RARE), folded).otherwise(plain)
+    plain = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("µ"), F.lit("μ"))
+    table = F.split(F.lit(_TABLE), " ")
+
+    def fold(p: Column) -> Column:
+        walked = F.aggregate(table, p, lambda acc, x: F.replace(acc, F.substring(x, 1, 1), F.substring(x, 2, 9)))
+        return F.when(p.rlike(r"[^\x00-\xff]") & p.rlike(_RARE), walked).otherwise(p)
+
+    return bind(plain, fold)
 
 
 def canonical_text(c: Column) -> Column:

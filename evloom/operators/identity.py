@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from evloom.functions import status as st
 from evloom.functions.text import canonical_doi
 from evloom.operators.primitives import connected_components
+from evloom.session import cut
 
 
 class Reconciled(NamedTuple):
@@ -74,7 +75,8 @@ def reconcile(citations: DataFrame, relations: DataFrame | None = None) -> Recon
                     (F.coalesce(c("abstract"), F.lit("")) == "").alias("a"), c("input_pos").alias("pos"))
     best = placed.groupBy("component").agg(F.min(F.struct(rank.alias("rank"), c("doi").alias("doi"))).alias("b")).select(
         "component", c("b.rank.pos").alias("__chosen"), c("b.doi").alias("__doi"))
-    placed = placed.join(best, "component")
+    # read three times below, and by up to four results: written once instead of derived again
+    placed = cut(placed.join(best, "component"))
 
     # Records without a DOI belong to the survivor's version if a chain of shared PMIDs or PMCIDs,
     # not passing through a record with another DOI, leads to a record with the survivor's DOI.
@@ -126,8 +128,10 @@ def family_components(publications: DataFrame, related: DataFrame) -> DataFrame:
     known = publications.select(canonical_doi(F.col("doi")).alias("doi")).where("doi is not null").distinct()
     edges = (related.select(canonical_doi(F.col("doi")).alias("doi"), canonical_doi(F.col("related_doi")).alias("other"))
              .where("doi is not null and other is not null").join(known, "doi", "left_semi"))
-    return connected_components(edges, "doi", "other").select(
-        F.col("node").alias("doi"), F.col("component").alias("family"))
+    joined = connected_components(edges, "doi", "other").select(F.col("node").alias("doi"), F.col("component").alias("family"))
+    # a DOI related only to itself is a family of one
+    alone = edges.where(F.col("doi") == F.col("other")).select("doi").distinct().join(joined, "doi", "left_anti")
+    return joined.unionByName(alone.withColumn("family", F.col("doi")))
 
 
 def relabel_families(experiments: DataFrame, families: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from evloom.session import cut
@@ -17,31 +17,45 @@ def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return low.select("a", F.col("m").alias("b")).unionByName(moved).distinct()
+
+
+def _is_star_forest(edges: DataFrame) -> bool:
+    two_parents = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    chained = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a"), "a", "left_semi")
+    return two_parents.unionByName(chained).isEmpty()
+
+
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph; the component is its smallest node.
 
     Alternating large-star and small-star steps: the number of rounds grows with the logarithm of
     the graph, not with its diameter, and each step is an aggregate with map-side combine plus an
     equi-join that adaptive execution can split when one node owns a large share of the edges.
-    Every round is cut through the shared checkpoint folder. Nodes without edges are not returned.
+    Every round is cut through the shared checkpoint folder. A cheap signature taken while the
+    round is written tells when to run the exact test. Nodes without edges are not returned.
     """
     current = cut(edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
                   .where(F.col("a") != F.col("b")).distinct())
+    before = None
     for _ in range(max_rounds):
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.where(F.col("b") > F.col("a")).join(low, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = (joined.select("a", F.col("m").alias("b"))
-                 .unionByName(joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
-                 .distinct())
-        current = cut(small)
-        two_parents = current.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-        chained = current.select(F.col("b").alias("a")).distinct().join(current.select("a"), "a", "left_semi")
-        if two_parents.unionByName(chained).isEmpty():
+        seen = Observation()
+        step = _small_star(_large_star(current)).observe(
+            seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+        current = cut(step)
+        after = (seen.get["n"], seen.get["h"])
+        if after[0] == 0 or (after == before and _is_star_forest(current)):
             break
+        before = after
     else:
         raise RuntimeError("connected components did not settle")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
@@ -55,7 +69,6 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     partition, are summed in one place. The sorted rows are cut first, so a recomputed partition
     cannot change the numbering.
     """
-    spark = df.sparkSession
     placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order)
                  .withColumn("__pid", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()))
     sizes = placed.groupBy("__pid").agg(F.count("*").alias("__n"), F.min("__seq").alias("__first"))
@@ -63,7 +76,6 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     # one row per partition, so the broadcast side is bounded by the partition count
     joined = placed.join(F.broadcast(offsets.select("__pid", "__before", "__first")), "__pid")
-    del spark
     return joined.withColumn(name, F.col("__seq") - F.col("__first") + F.col("__before")).drop(
         "__pid", "__seq", "__before", "__first", "__n")
 
@@ -77,7 +89,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median
     only the slice or two that hold the middle ranks are ordered. ``weight`` names a column of
     multiplicities when the input is already counted.
     """
-    counted = df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("__n"))
+    counted = cut(df.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count("*")).alias("__n")))
     points = [i / slices for i in range(1, slices)]
     cuts = counted.groupBy(*keys).agg(F.percentile_approx(value, points, 1000).alias("__cuts"), F.sum("__n").alias("__total"))
     placed = null_safe(counted, cuts, keys).withColumn(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evloom.functions import text, units
 from evloom.functions.status import READER_INACTIVE
 from evloom.operators.primitives import exact_median, null_safe
+from evloom.session import cut
 
 # What makes two observations comparable, and two contrasts poolable.
 COMPARABLE_KEY = ["outcome", "unit", "measurement_method", "statistic", "time_value", "time_unit", "concentration_basis"]
@@ -76,7 +77,7 @@ def descriptive(measurements: DataFrame, family: str = "study_family", median: b
     """
     usable = _observed(measurements).where(exclusion_reason().isNull())
     # one pre-aggregation feeds everything below, so the input is scanned and shuffled once
-    counted = usable.groupBy(*COMPARABLE_KEY, "value", family).agg(F.count("*").alias("__n"))
+    counted = cut(usable.groupBy(*COMPARABLE_KEY, "value", family).agg(F.count("*").alias("__n")))
     out = counted.groupBy(*COMPARABLE_KEY).agg(
         F.sum("__n").alias("n"), F.countDistinct(family).alias("study_families"),
         F.min("value").alias("value_min"), F.max("value").alias("value_max"),

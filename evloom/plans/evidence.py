@@ -1 +1,200 @@
-"""Queries."""
+"""Evidence queries: containment, verification rules, review, text functions over whole documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evloom.functions import text
+from evloom.operators import verification as ver
+from evloom.plans.fixtures import view
+from evloom.plans.registry import query
+
+NO_TABLES = "array<struct<id:string,rows:array<array<string>>>>"
+CANON = "trim(regexp_replace(replace(replace(lower(replace(replace({0}, '−', '-'), 'µ', 'μ')), 'ß', 'ss'), ' ', ' '), '\\s+', ' ', 'g'))"
+
+
+def pages(spark, sf):
+    p = view(spark, sf, "fx_pages")
+    table = F.struct(F.col("table_id").alias("id"), F.array().cast("array<array<string>>").alias("rows"))
+    return p.select("document_hash", "page", "text", F.array(table).alias("tables"), "width", "height", "text_status")
+
+
+def candidates(spark, sf):
+    """Three candidate measurements per document, built from its own text: supported, invented, and foreign."""
+    c = F.col
+    d = view(spark, sf, "documents")
+    words = F.filter(F.split("text", " "), lambda w: w != "")
+    kinds = F.explode(F.array(F.lit("supported"), F.lit("invented"), F.lit("foreign"), F.lit("table"))).alias("kind")
+    d = d.select("doc_id", F.element_at(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""), 1).alias("line"),
+                 F.size(words).alias("n_words"), kinds)
+    box = F.when(c("doc_id") % 5 == 0, F.array(F.lit(1.0), F.lit(1.0), F.lit(700.0), F.lit(20.0)))
+    ev = F.struct(F.concat(F.lit("text-"), c("doc_id")).alias("document_hash"), F.when(c("doc_id") % 9 == 0, 2).otherwise(1).cast("bigint").alias("page"),
+                  F.when(c("kind") == "table", "table").otherwise("text").alias("source_type"),
+                  F.concat(F.lit("page-1-table-"), c("doc_id") % 2 + 1, F.lit("-cell-4")).alias("locator"),
+                  F.when(c("kind") == "invented", F.concat("line", F.lit(" invented"))).otherwise(c("line")).alias("excerpt"), box.alias("bounding_box"))
+    null = lambda t: F.lit(None).cast(t)
+    return d.where("line is not null").select(
+        F.concat_ws("-", F.lit("m"), "doc_id", "kind").alias("measurement_id"), F.array(ev).alias("evidence"),
+        F.when(c("kind") == "foreign", F.lit("text-x")).otherwise(F.concat(F.lit("text-"), c("doc_id"))).alias("expected_hash"),
+        F.lit("").alias("raw_value"), null("double").alias("value"), F.lit("exact").alias("qualifier"),
+        *[null("double").alias(x) for x in ("lower_bound", "upper_bound", "uncertainty", "ci_lower", "ci_upper", "time_value")],
+        *[null("string").alias(x) for x in ("unit", "time_unit", "measurement_method", "statistic", "concentration_basis")],
+        F.lit("none").alias("uncertainty_type"), null("bigint").alias("n_independent"), null("bigint").alias("n_technical"),
+        F.when(c("doc_id") % 13 == 0, "digitized").otherwise("reported").alias("origin"), F.lit("candidate").alias("status"), "kind")
+
+
+@query("verified_candidates", """WITH lines AS (
+  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> '')[1] AS line FROM documents),
+k AS (SELECT l.doc_id, l.line, x.kind FROM lines l, (VALUES ('supported'), ('invented'), ('foreign'), ('table')) x(kind) WHERE l.line IS NOT NULL)
+SELECT 'm-' || doc_id || '-' || kind AS measurement_id,
+  CASE WHEN kind = 'foreign' OR doc_id % 9 = 0 OR kind = 'invented' OR doc_id % 5 = 0 THEN 'rejected'
+       WHEN doc_id % 20 = 0 OR doc_id % 13 = 0 OR (kind = 'table' AND doc_id % 2 <> doc_id % 3) THEN 'uncertain' ELSE 'accepted' END AS status,
+  CAST((CASE WHEN kind = 'foreign' THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 9 = 0 THEN 1 ELSE (CASE WHEN kind = 'invented' THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) END) AS BIGINT) AS failures,
+  CAST(CASE WHEN doc_id % 9 = 0 THEN 0 ELSE (CASE WHEN doc_id % 20 = 0 THEN 1 ELSE 0 END) + (CASE WHEN kind = 'table' AND doc_id % 2 <> doc_id % 3 THEN 1 ELSE 0 END) END AS BIGINT) AS ambiguities
+FROM k""")
+def verified_candidates(spark, sf):
+    v = ver.verify_measurements(candidates(spark, sf), pages(spark, sf))
+    return v.select("measurement_id", "status", F.size("failures").cast("bigint").alias("failures"), F.size("ambiguities").cast("bigint").alias("ambiguities"))
+
+
+RULES = """WITH x AS (SELECT *, CAST(value AS BIGINT) AS v FROM fx_measurements)"""
+
+
+@query("verified_measurements", """SELECT measurement_id,
+  CASE WHEN (qualifier <> 'exact' AND origin = 'reported') OR (n_independent IS NOT NULL AND n_independent <> n_technical AND n_independent <> value AND origin = 'reported')
+         OR (time_value IS NOT NULL AND time_value <> value AND time_value <> n_technical AND origin = 'reported')
+         OR (uncertainty <> value AND uncertainty <> n_technical AND origin = 'reported') THEN 'rejected'
+       WHEN origin <> 'reported' OR measurement_method IS NOT NULL OR statistic = 'median' OR time_unit IS NOT NULL AND unit <> 'day' OR concentration_basis IS NOT NULL
+         OR n_independent IS NOT NULL OR uncertainty_type = 'SD' THEN 'uncertain' ELSE 'accepted' END AS status,
+  CASE WHEN origin = 'reported' OR origin = 'curve_sample' THEN NULL ELSE n_independent END AS n_independent,
+  CASE WHEN origin = 'curve_sample' THEN NULL ELSE n_technical END AS n_technical,
+  CASE WHEN origin = 'reported' THEN 'unknown' ELSE uncertainty_type END AS uncertainty_type
+FROM fx_measurements""")
+def verified_measurements(spark, sf):
+    """Every measurement against its own printed sentence as the page text."""
+    c = F.col
+    m = view(spark, sf, "fx_measurements")
+    key = F.concat(F.lit("row-"), "measurement_id")
+    m = m.dropDuplicates(["measurement_id"])
+    page = m.select(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.concat(F.lit("Results: "), "excerpt", F.lit(".")).alias("text"),
+                    F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status"))
+    ev = F.struct(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.lit("text").alias("source_type"), F.lit("p").alias("locator"),
+                  c("excerpt").alias("excerpt"), F.lit(None).cast("array<double>").alias("bounding_box"))
+    null = F.lit(None).cast("double")
+    cand = m.select("measurement_id", F.array(ev).alias("evidence"), key.alias("expected_hash"), "raw_value", "value", "qualifier", "unit", "time_value",
+                    "time_unit", "measurement_method", "statistic", "concentration_basis", "uncertainty_type", "uncertainty", "n_independent",
+                    "n_technical", "origin", "status", *[null.alias(x) for x in ("lower_bound", "upper_bound", "ci_lower", "ci_upper")])
+    return ver.verify_measurements(cand, page).select("measurement_id", "status", F.col("n_independent").cast("double").alias("n_independent"),
+                                                      F.col("n_technical").cast("double").alias("n_technical"), "uncertainty_type")
+
+
+@query("verified_attributes", """SELECT 'a-' || p_partkey AS attribute_id,
+  CASE WHEN p_partkey % 6 = 0 THEN 'rejected' WHEN p_partkey % 5 = 0 THEN 'uncertain' ELSE 'accepted' END AS status FROM part""")
+def verified_attributes(spark, sf):
+    """The brand of every part as a condition stated on the part's own page."""
+    c = F.col
+    p = view(spark, sf, "part")
+    key = F.concat(F.lit("part-"), "p_partkey")
+    page = p.select(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"),
+                    F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status"))
+    ev = F.struct(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.lit("text").alias("source_type"), F.lit("p").alias("locator"),
+                  F.concat(F.upper("p_brand"), F.when(c("p_partkey") % 6 == 0, " elsewhere").otherwise("")).alias("excerpt"),
+                  F.lit(None).cast("array<double>").alias("bounding_box"))
+    a = p.select(F.concat(F.lit("a-"), "p_partkey").alias("attribute_id"), key.alias("expected_hash"), F.array(ev).alias("evidence"), F.lit("Emulsion_Type").alias("name"),
+                 F.when(c("p_partkey") % 5 == 0, "another brand").otherwise(c("p_brand")).alias("text"), F.lit(None).cast("double").alias("value"), F.lit("candidate").alias("status"))
+    return ver.verify_attributes(a, page).select("attribute_id", "status")
+
+
+@query("excerpt_containment", """SELECT CAST(sum(1) AS BIGINT) AS pairs, CAST(sum(CASE WHEN strpos(t, e) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS contained,
+  CAST(sum(CASE WHEN strpos(t, u) > 0 THEN 1 ELSE 0 END) AS BIGINT) AS altered_contained
+FROM (SELECT """ + CANON.format("text") + " AS t, " + CANON.format("substr(text, 1 + CAST(doc_id % 50 AS INTEGER), 80)") + " AS e, "
+       + CANON.format("substr(text, 1, 40) || ' ☃'") + """ AS u FROM documents) x""")
+def excerpt_containment(spark, sf):
+    """Canonical containment of excerpts, true and altered, over whole document texts."""
+    d = view(spark, sf, "documents")
+    body = text.canonical_text(F.col("text"))
+    e = text.canonical_text(F.expr("substr(text, cast(1 + doc_id % 50 as int), 80)"))
+    u = text.canonical_text(F.concat(F.expr("substr(text, 1, 40)"), F.lit(" ☃")))
+    d = d.select(body.alias("t"), e.alias("e"), u.alias("u"))
+    return d.agg(F.count("*").alias("pairs"), F.sum(F.contains("t", "e").cast("bigint")).alias("contained"),
+                 F.sum(F.contains("t", "u").cast("bigint")).alias("altered_contained"))
+
+
+@query("document_numbers", """SELECT doc_id, CAST(len(n) AS BIGINT) AS numbers, CASE WHEN len(n) > 0 THEN array_to_string(n, ' ') ELSE '' END AS tokens FROM (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '−', '-'), '[^\\pL\\pN_.,+\\-]+'), lambda t: trim(t, ',')),
+    lambda t: regexp_full_match(t, '[-+]?[0-9]+')) AS n FROM documents) x""")
+def document_numbers(spark, sf):
+    """Plain integers standing alone between blanks or commas, over whole document texts."""
+    d = view(spark, sf, "documents")
+    parts = F.transform(F.split(F.translate("text", "−", "-"), r"(?U)[^\w.,+\-]+"), lambda t: F.btrim(t, F.lit(",")))
+    alone = F.filter(parts, lambda t: t.rlike(r"^[-+]?\d+$") & (F.size(text.numeric_values(t)) == 1))
+    return d.select("doc_id", F.size(alone).cast("bigint").alias("numbers"), F.array_join(alone, " ").alias("tokens"))
+
+
+@query("printed_dois", """SELECT doc_id, '10.1234/d' || doc_id AS dois FROM documents""")
+def printed_dois(spark, sf):
+    d = view(spark, sf, "documents")
+    body = F.concat("text", F.lit(" see 10.1234/D"), "doc_id", F.lit(")."))
+    return d.select("doc_id", F.array_join(text.printed_dois(body), "|").alias("dois"))
+
+
+@query("caption_lines", """SELECT doc_id, CAST(len(c) AS BIGINT) AS captions, c[1] AS first_caption FROM (
+  SELECT doc_id, list_filter(string_split(text || chr(10) || ' Fig. ' || doc_id || ' droplets', chr(10)), lambda s: regexp_matches(s, '(?i)^\\s*(Fig(ure)?\\.?|Scheme)\\s*[0-9]')) AS l,
+    list_transform(l, lambda s: trim(s)) AS c FROM documents) x""")
+def caption_lines(spark, sf):
+    d = view(spark, sf, "documents")
+    body = F.concat("text", F.lit("\n Fig. "), "doc_id", F.lit(" droplets"))
+    c = text.caption_lines(body)
+    return d.select("doc_id", F.size(c).cast("bigint").alias("captions"), F.try_element_at(c, F.lit(1)).alias("first_caption"))
+
+
+@query("caption_support", """SELECT d.doc_id, b.item_id, CAST(strpos(""" + CANON.format("d.text") + ", " + CANON.format("b.text") + """) > 0 AS STRING) AS supported
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id""")
+def caption_support(spark, sf):
+    d = view(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), text.canonical_text(F.col("text")).alias("body"))
+    b = view(spark, sf, "benchmark").select("item_id", text.canonical_text(F.col("text")).alias("cap"))
+    return d.join(b, "item_id").select(F.col("item_id").alias("doc_id"), "item_id", ((F.col("cap") != "") & F.contains("body", "cap")).cast("string").alias("supported"))
+
+
+@query("review_applied", """SELECT m.measurement_id, CASE WHEN max(l_orderkey % 7) = 0 THEN 'rejected' WHEN max(l_orderkey % 7) = 1 AND max(status) <> 'rejected' THEN 'uncertain' ELSE max(status) END AS status
+FROM fx_measurements m JOIN (SELECT concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey) AS measurement_id, l_orderkey FROM lineitem) l
+  ON l.measurement_id = m.measurement_id GROUP BY 1""")
+def review_applied(spark, sf):
+    m = view(spark, sf, "fx_measurements").groupBy("measurement_id").agg(F.max("status").alias("status"))
+    order = F.split("measurement_id", "-")[0].cast("bigint")
+    verdicts = m.where(order % 7 <= 1).select("measurement_id", F.when(order % 7 == 0, "rejected").otherwise("uncertain").alias("verdict"))
+    doubled = verdicts.unionByName(verdicts.withColumn("verdict", F.lit("uncertain")))
+    return ver.apply_review(m, doubled).select("measurement_id", "status")
+
+
+@query("unreviewed_status", """SELECT CASE WHEN status = 'accepted' THEN 'uncertain' ELSE status END AS status, CAST(count(*) AS BIGINT) AS n FROM fx_measurements GROUP BY 1""")
+def unreviewed_status(spark, sf):
+    return ver.without_review(view(spark, sf, "fx_measurements")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("verdicts_outside_job", """SELECT experiment_id AS measurement_id FROM fx_experiments WHERE part % 10 = 0""")
+def verdicts_outside_job(spark, sf):
+    m = view(spark, sf, "fx_measurements")
+    verdicts = m.select("measurement_id").unionByName(view(spark, sf, "fx_experiments").where("part % 10 = 0").select(F.col("experiment_id").alias("measurement_id")))
+    return ver.unknown_verdicts(verdicts, m)
+
+
+@query("location_validation", """SELECT l_linenumber % 3 AS fmt, l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n,
+  CAST(sum(CASE WHEN l_linenumber % 3 = 0 AND l_returnflag <> 'N' THEN 1 WHEN l_linenumber % 3 = 1 AND l_returnflag = 'A' THEN 1
+    WHEN l_linenumber % 3 = 2 AND l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS valid FROM lineitem GROUP BY 1, 2""")
+def location_validation(spark, sf):
+    c = F.col
+    l = view(spark, sf, "lineitem")
+    kind, flag = c("l_linenumber") % 3, c("l_returnflag")
+    fmt = F.when(kind == 0, "pdf").when(kind == 1, "xml").otherwise("media")
+    page = F.when((kind == 0) & (flag != "N"), c("l_linenumber"))
+    element = F.when(flag == "A", "id:s1").when(flag == "N", "  ")
+    asset = F.when(flag == "R", "figures/f1..png").when(flag == "N", "../secret").otherwise("/abs/f.png")
+    ok = ver.location_valid(fmt, page, element, asset)
+    return l.groupBy(kind.alias("fmt"), flag.alias("flag")).agg(F.count("*").alias("n"), F.sum(ok.cast("bigint")).alias("valid"))
+
+
+@query("token_estimates", """SELECT doc_id, CAST(octet_length(encode(text)) + 2048 AS BIGINT) AS tokens, CAST(length(text) > 80000 AS STRING) AS too_long FROM documents""")
+def token_estimates(spark, sf):
+    d = view(spark, sf, "documents")
+    return d.select("doc_id", text.token_estimate(F.col("text")).alias("tokens"), (F.length("text") > 80000).cast("string").alias("too_long"))

@@ -13,6 +13,8 @@ _CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call-site capture on every Column call costs seconds per plan
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
