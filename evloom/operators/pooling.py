@@ -6,6 +6,8 @@ is summed by partial aggregation and never gathered in one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation
@@ -113,65 +115,86 @@ def covariance_violations(effects: DataFrame, covariance: DataFrame) -> DataFram
     return bad.unionByName(missing.select("analysis_id", F.lit("an effect has no variance entry").alias("reason")).distinct())
 
 
-def _family_rows(effects: DataFrame, covariance: DataFrame) -> DataFrame:
-    """Effects and within-family covariance entries of one family under one key."""
+def _family_matrices(effects: DataFrame, covariance: DataFrame) -> DataFrame:
+    """One row per family: its effects and the within-family covariance entries as short arrays.
+
+    A family's covariance is dense, so a family is the unit that must fit one task; analyses are not.
+    """
     c = F.col
-    e = effects.select("analysis_id", "study_family", c("contrast_id").alias("i"), F.lit(None).cast("string").alias("j"), c("yi").alias("v"))
+    y = effects.groupBy("analysis_id", "study_family").agg(F.array_sort(F.collect_list(F.struct(c("contrast_id").alias("i"), c("yi").alias("v")))).alias("y"))
     owner = effects.select("analysis_id", "study_family", c("contrast_id").alias("id_i"))
     other = effects.select("analysis_id", c("study_family").alias("__f"), c("contrast_id").alias("id_j"))
     v = (covariance.join(owner, ["analysis_id", "id_i"]).join(other, ["analysis_id", "id_j"]).where("study_family = __f")
-         .select("analysis_id", "study_family", c("id_i").alias("i"), c("id_j").alias("j"), c("cov").alias("v")))
-    return e.unionByName(v)
+         .groupBy("analysis_id", "study_family").agg(F.collect_list(F.struct(c("id_i").alias("i"), c("id_j").alias("j"), c("cov").alias("v"))).alias("cov")))
+    return y.join(v, ["analysis_id", "study_family"])
 
 
-def _matrices(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    y = pdf[pdf.j.isna()].sort_values("i")
-    at = {name: n for n, name in enumerate(y.i)}
+def _matrices(y, cov) -> tuple[np.ndarray, np.ndarray]:
+    at = {e["i"]: n for n, e in enumerate(y)}
     m = np.zeros((len(at), len(at)))
-    v = pdf[pdf.j.notna()]
-    m[v.i.map(at), v.j.map(at)] = v.v
-    return y.v.to_numpy(float), (m + m.T) / 2
+    for e in cov:
+        m[at[e["i"]], at[e["j"]]] = e["v"]
+    return np.array([e["v"] for e in y], dtype=float), (m + m.T) / 2
 
 
-def family_spectra(effects: DataFrame, covariance: DataFrame) -> DataFrame:
+def family_spectra(families: DataFrame) -> DataFrame:
     """Eigenvalues of each family's covariance with the projections of 1 and of y.
 
     The dense work is one family at a time and happens once; all later iterations are sums over
-    these rows. (analysis_id, study_family, lam, a, b).
+    these rows. Families of one effect need no matrix and stay out of Python.
+    (analysis_id, study_family, lam, a, b).
     """
-    def spectrum(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, v = _matrices(pdf)
-        lam, q = np.linalg.eigh(v)
-        return pd.DataFrame({"analysis_id": pdf.analysis_id.iloc[0], "study_family": pdf.study_family.iloc[0],
-                             "lam": lam, "a": q.sum(axis=0), "b": q.T @ y})
-    return _family_rows(effects, covariance).groupBy("analysis_id", "study_family").applyInPandas(
-        spectrum, "analysis_id string, study_family string, lam double, a double, b double")
+    schema = "analysis_id string, study_family string, lam double, a double, b double"
+
+    def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = []
+            for analysis, family, ys, cov in zip(batch["analysis_id"], batch["study_family"], batch["y"], batch["cov"]):
+                y, v = _matrices(ys, cov)
+                lam, q = np.linalg.eigh(v)
+                parts.append(pd.DataFrame({"analysis_id": analysis, "study_family": family, "lam": lam, "a": q.sum(axis=0), "b": q.T @ y}))
+            if parts:
+                yield pd.concat(parts)
+
+    one = families.where(F.size("y") == 1).select(
+        "analysis_id", "study_family", F.col("cov")[0]["v"].alias("lam"), F.lit(1.0).alias("a"), F.col("y")[0]["v"].alias("b"))
+    return one.unionByName(families.where(F.size("y") > 1).mapInPandas(spectra, schema))
+
+
+def not_positive_definite(spectra: DataFrame) -> DataFrame:
+    """Families whose covariance has an eigenvalue at or below zero."""
+    return spectra.groupBy("analysis_id", "study_family").agg(F.min("lam").alias("smallest")).where("smallest <= 0")
 
 
 def _family_sums(spectra: DataFrame, state: DataFrame) -> DataFrame:
+    """Per-family scalars of the marginal precision matrix at the current variances."""
     c = F.col
     w = 1 / (c("lam") + c("s2"))
     per = spectra.join(state, "analysis_id").groupBy("analysis_id", "study_family").agg(
-        F.first("s1").alias("s1"), F.first("s2").alias("s2"),
+        F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum(w).alias("w1"), F.sum(w * w).alias("w2"),
         F.sum(c("a") * c("a") * w).alias("aw"), F.sum(c("a") * c("b") * w).alias("bw"),
-        F.sum(c("a") * c("a") * w * w).alias("aw2"), F.sum(c("a") * c("a") * w * w * w).alias("aw3"), F.sum(w * w).alias("w2"), F.sum(w).alias("w1"),
+        F.sum(c("a") * c("a") * w * w).alias("aw2"), F.sum(c("a") * c("a") * w * w * w).alias("aw3"),
         F.sum(c("a") * c("b") * w * w).alias("abw2"), F.sum(c("b") * c("b") * w * w).alias("bw2"))
     g = 1 + c("s1") * c("aw")
-    cc = c("s1") / g
+    k = c("s1") / g
     return per.select(
         "analysis_id", "study_family", "s1", "s2", (c("aw") / g).alias("p"), (c("bw") / g).alias("r"), (c("aw2") / (g * g)).alias("q"),
-        (c("aw3") / (g * g) - cc * F.pow(c("aw2") / g, 2)).alias("m3"),
-        (c("w2") - 2 * cc * c("aw3") + cc * cc * c("aw2") * c("aw2")).alias("t22"),
-        (c("w1") - cc * c("aw2")).alias("t2"), "aw", "bw", "aw2", "abw2", "bw2", cc.alias("cc"), g.alias("g"))
+        (c("aw3") / (g * g) - k * F.pow(c("aw2") / g, 2)).alias("m3"),
+        (c("w2") - 2 * k * c("aw3") + k * k * c("aw2") * c("aw2")).alias("t22"), (c("w1") - k * c("aw2")).alias("t2"),
+        # the residual quadratic form of the second variance as a polynomial in the mean
+        (c("bw2") - 2 * k * c("bw") * c("abw2") + k * k * c("bw") * c("bw") * c("aw2")).alias("z0"),
+        (-2 * c("abw2") + 2 * k * (c("bw") * c("aw2") + c("aw") * c("abw2")) - 2 * k * k * c("aw") * c("bw") * c("aw2")).alias("z1"),
+        (c("aw2") - 2 * k * c("aw") * c("aw2") + k * k * c("aw") * c("aw") * c("aw2")).alias("z2"))
 
 
-def cluster_variances(spectra: DataFrame, tolerance: float = 1e-8, max_rounds: int = 200) -> DataFrame:
+def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: int = 200) -> DataFrame:
     """(analysis_id, s1, s2, mu, total): REML variances between families and between effects.
 
-    Projected Fisher scoring: a variance at zero whose score is negative stays there.
+    Projected Fisher scoring, all analyses at once; a variance at zero whose score is negative stays
+    there. The spectra are laid out by family once, so an iteration shuffles only per-family sums.
     """
     c = F.col
-    spectra = cut(spectra)
+    spectra = cut(spectra.repartition("analysis_id", "study_family"))
     start = spectra.groupBy("analysis_id").agg((F.avg("lam") / 4).alias("s1")).select(
         "analysis_id", "s1", c("s1").alias("s2"), F.lit(float("inf")).alias("delta"))
     state, change = _settle(start)
@@ -179,24 +202,18 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-8, max_rounds: i
         if change <= tolerance:
             break
         moving = state.where(c("delta") > tolerance)
-        fam = _family_sums(spectra, moving)
-        mu = fam.groupBy("analysis_id").agg(F.sum("p").alias("total"), F.sum("r").alias("pull")).withColumn("mu", c("pull") / c("total"))
-        f = fam.join(mu, "analysis_id")
-        res = c("bw") - c("mu") * c("aw")
-        gg = c("abw2") - c("mu") * c("aw2")
-        hh = c("bw2") - 2 * c("mu") * c("abw2") + c("mu") * c("mu") * c("aw2")
-        agg = f.groupBy("analysis_id").agg(
-            F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("total").alias("total"),
-            F.sum(c("p") * c("p")).alias("p2"), F.sum("q").alias("q1"), F.sum("m3").alias("m3"), F.sum("t22").alias("t22"),
+        agg = _family_sums(spectra, moving).groupBy("analysis_id").agg(
+            F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum("p").alias("n1"), F.sum("r").alias("pull"),
+            F.sum(c("p") * c("p")).alias("p2"), F.sum("q").alias("q1"), F.sum("m3").alias("m3"), F.sum("t22").alias("t22"), F.sum("t2").alias("trw"),
             F.sum(F.pow(c("p"), 3)).alias("p3"), F.sum(c("p") * c("q")).alias("pq"),
-            F.sum(F.pow(res / c("g"), 2)).alias("y1"),
-            F.sum(hh - 2 * c("cc") * res * gg + F.pow(c("cc") * res, 2) * c("aw2")).alias("y2"), F.sum("t2").alias("trw"))
-        S = c("total")
-        t1, t2 = S - c("p2") / S, c("trw") - c("q1") / S
-        i11 = c("p2") - 2 * c("p3") / S + F.pow(c("p2") / S, 2)
-        i12 = c("q1") - 2 * c("pq") / S + c("p2") * c("q1") / (S * S)
-        i22 = c("t22") - 2 * c("m3") / S + F.pow(c("q1") / S, 2)
-        u1, u2 = c("y1") - t1, c("y2") - t2
+            F.sum(c("r") * c("r")).alias("rr"), F.sum(c("r") * c("p")).alias("rp"),
+            F.sum("z0").alias("z0"), F.sum("z1").alias("z1"), F.sum("z2").alias("z2"))
+        n, mu = c("n1"), c("pull") / c("n1")
+        u1 = c("rr") - 2 * mu * c("rp") + mu * mu * c("p2") - (n - c("p2") / n)
+        u2 = c("z0") + mu * c("z1") + mu * mu * c("z2") - (c("trw") - c("q1") / n)
+        i11 = c("p2") - 2 * c("p3") / n + F.pow(c("p2") / n, 2)
+        i12 = c("q1") - 2 * c("pq") / n + c("p2") * c("q1") / (n * n)
+        i22 = c("t22") - 2 * c("m3") / n + F.pow(c("q1") / n, 2)
         a = agg.select("analysis_id", "s1", "s2", u1.alias("u1"), u2.alias("u2"), i11.alias("i11"), i12.alias("i12"), i22.alias("i22"))
         det = c("i11") * c("i22") - c("i12") * c("i12")
         hold1, hold2 = (c("s1") <= 0) & (c("u1") <= 0), (c("s2") <= 0) & (c("u2") <= 0)
@@ -216,32 +233,32 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-8, max_rounds: i
                                           (F.sum("r") / F.sum("p")).alias("mu"), F.sum("p").alias("total"))
 
 
-def cluster_robust(effects: DataFrame, covariance: DataFrame, tolerance: float = 1e-8) -> DataFrame:
+def cluster_robust(effects: DataFrame, covariance: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Multilevel REML estimate with CR2 standard error and Satterthwaite degrees of freedom.
 
     Families are the clusters. The bias-reduction matrix of a family depends on that family and one
     scalar of the analysis, so each family contributes a handful of numbers that are summed.
     """
-    effects, covariance = cut(effects), cut(covariance)
-    spectra = family_spectra(effects, covariance)
-    fitted = cut(cluster_variances(spectra, tolerance))
-    rows = _family_rows(effects, covariance).join(fitted, "analysis_id")
-
-    def adjust(pdf: pd.DataFrame) -> pd.DataFrame:
-        s1, s2, mu, total = (float(pdf[x].iloc[0]) for x in ("s1", "s2", "mu", "total"))
-        y, v = _matrices(pdf)
-        one = np.ones(len(y))
-        theta = v + s1 * np.outer(one, one) + s2 * np.eye(len(y))
-        upper = np.linalg.cholesky(theta).T
-        lam, q = np.linalg.eigh(upper @ (theta - np.outer(one, one) / total) @ upper.T)
-        root = np.where(lam > 1e-12 * max(lam.max(), 1e-300), 1 / np.sqrt(np.maximum(lam, 1e-300)), 0.0)
-        change = upper.T @ ((q * root) @ q.T) @ upper
-        g = change @ np.linalg.solve(theta, one) / total
-        return pd.DataFrame({"analysis_id": [pdf.analysis_id.iloc[0]], "score": [float(g @ (y - mu))],
-                             "own": [float(g @ theta @ g - g.sum() ** 2 / total)], "h": [float(g.sum())], "n": [len(y)]})
-
-    parts = rows.groupBy("analysis_id", "study_family").applyInPandas(
-        adjust, "analysis_id string, score double, own double, h double, n long")
+    families = cut(_family_matrices(effects, covariance))
+    fitted = cut(cluster_variances(family_spectra(families), tolerance))
+    rows = families.join(fitted, "analysis_id")
+    schema = "analysis_id string, score double, own double, h double, n long"
+
+    def adjust(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for analysis, ys, cov, s1, s2, mu, total in zip(*[batch[x] for x in ("analysis_id", "y", "cov", "s1", "s2", "mu", "total")]):
+                y, v = _matrices(ys, cov)
+                one = np.ones(len(y))
+                theta = v + s1 * np.outer(one, one) + s2 * np.eye(len(y))
+                upper = np.linalg.cholesky(theta).T
+                lam, q = np.linalg.eigh(upper @ (theta - np.outer(one, one) / total) @ upper.T)
+                root = np.where(lam > 1e-12 * max(lam.max(), 1e-300), 1 / np.sqrt(np.maximum(lam, 1e-300)), 0.0)
+                g = upper.T @ ((q * root) @ q.T) @ upper @ np.linalg.solve(theta, one) / total
+                out.append((analysis, float(g @ (y - mu)), float(g @ theta @ g - g.sum() ** 2 / total), float(g.sum()), len(y)))
+            yield pd.DataFrame(out, columns=["analysis_id", "score", "own", "h", "n"])
+
+    parts = rows.select("analysis_id", "y", "cov", "s1", "s2", "mu", "total").mapInPandas(adjust, schema)
     c = F.col
     s = parts.groupBy("analysis_id").agg(
         F.sum(c("score") * c("score")).alias("var"), F.sum("own").alias("own"), F.sum(c("own") * c("own")).alias("own2"),
