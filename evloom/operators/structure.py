@@ -129,13 +129,13 @@ def contract_violations(measurements: DataFrame, experiments: DataFrame, numbers
     """(id, violation) of a snapshot that must not be published."""
     c = F.col
     out = [
-        experiments.groupBy("experiment_id").agg(F.count("*").alias("n")).where("n > 1").select(c("experiment_id").alias("id"), F.lit("experiment id repeats").alias("violation")),
-        measurements.groupBy("measurement_id").agg(F.count("*").alias("n")).where("n > 1").select(c("measurement_id").alias("id"), F.lit("measurement id repeats").alias("violation")),
-        measurements.join(experiments.select("experiment_id"), "experiment_id", "left_anti").select(c("measurement_id").alias("id"), F.lit("parent experiment is missing").alias("violation")),
-        measurements.where((c("qualifier") == "missing") & c("value").isNotNull()).select(c("measurement_id").alias("id"), F.lit("missing observation has a value").alias("violation")),
+        experiments.groupBy("experiment_id").agg(F.count("*").alias("n")).where("n > 1").select(c("experiment_id").cast("string").alias("id"), F.lit("experiment id repeats").alias("violation")),
+        measurements.groupBy("measurement_id").agg(F.count("*").alias("n")).where("n > 1").select(c("measurement_id").cast("string").alias("id"), F.lit("measurement id repeats").alias("violation")),
+        measurements.join(experiments.select("experiment_id"), "experiment_id", "left_anti").select(c("measurement_id").cast("string").alias("id"), F.lit("parent experiment is missing").alias("violation")),
+        measurements.where((c("qualifier") == "missing") & c("value").isNotNull()).select(c("measurement_id").cast("string").alias("id"), F.lit("missing observation has a value").alias("violation")),
     ]
     wild: Column = F.lit(False)
     for x in numbers:
         wild = wild | (c(x).isNotNull() & ~text.finite(c(x)))
-    out.append(measurements.where(wild).select(c("measurement_id").alias("id"), F.lit("number is not finite").alias("violation")))
+    out.append(measurements.where(wild).select(c("measurement_id").cast("string").alias("id"), F.lit("number is not finite").alias("violation")))
     return reduce(DataFrame.unionByName, out)

@@ -97,7 +97,7 @@ SELECT event_id AS notice_id, concat('10.1234/c', user_id) AS target_doi, CAST(u
 FROM {events}"""
 
 VIEWS["fx_pages"] = """
-SELECT concat('text-', doc_id) AS document_hash, CAST(1 AS BIGINT) AS page, text, 600.0 AS width, 800.0 AS height,
+SELECT concat('text-', doc_id) AS document_hash, CAST(1 AS BIGINT) AS page, text, CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height,
        CASE WHEN doc_id % 20 = 0 THEN 'ocr_requires_review' ELSE 'extracted' END AS text_status,
        concat('page-1-table-', doc_id % 3 + 1) AS table_id
 FROM {documents}"""
@@ -129,8 +129,8 @@ SELECT o_orderkey AS call_id, o_custkey AS run_id, CASE WHEN o_orderkey % 2 = 0
 FROM {orders}"""
 
 VIEWS["fx_boxes"] = """
-SELECT l_orderkey AS page_key, l_linenumber AS box_no, l_quantity * 10 AS x0, l_linenumber * 40.0 AS y0,
-       l_quantity * 10 + 20 + l_tax * 500 AS x1, l_linenumber * 40.0 + 25 + l_discount * 300 AS y1,
+SELECT l_orderkey AS page_key, l_linenumber AS box_no, l_quantity * 10 AS x0, CAST(l_linenumber * 40 AS DOUBLE) AS y0,
+       l_quantity * 10 + 20 + l_tax * 500 AS x1, CAST(l_linenumber * 40 AS DOUBLE) + 25 + l_discount * 300 AS y1,
        CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'table' ELSE 'raster' END AS kind,
        concat('w', CAST(l_quantity AS BIGINT) % 7) AS word, l_extendedprice AS tie, l_partkey AS tie2
 FROM {lineitem}"""

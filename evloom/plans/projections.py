@@ -1 +1,349 @@
-"""Queries."""
+"""Row-level queries: exports, searches, review decisions, access, costs."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evloom.functions import text, urls
+from evloom.operators import projections as pr
+from evloom.operators import synthesis as syn
+from evloom.operators.primitives import dense_index
+from evloom.plans.fixtures import table, view
+from evloom.plans.registry import query, sql_stable, stable
+from evloom.plans.synthesis import current
+from evloom.sources import files
+
+
+def attributes(spark, sf):
+    """Two attributes per experiment; every fourth repeats the first with a later text."""
+    e = view(spark, sf, "fx_experiments")
+    row = lambda pos, name, value: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("name"), value.alias("text"))
+    rows = F.array_compact(F.array(row(1, "Oil_Type", F.col("oil_type")), row(2, "Emulsion_Type", F.col("emulsion_type")),
+                                   F.when(F.col("part") % 4 == 0, row(3, "Oil_Type", F.lit("=later"))), row(4, "status", F.lit("shadowed"))))
+    return e.select("experiment_id", F.explode(rows).alias("x")).select("experiment_id", "x.*")
+
+
+def flat(spark, sf):
+    m = view(spark, sf, "fx_measurements").withColumn("validation_notes", F.array(F.lit("a"), F.col("origin")))
+    m = m.join(view(spark, sf, "fx_experiments").select("experiment_id", "doi", "sample_label", "study_family"), "experiment_id")
+    return pr.measurement_rows(m, attributes(spark, sf), ["Oil_Type", "Emulsion_Type", "status"])
+
+
+@query("flat_rows", """SELECT m.measurement_id, e.doi, e.sample_label, e.study_family, CASE WHEN e.part % 4 = 0 THEN '=later' ELSE e.oil_type END AS "Oil_Type", e.emulsion_type AS "Emulsion_Type", m.status,
+  'a; ' || m.origin AS validation_notes FROM fx_measurements m JOIN fx_experiments e ON e.experiment_id = m.experiment_id""")
+def flat_rows(spark, sf):
+    return flat(spark, sf).select("measurement_id", "doi", "sample_label", "study_family", "Oil_Type", "Emulsion_Type", "status", "validation_notes")
+
+
+@query("csv_rows", """SELECT CASE WHEN e.part % 4 = 0 THEN '''=later' ELSE e.oil_type END AS "Oil_Type", m.measurement_id, m.value FROM fx_measurements m JOIN fx_experiments e ON e.experiment_id = m.experiment_id""")
+def csv_rows(spark, sf):
+    return files.csv_rows(flat(spark, sf).select("value", "measurement_id", "Oil_Type"))
+
+
+@query("exported_parquet", """SELECT outcome, CAST(count(*) AS BIGINT) AS n, CAST(sum(value) AS BIGINT) AS total FROM fx_measurements GROUP BY 1""")
+def exported_parquet(spark, sf):
+    """Rows written as Parquet with nested values as JSON text, and read back."""
+    from evloom.session import scratch_path
+    m = view(spark, sf, "fx_measurements").withColumn("evidence", F.array(F.struct("document_hash", "page")))
+    path = scratch_path(spark, "export")
+    files.export_rows(m, path, "parquet")
+    back = spark.read.parquet(path)
+    return back.where("evidence like '[{%'").groupBy("outcome").agg(F.count("*").alias("n"), F.sum("value").cast("bigint").alias("total"))
+
+
+@query("fixed_csv", """SELECT m.measurement_id, e.doi, CAST(m.value AS STRING) AS value, coalesce(m.measurement_method, '') AS measurement_method, '' AS ci_lower, coalesce(CAST(m.n_independent AS STRING), '') AS n_independent
+FROM fx_measurements m JOIN fx_experiments e ON e.experiment_id = m.experiment_id""")
+def fixed_csv(spark, sf):
+    return pr.fixed_csv(flat(spark, sf)).select("measurement_id", "doi", "value", "measurement_method", "ci_lower", "n_independent")
+
+
+@query("summary_rows", """SELECT e.doi, e.sample_label, m.outcome, m.raw_value, m.unit, m.qualifier, m.status FROM fx_measurements m JOIN fx_experiments e ON e.experiment_id = m.experiment_id""")
+def summary_rows(spark, sf):
+    return pr.summary_rows(flat(spark, sf))
+
+
+STATE = """s AS (SELECT m.*, e.source_status, CASE WHEN e.source_status <> 'active' OR d.status IN ('quarantined', 'stale') THEN 1 ELSE 0 END AS blocked, d.status AS document_status
+  FROM fx_measurements m JOIN fx_experiments e ON e.experiment_id = m.experiment_id LEFT JOIN fx_documents d ON d.document_hash = e.document_hash)"""
+
+
+@query("current_state", f"""WITH {STATE} SELECT measurement_id, CASE WHEN blocked = 1 THEN 'stale' ELSE status END AS status, CASE WHEN blocked = 1 THEN 'source status ' || source_status || ': excluded until reassessed' END AS note, source_status, document_hash FROM s""")
+def current_state(spark, sf):
+    s = pr.current_state(view(spark, sf, "fx_measurements"), view(spark, sf, "fx_experiments"), view(spark, sf, "fx_documents"))
+    return s.select("measurement_id", "status", "note", "source_status", "document_hash")
+
+
+@query("conditions", """SELECT experiment_id || ':condition' AS condition_id, experiment_id, measurement_id FROM fx_measurements""")
+def conditions(spark, sf):
+    return pr.conditions(view(spark, sf, "fx_measurements"))
+
+
+@query("evidence_search", """SELECT m.measurement_id FROM fx_measurements m JOIN fx_experiments e ON e.experiment_id = m.experiment_id WHERE m.status = 'accepted' AND m.origin = 'reported'
+  AND strpos(lower(concat_ws(' ', m.outcome, m.raw_value, m.unit, m.measurement_method, e.sample_label, e.doi, m.excerpt)), 'microscopy') > 0""")
+def evidence_search(spark, sf):
+    rows = flat(spark, sf).withColumn("excerpts", F.array("excerpt"))
+    return pr.search_evidence(rows, "Microscopy", status="accepted", origin="reported").select("measurement_id")
+
+
+@query("publication_search", """SELECT publication_id FROM fx_publications WHERE state = 'pending_extraction' AND strpos(lower(concat_ws(' ', title, doi, source)), '00000012') > 0""")
+def publication_search(spark, sf):
+    return pr.search_publications(view(spark, sf, "fx_publications"), "00000012").select("publication_id")
+
+
+@query("evidence_page", """SELECT measurement_id, CAST(value AS BIGINT) AS value FROM fx_measurements ORDER BY CASE WHEN page > 3 THEN NULL ELSE value END DESC NULLS FIRST, measurement_id LIMIT 30 OFFSET 60""")
+def evidence_page(spark, sf):
+    """The third page of thirty rows, sorted by value in reverse: absent values come first."""
+    m = view(spark, sf, "fx_measurements").withColumn("sort_value", F.when(F.col("page") <= 3, F.col("value")))
+    return pr.page(m, 2, pr.sort_evidence(m, "sort_value", reverse=True)).select("measurement_id", F.col("value").cast("bigint").alias("value"))
+
+
+@query("numbered_families", """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS BIGINT) AS idx FROM orders""")
+def numbered_families(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return dense_index(o, [F.col("o_totalprice"), F.col("o_orderkey")], "idx").select("o_orderkey", "idx")
+
+
+@query("extractable_documents", """SELECT document_hash FROM fx_documents WHERE pages % 2 = 0 AND status NOT IN ('quarantined', 'extracted', 'excluded')""")
+def extractable_documents(spark, sf):
+    d = view(spark, sf, "fx_documents")
+    return pr.extractable(d, d.where("pages % 2 = 0").select("document_hash")).select("document_hash")
+
+
+@query("review_decisions", f"""WITH {STATE}, r AS (SELECT *, CASE page WHEN 1 THEN 'accepted' WHEN 2 THEN 'rejected' END AS decision FROM s),
+f AS (SELECT *, CASE WHEN decision IS NULL THEN NULL WHEN blocked = 1 THEN 'source needs reassessment' WHEN decision = 'accepted' AND (origin = 'curve_sample' OR value = 7) THEN 'acceptance needs evidence' END AS refused FROM r)
+SELECT CASE WHEN decision IS NOT NULL AND refused IS NULL THEN decision ELSE status END AS status, refused, CAST(count(*) AS BIGINT) AS n FROM f GROUP BY 1, 2""")
+def review_decisions(spark, sf):
+    c = F.col
+    m = view(spark, sf, "fx_measurements").join(view(spark, sf, "fx_experiments").select("experiment_id", "source_status"), "experiment_id")
+    m = m.join(view(spark, sf, "fx_documents").select("document_hash", c("status").alias("document_status")), "document_hash")
+    m = m.withColumn("evidence_count", F.when(c("value") == 7, 0).otherwise(1))
+    reviews = m.where("page <= 2").select("measurement_id", F.when(c("page") == 1, "accepted").otherwise("rejected").alias("decision")).distinct()
+    return pr.apply_reviews(m, reviews).groupBy("status", "refused").agg(F.count("*").alias("n"))
+
+
+@query("chosen_versions", """SELECT 'pub-' || o_custkey AS publication_id, CASE WHEN max(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) = 1 THEN 'publishedVersion' WHEN count(DISTINCT o_orderpriority) = 1 THEN max(o_orderpriority) END AS version,
+  CASE WHEN max(CASE WHEN o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) = 1 OR count(DISTINCT o_orderpriority) = 1 THEN 'chosen' ELSE 'selection required' END AS state FROM orders GROUP BY 1""")
+def chosen_versions(spark, sf):
+    o = table(spark, sf, "orders")
+    v = F.when(F.startswith("o_orderpriority", F.lit("1")), "publishedVersion").otherwise(F.col("o_orderpriority"))
+    return pr.choose_version(o.select(F.concat(F.lit("pub-"), "o_custkey").alias("publication_id"), v.alias("version")))
+
+
+@query("distributed_versions", """WITH v AS (SELECT 'PMC' || o_custkey AS pmcid, 'v' || o_orderpriority AS version, o_orderstatus, o_custkey FROM orders), d AS (SELECT pmcid, version, bool_or(o_orderstatus = 'F') AS ms FROM v GROUP BY 1, 2),
+a AS (SELECT pmcid, count(*) AS n, sum(CASE WHEN ms THEN 0 ELSE 1 END) AS p, min(version) AS sole, min(CASE WHEN NOT ms THEN version END) AS onlyp, max(CASE WHEN version LIKE 'v2%' THEN version END) AS second FROM d GROUP BY 1)
+SELECT pmcid, CASE WHEN CAST(substr(pmcid, 4) AS BIGINT) % 3 = 0 THEN second WHEN p = 1 THEN onlyp WHEN p = 0 AND n = 1 THEN sole END AS version,
+  CASE WHEN CAST(substr(pmcid, 4) AS BIGINT) % 3 = 0 THEN CASE WHEN second IS NOT NULL THEN 'chosen' ELSE 'source_unavailable' END WHEN p = 1 OR (p = 0 AND n = 1) THEN 'chosen' ELSE 'version_selection_required' END AS state FROM a""")
+def distributed_versions(spark, sf):
+    c = F.col
+    o = table(spark, sf, "orders")
+    v = o.groupBy(F.concat(F.lit("PMC"), "o_custkey").alias("pmcid"), F.concat(F.lit("v"), "o_orderpriority").alias("version")).agg(F.bool_or(c("o_orderstatus") == "F").alias("manuscript"))
+    names = o.where(F.startswith("o_orderpriority", F.lit("2"))).select(F.concat(F.lit("v"), "o_orderpriority").alias("previous")).distinct()
+    third = table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("PMC"), "c_custkey").alias("pmcid"))
+    return pr.choose_distributed(v, third.join(names))
+
+
+@query("license_checks", """SELECT c_custkey, CAST(c_custkey % 5 <> 4 AS STRING) AS ok FROM customer""")
+def license_checks(spark, sf):
+    k = F.col("c_custkey")
+    code = F.when(k % 5 == 0, "cc by-nc-nd 4.0").when(k % 5 == 1, "CC0").when(k % 5 == 2, "TDM").when(k % 5 == 3, "public domain").otherwise("all rights reserved")
+    return table(spark, sf, "customer").select("c_custkey", pr.license_ok(code).cast("string").alias("ok"))
+
+
+@query("kept_files", """SELECT l_linestatus AS license_kind, CAST(count(*) AS BIGINT) AS n FROM lineitem WHERE l_linestatus = 'F' OR l_returnflag IN ('A', 'N') GROUP BY 1""")
+def kept_files(spark, sf):
+    c = F.col
+    l = table(spark, sf, "lineitem").select("l_linestatus", F.when(c("l_linestatus") == "F", "CC BY 4.0").otherwise("TDM").alias("license"),
+                                            F.when(c("l_returnflag") == "A", "xml").when(c("l_returnflag") == "N", "text").otherwise("pdf").alias("kind"))
+    return pr.kept_kinds(l).groupBy(c("l_linestatus").alias("license_kind")).agg(F.count("*").alias("n"))
+
+
+@query("screened_dois", """SELECT 'text-' || doc_id AS document_hash, CASE doc_id % 3 WHEN 0 THEN '10.1234/d' || doc_id WHEN 1 THEN '10.9999/own' || doc_id ELSE '10.9999/own' || doc_id END AS doi,
+  CASE WHEN doc_id % 3 = 1 THEN 'true' ELSE 'false' END AS withheld FROM documents""")
+def screened_dois(spark, sf):
+    c = F.col
+    d = table(spark, sf, "documents")
+    h = F.concat(F.lit("text-"), "doc_id")
+    docs = d.select(h.alias("document_hash"), F.concat("text", F.lit(" DOI 10.1234/D"), "doc_id", F.lit(" ")).alias("text"), F.concat(F.lit("10.9999/own"), "doc_id").alias("doi"))
+    s = d.select(h.alias("document_hash"), F.when(c("doc_id") % 3 == 0, F.concat(F.lit("10.1234/d"), "doc_id")).when(c("doc_id") % 3 == 1, F.concat(F.lit("10.1234/invented"), "doc_id")).alias("proposed_doi"))
+    return pr.screened_doi(s, docs).select("document_hash", "doi", c("withheld").cast("string").alias("withheld"))
+
+
+@query("local_publications", """SELECT 'local-' || document_hash AS publication_id, document_hash AS source_id, CASE WHEN status = 'completed' THEN 'extracted' ELSE 'needs_review' END AS state,
+  CASE WHEN status IN ('stale', 'quarantined') THEN status ELSE 'active' END AS status FROM fx_documents WHERE publication_id IS NULL""")
+def local_publications(spark, sf):
+    return pr.local_publications(view(spark, sf, "fx_documents")).select("publication_id", "source_id", "state", "status")
+
+
+def _costs(spark, sf):
+    prices = spark.createDataFrame([("small", "0.1500", "0.6000"), ("large", "2.5", "10.25")], "model string, input_price string, output_price string")
+    return pr.usage_costs(view(spark, sf, "fx_usage_calls"), prices)
+
+
+COST = "CAST(ceil(CASE model WHEN 'small' THEN 0.15 * input_tokens + 0.6 * output_tokens ELSE 2.5 * input_tokens + 10.25 * output_tokens END) AS BIGINT)"
+
+
+@query("usage_costs", f"""SELECT call_id, {COST} AS microusd FROM fx_usage_calls""")
+def usage_costs(spark, sf):
+    return _costs(spark, sf).select("call_id", "microusd")
+
+
+@query("cost_rollup", f"""SELECT run_id, CAST(sum(CASE WHEN status = 'settled' THEN {COST} ELSE 0 END) AS BIGINT) AS spent, CAST(sum(CASE WHEN status = 'reserved' THEN {COST} ELSE 0 END) AS BIGINT) AS reserved FROM fx_usage_calls GROUP BY ROLLUP (run_id)""")
+def cost_rollup(spark, sf):
+    c = F.col
+    return _costs(spark, sf).rollup("run_id").agg(F.sum(F.when(c("status") == "settled", c("microusd")).otherwise(0)).alias("spent"), F.sum(F.when(c("status") == "reserved", c("microusd")).otherwise(0)).alias("reserved"))
+
+
+@query("micro_dollars", """SELECT o_orderkey, CAST(ceil(CAST(o_totalprice AS DECIMAL(24, 9)) * 1000000) AS BIGINT) AS microusd FROM orders""")
+def micro_dollars(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", pr.micro_dollars(F.col("o_totalprice")).alias("microusd"))
+
+
+@query("dashboard", f"""WITH {STATE} SELECT CAST((SELECT count(*) FROM fx_documents) AS BIGINT) AS documents, CAST((SELECT sum(pages) FROM fx_documents) AS BIGINT) AS pages, CAST((SELECT count(*) FROM s) AS BIGINT) AS measurements,
+  CAST((SELECT count(*) FROM s WHERE blocked = 0 AND status = 'accepted') AS BIGINT) AS accepted, CAST((SELECT count(*) FROM s WHERE blocked = 1 OR status IN ('candidate', 'uncertain')) AS BIGINT) AS need_review,
+  CAST((SELECT count(*) FROM fx_publications WHERE state = 'pending_extraction') AS BIGINT) AS pending""")
+def dashboard(spark, sf):
+    d = view(spark, sf, "fx_documents").agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"))
+    s = pr.current_state(view(spark, sf, "fx_measurements"), view(spark, sf, "fx_experiments"), view(spark, sf, "fx_documents"))
+    n = lambda *v: F.sum(F.col("status").isin(*v).cast("bigint"))
+    m = s.agg(F.count("*").alias("measurements"), n("accepted").alias("accepted"), n("candidate", "uncertain", "stale").alias("need_review"))
+    p = view(spark, sf, "fx_publications").agg(F.sum((F.col("state") == "pending_extraction").cast("bigint")).alias("pending"))
+    return d.crossJoin(m).crossJoin(p)  # single rows
+
+
+@query("run_status", """SELECT document_hash, CAST(bool_and(status IN ('completed', 'abstained', 'failed')) AS STRING) AS complete, CAST(bool_or(status IN ('abstained', 'failed')) AS STRING) AS limited,
+  CASE WHEN NOT bool_and(status IN ('completed', 'abstained', 'failed')) THEN 'running' WHEN bool_or(status IN ('abstained', 'failed')) THEN 'completed_with_abstentions' ELSE 'completed' END AS run_status, CAST(max(completed_on) AS STRING) AS last_extraction FROM fx_jobs GROUP BY 1""")
+def run_status(spark, sf):
+    c = F.col
+    g = view(spark, sf, "fx_jobs").groupBy("document_hash").agg(F.bool_and(c("status").isin("completed", "abstained", "failed")).alias("complete"), F.bool_or(c("status").isin("abstained", "failed")).alias("limited"), F.max("completed_on").alias("last"))
+    status = F.when(~c("complete"), "running").when(c("limited"), "completed_with_abstentions").otherwise("completed")
+    return g.select("document_hash", c("complete").cast("string").alias("complete"), c("limited").cast("string").alias("limited"), status.alias("run_status"), c("last").cast("string").alias("last_extraction"))
+
+
+@query("newest_runs", """SELECT job_id, CAST(completed_on AS STRING) AS completed_on FROM fx_jobs ORDER BY completed_on DESC, job_id""")
+def newest_runs(spark, sf):
+    return view(spark, sf, "fx_jobs").orderBy(F.col("completed_on").desc(), "job_id").select("job_id", F.col("completed_on").cast("string").alias("completed_on"))
+
+
+@query("extraction_summary", """SELECT document_hash, CAST(count(DISTINCT experiment_id) AS BIGINT) AS experiments, CAST(count(*) AS BIGINT) AS measurements FROM fx_measurements GROUP BY 1""")
+def extraction_summary(spark, sf):
+    return view(spark, sf, "fx_measurements").groupBy("document_hash").agg(F.countDistinct("experiment_id").alias("experiments"), F.count("*").alias("measurements"))
+
+
+@query("author_lines", """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Authors not available' ELSE array_to_string(list_transform(range(1, least(c_custkey % 8, 5) + 1), lambda i: 'A' || i), ', ') || CASE WHEN c_custkey % 8 > 5 THEN ', et al.' ELSE '' END END AS authors FROM customer""")
+def author_lines(spark, sf):
+    n = (F.col("c_custkey") % 8).cast("int")
+    names = F.when(n == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit("A"), i)))
+    return table(spark, sf, "customer").select("c_custkey", text.author_line(names).alias("authors"))
+
+
+@query("source_labels", """SELECT l_linenumber, l_returnflag, CASE l_returnflag WHEN 'A' THEN 'XML id:s' || l_linenumber WHEN 'N' THEN 'Media asset not reported' ELSE 'p. ' || l_linenumber END AS label, CAST(count(*) AS BIGINT) AS n FROM lineitem GROUP BY 1, 2, 3""")
+def source_labels(spark, sf):
+    c = F.col
+    fmt = F.when(c("l_returnflag") == "A", "xml").when(c("l_returnflag") == "N", "media").otherwise("pdf")
+    label = text.source_location(fmt, c("l_linenumber"), F.concat(F.lit("id:s"), "l_linenumber"), F.lit(None).cast("string"))
+    return table(spark, sf, "lineitem").groupBy("l_linenumber", "l_returnflag", label.alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("artifact_hashes", """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(text) END AS artifact FROM documents""")
+def artifact_hashes(spark, sf):
+    key = F.concat(F.lit("artifacts/x/"), F.upper(F.sha2("text", 256)), F.when(F.col("doc_id") % 2 == 0, "-overlay.PNG").otherwise("-overlay.txt"))
+    return table(spark, sf, "documents").select("doc_id", text.artifact_hash(key).alias("artifact"))
+
+
+@query("time_points", """SELECT measurement_id, CASE WHEN time_value IS NULL THEN NULL WHEN page % 2 = 0 THEN CAST(CAST(time_value AS BIGINT) AS STRING) || ' day' ELSE CAST(CAST(time_value AS BIGINT) AS STRING) || '.25 day' END AS time_point FROM fx_measurements""")
+def time_points(spark, sf):
+    v = F.col("time_value") + F.when(F.col("page") % 2 == 0, 0.0).otherwise(0.25)
+    return view(spark, sf, "fx_measurements").select("measurement_id", text.time_point(v, F.col("time_unit")).alias("time_point"))
+
+
+@query("approved_downloads", """SELECT page_id, CAST(page_id % 4 = 0 AS STRING) AS approved FROM pages""")
+def approved_downloads(spark, sf):
+    k = F.col("page_id")
+    host = F.when(k % 4 == 0, "https://good.org/").when(k % 4 == 1, "https://user:pw@good.org/").when(k % 4 == 2, "https://good.org:8080/").otherwise("http://good.org/")
+    return table(spark, sf, "pages").select("page_id", urls.approved_download(F.concat(host, k), ["good.org", "other.org"]).cast("string").alias("approved"))
+
+
+@query("progress_percent", f"""SELECT document_hash, {sql_stable("100.0 * sum(CASE WHEN status = 'completed' THEN 1 ELSE 0 END) / count(*)")} AS percent FROM fx_jobs GROUP BY 1""")
+def progress_percent(spark, sf):
+    g = view(spark, sf, "fx_jobs").groupBy("document_hash").agg(F.sum((F.col("status") == "completed").cast("bigint")).alias("done"), F.count("*").alias("total"))
+    return g.select("document_hash", stable(pr.progress_percent(F.col("done"), F.col("total"))).alias("percent"))
+
+
+@query("file_signatures", """SELECT doc_id, sha256(text) AS sha256, CAST(doc_id % 3 = 0 AS STRING) AS is_pdf, CAST(doc_id % 2 = 0 AS STRING) AS md5_ok FROM documents""")
+def file_signatures(spark, sf):
+    c = F.col
+    d = table(spark, sf, "documents").withColumn("body", F.when(c("doc_id") % 3 == 0, F.concat(F.lit("%PDF-"), "text")).otherwise(c("text")).cast("binary"))
+    x = files.file_checks(c("body"), F.when(c("doc_id") % 2 == 0, F.upper(F.md5("body"))).otherwise("0"))
+    return d.select("doc_id", F.sha2("text", 256).alias("sha256"), x["is_pdf"].cast("string").alias("is_pdf"), x["md5_ok"].cast("string").alias("md5_ok"))
+
+
+@query("recognized_words", """SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(sum(l_quantity + l_linenumber) AS BIGINT) AS right_edges FROM lineitem WHERE l_discount * 1000 >= 50 AND l_linenumber % 5 <> 0 GROUP BY 1""")
+def recognized_words(spark, sf):
+    c = F.col
+    w = table(spark, sf, "lineitem").select("l_returnflag", c("l_quantity").alias("left_px"), c("l_linenumber").alias("top_px"), c("l_linenumber").alias("width_px"), F.lit(3).alias("height_px"), (c("l_discount") * 1000).alias("conf"),
+                                            F.when(c("l_linenumber") % 5 == 0, "  ").otherwise("w").alias("text"))
+    return files.keep_words(w).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.element_at("box", 3)).cast("bigint").alias("right_edges"))
+
+
+@query("utc_timestamps", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
+def utc_timestamps(spark, sf):
+    from evloom.functions.dates import parse_utc
+    k, base = F.col("event_id") % 3, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(k == 0, F.concat(base, F.lit("Z"))).when(k == 1, F.concat(base, F.lit("+02:00"))).otherwise(base)
+    return table(spark, sf, "events").select("event_id", F.date_format(parse_utc(raw), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+@query("same_length_units", """SELECT measurement_id, CASE WHEN unit = 'um' THEN 'true' ELSE 'false' END AS same FROM fx_measurements""")
+def same_length_units(spark, sf):
+    from evloom.functions.units import same_length_unit
+    return view(spark, sf, "fx_measurements").select("measurement_id", same_length_unit(F.col("unit"), F.lit("µm")).cast("string").alias("same"))
+
+
+@query("derived_contrasts", """WITH m AS (SELECT * FROM fx_measurements WHERE measurement_id IN (SELECT measurement_id FROM fx_measurements GROUP BY 1 HAVING count(*) = 1)),
+arm AS (SELECT m.measurement_id, m.experiment_id, e.study_family, m.page, m.document_hash, CASE WHEN m.status <> 'accepted' THEN 'not accepted' WHEN qualifier <> 'exact' THEN 'not exact' WHEN origin = 'curve_sample' THEN 'curve sample'
+  WHEN statistic <> 'mean' THEN 'not a mean' WHEN n_independent IS NULL OR n_independent < 2 THEN 'fewer than two independent replicates'
+  WHEN d.status <> 'completed' THEN 'source not active' WHEN e.part % 9 = 0 THEN 'definition missing or ambiguous'
+  WHEN outcome <> 'Droplet_Size_um' OR measurement_method IS DISTINCT FROM 'microscopy' OR concentration_basis IS NOT NULL OR time_value IS DISTINCT FROM 7 THEN 'differs from the registered specification' END AS reason,
+  CASE WHEN unit = 'nm' THEN value / 1000 ELSE value END AS mean, CASE WHEN unit = 'nm' THEN uncertainty / 1000 ELSE uncertainty END AS sd, n_independent AS n
+  FROM m JOIN fx_experiments e ON e.experiment_id = m.experiment_id JOIN fx_documents d ON d.document_hash = m.document_hash),
+p AS (SELECT t.measurement_id AS t, c.measurement_id AS c FROM (SELECT measurement_id, row_number() OVER (PARTITION BY document_hash ORDER BY measurement_id) AS rn, document_hash FROM arm) t
+  JOIN (SELECT measurement_id, row_number() OVER (PARTITION BY document_hash ORDER BY measurement_id) AS rn, document_hash FROM arm) c ON c.document_hash = t.document_hash AND c.rn = t.rn + 1)
+SELECT p.t || '/' || p.c AS contrast_id, CASE WHEN a.reason IS NOT NULL THEN 'treatment: ' || a.reason WHEN b.reason IS NOT NULL THEN 'control: ' || b.reason WHEN a.experiment_id = b.experiment_id THEN 'arms are not distinct'
+  WHEN a.study_family <> b.study_family THEN 'arms belong to different study families' END AS reason,
+  CASE WHEN a.reason IS NULL AND b.reason IS NULL AND a.experiment_id <> b.experiment_id AND a.study_family = b.study_family THEN """ + sql_stable("a.mean - b.mean") + """ END AS difference
+FROM p JOIN arm a ON a.measurement_id = p.t JOIN arm b ON b.measurement_id = p.c""")
+def derived_contrasts(spark, sf):
+    """Neighbouring measurements of every document proposed as treatment and control."""
+    from pyspark.sql import Window
+    c = F.col
+    m = view(spark, sf, "fx_measurements")
+    once = m.groupBy("measurement_id").agg(F.count("*").alias("k")).where("k = 1").select("measurement_id")
+    e = view(spark, sf, "fx_experiments")
+    m = m.join(once, "measurement_id", "left_semi").join(view(spark, sf, "fx_documents").select("document_hash", (c("status") == "completed").alias("source_active")), "document_hash").withColumn("evidence_count", F.lit(1))
+    row = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("text"))
+    attrs = e.select("experiment_id", "part", F.explode(F.array(row("outcome_definition", F.lit("mean size")), row("comparator", F.lit("no particles")), row("arms_independent", F.lit("true")))).alias("x")).select(
+        "experiment_id", "x.*", F.when((c("part") % 9 == 0) & (c("x.name") == "comparator"), "uncertain").otherwise("accepted").alias("status"), F.lit(1).alias("evidence_count"), F.lit(0).alias("foreign_evidence"))
+    nxt = F.lead("measurement_id").over(Window.partitionBy("document_hash").orderBy("measurement_id"))
+    p = m.select("document_hash", c("measurement_id").alias("treatment_measurement_id"), nxt.alias("control_measurement_id")).where("control_measurement_id is not null").withColumn(
+        "contrast_id", F.concat_ws("/", "treatment_measurement_id", "control_measurement_id"))
+    spec = {"outcome": "Droplet_Size_um", "measurement_method": "microscopy", "concentration_basis": None, "time_point": "7 day", "outcome_definition": "mean size", "comparator": "no particles", "unit": "um"}
+    d = syn.derive_contrasts(p, m, e, syn.experiment_definitions(attrs), spec)
+    return d.select("contrast_id", "reason", stable(c("mean_t") - c("mean_c")).alias("difference"))
+
+
+@query("contrast_reasons", """SELECT CASE WHEN rn > 1 THEN 1 ELSE 0 END + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN l_suppkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END + CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END AS reasons, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey * 100000 + l_suppkey * 100 + l_quantity) AS rn FROM lineitem) x GROUP BY 1""")
+def contrast_reasons(spark, sf):
+    c = F.col
+    l = table(spark, sf, "lineitem")
+    x = l.select(F.lit("a").alias("analysis_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("contrast_id"), F.lit("fam").alias("study_family"), (c("l_partkey") * 100000 + c("l_suppkey") * 100 + c("l_quantity")).alias("position"),
+                 F.lit("d").alias("outcome_definition"), F.when(c("l_partkey") % 5 == 0, "other").otherwise("m").alias("measurement_method"), F.lit("c").alias("comparator"), F.lit("7 day").alias("time_point"), F.lit("um").alias("unit"),
+                 F.lit(None).cast("string").alias("concentration_basis"), (c("l_suppkey") % 4 == 0).alias("paired"), F.lit(True).alias("arms_independent"), F.when(c("l_linenumber") == 7, "gt").otherwise("exact").alias("qualifier_t"), F.lit("exact").alias("qualifier_c"),
+                 c("l_quantity").alias("mean_t"), F.lit(1.0).alias("sd_t"), c("l_linenumber").cast("bigint").alias("n_t"), F.lit(1.0).alias("mean_c"), F.lit(1.0).alias("sd_c"), F.lit(3).cast("bigint").alias("n_c"))
+    spec = {"outcome_definition": "d", "measurement_method": "m", "comparator": "c", "time_point": "7 day", "unit": "um"}
+    return syn.contrast_reasons(x, spec).groupBy(F.size("reasons").alias("reasons")).agg(F.count("*").alias("n"))
+
+
+@query("measurement_view", """SELECT experiment_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT document_hash) AS BIGINT) AS documents FROM fx_measurements GROUP BY 1""")
+def measurement_view(spark, sf):
+    m = current(spark, sf)
+    return m.groupBy("experiment_id").agg(F.count("*").alias("n"), F.countDistinct("document_hash").alias("documents"))

@@ -33,7 +33,7 @@ def stable(c, digits: int = 6):
 
 
 def sql_stable(expr: str, digits: int = 6) -> str:
-    return f"round({expr} + {2.3 * 10 ** -(digits + 2):.{digits + 3}f}, {digits})"
+    return f"round(CAST(({expr}) AS DOUBLE) + {2.3 * 10 ** -(digits + 2):.{digits + 3}f}, {digits})"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -193,11 +193,6 @@ def _item(spark, sf, source, build, schema):
     return c.select("input_pos", F.to_json(build).alias("json")).select("input_pos", F.from_json("json", schema).alias("item"))
 
 
-def _with_pos(landed, parsed):
-    """Provider parsers keep only citation columns; the key travels in the source id."""
-    return parsed
-
-
 @query("crossref_records", """SELECT doi_plain AS source_id, doi_plain AS doi, title, 'Ada Byron' AS authors, CAST(2000 + input_pos % 20 AS BIGINT) AS year,
   CASE WHEN input_pos % 5 = 0 THEN 'corrected' ELSE 'active' END AS status, CAST(CASE WHEN input_pos % 5 = 0 OR input_pos % 5 = 1 THEN 1 ELSE 0 END AS BIGINT) AS relations,
   CAST(CASE WHEN input_pos % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS related FROM fx_citations WHERE source = 'crossref'""")
@@ -402,8 +397,7 @@ def merged_attributes(spark, sf):
 @query("merged_measurements", """SELECT experiment_id, outcome, raw_value, CAST(min(page) AS BIGINT) AS pos FROM fx_measurements GROUP BY 1, 2, 3""")
 def merged_measurements(spark, sf):
     m = view(spark, sf, "fx_measurements").select("experiment_id", "outcome", "raw_value", F.col("page").alias("pos"))
-    return sx.merge_measurements(m, ["experiment_id", "outcome", "raw_value"]).join(
-        m.groupBy("experiment_id", "outcome", "raw_value").agg(F.min("pos").alias("pos")), ["experiment_id", "outcome", "raw_value"]).select("experiment_id", "outcome", "raw_value", "pos")
+    return sx.merge_measurements(m, ["experiment_id", "outcome", "raw_value"]).select("experiment_id", "outcome", "raw_value", "pos")
 
 
 @query("first_seen_notes", """SELECT event_type || ':' || CAST(user_id % 50 AS STRING) AS note, min(event_id) AS pos FROM events GROUP BY 1""")
