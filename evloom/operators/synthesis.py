@@ -57,7 +57,7 @@ def _observed(measurements: DataFrame) -> DataFrame:
     return (measurements.withColumn("value", F.coalesce("normalized_value", "value")).withColumn("unit", unit))
 
 
-def exclusion_reason(status: Column = F.lit(None)) -> Column:
+def exclusion_reason() -> Column:
     """Why a measurement stays out of numerical summaries; null when it enters."""
     numeric = F.col("status").eqNullSafe("accepted") & F.col("qualifier").eqNullSafe("exact") & \
         ~F.col("origin").eqNullSafe("curve_sample")

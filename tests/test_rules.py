@@ -1,0 +1,320 @@
+"""Hand-checked cases of the rules that SQL cannot mirror, and brute-force checks of the numeric ones."""
+
+import math
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from evloom.functions import dates, stats, text, units
+from evloom.operators import adjudication, figures, identity, pooling, primitives, synthesis, verification
+
+
+def one(spark, expr, **cols):
+    row = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{k} {'double' if isinstance(v, float) else 'string'}" for k, v in cols.items())) if cols else spark.range(1)
+    return row.select(expr.alias("x")).first()[0]
+
+
+@pytest.mark.parametrize("raw,want", [
+    ("https://doi.org/10.1234/ABC", "10.1234/abc"), ("doi: 10.1234/ABC", "10.1234/abc"), ("not a DOI", None), ("10.1234/a%2Fb", "10.1234/a/b"),
+    ("10.1234/a+b", "10.1234/a+b"), ("10.1234/100%", "10.1234/100%"), (" 10.1234/x ", "10.1234/x"), ("10.12/x", None), ("10.1234/a b", None)])
+def test_canonical_doi(spark, raw, want):
+    assert one(spark, text.canonical_doi(F.col("v")), v=raw) == want
+
+
+@pytest.mark.parametrize("raw", ["Straße  µm − 5", "ΟΔΥΣΣΕΥΣ", "ﬁne Å", "ᾳ ŉ", "plain", "İstanbul", "a\x1cb d"])
+def test_canonical_text_matches_casefold(spark, raw):
+    want = " ".join(raw.replace("−", "-").replace("µ", "μ").split()).casefold()
+    assert one(spark, text.canonical_text(F.col("v")), v=raw) == want
+
+
+@pytest.mark.parametrize("body,want", [
+    ("17 um", [17.0]), ("-1.2e-3 m", [-0.0012]), ("1,5 and 2.5", [1.5, 2.5]), ("v2 3x 4", [4.0]), ("5.", []), ("μ7 8", [8.0]), ("none", [])])
+def test_numeric_values(spark, body, want):
+    assert one(spark, text.numeric_values(F.col("v")), v=body) == want
+
+
+def test_supported_number(spark):
+    ok = lambda v, b: one(spark, text.supported_number(F.col("n"), text.numeric_values(F.col("b"))), n=v, b=b)
+    assert ok(7.0, "17 um") is False
+    assert ok(-0.0012, "−1.2e-3 m") is True
+    assert ok(float("nan"), "1") is False
+
+
+@pytest.mark.parametrize("value,unit,want", [(7.0, "day", "7 day"), (0.5, "h", "0.5 h"), (1234567.0, "s", "1.23457e+06 s"), (0.00001, "s", "1e-05 s"), (12.25, "h", "12.25 h")])
+def test_time_point(spark, value, unit, want):
+    assert one(spark, text.time_point(F.col("v"), F.col("u")), v=value, u=unit) == want == f"{value:g} {unit}"
+
+
+@pytest.mark.parametrize("now,want", [("2026-03-29 07:00:00", "2026-03-30 06:00:00"), ("2026-10-25 07:00:00", "2026-10-26 07:00:00"), ("2026-10-26 07:00:00", "2026-11-02 07:00:00")])
+def test_weekly_slot(spark, now, want):
+    assert one(spark, F.date_format(dates.next_weekly_check(F.to_timestamp("v")), "yyyy-MM-dd HH:mm:ss"), v=now) == want
+
+
+@pytest.mark.parametrize("value,unit,target,want", [(7000.0, "nm", "um", 7.0), (2.0, "µm", "um", 2.0), (25.0, "degC", "kelvin", 298.15), (48.0, "hour", "day", 2.0), (1.0, "mV", "um", None), (1.0, "foo", "um", None)])
+def test_convert(spark, value, unit, target, want):
+    got = one(spark, units.convert(F.col("v"), F.col("u"), target), v=value, u=unit)
+    assert got == want if want is None else got == pytest.approx(want)
+
+
+def test_spread_ignores_offsets(spark):
+    assert one(spark, units.convert_spread(F.col("v"), F.col("s"), F.lit("degC"), "kelvin"), v=20.0, s=2.0) == pytest.approx(2.0)
+
+
+def test_concentration_needs_a_basis(spark):
+    rows = [("a", "Concentration_wt_percent", 2.0, "wt%", None), ("b", "Concentration_wt_percent", 2.0, "wt%", "volume"),
+            ("c", "Concentration_wt_percent", 2.0, "wt%", "mass"), ("d", "Droplet_Size_um", 7000.0, "nm", None), ("e", "Droplet_Size_um", 1.0, "furlong", None)]
+    df = spark.createDataFrame([(*r, "accepted") for r in rows], "id string, outcome string, value double, unit string, concentration_basis string, status string")
+    got = {r["id"]: r for r in synthesis.with_normalized(df).collect()}
+    assert got["a"]["normalized_value"] is None and got["a"]["status"] == "accepted"
+    assert got["b"]["status"] == "uncertain" and got["b"]["normalized_value"] is None
+    assert got["c"]["normalized_value"] == 2.0 and got["c"]["normalized_unit"] == "percent"
+    assert got["d"]["normalized_value"] == 7.0 and got["d"]["normalized_unit"] == "micrometer"
+    assert got["e"]["normalized_value"] is None
+
+
+def cand(**over):
+    base = dict(measurement_id="m", expected_hash="h", raw_value="7 um", value=7.0, unit="um", qualifier="exact", lower_bound=None, upper_bound=None, uncertainty=1.0,
+                ci_lower=None, ci_upper=None, time_value=None, time_unit=None, measurement_method=None, statistic="mean", concentration_basis=None, uncertainty_type="SD",
+                n_independent=3, n_technical=None, origin="reported", status="candidate",
+                evidence=[dict(document_hash="h", page=1, source_type="text", locator="p1", excerpt="mean size 7 um, standard deviation 1, n = 3 independent batches", bounding_box=None)])
+    return {**base, **over}
+
+
+PAGE = "We saw mean size 7 um, standard deviation 1, n = 3 independent batches in 3 independent runs."
+CAND = """measurement_id string, expected_hash string, raw_value string, value double, unit string, qualifier string, lower_bound double, upper_bound double, uncertainty double,
+ci_lower double, ci_upper double, time_value double, time_unit string, measurement_method string, statistic string, concentration_basis string, uncertainty_type string,
+n_independent long, n_technical long, origin string, status string,
+evidence array<struct<document_hash:string,page:long,source_type:string,locator:string,excerpt:string,bounding_box:array<double>>>"""
+
+
+def verify(spark, c, page=PAGE, status="extracted"):
+    pages = spark.createDataFrame([("h", 1, page, [("t1", [["a", None]])], 600.0, 800.0, status)],
+                                  "document_hash string, page long, text string, tables array<struct<id:string,rows:array<array<string>>>>, width double, height double, text_status string")
+    return verification.verify_measurements(spark.createDataFrame([c], CAND), pages).first()
+
+
+EX = "mean size 7 um, standard deviation 1, n = 3 independent batches"
+
+
+def ev(**over):
+    return [dict(document_hash="h", page=1, source_type="text", locator="p1", excerpt=EX, bounding_box=None, **{}) | over]
+
+
+@pytest.mark.parametrize("change,status", [
+    ({}, "accepted"), (dict(value=8.0), "rejected"), (dict(evidence=ev(excerpt="invented")), "rejected"), (dict(evidence=ev(document_hash="other")), "rejected"),
+    (dict(evidence=ev(page=2)), "rejected"), (dict(evidence=[]), "rejected"), (dict(qualifier="lt"), "rejected"), (dict(raw_value="7 +/- 2"), "rejected"),
+    (dict(uncertainty_type="SE"), "uncertain"), (dict(origin="curve_sample"), "uncertain"), (dict(measurement_method="laser"), "uncertain"),
+    (dict(evidence=ev(source_type="table", locator="x")), "uncertain"), (dict(evidence=ev(source_type="table", locator="t1 row 2")), "accepted"),
+    (dict(evidence=ev(source_type="figure")), "rejected"), (dict(evidence=ev(bounding_box=[0.0, 0.0, 700.0, 10.0])), "rejected"),
+    (dict(qualifier="missing", value=None), "uncertain"), (dict(n_independent=5), "rejected")])
+def test_verification_rules(spark, change, status):
+    assert verify(spark, cand(**change))["status"] == status
+
+
+def test_verification_withholds_counts(spark):
+    body = "mean size 7 um, spread 1, 3 repeats of 3"
+    got = verify(spark, cand(evidence=ev(excerpt=body), uncertainty_type="SD", n_independent=3, n_technical=3), page=body)
+    assert (got["status"], got["uncertainty_type"], got["n_independent"], got["n_technical"]) == ("uncertain", "unknown", None, 3)
+    curve = verify(spark, cand(origin="curve_sample", n_independent=40, n_technical=40))
+    assert curve["n_independent"] is None and curve["n_technical"] is None
+    assert verify(spark, cand(), status="ocr_requires_review")["status"] == "uncertain"
+
+
+CITE = "input_pos long, source string, source_id string, doi string, pmid string, pmcid string, related_dois array<string>, is_preprint boolean, abstract string, license string, full_text_url string, status string, title string"
+
+
+def cites(spark, rows):
+    base = dict(source="s", doi=None, pmid=None, pmcid=None, related_dois=[], is_preprint=False, abstract=None, license=None, full_text_url=None, status="active", title="t")
+    return spark.createDataFrame([{**base, "input_pos": i, "source_id": f"r{i}", **r} for i, r in enumerate(rows)], CITE)
+
+
+def test_withdrawn_preprint_does_not_taint_the_article(spark):
+    got = identity.reconcile(cites(spark, [dict(doi="10.1234/pre", is_preprint=True, status="withdrawn", related_dois=["10.1234/J"]), dict(doi="10.1234/j"), dict(title="t", doi="10.1234/other")]))
+    rows = {r["doi"]: r["status"] for r in got.records.collect()}
+    assert rows == {"10.1234/j": "active", "10.1234/other": "active"}
+
+
+def test_identifier_only_records_join_and_bridge(spark):
+    got = identity.reconcile(cites(spark, [dict(source="pubmed", pmid="1", pmcid="PMC1"), dict(source="europepmc", pmid="1", doi="10.1234/x")])).records.collect()
+    assert len(got) == 1 and got[0]["doi"] == "10.1234/x" and got[0]["pmcid"] == "PMC1"
+    got = identity.reconcile(cites(spark, [dict(doi="10.1234/x"), dict(pmid="1", status="corrected"), dict(pmid="1", doi="10.1234/x")])).records.collect()
+    assert len(got) == 1 and got[0]["status"] == "corrected"
+
+
+def test_merge_bridges_two_known_records(spark):
+    old = spark.createDataFrame([("first", 1, ["doi:10.1234/x"], "active", "completed", None), ("second", 2, ["pmid:9"], "corrected", "completed", "b")],
+                                "publication_id string, position long, identifiers array<string>, status string, state string, title string")
+    new = spark.createDataFrame([(1, ["doi:10.1234/x", "pmid:9"], "active", False, "new")], "input_pos long, identifiers array<string>, status string, notice boolean, title string")
+    got = identity.merge_publications(old, new, ["title"])
+    r = got["records"].collect()
+    assert len(r) == 1 and (r[0]["publication_id"], r[0]["status"], r[0]["state"], r[0]["title"]) == ("first", "corrected", "completed", "new")
+    assert [a["alias"] for a in got["aliases"].collect()] == ["second"]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_against_union_find(spark, seed):
+    rnd = random.Random(seed)
+    edges = [(f"n{rnd.randrange(120):03d}", f"n{rnd.randrange(120):03d}") for _ in range(90)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(60)] + [("hub", f"h{i}") for i in range(200)]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        ra, rb = find(a), find(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    want = {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+    got = {r["node"]: r["component"] for r in primitives.connected_components(spark.createDataFrame(edges, "a string, b string"), "a", "b").collect()}
+    assert got == want
+
+
+def test_exact_median_on_skewed_groups(spark):
+    rnd = random.Random(3)
+    rows = [("hot", round(rnd.gauss(0, 1), 2)) for _ in range(3001)] + [("even", float(i)) for i in range(10)] + [("one", 5.0)] + [(None, 1.0), (None, 2.0)] + [("same", 4.0)] * 50
+    got = {r["k"]: r["median"] for r in primitives.exact_median(spark.createDataFrame(rows, "k string, v double"), ["k"], "v").collect()}
+    frame = pd.DataFrame(rows, columns=["k", "v"])
+    want = {k: v for k, v in frame.groupby("k")["v"].median().items()} | {None: 1.5}
+    assert got == pytest.approx(want)
+
+
+def test_dense_index(spark):
+    df = spark.range(1000).select((F.pmod(F.col("id") * 7919, F.lit(1009))).alias("v")).repartition(7)
+    got = [r["i"] for r in primitives.dense_index(df, [F.col("v")], "i").orderBy("v").collect()]
+    assert got == list(range(1000))
+
+
+def test_effects(spark):
+    df = spark.createDataFrame([(20.0, 2.0, 4, 10.0, 3.0, 9), (20.0, None, 4, 10.0, 3.0, 9), (20.0, 2.0, 1, 10.0, 3.0, 9), (20.0, -2.0, 4, 10.0, 3.0, 9), (20.0, 0.0, 4, 10.0, 0.0, 9), (float("nan"), 1.0, 4, 1.0, 1.0, 4)],
+                               "mean_t double, sd_t double, n_t long, mean_c double, sd_c double, n_c long")
+    md = synthesis.with_effects(df).collect()
+    assert (md[0]["yi"], md[0]["vi"]) == (10.0, 2.0) and all(r["effect_reason"] and r["yi"] is None for r in md[1:])
+    rom = synthesis.with_effects(df, "ROM").first()
+    assert rom["yi"] == pytest.approx(math.log(2)) and rom["vi"] == pytest.approx(0.0125)
+
+
+def test_distributions():
+    assert stats.t_quantile(0.975, np.array([1.0, 5.0, 30.0])) == pytest.approx([12.7062047, 2.5705818, 2.0422725], abs=1e-6)
+    assert stats.t_two_sided(np.array([2.0]), np.array([10.0]))[0] == pytest.approx(0.0733880, abs=1e-6)
+    assert stats.chi2_tail(np.array([3.841459, 18.307, 0.5]), np.array([1.0, 10.0, 3.0])) == pytest.approx([0.05, 0.05, 0.9188914], abs=1e-5)
+
+
+def test_reml_against_likelihood_grid(spark):
+    rnd = np.random.default_rng(5)
+    y, v = rnd.normal(1, 1.2, 12), rnd.uniform(0.1, 0.6, 12)
+    df = spark.createDataFrame([("a", f"f{i}", float(a), float(b)) for i, (a, b) in enumerate(zip(y, v))], "analysis_id string, study_family string, yi double, vi double")
+
+    def loss(t):
+        w = 1 / (v + t)
+        mu = (w * y).sum() / w.sum()
+        return (np.log(v + t)).sum() + np.log(w.sum()) + (w * (y - mu) ** 2).sum()
+
+    grid = np.linspace(0, 5, 200001)
+    best = grid[np.argmin([loss(t) for t in grid[::100]]) * 100]
+    fine = np.linspace(max(0, best - 0.01), best + 0.01, 2001)
+    best = fine[np.argmin([loss(t) for t in fine])]
+    got = pooling.with_intervals(pooling.reml(df, 1e-10)).first()
+    assert got["tau_squared"] == pytest.approx(best, abs=1e-4)
+    assert got["ci_lower"] < got["estimate"] < got["ci_upper"] and 0 < got["p_value"] < 1
+
+
+def test_cluster_robust_against_dense_algebra(spark):
+    rnd = np.random.default_rng(7)
+    sizes = [1, 2, 3, 2, 4, 1, 2, 3]
+    fam = [f"f{i}" for i, n in enumerate(sizes) for _ in range(n)]
+    n = len(fam)
+    vi = rnd.uniform(0.2, 0.8, n)
+    same = np.equal.outer(fam, fam)
+    v = np.where(same, 0.4 * np.sqrt(np.outer(vi, vi)), 0.0)
+    np.fill_diagonal(v, vi)
+    y = 2 + rnd.normal(0, 0.9, len(sizes))[[int(f[1:]) for f in fam]] + rnd.normal(0, 0.5, n) + np.linalg.cholesky(v) @ rnd.normal(0, 1, n)
+    e = spark.createDataFrame([("a", f"e{i:02d}", fam[i], float(y[i]), float(vi[i])) for i in range(n)], "analysis_id string, contrast_id string, study_family string, yi double, vi double")
+    c = spark.createDataFrame([("a", f"e{i:02d}", f"e{j:02d}", float(v[i, j])) for i in range(n) for j in range(n) if same[i, j]], "analysis_id string, id_i string, id_j string, cov double")
+    got = pooling.cluster_robust(e, c).first()
+    one = np.ones(n)
+
+    def loss(s1, s2):
+        m = v + s1 * same + s2 * np.eye(n)
+        w = np.linalg.inv(m)
+        mu = one @ w @ y / (one @ w @ one)
+        return np.linalg.slogdet(m)[1] + np.log(one @ w @ one) + (y - mu) @ w @ (y - mu)
+
+    at = loss(got["family_variance"], got["effect_variance"])
+    for d1, d2 in [(1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3), (1e-3, -1e-3)]:
+        s1, s2 = got["family_variance"] + d1, got["effect_variance"] + d2
+        if s1 >= 0 and s2 >= 0:
+            assert loss(s1, s2) >= at - 1e-9
+    theta = v + got["family_variance"] * same + got["effect_variance"] * np.eye(n)
+    w = np.linalg.inv(theta)
+    total = one @ w @ one
+    mu = one @ w @ y / total
+    hat = np.outer(one, one @ w) / total
+    resid = np.eye(n) - hat
+    left, var = [], 0.0
+    for f in dict.fromkeys(fam):
+        idx = [i for i in range(n) if fam[i] == f]
+        t = theta[np.ix_(idx, idx)]
+        up = np.linalg.cholesky(t).T
+        b = up @ (resid[idx] @ theta @ resid[idx].T) @ up.T
+        lam, q = np.linalg.eigh(b)
+        a = up.T @ (q / np.sqrt(lam)) @ q.T @ up
+        g = np.zeros(n)
+        g[idx] = a @ np.linalg.inv(t) @ np.ones(len(idx)) / total
+        var += (g[idx] @ (y - mu)[idx]) ** 2
+        left.append(g @ resid)
+    p = np.array([[x @ theta @ z for z in left] for x in left])
+    assert got["estimate"] == pytest.approx(mu) and got["se"] == pytest.approx(math.sqrt(var), rel=1e-6)
+    assert got["robust_df"] == pytest.approx(np.trace(p) ** 2 / (p ** 2).sum(), rel=1e-6)
+
+
+def test_covariance_must_be_positive_definite(spark):
+    e = spark.createDataFrame([("a", "x", "f", 1.0, 1.0), ("a", "y", "f", 2.0, 1.0)], "analysis_id string, contrast_id string, study_family string, yi double, vi double")
+    c = spark.createDataFrame([("a", "x", "x", 1.0), ("a", "y", "y", 1.0), ("a", "x", "y", 2.0), ("a", "y", "x", 2.0)], "analysis_id string, id_i string, id_j string, cov double")
+    assert pooling.not_positive_definite(pooling.family_spectra(pooling._family_matrices(e, c))).count() == 1
+    assert pooling.covariance_violations(e, c).count() == 0
+    lopsided = c.withColumn("cov", F.when(F.col("id_i") < F.col("id_j"), 0.5).otherwise(F.col("cov")))
+    assert {r["reason"] for r in pooling.covariance_violations(e, lopsided).collect()} == {"not symmetric"}
+
+
+def test_axis_calibration(spark):
+    rows = [("lin", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0), (110.0, 10.0))] + [("log", "log", p, v) for p, v in ((10.0, 1.0), (60.0, 10.0), (110.0, 100.0))] + \
+        [("broken", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0), (110.0, 3.0))] + [("two", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0))] + [("bent", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 9.0), (110.0, 10.0))]
+    got = {r["axis"]: r["reason"] for r in figures.calibrate_axes(spark.createDataFrame(rows, "axis string, scale string, pixel double, value double"), ["axis"]).collect()}
+    assert got["lin"] is None and got["log"] is None and got["broken"] and got["two"] and got["bent"]
+
+
+def test_region_merge_against_brute_force(spark):
+    rnd = random.Random(11)
+    rows = [(p, i, float(x := rnd.randrange(500)), float(y := rnd.randrange(700)), float(x + rnd.randrange(5, 90)), float(y + rnd.randrange(5, 90))) for p in range(5) for i in range(40)]
+    got = sorted(tuple(r) for r in figures.merge_regions(spark.createDataFrame(rows, "page_key long, seq long, x0 double, y0 double, x1 double, y1 double")).collect())
+    want = []
+    for p in range(5):
+        regions = []
+        for _, _, x0, y0, x1, y1 in [r for r in rows if r[0] == p]:
+            b, keep = [x0, y0, x1, y1], []
+            for r in regions:
+                if x0 <= r[2] + 10 and x1 >= r[0] - 10 and y0 <= r[3] + 10 and y1 >= r[1] - 10:
+                    b = [min(b[0], r[0]), min(b[1], r[1]), max(b[2], r[2]), max(b[3], r[3])]
+                else:
+                    keep.append(r)
+            regions = keep + [b]
+        want += [(p, *r) for r in regions if r[2] - r[0] >= 30 and r[3] - r[1] >= 30]
+    assert got == sorted(want)
+
+
+def test_adjudication_cases(spark):
+    cols = "study_family string, experiment_id string, field string, reviewer string, source_locator string, correct boolean, recoverable boolean, accepted boolean, abstained boolean, additional_to_manual boolean, source_type string"
+    df = spark.createDataFrame([("a", "1", "x", "r", "p", True, True, True, False, False, "text"), ("b", "2", "x", "r", "p", False, True, False, True, False, "figure"), ("c", "3", "x", None, "p", True, True, True, False, False, "text")], cols)
+    m = {r["metric"]: r for r in adjudication.metrics(df).collect()}
+    assert m["accepted_field_precision"]["estimate"] == 1 and m["recoverable_field_recall"]["estimate"] == 0.5 and m["figure"]["estimate"] == 0
+    c = adjudication.counts(df).first()
+    assert (c["pending"], c["status"]) == (1, "partial_adjudication")
+    three = spark.createDataFrame([(f, "1", "x", "r", "p", f == "a", True, True, False, False, "text") for f in "abc"], cols)
+    a, b = adjudication.family_bootstrap(three).first(), adjudication.family_bootstrap(three.repartition(3)).first()
+    assert a == b and a["precision_lower"] <= 1 / 3 <= a["precision_upper"]
+    assert adjudication.family_bootstrap(three.limit(1)).first()["precision_lower"] is None
