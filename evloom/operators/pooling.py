@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evloom.functions import stats
+from evloom.operators.primitives import small_side
 from evloom.session import cut
 
 
 def _settle(state: DataFrame) -> tuple[DataFrame, float]:
-    """Write one iteration's state and report the largest change in it."""
+    """Write one iteration's state and report the largest change in it.
+
+    The state has one row per analysis. It is broadcast while its measured size is small, so that an
+    iteration scans the effects in place; beyond that it is an ordinary join.
+    """
     seen = Observation()
-    done = cut(state.observe(seen, F.max("delta").alias("d")))
-    return done, seen.get["d"] or 0.0
+    done = cut(state.observe(seen, F.max("delta").alias("d"), F.count("*").alias("n")))
+    return small_side(done, seen.get["n"]), seen.get["d"] or 0.0
 
 
 def reml_tau2(effects: DataFrame, tolerance: float = 1e-5, max_rounds: int = 100) -> DataFrame:
@@ -241,6 +246,7 @@ def cluster_robust(effects: DataFrame, covariance: DataFrame, tolerance: float =
     """
     families = cut(_family_matrices(effects, covariance))
     fitted = cut(cluster_variances(family_spectra(families), tolerance))
+    fitted = small_side(fitted, fitted.count())
     rows = families.join(fitted, "analysis_id")
     schema = "analysis_id string, score double, own double, h double, n long"
 

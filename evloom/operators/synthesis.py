@@ -16,18 +16,19 @@ COMPATIBILITY = ["outcome_definition", "measurement_method", "comparator", "time
 
 
 def effective_status(measurements: DataFrame, evidence: DataFrame, experiments: DataFrame, documents: DataFrame,
-                     inactive: list[str] = READER_INACTIVE) -> DataFrame:
+                     inactive: list[str] = READER_INACTIVE, carry: list[str] | None = None) -> DataFrame:
     """Stored status, or ``stale`` if the experiment's source or any cited document is inactive.
 
-    Only the ids of stale measurements travel: inactive documents are few next to the evidence.
+    Only the ids of measurements that cite an inactive document travel, and the experiments are
+    joined once; ``carry`` names further experiment columns to bring along in that join.
     """
-    dead_documents = documents.where(F.col("status").isin(*inactive)).select("document_hash")
-    by_evidence = evidence.join(dead_documents, "document_hash", "left_semi").select("measurement_id")
-    dead_experiments = experiments.where(F.col("source_status").isin(*inactive)).select("experiment_id")
-    by_source = measurements.join(dead_experiments, "experiment_id", "left_semi").select("measurement_id")
-    dead = by_evidence.unionByName(by_source).distinct().withColumn("__dead", F.lit(True))
-    return (measurements.join(dead, "measurement_id", "left")
-            .withColumn("effective_status", F.when(F.col("__dead"), "stale").otherwise(F.col("status"))).drop("__dead"))
+    c = F.col
+    dead_documents = documents.where(c("status").isin(*inactive)).select("document_hash")
+    dead = evidence.join(dead_documents, "document_hash", "left_semi").select("measurement_id").distinct().withColumn("__dead", F.lit(True))
+    facts = experiments.select("experiment_id", c("source_status").alias("__source"), *(carry or []))
+    stale = c("__dead").isNotNull() | F.coalesce(c("__source").isin(*inactive), F.lit(False))
+    return (measurements.join(dead, "measurement_id", "left").join(facts, "experiment_id", "left")
+            .withColumn("effective_status", F.when(stale, "stale").otherwise(c("status"))).drop("__dead", "__source"))
 
 
 def with_normalized(measurements: DataFrame) -> DataFrame:

@@ -19,11 +19,9 @@ def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def current(spark: SparkSession, sf: str) -> DataFrame:
     """Measurements with effective status, study family and normalized values."""
-    experiments = view(spark, sf, "fx_experiments")
-    m = syn.effective_status(view(spark, sf, "fx_measurements"), evidence_rows(spark, sf), experiments,
-                             view(spark, sf, "fx_documents"))
-    m = m.withColumn("status", F.col("effective_status"))
-    return syn.with_normalized(m).join(experiments.select("experiment_id", "study_family", "sample_label", "doi"), "experiment_id")
+    m = syn.effective_status(view(spark, sf, "fx_measurements"), evidence_rows(spark, sf), view(spark, sf, "fx_experiments"),
+                             view(spark, sf, "fx_documents"), carry=["study_family", "sample_label", "doi"])
+    return syn.with_normalized(m.withColumn("status", F.col("effective_status")))
 
 
 DEAD = """dead AS (
