@@ -39,6 +39,10 @@ def _rows(columns, data):
     return [columns[i] for i in order], sorted((tuple(_cell(r[i]) for i in order) for r in data), key=repr)
 
 
+# what the two engines call the same column type
+KINDS = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def compare(spark, name, fn, sql, sf_dir, con):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -50,6 +54,10 @@ def compare(spark, name, fn, sql, sf_dir, con):
     want_cols, want = _rows([d[0] for d in res.description], res.fetchall())
     if got_cols != want_cols:
         return False, len(got), t1 - t0, f"columns {got_cols} != {want_cols}"
+    kinds = {c: KINDS.get(t, t) for c, t in df.dtypes}
+    other = {r[0]: r[1] for r in con.execute("DESCRIBE " + sql).fetchall()}
+    if kinds != other:
+        return False, len(got), t1 - t0, f"types {[(c, kinds[c], other[c]) for c in kinds if kinds[c] != other[c]]}"
     if got != want:
         a, b = set(got), set(want)
         return False, len(got), t1 - t0, f"rows {len(got)} vs {len(want)}; only spark {sorted(a - b, key=repr)[:3]}; only sql {sorted(b - a, key=repr)[:3]}"
