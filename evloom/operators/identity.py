@@ -165,7 +165,8 @@ def merge_publications(existing: DataFrame, incoming: DataFrame, carried: list[s
             F.lit(1).alias("__new"), c("input_pos").cast("bigint").alias("__pos"),
             F.lit(None).cast("string").alias("publication_id"), "identifiers", "status",
             F.lit(None).cast("string").alias("state"), F.coalesce(c("notice"), F.lit(False)).alias("notice"), *carried))
-    rows = rows.withColumn("__node", F.concat_ws("#", F.lit("~row"), c("__new").cast("string"), c("__pos").cast("string")))
+    # both the links and the merged rows read this, so it is derived once
+    rows = cut(rows.withColumn("__node", F.concat_ws("#", F.lit("~row"), c("__new").cast("string"), c("__pos").cast("string"))))
     links = rows.select("__node", F.explode("identifiers").alias("identifier"))
     component = connected_components(links, "__node", "identifier")
     placed = rows.join(component.withColumnRenamed("node", "__node"), "__node", "left").withColumn(

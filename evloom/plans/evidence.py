@@ -57,17 +57,14 @@ def verified_candidates(spark, sf):
     return v.select("measurement_id", "status", F.size("failures").cast("bigint").alias("failures"), F.size("ambiguities").cast("bigint").alias("ambiguities"))
 
 
-RULES = """WITH x AS (SELECT *, CAST(value AS BIGINT) AS v FROM fx_measurements)"""
-
-
 @query("verified_measurements", """SELECT measurement_id,
   CASE WHEN (qualifier <> 'exact' AND origin = 'reported') OR (n_independent IS NOT NULL AND n_independent <> n_technical AND n_independent <> value AND origin = 'reported')
          OR (time_value IS NOT NULL AND time_value <> value AND time_value <> n_technical AND origin = 'reported')
          OR (uncertainty <> value AND uncertainty <> n_technical AND origin = 'reported') THEN 'rejected'
        WHEN origin <> 'reported' OR measurement_method IS NOT NULL OR statistic = 'median' OR time_unit IS NOT NULL AND unit <> 'day' OR concentration_basis IS NOT NULL
          OR n_independent IS NOT NULL OR uncertainty_type = 'SD' THEN 'uncertain' ELSE 'accepted' END AS status,
-  CASE WHEN origin = 'reported' OR origin = 'curve_sample' THEN NULL ELSE n_independent END AS n_independent,
-  CASE WHEN origin = 'curve_sample' THEN NULL ELSE n_technical END AS n_technical,
+  CAST(CASE WHEN origin = 'reported' OR origin = 'curve_sample' THEN NULL ELSE n_independent END AS DOUBLE) AS n_independent,
+  CAST(CASE WHEN origin = 'curve_sample' THEN NULL ELSE n_technical END AS DOUBLE) AS n_technical,
   CASE WHEN origin = 'reported' THEN 'unknown' ELSE uncertainty_type END AS uncertainty_type
 FROM fx_measurements""")
 def verified_measurements(spark, sf):
@@ -149,11 +146,13 @@ def caption_lines(spark, sf):
 
 
 @query("caption_support", """SELECT d.doc_id, b.item_id, CAST(strpos(""" + CANON.format("d.text") + ", " + CANON.format("b.text") + """) > 0 AS STRING) AS supported
-FROM documents d JOIN benchmark b ON b.item_id = d.doc_id""")
+FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def caption_support(spark, sf):
-    d = view(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), text.canonical_text(F.col("text")).alias("body"))
+    """Every document against one passage each: canonical containment behind an equi-join."""
     b = view(spark, sf, "benchmark").select("item_id", text.canonical_text(F.col("text")).alias("cap"))
-    return d.join(b, "item_id").select(F.col("item_id").alias("doc_id"), "item_id", ((F.col("cap") != "") & F.contains("body", "cap")).cast("string").alias("supported"))
+    items = b.count()
+    d = view(spark, sf, "documents").select("doc_id", (F.col("doc_id") % items).alias("item_id"), text.canonical_text(F.col("text")).alias("body"))
+    return d.join(b, "item_id").select("doc_id", "item_id", ((F.col("cap") != "") & F.contains("body", "cap")).cast("string").alias("supported"))
 
 
 @query("review_applied", """SELECT m.measurement_id, CASE WHEN max(l_orderkey % 7) = 0 THEN 'rejected' WHEN max(l_orderkey % 7) = 1 AND max(status) <> 'rejected' THEN 'uncertain' ELSE max(status) END AS status

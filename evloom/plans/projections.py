@@ -186,10 +186,10 @@ def usage_costs(spark, sf):
     return _costs(spark, sf).select("call_id", "microusd")
 
 
-@query("cost_rollup", f"""SELECT run_id, CAST(sum(CASE WHEN status = 'settled' THEN {COST} ELSE 0 END) AS BIGINT) AS spent, CAST(sum(CASE WHEN status = 'reserved' THEN {COST} ELSE 0 END) AS BIGINT) AS reserved FROM fx_usage_calls GROUP BY ROLLUP (run_id)""")
+@query("cost_rollup", f"""SELECT CAST(run_id AS STRING) AS run_id, CAST(sum(CASE WHEN status = 'settled' THEN {COST} ELSE 0 END) AS BIGINT) AS spent, CAST(sum(CASE WHEN status = 'reserved' THEN {COST} ELSE 0 END) AS BIGINT) AS reserved FROM fx_usage_calls GROUP BY ROLLUP (fx_usage_calls.run_id)""")
 def cost_rollup(spark, sf):
     c = F.col
-    return _costs(spark, sf).rollup("run_id").agg(F.sum(F.when(c("status") == "settled", c("microusd")).otherwise(0)).alias("spent"), F.sum(F.when(c("status") == "reserved", c("microusd")).otherwise(0)).alias("reserved"))
+    return _costs(spark, sf).withColumn("run_id", c("run_id").cast("string")).rollup("run_id").agg(F.sum(F.when(c("status") == "settled", c("microusd")).otherwise(0)).alias("spent"), F.sum(F.when(c("status") == "reserved", c("microusd")).otherwise(0)).alias("reserved"))
 
 
 @query("micro_dollars", """SELECT o_orderkey, CAST(ceil(CAST(o_totalprice AS DECIMAL(24, 9)) * 1000000) AS BIGINT) AS microusd FROM orders""")
