@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evloom.functions import text
 from evloom.functions import status as st
@@ -172,13 +173,12 @@ def read_json_pages(spark, path: str, item: str, items: str) -> DataFrame:
     ddl = f"array<{item}>"
     for part in reversed(items.split(".")):
         ddl = f"struct<`{part}`:{ddl}>"
-    schema = ddl[len("struct<"):-1]
-    return spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode(items).alias("item"))
+    return spark.read.schema(T.DataType.fromDDL(ddl)).option("multiLine", "true").json(path).select(F.explode(items).alias("item"))
 
 
 def read_xml_records(spark, path: str, record: str, row_tag: str, name: str) -> DataFrame:
     """One row per XML record, from files of any size."""
-    schema = record[len("struct<"):-1]
+    schema = T.DataType.fromDDL(record)
     df = spark.read.format("xml").option("rowTag", row_tag).option("ignoreNamespace", "true").schema(schema).load(path)
     return df.select(F.struct(*df.columns).alias(name))
 
