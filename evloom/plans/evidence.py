@@ -71,17 +71,18 @@ def verified_measurements(spark, sf):
     """Every measurement against its own printed sentence as the page text."""
     c = F.col
     m = view(spark, sf, "fx_measurements")
+    # an id may repeat in the source table, so a row is known by its whole content
+    m = m.withColumn("original", c("measurement_id")).withColumn("measurement_id", text.fingerprint(*[c(x) for x in m.columns]))
     key = F.concat(F.lit("row-"), "measurement_id")
-    m = m.dropDuplicates(["measurement_id"])
     page = m.select(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.concat(F.lit("Results: "), "excerpt", F.lit(".")).alias("text"),
-                    F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status"))
+                    F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status")).distinct()
     ev = F.struct(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.lit("text").alias("source_type"), F.lit("p").alias("locator"),
                   c("excerpt").alias("excerpt"), F.lit(None).cast("array<double>").alias("bounding_box"))
     null = F.lit(None).cast("double")
-    cand = m.select("measurement_id", F.array(ev).alias("evidence"), key.alias("expected_hash"), "raw_value", "value", "qualifier", "unit", "time_value",
+    cand = m.select("measurement_id", "original", F.array(ev).alias("evidence"), key.alias("expected_hash"), "raw_value", "value", "qualifier", "unit", "time_value",
                     "time_unit", "measurement_method", "statistic", "concentration_basis", "uncertainty_type", "uncertainty", "n_independent",
                     "n_technical", "origin", "status", *[null.alias(x) for x in ("lower_bound", "upper_bound", "ci_lower", "ci_upper")])
-    return ver.verify_measurements(cand, page).select("measurement_id", "status", F.col("n_independent").cast("double").alias("n_independent"),
+    return ver.verify_measurements(cand, page).select(F.col("original").alias("measurement_id"), "status", F.col("n_independent").cast("double").alias("n_independent"),
                                                       F.col("n_technical").cast("double").alias("n_technical"), "uncertainty_type")
 
 
