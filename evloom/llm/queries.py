@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evloom.llm import line_dedup, packing, substring_dedup, toxicity
+from evloom.llm import line_dedup, packing, quality_rules, substring_dedup, toxicity
 from evloom.llm.tables import table
 from evloom.llm.vocabulary import read_ranks
 
@@ -24,6 +24,11 @@ def query(name: str) -> Callable[[Query], Query]:
     return keep
 
 
+@query("op1_quality_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query("op2_line_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
