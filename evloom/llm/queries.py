@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evloom.llm import line_dedup, packing, quality_rules, substring_dedup, toxicity
+from evloom.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup, toxicity
 from evloom.llm.tables import table
 from evloom.llm.vocabulary import read_ranks
 
@@ -39,6 +39,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+@query("op4_near_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
