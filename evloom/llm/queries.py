@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evloom.llm import line_dedup, near_dedup, packing, quality_rules, substring_dedup, toxicity
+from evloom.llm import bpe, chat_format, line_dedup, near_dedup, packing, quality_rules, substring_dedup, toxicity
 from evloom.llm.tables import table
 from evloom.llm.vocabulary import read_ranks
 
@@ -24,6 +24,10 @@ def query(name: str) -> Callable[[Query], Query]:
     return keep
 
 
+def _ranks() -> bytes:
+    return read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @query("op1_quality_rules")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
@@ -44,6 +48,14 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_bpe")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN)
+    return bpe.decode(coded, _ranks()).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -54,4 +66,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN)
+
+
+@query("op8_chat_format")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.unionByName(extra), _ranks(), public_tokenizers.PATTERN), _ranks())
