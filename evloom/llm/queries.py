@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evloom.llm import bpe, chat_format, line_dedup, near_dedup, packing, quality_rules, substring_dedup, toxicity
+from evloom.llm import bpe, chat_format, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
 from evloom.llm.tables import table
 from evloom.llm.vocabulary import read_ranks
 
@@ -38,6 +38,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
 
 
+@query("op9_pii")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_private(table(spark, sf_dir, "documents"), key="corpus")
+
+
 @query("op10_substring_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
