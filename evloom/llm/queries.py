@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evloom.llm import bpe, chat_format, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, toxicity
+from evloom.llm import bpe, chat_format, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, topk_search, toxicity
 from evloom.llm.tables import table
 from evloom.llm.vocabulary import read_ranks
 
@@ -61,6 +61,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op6_topk_search")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return topk_search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
