@@ -89,8 +89,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     units = (written(source.mapInPandas(digests, f"__id {id_type}, __th bigint, __units array<bigint>"), "units")
              .select("__id", "__th", F.posexplode("__units").alias("__pos", "__h")))
     place = F.struct("__id", "__th", "__pos")
-    first = (units.groupBy("__h").agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
-             .where("__n > 1").select("__h", "__first"))
+    # written, so that both sides of the join are dealt by it alone and a hot digest may be split
+    first = written(units.groupBy("__h").agg(F.min(place).alias("__first"), F.count("*").alias("__n"))
+                    .where("__n > 1").select("__h", "__first"), "firsts")
     later = units.join(first, "__h").where(~place.eqNullSafe(F.col("__first")))
     marked = (later.groupBy("__id", "__th").agg(F.collect_set("__pos").alias("__positions"))
               .withColumnRenamed("__id", "__mid").withColumnRenamed("__th", "__mth"))
