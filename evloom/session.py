@@ -13,6 +13,10 @@ _CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints of finished iterations go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # streaming state lives on disk, not in the executor heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # call-site capture on every Column call costs seconds per plan
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

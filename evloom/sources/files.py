@@ -6,10 +6,11 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evloom.functions import text
+from evloom.session import cut
 
 MAX_BYTES = 100 * 1024 * 1024
 ELEMENTS = ("document_hash string, unit_element string, locator string, element_id string, tag string, kind string, position long, "
@@ -19,14 +20,20 @@ ELEMENTS = ("document_hash string, unit_element string, locator string, element_
 def scan_folder(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
     """Source files of a folder tree, one row per distinct content: the first path of each hash.
 
-    Bytes are hashed where they are read and dropped before the shuffle.
+    Bytes are hashed where they are read and dropped before the shuffle. A file above ``MAX_BYTES`` is
+    listed with a ``reason`` and without a hash, since its content is not read.
     """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .where(F.lower("path").rlike(r"\.(pdf|xml|nxml)\z") & (F.col("length") <= MAX_BYTES)))
-    hashed = files.select("path", "length", F.sha2("content", 256).alias("sha256"), F.startswith("content", F.lit(b"%PDF-")).alias("is_pdf"))
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = reader.load(path).where(F.lower("path").rlike(r"\.(pdf|xml|nxml)\z"))
+    small = files.where(F.col("length") <= MAX_BYTES)
+    hashed = small.select("path", "length", F.sha2("content", 256).alias("sha256"), F.startswith("content", F.lit(b"%PDF-")).alias("is_pdf"))
     first = hashed.groupBy("sha256").agg(F.min(F.struct("path", "length", "is_pdf")).alias("f"), F.count("*").alias("copies"))
-    out = first.select("sha256", "f.*", "copies")
-    return out if known is None else out.join(known.select("sha256"), "sha256", "left_anti")
+    out = first.select("sha256", "f.*", "copies", F.lit(None).cast("string").alias("reason"))
+    if known is not None:
+        out = out.join(known.select("sha256"), "sha256", "left_anti")
+    large = files.where(F.col("length") > MAX_BYTES).select(
+        F.lit(None).cast("string").alias("sha256"), "path", "length", F.lit(None).cast("boolean").alias("is_pdf"), F.lit(1).cast("long").alias("copies"), F.lit("too large").alias("reason"))
+    return out.unionByName(large)
 
 
 def file_checks(content: Column, md5: Column | None = None) -> Column:
@@ -35,96 +42,138 @@ def file_checks(content: Column, md5: Column | None = None) -> Column:
     return F.struct(F.startswith(content, F.lit(b"%PDF-")).alias("is_pdf"), F.sha2(content, 256).alias("sha256"), ok.alias("md5_ok"))
 
 
-def _flat(node) -> str:
-    return " ".join("".join(node.itertext()).split())
-
-
-def _article_rows(document: str, body: bytes | str) -> Iterator[tuple]:
-    """Element rows of one article; a single ``rejected`` row when it cannot be used."""
-    def refuse(why: str) -> tuple:
-        return (document, None, None, None, None, "rejected", 0, None, None, None, None, None, None, why)
-
-    raw = body.encode() if isinstance(body, str) else bytes(body)
+# Elements whose text is evidence, and where the source units of an article stand.
+TEXTUAL = ("p", "title", "table-wrap", "fig", "caption", "td", "th", "article-id", "article-title")
+UNIT_PATH = (r"^/article/(?:front\[\d+\]/article-meta\[\d+\]/abstract\[\d+\]|body\[1\]|back\[1\]|floats-group\[\d+\]|sub-article\[\d+\])")
+_META = r"^/article/front\[\d+\]/article-meta\[\d+\]/"
+NODES = ("document_hash string, position long, parent long, tag string, id string, path string, rowspan string, colspan string, ref string, text string, problem string")
+
+
+class _Nodes:
+    """Parser events to node rows: where an element stands, its attributes of interest and, for evidence, its text."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.open: list[tuple] = []
+        self.runs: list[str] = []
+        self.started = 0
+
+    def start(self, tag: str, attributes: dict[str, str]) -> None:
+        name = tag.rpartition("}")[2]
+        if self.open:
+            counts, above = self.open[-1][3], self.open[-1][2]
+            counts[name] = counts.get(name, 0) + 1
+            path = f"{above}/{name}[{counts[name]}]"
+        else:
+            path = f"/{name}"
+        self.open.append((self.started, name, path, {}, attributes, len(self.runs)))
+        self.started += 1
+
+    def data(self, run: str) -> None:
+        self.runs.append(run)
+
+    def end(self, tag: str) -> None:
+        position, name, path, _, attributes, run = self.open.pop()
+        words = " ".join("".join(self.runs[run:]).split()) if name in TEXTUAL else None
+        if name in TEXTUAL:
+            self.runs.append(" ")  # neighbouring cells and paragraphs are words of their own
+        href = attributes.get("{http://www.w3.org/1999/xlink}href") or attributes.get("href") or attributes.get("pub-id-type")
+        self.rows.append((position, self.open[-1][0] if self.open else None, name, attributes.get("id") or None, path,
+                          attributes.get("rowspan", "1"), attributes.get("colspan", "1"), href, words, None))
+
+    def close(self) -> list[tuple]:
+        return self.rows
+
+
+def _nodes(body: bytes | str | None) -> list[tuple]:
+    """Node rows of one article, or a single row that says why it cannot be used."""
+    refuse = lambda why: [(0, None, None, None, None, None, None, None, None, why)]
+    raw = body.encode() if isinstance(body, str) else bytes(body or b"")
     if len(raw) > MAX_BYTES or b"<!ENTITY" in raw.upper():
-        yield refuse("too large or declares entities")
-        return
+        return refuse("too large or declares entities")
+    parser = ET.XMLParser(target=_Nodes())
     try:
-        root = ET.fromstring(raw)
+        parser.feed(raw)
+        rows = parser.close()
     except ET.ParseError:
-        yield refuse("not well-formed XML")
-        return
-    local = lambda n: n.tag.rsplit("}", 1)[-1] if isinstance(n.tag, str) else ""
-    if local(root) != "article":
-        yield refuse("not an article")
-        return
-    locator, stack, ids = {}, [(root, "/article")], set()
-    while stack:
-        node, path = stack.pop()
-        if node.get("id"):
-            if node.get("id") in ids:
-                yield refuse("element ids are not unique")
-                return
-            ids.add(node.get("id"))
-        locator[node] = f"id:{node.get('id')}" if node.get("id") else path
-        seen: dict[str, int] = {}
-        for child in node:
-            seen[local(child)] = seen.get(local(child), 0) + 1
-            stack.append((child, f"{path}/{local(child)}[{seen[local(child)]}]"))
-    position = 0
-
-    def row(unit, node, kind, value, **more):
-        nonlocal position
-        position += 1
-        return (document, unit, locator.get(node), node.get("id"), local(node), kind, position, more.get("table"), more.get("row"),
-                more.get("rowspan"), more.get("colspan"), more.get("caption"), more.get("ref"), value)
-
-    def children(node, *path):
-        level = [node]
-        for name in path:
-            level = [c for n in level for c in n if local(c) == name]
-        return level
-
-    for node in children(root, "front", "article-meta", "article-id"):
-        yield row(None, node, "identifier", "".join(node.itertext()).strip(), ref=node.get("pub-id-type"))
-    for node in children(root, "front", "article-meta", "title-group", "article-title")[:1]:
-        yield row(None, node, "title", _flat(node))
-    units = children(root, "front", "article-meta", "abstract") + children(root, "body")[:1] + children(root, "back")[:1] + \
-        children(root, "floats-group") + children(root, "sub-article")
-    for unit in units:
-        home = locator[unit]
-        for node in unit.iter():
-            tag = local(node)
-            if tag not in ("p", "title", "table-wrap", "fig", "caption", "td", "th"):
-                continue
-            kind = "table" if tag in ("table-wrap", "td", "th") else "figure" if tag == "fig" else "text"
-            heading = next((_flat(c) for c in node if local(c) == "caption"), "") if tag in ("table-wrap", "fig") else None
-            yield row(home, node, kind, _flat(node), caption=heading)
-            if tag == "table-wrap":
-                for number, tr in enumerate(n for n in node.iter() if local(n) == "tr"):
-                    for cell in tr:
-                        if local(cell) in ("td", "th"):
-                            yield row(home, cell, "cell", _flat(cell), table=node.get("id") or locator[node], row=number,
-                                      rowspan=cell.get("rowspan", "1"), colspan=cell.get("colspan", "1"))
-            if tag == "fig":
-                for g in node.iter():
-                    if local(g) in ("graphic", "media"):
-                        ref = g.get("{http://www.w3.org/1999/xlink}href") or g.get("href")
-                        if ref:
-                            yield row(home, node, "asset", None, ref=ref)
+        return refuse("not well-formed XML")
+    ids = [r[3] for r in rows if r[3]]
+    if rows[-1][2] != "article":
+        return refuse("not an article")
+    return rows if len(ids) == len(set(ids)) else refuse("element ids are not unique")
 
 
-def article_elements(documents: DataFrame) -> DataFrame:
-    """Long element table of articles (document_hash, content): the one place that needs Python.
+def article_nodes(documents: DataFrame) -> DataFrame:
+    """Elements of articles (document_hash, content) in document order: the one place that needs Python.
 
-    Positional paths and mixed content have no built-in expression. Each article is parsed on its own
-    inside Arrow batches; everything after this table is SQL.
+    Positional paths and mixed content have no built-in expression. Everything after this table is SQL.
     """
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in ELEMENTS.split(", ")]
+        names = [f.split()[0] for f in NODES.split(", ")]
         for batch in batches:
-            for key, body in zip(batch["document_hash"], batch["content"]):
-                yield pd.DataFrame(list(_article_rows(key, body)), columns=names)
-    return documents.select("document_hash", "content").mapInPandas(parse, ELEMENTS)
+            rows = [(key, *row) for key, body in zip(batch["document_hash"], batch["content"]) for row in _nodes(body)]
+            yield pd.DataFrame(rows, columns=names).astype({"position": "Int64", "parent": "Int64"})
+    return documents.select("document_hash", "content").mapInPandas(parse, NODES)
+
+
+def article_elements(documents: DataFrame) -> DataFrame:
+    """Long element table of articles, with one ``rejected`` row for each that cannot be used.
+
+    Units are abstracts, the first body and back, floats and sub-articles. A cell belongs to the table
+    that holds it most closely; rows of a table count from zero.
+    """
+    c = F.col
+    nodes = cut(article_nodes(documents))  # parsed once, used by every rule below
+    doc = "document_hash"
+    where = F.when(c("id").isNotNull(), F.concat(F.lit("id:"), "id")).otherwise(c("path"))
+    placed = nodes.withColumn("locator", where).withColumn("unit_path", F.regexp_extract("path", UNIT_PATH, 0))
+    units = placed.where((c("path") == c("unit_path")) & (c("path") != "")).select(doc, "unit_path", c("locator").alias("unit_element"))
+    inside = placed.where("unit_path <> ''").join(units, [doc, "unit_path"])
+    text_rows = inside.where(c("tag").isin("p", "title", "table-wrap", "fig", "caption", "td", "th"))
+
+    captions = nodes.where("tag = 'caption'").groupBy(doc, c("parent").alias("position")).agg(F.min_by("text", c("position")).alias("caption"))
+    kind = F.when(c("tag").isin("table-wrap", "td", "th"), "table").when(c("tag") == "fig", "figure").otherwise("text")
+    heading = F.when(c("tag").isin("table-wrap", "fig"), F.coalesce("caption", F.lit("")))
+    main = text_rows.join(captions, [doc, "position"], "left").withColumn("kind", kind).withColumn("caption", heading)
+
+    around = lambda tag: F.regexp_extract("path", rf"^(.*/{tag}\[\d+\])/", 1)
+    rows = nodes.where("tag = 'tr'").withColumn("table_path", around("table-wrap")).where("table_path <> ''").withColumn(
+        "row_no", F.row_number().over(Window.partitionBy(doc, "table_path").orderBy("position")).cast("long") - 1)
+    tables = placed.where("tag = 'table-wrap'").select(doc, c("path").alias("table_path"), F.coalesce("id", "path").alias("table_locator"))
+    numbered = rows.join(tables, [doc, "table_path"]).select(doc, c("position").alias("parent"), "row_no", "table_locator")
+    cells = text_rows.where(c("tag").isin("td", "th")).join(numbered, [doc, "parent"]).withColumn("kind", F.lit("cell"))
+
+    figures = placed.where("tag = 'fig'").select(doc, c("path").alias("fig_path"), c("locator").alias("fig_locator"), c("id").alias("fig_id"))
+    assets = inside.where(c("tag").isin("graphic", "media") & c("ref").isNotNull()).withColumn("fig_path", around("fig")).join(figures, [doc, "fig_path"]).select(
+        doc, "unit_element", c("fig_locator").alias("locator"), c("fig_id").alias("id"), F.lit("fig").alias("tag"), F.lit("asset").alias("kind"), "position", c("ref").alias("asset_ref"))
+
+    meta = placed.where(c("path").rlike(_META + r"article-id\[\d+\]$")).withColumn("kind", F.lit("identifier")).withColumn("asset_ref", c("ref"))
+    heads = placed.where(c("path").rlike(_META + r"title-group\[\d+\]/article-title\[1\]$")).withColumn("kind", F.lit("title"))
+    refused = nodes.where("problem is not null").select(doc, F.lit("rejected").alias("kind"), "position", c("problem").alias("text"))
+
+    fields = [f.split() for f in ELEMENTS.split(", ")]
+    source = {"element_id": "id"}
+
+    def shaped(df: DataFrame, *drop: str) -> DataFrame:
+        have = set(df.columns) - set(drop)
+        return df.select(*[(c(source.get(n, n)) if source.get(n, n) in have else F.lit(None)).cast(t).alias(n) for n, t in fields])
+
+    out = shaped(main, "rowspan", "colspan")
+    for part in (shaped(cells), shaped(assets), shaped(meta, "rowspan", "colspan"), shaped(heads, "rowspan", "colspan"), shaped(refused)):
+        out = out.unionByName(part)
+    return out
+
+
+def unit_texts(elements: DataFrame) -> DataFrame:
+    """Text of each source unit: its paragraphs, then its tables, then its figures, one per line.
+
+    Numbers that stand only in a table are part of it, so verification can find them.
+    """
+    c = F.col
+    rank = F.when(c("tag") == "p", 0).when(c("tag") == "table-wrap", 1).otherwise(2)
+    lines = elements.where(c("tag").isin("p", "table-wrap") & c("kind").isin("text", "table") | (c("kind") == "figure"))
+    return lines.groupBy("document_hash", "unit_element").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(rank.alias("r"), "position", "text"))), lambda x: x["text"]), "\n").alias("text"))
 
 
 def article_identifiers(elements: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Living maintenance with Structured Streaming: monotone status, idempotent upserts, cascades.
 
-Sources are landed files. State is only ever a (rank) per identifier; wide rows are merged in
-``foreachBatch`` into versioned snapshots, so a replayed batch rewrites its own version.
+Sources are landed files. The only streaming state is a rank per DOI. All other rules keep a reduced log
+per batch, written in ``foreachBatch``: a replayed batch rewrites its own folder, and reading reduces the log.
 """
 
 from __future__ import annotations
@@ -49,84 +49,86 @@ def read_status(spark: SparkSession, path: str) -> DataFrame:
     return log.groupBy("doi").agg(st.from_priority(F.max("rank")).alias("status"))
 
 
-def _latest(spark: SparkSession, path: str, before: int) -> int | None:
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(jvm):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(jvm)
-            if s.getPath().getName().startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max([v for v in done if v < before], default=None)
+def _log(stream: DataFrame, path: str, checkpoint: str, reduce) -> None:
+    """Write ``reduce(batch)`` to a folder of each batch; a retried batch overwrites its own folder, so nothing counts twice.
 
-
-def upsert_batch(previous: DataFrame | None, batch: DataFrame, key: str, payload: list[str]) -> DataFrame:
-    """Merge one batch into the previous snapshot; ``change`` says added, changed or same.
-
-    Within a batch the last row by ``seq`` gives the payload and the highest status wins; sources are
-    kept per (key, source) elsewhere.
+    No watermark and no state: late rows are as good as early ones, and the log is reduced when it is read.
     """
-    c = F.col
-    last = batch.groupBy(key).agg(F.max(F.struct("seq", *payload)).alias("l"), F.max(st.priority(c("status"))).alias("rank")).select(
-        key, *[c(f"l.{p}").alias(p) for p in payload], "rank")
-    if previous is None:
-        return last.withColumn("change", F.lit("added"))
-    old = previous.select(key, *[c(p).alias(f"__{p}") for p in payload], c("rank").alias("__rank"))
-    j = old.join(last, key, "full_outer")
-    same = c("rank").isNull()
-    differs = c("rank") > c("__rank")
-    for p in payload:
-        differs = differs | ~c(p).eqNullSafe(c(f"__{p}"))
-    change = F.when(c("__rank").isNull(), "added").when(~same & differs, "changed").otherwise("same")
-    return j.select(key, *[F.when(same, c(f"__{p}")).otherwise(c(p)).alias(p) for p in payload],
-                    F.greatest("__rank", "rank").alias("rank"), change.alias("change"))
+    def write(batch: DataFrame, batch_id: int) -> None:
+        reduce(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    _drain(stream.writeStream.foreachBatch(write), checkpoint)
 
 
 def run_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, payload: list[str]) -> None:
-    """Versioned publication snapshots: ``path/version=<batch>`` is built from the last earlier version."""
-    spark = stream.sparkSession
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        base = _latest(batch.sparkSession, path, batch_id)
-        previous = None if base is None else batch.sparkSession.read.parquet(f"{path}/version={base}").drop("change")
-        upsert_batch(previous, batch, key, payload).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
-    _drain(stream.writeStream.foreachBatch(merge), checkpoint)
-    del spark
+    """Change log of publications: per batch and key the last payload by ``seq``, the highest status and all sources."""
+    c = F.col
+    _log(stream, path, checkpoint, lambda batch: batch.groupBy(key).agg(
+        F.max(F.struct("seq", *payload)).alias("last"), F.max(st.priority(c("status"))).alias("rank"), F.collect_set("source").alias("sources")))
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={_latest(spark, path, 2 ** 62)}")
+def read_snapshot(spark: SparkSession, path: str, key: str, payload: list[str]) -> DataFrame:
+    """Current publications with accumulated sources; ``change`` says what the latest batch did: added, changed or same."""
+    c = F.col
+    log = spark.read.parquet(path)
+    earlier = c("batch_id") < F.lit(log.agg(F.max("batch_id")).first()[0])  # one number
+    state = lambda when: F.max(F.when(when, F.struct("batch_id", c("last.seq").alias("seq"), *[c(f"last.{p}").alias(p) for p in payload])))
+    merged = log.groupBy(key).agg(
+        state(F.lit(True)).alias("now"), state(earlier).alias("old"), F.max("rank").alias("rank"), F.max(F.when(earlier, c("rank"))).alias("old_rank"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+    differs = c("rank") > c("old_rank")
+    for p in payload:
+        differs = differs | ~c(f"now.{p}").eqNullSafe(c(f"old.{p}"))
+    change = F.when(c("old").isNull(), "added").when(differs, "changed").otherwise("same")
+    return merged.select(key, *[c(f"now.{p}").alias(p) for p in payload], "rank", "sources", change.alias("change"))
 
 
-def run_notices(stream: DataFrame, publications: DataFrame, path: str, checkpoint: str) -> None:
-    """Notices joined to known publications batch by batch; the log keeps the raised ranks."""
-    known = publications.select("publication_id", canonical_doi(F.col("doi")).alias("doi"))
+def run_notices(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Log of the highest rank per target identifier; the target need not be known yet.
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        raised = (batch.where("direction = 'updates'").select(canonical_doi(F.col("target_doi")).alias("doi"), st.priority(F.col("status")).alias("rank"))
-                  .groupBy("doi").agg(F.max("rank").alias("rank")))
-        raised.join(known, "doi").select("publication_id", "rank").write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    _drain(stream.writeStream.foreachBatch(write), checkpoint)
+    ``stream``: direction, status and any of target_doi, target_pmid, target_pmcid.
+    """
+    c = F.col
+    targets = {"doi": lambda: canonical_doi(c("target_doi")), "pmid": lambda: F.trim("target_pmid"), "pmcid": lambda: F.upper(F.trim("target_pmcid"))}
+    known = [F.struct(F.lit(kind).alias("kind"), value().alias("value")) for kind, value in targets.items() if f"target_{kind}" in stream.columns]
+    _log(stream, path, checkpoint, lambda batch: batch.where("direction = 'updates'").select(
+        st.priority(c("status")).alias("rank"), F.explode(F.array(*known)).alias("t")).select("rank", "t.*").where("value is not null")
+        .groupBy("kind", "value").agg(F.max("rank").alias("rank")))
 
 
 def read_notices(spark: SparkSession, publications: DataFrame, path: str) -> DataFrame:
-    log = spark.read.schema("publication_id string, rank int, batch_id bigint").parquet(path).groupBy("publication_id").agg(F.max("rank").alias("rank"))
-    rank = F.greatest(st.priority(F.col("status")), F.coalesce("rank", F.lit(0)))
-    return publications.join(log, "publication_id", "left").select("publication_id", st.from_priority(rank).alias("status"))
+    """Status of every publication after all notices so far, matched by DOI, PMID or PMCID when it is read."""
+    c = F.col
+    log = spark.read.schema("kind string, value string, rank int, batch_id bigint").parquet(path).groupBy("kind", "value").agg(F.max("rank").alias("__raised"))
+    values = {"doi": lambda: canonical_doi(c("doi")), "pmid": lambda: F.trim("pmid"), "pmcid": lambda: F.upper(F.trim("pmcid"))}
+    own = [F.struct(F.lit(kind).alias("kind"), value().alias("value")) for kind, value in values.items() if kind in publications.columns]
+    named = publications.select("publication_id", F.explode(F.array(*own)).alias("t")).select("publication_id", "t.*").where("value is not null")
+    raised = named.join(log, ["kind", "value"]).groupBy("publication_id").agg(F.max("__raised").alias("__raised"))
+    rank = F.greatest(st.priority(c("status")), F.coalesce("__raised", F.lit(0)))
+    return publications.join(raised, "publication_id", "left").select("publication_id", st.from_priority(rank).alias("status"))
+
+
+def run_deduplicated(stream: DataFrame, keys: list[str], path: str, checkpoint: str, time: str = "ts") -> None:
+    """Log of the earliest submission per key and batch."""
+    rest = [c for c in stream.columns if c not in keys]
+    _log(stream, path, checkpoint, lambda batch: batch.groupBy(*keys).agg(F.min(F.struct(time, *[c for c in rest if c != time])).alias("first")))
 
 
-def deduplicated(stream: DataFrame, keys: list[str], time: str = "ts", delay: str = "10 minutes") -> DataFrame:
-    """Drop repeated submissions that arrive within the delay of each other."""
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+def read_deduplicated(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """One row per key for ever: the submission of the earliest batch, and in it the earliest by time."""
+    log = spark.read.parquet(path)
+    return log.groupBy(*keys).agg(F.min(F.struct("batch_id", "first")).alias("f")).select(*keys, "f.first.*")
 
 
-def check_activity(stream: DataFrame, width: str = "1 day", delay: str = "1 hour", time: str = "ts") -> DataFrame:
-    """Records per source and time window, closed by a watermark."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
-    return timed.groupBy(F.window(time, width), "source").agg(F.count("*").alias("records"), F.min("complete").alias("complete"))
+def run_check_activity(stream: DataFrame, path: str, checkpoint: str, width: str = "1 day", time: str = "ts") -> None:
+    """Log of record counts per source and time window of each batch."""
+    timed = stream.withColumn(time, F.col(time).cast("timestamp"))
+    _log(timed, path, checkpoint, lambda batch: batch.groupBy(F.window(time, width), "source").agg(F.count("*").alias("records"), F.min("complete").alias("complete")))
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str) -> None:
-    _drain(stream.writeStream.outputMode("append").format("parquet").option("path", path), checkpoint)
+def read_check_activity(spark: SparkSession, path: str) -> DataFrame:
+    """Records per source and window over all batches; open windows and late records are included."""
+    log = spark.read.parquet(path)
+    return log.groupBy("window", "source").agg(F.sum("records").alias("records"), F.min("complete").alias("complete"))
 
 
 def folders(spark: SparkSession, label: str) -> tuple[str, str]:

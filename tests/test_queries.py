@@ -22,7 +22,7 @@ def test_query(spark, con, name):
 
 
 def test_only_known_queries_lack_sql():
-    assert set(QUERIES) - set(ORACLES) == {"pooled_intervals", "clustered_estimates", "merged_regions", "stream_check_activity"}
+    assert set(QUERIES) - set(ORACLES) == {"pooled_intervals", "clustered_estimates"}
 
 
 def test_entry(spark):

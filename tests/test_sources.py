@@ -15,10 +15,19 @@ def test_scan_folder_keeps_one_row_per_content(spark, tmp_path):
     (tmp_path / "d.txt").write_bytes(b"no")
     rows = {r["path"].rsplit("/", 1)[1]: r for r in files.scan_folder(spark, str(tmp_path)).collect()}
     assert set(rows) == {"a.pdf", "c.xml"} and rows["a.pdf"]["copies"] == 2 and rows["a.pdf"]["is_pdf"] and not rows["c.xml"]["is_pdf"]
+    assert all(r["reason"] is None for r in rows.values())
     known = spark.createDataFrame([(rows["a.pdf"]["sha256"],)], "sha256 string")
     assert files.scan_folder(spark, str(tmp_path), known).count() == 1
 
 
+def test_large_files_are_listed_with_a_reason(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MAX_BYTES", 10)
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1" * 9)
+    (tmp_path / "b.pdf").write_bytes(b"%PDF-1")
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in files.scan_folder(spark, str(tmp_path)).collect()}
+    assert rows["a.pdf"]["reason"] == "too large" and rows["a.pdf"]["sha256"] is None and rows["b.pdf"]["reason"] is None
+
+
 def test_ocr_words(spark, tmp_path):
     head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext"
     (tmp_path / "o.tsv").write_text("\n".join([head, "5\t1\t1\t1\t1\t1\t10\t20\t5\t6\t91.5\t7", "5\t1\t1\t1\t1\t2\t10\t20\t5\t6\t40\tlow", "5\t1\t1\t1\t1\t3\t1\t2\t5\t6\t99\t "]))
@@ -51,6 +60,24 @@ def test_articles_are_refused_with_a_reason(spark):
     assert {r["document_hash"] for r in rows} == {"e", "d", "x", "n"} and all(r["kind"] == "rejected" for r in rows)
 
 
+def test_article_elements(spark):
+    body = ('<article xmlns:xlink="http://www.w3.org/1999/xlink"><front><article-meta><article-id pub-id-type="doi">10.1234/X</article-id><title-group><article-title>On <i>x</i></article-title></title-group>'
+            '<abstract><p id="p1">Short</p></abstract></article-meta></front><body><sec><title>Results</title><p>Size <b>7</b> um</p></sec><p>Narrative</p></body>'
+            '<floats-group><table-wrap id="t1"><caption><p>Sizes</p></caption><table><tr/><tr><th>n</th><td id="v" rowspan="2">42</td></tr></table></table-wrap>'
+            '<fig id="f1"><caption><title>Fig</title></caption><graphic xlink:href="a.png"/></fig></floats-group></article>')
+    e = files.article_elements(spark.createDataFrame([("h", body)], "document_hash string, content string"))
+    rows = e.collect()
+    cell = next(r for r in rows if r["kind"] == "cell" and r["tag"] == "td")
+    assert (cell["locator"], cell["table_locator"], cell["row_no"], cell["rowspan"], cell["text"], cell["unit_element"]) == ("id:v", "t1", 1, "2", "42", "/article/floats-group[1]")
+    assert {(r["locator"], r["asset_ref"]) for r in rows if r["kind"] == "asset"} == {("id:f1", "a.png")}
+    assert {r["caption"] for r in rows if r["tag"] == "table-wrap"} == {"Sizes"} and {r["caption"] for r in rows if r["tag"] == "fig" and r["kind"] == "figure"} == {"Fig"}
+    assert "/article/body[1]/sec[1]/p[1]" in {r["locator"] for r in rows if r["tag"] == "p"}
+    head = files.article_identifiers(e).first()
+    assert (head["doi"], head["title"]) == ("10.1234/x", "On x")
+    units = {r["unit_element"]: r["text"] for r in files.unit_texts(e).collect()}
+    assert units["/article/body[1]"] == "Size 7 um\nNarrative" and units["/article/floats-group[1]"] == "Sizes\nSizes n 42\nFig"
+
+
 def test_landed_pages(spark, tmp_path):
     page = {"message": {"items": [{"DOI": "10.1234/N", "type": "posted-content", "update-to": [{"type": "retraction", "DOI": "10.1234/T"}]}]}}
     (tmp_path / "p.json").write_text(json.dumps(page))
