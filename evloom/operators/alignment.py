@@ -92,6 +92,12 @@ def with_agreement(pairs: DataFrame) -> DataFrame:
                     F.when(c("reason").isin("within_tolerance", "numerical_disagreement"), c("__error")).alias("absolute_error"), "reason")
 
 
+def in_available(rows: DataFrame, available: DataFrame) -> DataFrame:
+    """Rows whose DOI has a local source; the rest neither count as unmatched nor enter a denominator."""
+    have = available.select(canonical_doi(F.col("doi")).alias("doi")).where("doi is not null").distinct()
+    return rows.join(have, "doi", "left_semi")
+
+
 def possible_matches(fields: DataFrame, experiments: DataFrame, reference: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pairs of condition signatures that agree, with the owners of each signature.
 
@@ -153,12 +159,15 @@ def potential_additions(aligned: DataFrame, fields: DataFrame, reference: DataFr
             .join(reference.select("row_id", "field"), ["row_id", "field"], "left_anti"))
 
 
-def agreement_summary(comparisons: DataFrame, denominator: DataFrame) -> DataFrame:
-    """exact, compared, proportion, recovery and mean absolute error in one row."""
+def agreement_summary(comparisons: DataFrame, reference: DataFrame, available: DataFrame) -> DataFrame:
+    """exact, compared, proportion, recovery and mean absolute error in one row.
+
+    Recovery is measured against the non-missing fields of reference rows whose DOI is available.
+    """
     c = F.col
     s = comparisons.agg(F.coalesce(F.sum(c("agreement").cast("bigint")), F.lit(0)).alias("exact_matches"), F.count("*").alias("compared_fields"),
                         F.avg("absolute_error").alias("numerical_mae"))
-    d = denominator.agg(F.count("*").alias("manual_nonmissing_fields"))
+    d = in_available(reference, available).agg(F.count("*").alias("manual_nonmissing_fields"))
     one = s.join(d)  # two one-row aggregates
     return one.withColumn("proportion", F.try_divide("exact_matches", "compared_fields")).withColumn(
         "recovery_agreement", F.try_divide("exact_matches", "manual_nonmissing_fields"))

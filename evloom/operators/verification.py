@@ -15,6 +15,8 @@ UNCERTAINTY_WORDS = {"SD": r"\b(?:sd|standard deviation)\b", "SE": r"\b(?:se|sem
 BASIS_WORDS = {"mass": r"wt\.?\s*%|w/w|mass|weight", "volume": r"vol\.?\s*%|v/v|volume"}
 QUALIFIER_SIGNS = {"lt": ["<", "less than"], "le": ["≤", "<=", "at most"], "gt": [">", "greater than"], "ge": ["≥", ">=", "at least"]}
 INDEPENDENT = r"independent|separately prepared|separate preparations|biological replicates"
+COUNT_BEFORE = r"(?iU)\b(\d+)(?=\s+(?:[a-z]+\s+){0,3}(?:independent|separate|biological)\b)"
+COUNT_AFTER = r"(?iU)(?<=(?:independent|separate|biological).{0,55})\bn\s*[=:]\s*(\d+)\b"
 TECHNICAL = r"technical|particles|droplets|repeat|replicat|measurements"
 ARMS = r"independent(?:ly)?[^.]{0,60}(?:arms|groups)|(?:arms|groups)[^.]{0,60}independent"
 
@@ -137,10 +139,10 @@ def verify_measurements(measurements: DataFrame, pages: DataFrame) -> DataFrame:
     for u, pattern in UNCERTAINTY_WORDS.items():
         named = named | ((c("uncertainty_type") == u) & _find(body, pattern))
     spread_bad = ~F.coalesce(c("uncertainty_type").isin("none", "unknown"), F.lit(True)) & ~named
-    n = c("n_independent").cast("string")
-    tied = F.concat(F.lit(r"(?iU)\b"), n, F.lit(r"\s+(?:[a-z]+\s+){0,3}(?:independent|separate|biological)\b"
-                                                r"|(?:independent|separate|biological).{0,55}\bn\s*[=:]\s*"), n, F.lit(r"\b"))
-    independent_bad = c("n_independent").isNotNull() & ~F.when(_find(body, INDEPENDENT), F.rlike(body, tied)).otherwise(F.lit(False))
+    # the counts that stand next to such wording, extracted once by fixed patterns
+    counted = F.concat(F.regexp_extract_all(body, F.lit(COUNT_BEFORE), 1), F.regexp_extract_all(body, F.lit(COUNT_AFTER), 1))
+    tied = F.array_contains(counted, c("n_independent").cast("string"))
+    independent_bad = c("n_independent").isNotNull() & ~F.when(_find(body, INDEPENDENT), tied).otherwise(F.lit(False))
     technical_bad = c("n_technical").isNotNull() & ~_find(body, TECHNICAL)
 
     failures = F.array_compact(F.concat(

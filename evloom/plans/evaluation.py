@@ -17,6 +17,11 @@ from evloom.session import cut
 FIELDS = ["Oil_Type", "Emulsion_Type", "Droplet_Size_um"]
 
 
+def available(spark, sf):
+    """Documents at hand, with their DOIs as they are printed."""
+    return view(spark, sf, "fx_documents").where("status <> 'stale'").select(F.upper("doi").alias("doi"))
+
+
 def aligned(spark, sf):
     c = F.col
     rows = view(spark, sf, "fx_reference_rows").withColumnsRenamed({"oil_type": "Oil_Type", "emulsion_type": "Emulsion_Type", "droplet_um": "Droplet_Size_um"})
@@ -37,18 +42,19 @@ def aligned(spark, sf):
         "experiment_id", "x.*", F.lit(None).cast("double").alias("value"), null.alias("basis"))
     none = syn.with_normalized(view(spark, sf, "fx_measurements").where("status = 'unused'"))
     fields = cut(al.candidate_fields(attrs, none))
-    pairs, exps, refs = al.possible_matches(fields, e.select("experiment_id", "doi"), reference, ids)
+    pairs, exps, refs = al.possible_matches(fields, al.in_available(e.select("experiment_id", "doi"), available(spark, sf)), reference, ids)
     return al.align(pairs, exps, refs), fields, reference, ids
 
 
 ALIGN = """WITH ref AS (SELECT reference_row_id AS row_id, doi, oil_type, emulsion_type, droplet_um FROM fx_reference_rows),
-per AS (SELECT doi, count(*) AS nrows FROM ref GROUP BY 1),
-pair AS (SELECT e.experiment_id, r.row_id FROM fx_experiments e JOIN ref r ON r.doi = e.doi JOIN per p ON p.doi = e.doi
+per AS (SELECT doi, count(*) AS nrows FROM ref GROUP BY 1), have AS (SELECT DISTINCT doi FROM fx_documents WHERE status <> 'stale'),
+ex AS (SELECT * FROM fx_experiments WHERE doi IN (SELECT doi FROM have)),
+pair AS (SELECT e.experiment_id, r.row_id FROM ex e JOIN ref r ON r.doi = e.doi JOIN per p ON p.doi = e.doi
   WHERE lower(e.oil_type) = lower(r.oil_type) AND e.part % 13 <> 0 AND lower(e.emulsion_type) = lower(r.emulsion_type)),
 ne AS (SELECT experiment_id, count(*) AS n, min(row_id) AS row_id FROM pair GROUP BY 1), nr AS (SELECT row_id, count(*) AS n FROM pair GROUP BY 1),
 aligned AS (SELECT e.experiment_id, e.part, e.droplet, CASE WHEN ne.n = 1 AND nr.n = 1 THEN 'matched' WHEN ne.n >= 1 THEN 'ambiguous' ELSE 'unmatched' END AS outcome,
   CASE WHEN ne.n = 1 AND nr.n = 1 THEN ne.row_id END AS row_id, CAST(coalesce(ne.n, 0) AS BIGINT) AS candidate_rows
-  FROM fx_experiments e LEFT JOIN ne ON ne.experiment_id = e.experiment_id LEFT JOIN nr ON nr.row_id = ne.row_id),
+  FROM ex e LEFT JOIN ne ON ne.experiment_id = e.experiment_id LEFT JOIN nr ON nr.row_id = ne.row_id),
 cmp AS (
   SELECT a.experiment_id, a.row_id, 'Oil_Type' AS field, true AS agreement, CAST(NULL AS DOUBLE) AS err, 'literal_text_comparison' AS reason FROM aligned a WHERE outcome = 'matched'
   UNION ALL SELECT a.experiment_id, a.row_id, 'Emulsion_Type', true, NULL, 'literal_text_comparison' FROM aligned a WHERE outcome = 'matched'
@@ -78,13 +84,13 @@ def field_comparisons(spark, sf):
                                                              stable(F.col("absolute_error")).alias("absolute_error"), "reason")
 
 
-@query("agreement_summary", ALIGN + f""", tot AS (SELECT CAST(sum(2 + CASE WHEN droplet_um IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS d FROM ref)
+@query("agreement_summary", ALIGN + f""", tot AS (SELECT CAST(sum(2 + CASE WHEN droplet_um IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS d FROM ref WHERE doi IN (SELECT doi FROM have))
 SELECT CAST(sum(CASE WHEN agreement THEN 1 ELSE 0 END) AS BIGINT) AS exact_matches, CAST(count(*) AS BIGINT) AS compared_fields, {sql_stable('avg(err)')} AS numerical_mae,
   max(d) AS manual_nonmissing_fields, {sql_stable('sum(CASE WHEN agreement THEN 1 ELSE 0 END) / count(*)')} AS proportion,
   {sql_stable('sum(CASE WHEN agreement THEN 1 ELSE 0 END) / max(d)')} AS recovery_agreement FROM cmp, tot""")
 def agreement_summary(spark, sf):
     a, fields, reference, _ = aligned(spark, sf)
-    s = al.agreement_summary(al.field_comparisons(a, fields, reference), reference)
+    s = al.agreement_summary(al.field_comparisons(a, fields, reference), reference, available(spark, sf))
     return s.select("exact_matches", "compared_fields", "manual_nonmissing_fields", *[stable(F.col(x)).alias(x) for x in ("numerical_mae", "proportion", "recovery_agreement")])
 
 

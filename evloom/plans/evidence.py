@@ -8,6 +8,7 @@ from evloom.functions import text
 from evloom.operators import verification as ver
 from evloom.plans.fixtures import view
 from evloom.plans.registry import query
+from evloom.session import cut
 
 NO_TABLES = "array<struct<id:string,rows:array<array<string>>>>"
 CANON = "trim(regexp_replace(replace(replace(lower(replace(replace({0}, '−', '-'), 'µ', 'μ')), 'ß', 'ss'), ' ', ' '), '\\s+', ' ', 'g'))"
@@ -71,11 +72,13 @@ def verified_measurements(spark, sf):
     """Every measurement against its own printed sentence as the page text."""
     c = F.col
     m = view(spark, sf, "fx_measurements")
-    # an id may repeat in the source table, so a row is known by its whole content
-    m = m.withColumn("original", c("measurement_id")).withColumn("measurement_id", text.fingerprint(*[c(x) for x in m.columns]))
+    # an id may repeat in the source table, so a row is known by its whole content; derived once, read by both sides of the check
+    m = cut(m.withColumn("original", c("measurement_id")).withColumn("measurement_id", F.concat_ws("-", "measurement_id", F.xxhash64(*m.columns))))
     key = F.concat(F.lit("row-"), "measurement_id")
     page = m.select(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.concat(F.lit("Results: "), "excerpt", F.lit(".")).alias("text"),
-                    F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status")).distinct()
+                    F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status"))
+    first = [F.first(x).alias(x) for x in page.columns if x != "document_hash"]
+    page = page.groupBy("document_hash").agg(*first)
     ev = F.struct(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.lit("text").alias("source_type"), F.lit("p").alias("locator"),
                   c("excerpt").alias("excerpt"), F.lit(None).cast("array<double>").alias("bounding_box"))
     null = F.lit(None).cast("double")
