@@ -14,25 +14,21 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from evloom.functions import stats
-from evloom.operators.primitives import small_side
-from evloom.session import cut
+from evloom.session import cut, written
 
 
 def _settle(state: DataFrame) -> tuple[DataFrame, float]:
-    """Write one iteration's state and report the largest change in it.
-
-    The state has one row per analysis. It is broadcast while its measured size is small, so that an
-    iteration scans the effects in place; beyond that it is an ordinary join.
-    """
+    """Write one iteration's state (one row per analysis) and report the largest change in it."""
     seen = Observation()
-    done = cut(state.observe(seen, F.max("delta").alias("d"), F.count("*").alias("n")))
-    return small_side(done, seen.get["n"]), seen.get["d"] or 0.0
+    done = written(state.observe(seen, F.max("delta").alias("d")), "state")
+    return done, seen.get["d"] or 0.0
 
 
 def reml_tau2(effects: DataFrame, tolerance: float = 1e-5, max_rounds: int = 100) -> DataFrame:
-    """(analysis_id, tau2, centre): Fisher scoring for the between-study variance.
+    """(analysis_id, tau2, centre, settled): Fisher scoring for the between-study variance.
 
-    ``effects``: analysis_id, yi, vi. A settled analysis is frozen while others go on.
+    ``effects``: analysis_id, yi, vi. A settled analysis is frozen while others go on; one that does
+    not settle is marked and does not stop the others.
     """
     c = F.col
     state = effects.groupBy("analysis_id").agg(F.avg("yi").alias("centre"), F.greatest(
@@ -40,7 +36,7 @@ def reml_tau2(effects: DataFrame, tolerance: float = 1e-5, max_rounds: int = 100
     state, change = _settle(state)
     for _ in range(max_rounds):
         if change <= tolerance:
-            return state.select("analysis_id", "tau2", "centre")
+            break
         moving = state.where(c("delta") > tolerance)
         w, y = 1 / (c("vi") + c("tau2")), c("yi") - c("centre")
         sums = effects.join(moving, "analysis_id").groupBy("analysis_id").agg(
@@ -53,14 +49,14 @@ def reml_tau2(effects: DataFrame, tolerance: float = 1e-5, max_rounds: int = 100
         state, change = _settle(stepped.select(
             "analysis_id", "centre", c("new").alias("tau2"), F.abs(c("new") - c("tau2")).alias("delta")).unionByName(
                 state.where(c("delta") <= tolerance)))
-    raise RuntimeError("REML did not converge")
+    return state.select("analysis_id", "tau2", "centre", (c("delta") <= tolerance).alias("settled"))
 
 
 def reml(effects: DataFrame, tolerance: float = 1e-5) -> DataFrame:
-    """Estimate, safeguarded Knapp-Hartung standard error and heterogeneity of each analysis."""
+    """Estimate, safeguarded Knapp-Hartung standard error and heterogeneity of each analysis; nothing where REML did not settle."""
     c = F.col
     effects = cut(effects.select("analysis_id", "study_family", "yi", "vi"))  # read once per iteration
-    tau = reml_tau2(effects, tolerance)
+    tau = reml_tau2(effects, tolerance).where("settled").drop("settled")
     w, w0, y = 1 / (c("vi") + c("tau2")), 1 / c("vi"), c("yi") - c("centre")
     s = effects.join(tau, "analysis_id").groupBy("analysis_id").agg(
         F.first("tau2").alias("tau_squared"), F.first("centre").alias("centre"), F.count("*").alias("k"),
@@ -171,6 +167,14 @@ def not_positive_definite(spectra: DataFrame) -> DataFrame:
     return spectra.groupBy("analysis_id", "study_family").agg(F.min("lam").alias("smallest")).where("smallest <= 0")
 
 
+def refused_covariance(effects: DataFrame, covariance: DataFrame) -> DataFrame:
+    """(analysis_id, reason) of analyses whose covariance is incomplete, inconsistent or not positive definite."""
+    named = cut(covariance_violations(effects, covariance))
+    whole = effects.join(named, "analysis_id", "left_anti")
+    singular = not_positive_definite(family_spectra(_family_matrices(whole, covariance))).select("analysis_id", F.lit("covariance is not positive definite").alias("reason"))
+    return named.unionByName(singular).groupBy("analysis_id").agg(F.min("reason").alias("reason"))
+
+
 def _family_sums(spectra: DataFrame, state: DataFrame) -> DataFrame:
     """Per-family scalars of the marginal precision matrix at the current variances."""
     c = F.col
@@ -196,7 +200,7 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: i
     """(analysis_id, s1, s2, mu, total): REML variances between families and between effects.
 
     Projected Fisher scoring, all analyses at once; a variance at zero whose score is negative stays
-    there. The spectra are laid out by family once, so an iteration shuffles only per-family sums.
+    there. An analysis that does not settle gives no row. The spectra are laid out by family once, so an iteration shuffles only per-family sums.
     """
     c = F.col
     spectra = cut(spectra.repartition("analysis_id", "study_family"))
@@ -231,9 +235,7 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: i
         n1, n2 = F.greatest(F.lit(0.0), c("s1") + c("d1")), F.greatest(F.lit(0.0), c("s2") + c("d2"))
         state, change = _settle(a.select("analysis_id", n1.alias("s1"), n2.alias("s2"), F.greatest(
             F.abs(n1 - c("s1")), F.abs(n2 - c("s2"))).alias("delta")).unionByName(state.where(c("delta") <= tolerance)))
-    else:
-        raise RuntimeError("variance components did not converge")
-    fam = _family_sums(spectra, state)
+    fam = _family_sums(spectra, state.where(c("delta") <= tolerance))
     return fam.groupBy("analysis_id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"),
                                           (F.sum("r") / F.sum("p")).alias("mu"), F.sum("p").alias("total"))
 
@@ -241,12 +243,14 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: i
 def cluster_robust(effects: DataFrame, covariance: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Multilevel REML estimate with CR2 standard error and Satterthwaite degrees of freedom.
 
-    Families are the clusters. The bias-reduction matrix of a family depends on that family and one
+    An analysis whose covariance cannot be used gets a row with status ``ineligible`` and the first
+    reason as ``limitation``; no family is left out silently. Families are the clusters. The bias-reduction matrix of a family depends on that family and one
     scalar of the analysis, so each family contributes a handful of numbers that are summed.
     """
-    families = cut(_family_matrices(effects, covariance))
-    fitted = cut(cluster_variances(family_spectra(families), tolerance))
-    fitted = small_side(fitted, fitted.count())
+    checked = written(refused_covariance(effects, covariance), "refused")
+    sound = effects.join(checked, "analysis_id", "left_anti")
+    families = cut(_family_matrices(sound, covariance))
+    fitted = written(cluster_variances(family_spectra(families), tolerance), "fitted")
     rows = families.join(fitted, "analysis_id")
     schema = "analysis_id string, score double, own double, h double, n long"
 
@@ -273,10 +277,15 @@ def cluster_robust(effects: DataFrame, covariance: DataFrame, tolerance: float =
     df = c("own") * c("own") / (c("own2") + (c("h2") * c("h2") - c("h4")) / (c("total") * c("total")))
     out = out.select("analysis_id", "k", "study_families", c("mu").alias("estimate"), F.sqrt("var").alias("se"), df.alias("robust_df"),
                      c("s1").alias("family_variance"), c("s2").alias("effect_variance"))
-    usable = c("robust_df") >= 4
+    usable = c("robust_df") >= 4 - 1e-9  # sums of equal families fall short of a whole number by rounding
     t = stats.t_critical(c("robust_df"))
-    return out.withColumn("__t", t).select(
+    done = out.withColumn("__t", t).select(
         *out.columns, F.when(usable, c("estimate") - c("__t") * c("se")).alias("ci_lower"),
         F.when(usable, c("estimate") + c("__t") * c("se")).alias("ci_upper"),
         F.when(usable, stats.t_p_value(c("estimate") / c("se"), c("robust_df"))).alias("p_value"),
-        F.when(usable, "completed").otherwise("inference_unavailable").alias("status"))
+        F.when(usable, "completed").otherwise("inference_unavailable").alias("status"),
+        F.when(~usable, "robust degrees of freedom are below 4").alias("limitation"))
+    unsettled = (sound.select("analysis_id").distinct().join(fitted, "analysis_id", "left_anti")
+                 .select("analysis_id", F.lit("engine_failed").alias("status"), F.lit("variance components did not settle").alias("limitation")))
+    refused = checked.select("analysis_id", F.lit("ineligible").alias("status"), c("reason").alias("limitation"))
+    return done.unionByName(refused.unionByName(unsettled), allowMissingColumns=True)

@@ -10,14 +10,6 @@ from pyspark.sql import functions as F
 from evloom.session import cut
 
 
-BROADCAST_ROWS = 200_000
-
-
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a narrow table whose row count has just been measured and is small."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys that may be null; key columns of the left side survive once."""
     renamed = right.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in right.columns])

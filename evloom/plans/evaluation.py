@@ -8,6 +8,7 @@ from evloom.functions import text
 from evloom.functions.stats import Z975
 from evloom.operators import adjudication as adj
 from evloom.operators import alignment as al
+from evloom.operators import inference
 from evloom.operators import pooling
 from evloom.operators import synthesis as syn
 from evloom.plans.fixtures import view
@@ -281,3 +282,37 @@ def covariance_violations(spark, sf):
     e, v = dependent(spark, sf)
     wrong = F.when(F.col("analysis_id").isin("analysis-3", "analysis-7") & (F.col("id_i") == F.col("id_j")), F.col("cov") * 2).otherwise(F.col("cov"))
     return pooling.covariance_violations(e, v.withColumn("cov", wrong))
+
+
+SPEC = {"outcome_definition": "size", "measurement_method": "microscopy", "comparator": "none", "time_point": "day", "unit": "um"}
+
+
+def contrasts(spark, sf):
+    """Contrast pairs with protocol fields; two analyses keep a single family, one of them a wrong unit, others one effect per family."""
+    c = F.col
+    p = view(spark, sf, "fx_contrast_pairs")
+    n = F.substring_index("analysis_id", "-", -1).cast("int")
+    fields = {k: F.lit(v) for k, v in SPEC.items()} | {"unit": F.when(n == 3, "mm").otherwise("um")}
+    return p.withColumns(fields).withColumns({
+        "study_family": F.when(n == 5, "only").when(n % 2 == 0, c("contrast_id")).otherwise(c("study_family")), "concentration_basis": F.lit(None).cast("string"),
+        "paired": F.lit(False), "arms_independent": F.lit(True), "qualifier_t": F.lit("exact"), "qualifier_c": F.lit("exact"), "position": F.lit(1)}), n
+
+
+@query("inferential_status", """WITH p AS (SELECT *, CAST(split_part(analysis_id, '-', -1) AS INTEGER) AS n FROM fx_contrast_pairs),
+e AS (SELECT analysis_id, CASE WHEN n = 5 THEN 'only' WHEN n % 2 = 0 THEN contrast_id ELSE study_family END AS family FROM p WHERE n_t >= 2 AND n_c >= 2 AND n <> 3),
+f AS (SELECT analysis_id, family, count(*) AS m FROM e GROUP BY 1, 2), g AS (SELECT analysis_id, sum(m) AS k, count(*) AS families, max(m) AS largest FROM f GROUP BY 1)
+SELECT a.analysis_id, CASE WHEN g.k IS NULL OR families < 2 OR largest > 1 THEN 'ineligible' ELSE 'completed' END AS status,
+  CASE WHEN g.k IS NULL OR families < 2 THEN 'at least two eligible study families are required' WHEN largest > 1 THEN 'dependent effects require a sampling covariance' END AS limitation,
+  CAST(g.k AS BIGINT) AS k, CAST(NOT (g.k IS NULL OR families < 2 OR largest > 1) AS STRING) AS has_estimate FROM (SELECT DISTINCT analysis_id FROM p) a LEFT JOIN g ON g.analysis_id = a.analysis_id""")
+def inferential_status(spark, sf):
+    rows, _ = contrasts(spark, sf)
+    out, _ = inference.inferential(rows, SPEC)
+    return out.select("analysis_id", "status", "limitation", "k", F.col("estimate").isNotNull().cast("string").alias("has_estimate"))
+
+
+@query("inferential_excluded", """SELECT analysis_id, reason, CAST(count(*) AS BIGINT) AS n FROM (SELECT analysis_id, unnest(list_filter([CASE WHEN split_part(analysis_id, '-', -1) = '3' THEN 'incompatible unit' END,
+  CASE WHEN n_t < 2 OR n_c < 2 THEN 'n must be at least 2' END], lambda x: x IS NOT NULL)) AS reason FROM fx_contrast_pairs) x GROUP BY 1, 2""")
+def inferential_excluded(spark, sf):
+    rows, _ = contrasts(spark, sf)
+    _, left = inference.inferential(rows, SPEC)
+    return left.select("analysis_id", F.explode("reasons").alias("reason")).groupBy("analysis_id", "reason").agg(F.count("*").alias("n"))

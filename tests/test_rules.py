@@ -281,6 +281,46 @@ def test_covariance_must_be_positive_definite(spark):
     assert {r["reason"] for r in pooling.covariance_violations(e, lopsided).collect()} == {"not symmetric"}
 
 
+def test_unusable_covariance_refuses_one_analysis_only(spark):
+    rows = [(a, f"{a}{f}{i}", f"f{f}", f + 0.1 * i, 1.0) for a in "xyz" for f in range(6) for i in range(2)]
+    e = spark.createDataFrame(rows, "analysis_id string, contrast_id string, study_family string, yi double, vi double")
+    pairs = [(a, i, j, 1.0 if i == j else 9.0 if a == "y" else 0.5) for a, i, f, *_ in rows for b, j, g, *_ in rows if a == b and f == g]
+    cov = spark.createDataFrame([p for p in pairs if not (p[0] == "z" and "z5" in p[1])], "analysis_id string, id_i string, id_j string, cov double")
+    got = {r["analysis_id"]: r for r in pooling.cluster_robust(e, cov).collect()}
+    assert got["x"]["status"] == "completed" and got["x"]["study_families"] == 6
+    assert (got["y"]["status"], got["y"]["limitation"]) == ("ineligible", "covariance is not positive definite") and got["y"]["estimate"] is None
+    assert (got["z"]["status"], got["z"]["limitation"]) == ("ineligible", "an effect has no variance entry")
+
+
+def test_equal_families_reach_the_bound_of_four(spark):
+    e = spark.createDataFrame([("a", f"c{f}", f"f{f}", float(f), 1.0) for f in range(5)], "analysis_id string, contrast_id string, study_family string, yi double, vi double")
+    cov = e.select("analysis_id", F.col("contrast_id").alias("id_i"), F.col("contrast_id").alias("id_j"), F.col("vi").alias("cov"))
+    row = pooling.cluster_robust(e, cov).first()
+    assert row["status"] == "completed" and row["robust_df"] == pytest.approx(4) and row["estimate"] == pytest.approx(2.0)
+    assert row["se"] == pytest.approx(math.sqrt(2.5 / 5)) and row["ci_upper"] == pytest.approx(2 + 2.7764451052 * math.sqrt(0.5), rel=1e-6)
+
+
+def test_inference_ladder(spark):
+    from evloom.operators import inference
+    spec = {"outcome_definition": "d", "measurement_method": "m", "comparator": "c", "time_point": "t", "unit": "um"}
+    rows = [(a, f"{a}{i}", f"f{i // k}", *spec.values(), None, False, True, "exact", "exact", 1, 5.0 + i, 1.0, 4, 3.0, 1.0 + 0.1 * i, 4)
+            for a, k, n in (("single", 9, 3), ("pairs", 2, 8), ("plain", 1, 6)) for i in range(n)]
+    names = ["analysis_id", "contrast_id", "study_family", *spec, "concentration_basis", "paired", "arms_independent", "qualifier_t", "qualifier_c", "position", "mean_t", "sd_t", "n_t", "mean_c", "sd_c", "n_c"]
+    kinds = ["string"] * 9 + ["boolean"] * 2 + ["string"] * 2 + ["int", "double", "double", "int", "double", "double", "int"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, kinds)))
+    out = {r["analysis_id"]: r for r in inference.inferential(frame, spec)[0].collect()}
+    assert out["plain"]["status"] == "completed" and out["plain"]["estimate"] is not None
+    assert "two eligible" in out["single"]["limitation"] and "covariance" in out["pairs"]["limitation"] and out["pairs"]["estimate"] is None
+    assert {r["limitation"] for r in inference.inferential(frame, spec | {"unit": None})[0].collect()} == {"protocol lacks unit"}
+    eff = synthesis.with_effects(frame.where("analysis_id = 'pairs'"), "MD")
+    i, j = eff.alias("i"), eff.alias("j")
+    cov = i.join(j, F.col("i.study_family") == F.col("j.study_family")).select(F.col("i.analysis_id").alias("analysis_id"), F.col("i.contrast_id").alias("id_i"), F.col("j.contrast_id").alias("id_j"),
+        F.when(F.col("i.contrast_id") == F.col("j.contrast_id"), F.col("i.vi")).otherwise(0.1).alias("cov"))
+    assert "justification" in {r["analysis_id"]: r for r in inference.inferential(frame, spec, cov)[0].collect()}["pairs"]["limitation"]
+    done = {r["analysis_id"]: r for r in inference.inferential(frame, spec, cov, "assumed")[0].collect()}
+    assert done["pairs"]["estimate"] is not None and done["plain"]["status"] == "completed"
+
+
 def test_axis_calibration(spark):
     rows = [("lin", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0), (110.0, 10.0))] + [("log", "log", p, v) for p, v in ((10.0, 1.0), (60.0, 10.0), (110.0, 100.0))] + \
         [("broken", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0), (110.0, 3.0))] + [("two", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0))] + [("bent", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 9.0), (110.0, 10.0))]
