@@ -316,3 +316,14 @@ def inferential_excluded(spark, sf):
     rows, _ = contrasts(spark, sf)
     _, left = inference.inferential(rows, SPEC)
     return left.select("analysis_id", F.explode("reasons").alias("reason")).groupBy("analysis_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("loaded_decisions", """SELECT coalesce(reviewer, 'none') AS reviewer, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN correct THEN 1 ELSE 0 END) AS BIGINT) AS correct FROM fx_decisions GROUP BY 1""")
+def loaded_decisions(spark, sf):
+    """Decisions written as JSON lines and read back."""
+    from evloom.session import scratch_path
+    from evloom.sources import files
+    path = scratch_path(spark, "decisions")
+    view(spark, sf, "fx_decisions").write.json(path)
+    d = files.read_decisions(spark, path)
+    return d.groupBy(F.coalesce("reviewer", F.lit("none")).alias("reviewer")).agg(F.count("*").alias("n"), F.sum(F.col("correct").cast("bigint")).alias("correct"))

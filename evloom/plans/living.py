@@ -171,3 +171,33 @@ def stream_check_activity(spark, sf, files=4):
     out, mark = lv.folders(spark, "activity")
     lv.run_check_activity(_landed_events(spark, sf, e, "checks", files), out, mark)
     return lv.read_check_activity(spark, out).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "source", "records", F.col("complete").cast("string").alias("complete"))
+
+
+@query("resumed_ingest", """SELECT CAST(count(*) AS BIGINT) AS pages, CAST(sum(length(html)) AS BIGINT) AS characters, CAST(3 AS BIGINT) AS runs FROM pages WHERE page_id % 7 <> 0""")
+def resumed_ingest(spark, sf):
+    """Pages land in three lots with a run after each; every seventh page never completes, every fifth completes in the last lot."""
+    c = F.col
+    schema = "page_id bigint, html string, complete boolean"
+    p = table(spark, sf, "pages").select("page_id", "html")
+    lots = [p.where("page_id % 2 = 0").withColumn("complete", (c("page_id") % 7 != 0) & (c("page_id") % 5 != 0)),
+            p.where("page_id % 2 = 1").withColumn("complete", (c("page_id") % 7 != 0) & (c("page_id") % 5 != 0)),
+            p.where("page_id % 5 = 0").withColumn("complete", c("page_id") % 7 != 0)]
+    path = lv.folders(spark, "pages")[0]
+    out, mark = lv.folders(spark, "ingest")
+    for lot in lots:
+        lot.coalesce(2).write.mode("append").parquet(path)
+        lv.run_ingest(spark, path, schema, out, mark, "pages of a site")
+    got = lv.read_ingest(spark, out, schema, "pages of a site")
+    return got.agg(F.count("*").alias("pages"), F.sum(F.length("html")).cast("bigint").alias("characters"), F.lit(3).cast("bigint").alias("runs"))
+
+
+@query("event_log", """SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM events GROUP BY 1""")
+def event_log(spark, sf):
+    """Events appended in two goes and read back as one log."""
+    from evloom.sources import files
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    path = lv.folders(spark, "log")[0]
+    for part in (e.where("event_id % 3 = 0"), e.where("event_id % 3 <> 0")):
+        files.append_events(part, path)
+    return files.read_events(spark, path, "event_id bigint, event_type string, user_id bigint").groupBy("event_type").agg(
+        F.count("*").alias("n"), F.sum("user_id").cast("bigint").alias("users"))

@@ -137,6 +137,37 @@ def tick_numbers(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", text.tick_number(label).alias("value"), text.scale_label(label)["unit"].alias("scale_unit"))
 
 
+@query("scanned_files", """SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(2 AS BIGINT) AS copies FROM documents GROUP BY 1""")
+def scanned_files(spark, sf):
+    """Documents of each source land as one XML file, in two folders; the scan finds every content once, with both copies."""
+    from evloom.session import scratch_path
+    root = scratch_path(spark, "folder")
+    rows = table(spark, sf, "documents").select(F.col("source").alias("folder"), "source", "doc_id").repartition("folder").sortWithinPartitions("folder", "doc_id")
+    for name in ("first", "second"):
+        rows.write.partitionBy("folder").format("xml").option("rowTag", "document").save(f"{root}/{name}")
+    found = files.scan_folder(spark, root).where("reason is null")
+    inside = spark.read.format("xml").schema("doc_id bigint, source string").option("rowTag", "document").load(f"{root}/first")
+    per = inside.withColumn("path", F.regexp_replace(F.input_file_name(), "^file:/+", "/")).groupBy("path", "source").agg(F.count("*").alias("documents"))
+    return found.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(per, "path").select("source", "documents", "copies")
+
+
+@query("nested_dataset", """SELECT o_orderkey AS experiment, CAST(count(*) AS BIGINT) AS measurements, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+def nested_dataset(spark, sf):
+    """Orders with their lines written as nested datasets and read back through the versioned loader."""
+    from evloom.session import scratch_path
+    line = F.struct(F.col("l_linenumber").cast("bigint").alias("measurement"), F.col("l_quantity").cast("bigint").alias("value"))
+    lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("measurements"))
+    experiments = table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey")
+    # one dataset per file, with the experiments of a slice of 100 orders
+    sets = experiments.groupBy((F.col("o_orderkey") / 100).cast("bigint").alias("name")).agg(
+        F.collect_list(F.struct(F.col("o_orderkey").alias("experiment"), "measurements")).alias("experiments")).withColumn("schema_version", F.lit(2))
+    path = scratch_path(spark, "dataset")
+    sets.write.option("maxRecordsPerFile", 1).json(path)
+    back = files.read_dataset(spark, path, "experiments array<struct<experiment:bigint,measurements:array<struct<measurement:bigint,value:bigint>>>>")
+    flat = back.select(F.explode("experiments").alias("e")).select("e.experiment", F.explode("e.measurements").alias("m"))
+    return flat.groupBy("experiment").agg(F.count("*").alias("measurements"), F.sum("m.value").cast("bigint").alias("total"))
+
+
 # ---- articles -----------------------------------------------------------------------------------
 
 

@@ -216,6 +216,20 @@ def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df
 
 
+DECISIONS = ("study_family string, experiment_id string, field string, reviewer string, source_locator string, correct boolean, recoverable boolean, "
+             "accepted boolean, abstained boolean, additional_to_manual boolean, source_type string")
+
+
+def read_decisions(spark: SparkSession, path: str) -> DataFrame:
+    """Reviewer decisions from JSON lines; fields a file lacks are null and a line that is no JSON is refused."""
+    return spark.read.schema(DECISIONS).option("mode", "FAILFAST").json(path)
+
+
+def read_events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All events of an append-only log, whatever the number of appends."""
+    return spark.read.schema(schema).json(path)
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 

@@ -6,6 +6,8 @@ per batch, written in ``foreachBatch``: a replayed batch rewrites its own folder
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,6 +109,24 @@ def read_notices(spark: SparkSession, publications: DataFrame, path: str) -> Dat
     return publications.join(raised, "publication_id", "left").select("publication_id", st.from_priority(rank).alias("status"))
 
 
+def query_hash(*parts: str) -> str:
+    """Short name of a query and its schema; another query or schema starts from the beginning."""
+    return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
+
+
+def run_ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, query: str = "") -> None:
+    """Land the pages that arrived since the last run of the same query; ``schema`` must hold page_id and complete."""
+    name = query_hash(query, schema)
+    _log(landed(spark, path, schema, files_per_batch=1), f"{out}/query={name}", f"{checkpoint}/{name}", lambda batch: batch)
+
+
+def read_ingest(spark: SparkSession, out: str, schema: str, query: str = "") -> DataFrame:
+    """Complete pages of a query; a page that arrived in part and then whole counts once."""
+    log = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{out}/query={query_hash(query, schema)}")
+    return log.where("complete").groupBy("page_id").agg(F.max(F.struct("batch_id", *[c for c in log.columns if c not in ("page_id", "batch_id")])).alias("p")).select(
+        "page_id", "p.*").drop("batch_id")
+
+
 def run_deduplicated(stream: DataFrame, keys: list[str], path: str, checkpoint: str, time: str = "ts") -> None:
     """Log of the earliest submission per key and batch."""
     rest = [c for c in stream.columns if c not in keys]
