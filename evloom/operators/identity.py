@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evloom.functions import status as st
 from evloom.functions.text import canonical_doi
-from evloom.operators.primitives import connected_components
+from evloom.operators.primitives import connected_components, dense_index
 from evloom.session import cut
 
 
@@ -32,6 +32,11 @@ def citation_key(source: Column, source_id: Column, doi: Column) -> Column:
         F.concat_ws(":", source, F.when(source == "arxiv", arxiv).otherwise(source_id)))
 
 
+def batches(keys: DataFrame, column: str, size: int) -> DataFrame:
+    """``keys`` with a batch number such that every batch but the last holds exactly ``size`` of them."""
+    return dense_index(keys, [F.col(column)], "__i").withColumn("batch", F.floor(F.col("__i") / size).cast("bigint")).drop("__i")
+
+
 def _nonempty(c: Column) -> Column:
     return F.when(c != "", c)
 

@@ -85,6 +85,21 @@ def page(rows: DataFrame, number: int, order: list[Column], size: int = 30) -> D
     return rows.orderBy(*order).offset(min(max(number, 0), last) * size).limit(size)
 
 
+def page_after(rows: DataFrame, by: str, last: tuple | None, size: int = 30) -> DataFrame:
+    """The next page in ascending order of (``by``, measurement_id), nulls last, after the last row seen.
+
+    ``last`` is (value, measurement_id) of that row. Nothing is counted or skipped over, so a late page
+    costs what the first one costs.
+    """
+    c = F.col
+    if last is not None:
+        value, ident = last
+        same = c(by).eqNullSafe(F.lit(value)) & (c("measurement_id") > ident)
+        later = c(by).isNull() | (c(by) > value) if value is not None else F.lit(False)
+        rows = rows.where(same | (later & ~c(by).eqNullSafe(F.lit(value))))
+    return rows.orderBy(*sort_evidence(rows, by)).limit(size)
+
+
 def extractable(documents: DataFrame, requested: DataFrame) -> DataFrame:
     return documents.join(requested, "document_hash", "left_semi").where(~F.col("status").isin("quarantined", "extracted", "excluded"))
 
@@ -186,14 +201,37 @@ def local_publications(documents: DataFrame, blocked: list[str] = WORKFLOW_BLOCK
 def usage_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """Whole micro-dollars per call, rounded up. ``prices``: model, input_price, output_price per million tokens.
 
-    Calls of an unpriced model or with negative counts fail the job: a cost is never guessed.
+    A cost is never guessed: a call of an unpriced model or with a negative count keeps a ``reason`` and no cost.
     """
     c = F.col
-    bad = calls.join(prices, "model", "left_anti").unionByName(calls.where("input_tokens < 0 or output_tokens < 0")).take(1)
-    if bad:
-        raise ValueError("unknown model price or negative token count")
+    reason = F.when(c("input_price").isNull() | c("output_price").isNull(), "unknown model price").when(
+        (c("input_tokens") < 0) | (c("output_tokens") < 0), "negative token count")
     cost = c("input_price").cast("decimal(12,6)") * c("input_tokens").cast("decimal(18,0)") + c("output_price").cast("decimal(12,6)") * c("output_tokens").cast("decimal(18,0)")
-    return calls.join(F.broadcast(prices), "model").withColumn("microusd", F.ceil(cost).cast("bigint")).drop("input_price", "output_price")
+    priced = calls.join(prices, "model", "left").withColumn("reason", reason)
+    return priced.withColumn("microusd", F.when(c("reason").isNull(), F.ceil(cost).cast("bigint"))).drop("input_price", "output_price")
+
+
+def run_status(jobs: DataFrame) -> DataFrame:
+    """Per document: whether all jobs ended, whether some gave up, and the last completion. ``jobs``: document_hash, status, completed_on."""
+    c = F.col
+    ended, gave_up = c("status").isin("completed", "abstained", "failed"), c("status").isin("abstained", "failed")
+    per = jobs.groupBy("document_hash").agg(F.bool_and(ended).alias("complete"), F.bool_or(gave_up).alias("limited"), F.max("completed_on").alias("last_extraction"))
+    status = F.when(~c("complete"), "running").when(c("limited"), "completed_with_abstentions").otherwise("completed")
+    return per.withColumn("run_status", status)
+
+
+def newest_runs(jobs: DataFrame, size: int | None = None) -> DataFrame:
+    ordered = jobs.orderBy(F.col("completed_on").desc_nulls_last(), "job_id")
+    return ordered if size is None else ordered.limit(size)
+
+
+def extraction_summary(measurements: DataFrame, documents: DataFrame) -> DataFrame:
+    """Experiments and measurements per document, and how many may be used: accepted, from a completed document."""
+    c = F.col
+    state = documents.select("document_hash", (c("status") == "completed").alias("__live"))
+    usable = c("__live") & (c("status") == "accepted")
+    return measurements.join(state, "document_hash", "left").groupBy("document_hash").agg(
+        F.countDistinct("experiment_id").alias("experiments"), F.count("*").alias("measurements"), F.count_if(F.coalesce(usable, F.lit(False))).alias("eligible"))
 
 
 def micro_dollars(amount: Column) -> Column:

@@ -226,14 +226,12 @@ def publication_sources(spark, sf):
     return c.groupBy(key.alias("work"), "source").agg(F.count("*").alias("n"))
 
 
-@query("doi_batches", """SELECT CAST(count(*) AS BIGINT) AS dois, CAST(sum(CASE WHEN doi LIKE '10.1234/c%' THEN 1 ELSE 0 END) AS BIGINT) AS checked
-FROM (SELECT DISTINCT doi FROM fx_publications) x""")
+@query("doi_batches", """SELECT CAST(i // 50 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, min(doi) AS first_doi, max(doi) AS last_doi
+FROM (SELECT doi, row_number() OVER (ORDER BY doi) - 1 AS i FROM (SELECT DISTINCT doi FROM fx_publications WHERE doi IS NOT NULL) d) x GROUP BY 1""")
 def doi_batches(spark, sf):
-    """Known DOIs spread over hash batches; the batches together hold every DOI once."""
-    known = view(spark, sf, "fx_publications").select("doi").distinct()
-    batches = known.groupBy(F.pmod(F.xxhash64("doi"), F.lit(50)).alias("batch")).agg(
-        F.count("*").alias("n"), F.sum(F.startswith("doi", F.lit("10.1234/c")).cast("bigint")).alias("checked"))
-    return batches.agg(F.sum("n").alias("dois"), F.sum("checked").alias("checked"))
+    """Known DOIs in request batches of at most fifty, however many there are."""
+    known = view(spark, sf, "fx_publications").where("doi is not null").select("doi").distinct()
+    return idn.batches(known, "doi", 50).groupBy("batch").agg(F.count("*").alias("n"), F.min("doi").alias("first_doi"), F.max("doi").alias("last_doi"))
 
 
 @query("access_routes", """SELECT input_pos, CASE WHEN status <> 'active' THEN 'needs review' WHEN pmcid IS NOT NULL THEN 'pmc' WHEN input_pos % 3 = 0 AND doi_plain IS NOT NULL THEN 'pmc'
@@ -256,9 +254,11 @@ def safe_links(spark, sf):
                     urls.https_url(F.col("url")).isNotNull().cast("string").alias("https"))
 
 
-@query("status_lattice", f"""SELECT a.input_pos, {NAME.format(f"greatest({RANK.format('a.status')}, {RANK.format('b.status')})")} AS status
-FROM fx_citations a JOIN fx_publications b ON b.position = a.custkey""")
+@query("status_lattice", f"""SELECT a.input_pos, b.publication_id, {NAME.format(f"greatest({RANK.format("coalesce(a.status, 'active')")}, {RANK.format("coalesce(b.status, 'active')")})")} AS status
+FROM fx_citations a FULL JOIN fx_publications b ON b.position = a.custkey""")
 def status_lattice(spark, sf):
+    """A record new to the table and a publication that no record mentions both keep what they have."""
     a = view(spark, sf, "fx_citations").select("input_pos", "custkey", "status")
-    b = view(spark, sf, "fx_publications").select(F.col("position").alias("custkey"), F.col("status").alias("prior"))
-    return a.join(b, "custkey").select("input_pos", st.higher(F.col("prior"), F.col("status")).alias("status"))
+    b = view(spark, sf, "fx_publications").select("publication_id", F.col("position").alias("custkey"), F.col("status").alias("prior"))
+    known = lambda x: F.coalesce(F.col(x), F.lit("active"))
+    return a.join(b, "custkey", "full_outer").select("input_pos", "publication_id", st.higher(known("prior"), known("status")).alias("status"))

@@ -213,19 +213,26 @@ def dashboard(spark, sf):
   CASE WHEN NOT bool_and(status IN ('completed', 'abstained', 'failed')) THEN 'running' WHEN bool_or(status IN ('abstained', 'failed')) THEN 'completed_with_abstentions' ELSE 'completed' END AS run_status, CAST(max(completed_on) AS STRING) AS last_extraction FROM fx_jobs GROUP BY 1""")
 def run_status(spark, sf):
     c = F.col
-    g = view(spark, sf, "fx_jobs").groupBy("document_hash").agg(F.bool_and(c("status").isin("completed", "abstained", "failed")).alias("complete"), F.bool_or(c("status").isin("abstained", "failed")).alias("limited"), F.max("completed_on").alias("last"))
-    status = F.when(~c("complete"), "running").when(c("limited"), "completed_with_abstentions").otherwise("completed")
-    return g.select("document_hash", c("complete").cast("string").alias("complete"), c("limited").cast("string").alias("limited"), status.alias("run_status"), c("last").cast("string").alias("last_extraction"))
+    g = pr.run_status(view(spark, sf, "fx_jobs"))
+    return g.select("document_hash", c("complete").cast("string").alias("complete"), c("limited").cast("string").alias("limited"), "run_status", c("last_extraction").cast("string").alias("last_extraction"))
 
 
-@query("newest_runs", """SELECT job_id, CAST(completed_on AS STRING) AS completed_on FROM fx_jobs ORDER BY completed_on DESC, job_id""")
+@query("newest_runs", """SELECT job_id, CAST(completed_on AS STRING) AS completed_on FROM fx_jobs ORDER BY completed_on DESC NULLS LAST, job_id LIMIT 50""")
 def newest_runs(spark, sf):
-    return view(spark, sf, "fx_jobs").orderBy(F.col("completed_on").desc(), "job_id").select("job_id", F.col("completed_on").cast("string").alias("completed_on"))
+    return pr.newest_runs(view(spark, sf, "fx_jobs"), 50).select("job_id", F.col("completed_on").cast("string").alias("completed_on"))
 
 
-@query("extraction_summary", """SELECT document_hash, CAST(count(DISTINCT experiment_id) AS BIGINT) AS experiments, CAST(count(*) AS BIGINT) AS measurements FROM fx_measurements GROUP BY 1""")
+@query("extraction_summary", """SELECT m.document_hash, CAST(count(DISTINCT experiment_id) AS BIGINT) AS experiments, CAST(count(*) AS BIGINT) AS measurements,
+  CAST(sum(CASE WHEN m.status = 'accepted' AND d.ok THEN 1 ELSE 0 END) AS BIGINT) AS eligible FROM fx_measurements m LEFT JOIN (SELECT document_hash, status = 'completed' AS ok FROM fx_documents) d ON d.document_hash = m.document_hash GROUP BY 1""")
 def extraction_summary(spark, sf):
-    return view(spark, sf, "fx_measurements").groupBy("document_hash").agg(F.countDistinct("experiment_id").alias("experiments"), F.count("*").alias("measurements"))
+    return pr.extraction_summary(view(spark, sf, "fx_measurements"), view(spark, sf, "fx_documents"))
+
+
+@query("next_evidence_page", """SELECT measurement_id, CAST(value AS BIGINT) AS value FROM fx_measurements WHERE page <= 3 AND (value > 20 OR (value = 20 AND measurement_id > 'm')) ORDER BY value, measurement_id LIMIT 30""")
+def next_evidence_page(spark, sf):
+    """Thirty rows after the row (20, 'm') in ascending order."""
+    m = view(spark, sf, "fx_measurements").where("page <= 3")
+    return pr.page_after(m, "value", (20.0, "m")).select("measurement_id", F.col("value").cast("bigint").alias("value"))
 
 
 @query("author_lines", """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'Authors not available' ELSE array_to_string(list_transform(range(1, least(c_custkey % 8, 5) + 1), lambda i: 'A' || i), ', ') || CASE WHEN c_custkey % 8 > 5 THEN ', et al.' ELSE '' END END AS authors FROM customer""")
