@@ -17,9 +17,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(fn: Query) -> Query:
         QUERIES[name] = fn
+        if sql:
+            ORACLES[name] = sql
         return fn
     return keep
 
@@ -33,7 +35,37 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-@query("op2_line_dedup")
+LINES = r"""WITH d AS (SELECT *, string_split(text, chr(10)) AS ls, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS ts FROM documents),
+w AS (SELECT doc_id, unnest(list_concat(
+    list_transform(list_filter(range(1, len(ts)), lambda i: length(ts[i]) + length(ts[i + 1]) >= 40), lambda i: {'s': i, 'n': 2, 'k': ts[i] || chr(10) || ts[i + 1]}),
+    list_transform(list_filter(range(1, len(ts) + 1), lambda i: length(ts[i]) >= 200), lambda i: {'s': i, 'n': 1, 'k': ts[i]}))) AS x FROM d),
+later AS (SELECT doc_id, s, n FROM (SELECT doc_id, x.s AS s, x.n AS n, row_number() OVER (PARTITION BY x.k, x.n ORDER BY doc_id, x.s) AS rn FROM w) y WHERE rn > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM later) z GROUP BY 1)
+SELECT d.doc_id, array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT coalesce(list_contains(ps, i), false)), lambda i: ls[i]), chr(10)) AS text,
+  lang, source, n_chars, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed_lines FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id"""
+NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
+g AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+c AS (SELECT doc_id AS node, doc_id AS low FROM s UNION SELECT e.b, c.low FROM c JOIN e ON e.a = c.node),
+m AS (SELECT node, min(low) AS component_id FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN m ON node = doc_id"""
+SEARCH = r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\x20\x09-\x0D!-/:-@\[-`{-~]+')) AS term FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM f GROUP BY 1), dl AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY 1),
+k AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT count(*) FROM t) / (SELECT count(*) FROM documents) AS av),
+r AS (SELECT q.doc_id AS query_id, f.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))) AS score
+  FROM (SELECT DISTINCT doc_id, term FROM t WHERE doc_id % 50 = 0) q JOIN f ON f.term = q.term JOIN df ON df.term = f.term JOIN dl ON dl.doc_id = f.doc_id, k GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 8) DESC, doc_id) AS rank FROM r)
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM o WHERE rank <= 10"""
+CHAT = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+x AS (SELECT *, length(role) + length(text) + 17 + len(regexp_extract_all(role, p)) + len(regexp_extract_all(text, p)) AS chars FROM t, (SELECT '\\|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|endoftext\|>' AS p) v)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(3 + sum(chars) AS BIGINT) AS formatted_chars FROM x GROUP BY 1"""
+
+
+@query("op2_line_dedup", LINES)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
 
@@ -48,7 +80,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-@query("op4_near_dedup")
+@query("op4_near_dedup", NEAR)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,10 +93,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-@query("op6_topk_search")
+@query("op6_topk_search", SEARCH)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return topk_search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+    found = topk_search.search(docs, docs.where(F.col("doc_id") % 50 == 0))
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("op7_toxicity")
@@ -80,7 +113,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN)
 
 
-@query("op8_chat_format")
+@query("op8_chat_format", CHAT)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     control = "</s>[INST] ok [/INST]"
