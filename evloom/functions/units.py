@@ -49,6 +49,26 @@ UNITS = [
     ("pascal", "pressure", 1.0, 0.0, ["Pa", "pascal"], []),
     ("kilopascal", "pressure", 1e3, 0.0, ["kPa", "kilopascal"], []),
 ]
+# Decimal prefixes, and the units of the table that take them.
+PREFIXES = [("kilo", ["k"], 1e3), ("deci", ["d"], 1e-1), ("centi", ["c"], 1e-2), ("milli", ["m"], 1e-3), ("micro", ["u", "µ", "μ"], 1e-6), ("nano", ["n"], 1e-9), ("pico", ["p"], 1e-12)]
+PREFIXED = {"meter": ["m"], "second": ["s"], "volt": ["V"], "gram": ["g"], "liter": ["L", "l"], "mole / liter": ["M", "mol/L", "mol/l"], "pascal": ["Pa"], "radian": ["rad"]}
+
+
+def _with_prefixes(rows: list[tuple]) -> list[tuple]:
+    """The table and every prefixed unit that it does not list, such as kilometre or nanomole per litre."""
+    names, taken = {r[0] for r in rows}, {s for r in rows for s in r[4] + r[5]}
+    more = []
+    for name, dimension, factor, offset, *_ in rows:
+        for word, signs, scale in PREFIXES if name in PREFIXED else []:
+            spellings = [x + s for x in signs for s in PREFIXED[name]] + [word + name] * (" " not in name)
+            fresh = [x for x in spellings if x not in taken]
+            if word + name not in names and fresh:
+                more.append((word + name, dimension, factor * scale, offset, fresh, []))
+                taken.update(fresh)
+    return rows + more
+
+
+UNITS = _with_prefixes(UNITS)
 # The unit each named outcome is reported in after normalization.
 OUTCOME_TARGETS = {
     "Droplet_Size_um": "um", "Particle_L_nm": "nm", "Particle_w_nm": "nm",

@@ -21,21 +21,20 @@ def pages(spark, sf):
 
 
 def candidates(spark, sf):
-    """Three candidate measurements per document, built from its own text: supported, invented, and foreign."""
+    """Four candidate measurements per document that cite every line of its text: supported, invented, foreign, in a table."""
     c = F.col
     d = view(spark, sf, "documents")
     words = F.filter(F.split("text", " "), lambda w: w != "")
     kinds = F.explode(F.array(F.lit("supported"), F.lit("invented"), F.lit("foreign"), F.lit("table"))).alias("kind")
-    d = d.select("doc_id", F.element_at(F.filter(F.split("text", "\n"), lambda s: F.trim(s) != ""), 1).alias("line"),
-                 F.size(words).alias("n_words"), kinds)
+    d = d.select("doc_id", F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "").alias("lines"), F.size(words).alias("n_words"), kinds)
     box = F.when(c("doc_id") % 5 == 0, F.array(F.lit(1.0), F.lit(1.0), F.lit(700.0), F.lit(20.0)))
-    ev = F.struct(F.concat(F.lit("text-"), c("doc_id")).alias("document_hash"), F.when(c("doc_id") % 9 == 0, 2).otherwise(1).cast("bigint").alias("page"),
+    ev = lambda line: F.struct(F.concat(F.lit("text-"), c("doc_id")).alias("document_hash"), F.when(c("doc_id") % 9 == 0, 2).otherwise(1).cast("bigint").alias("page"),
                   F.when(c("kind") == "table", "table").otherwise("text").alias("source_type"),
                   F.concat(F.lit("page-1-table-"), c("doc_id") % 2 + 1, F.lit("-cell-4")).alias("locator"),
-                  F.when(c("kind") == "invented", F.concat("line", F.lit(" invented"))).otherwise(c("line")).alias("excerpt"), box.alias("bounding_box"))
+                  F.when(c("kind") == "invented", F.concat(line, F.lit(" invented"))).otherwise(line).alias("excerpt"), box.alias("bounding_box"))
     null = lambda t: F.lit(None).cast(t)
-    return d.where("line is not null").select(
-        F.concat_ws("-", F.lit("m"), "doc_id", "kind").alias("measurement_id"), F.array(ev).alias("evidence"),
+    return d.where("size(lines) > 0").select(
+        F.concat_ws("-", F.lit("m"), "doc_id", "kind").alias("measurement_id"), F.transform("lines", ev).alias("evidence"),
         F.when(c("kind") == "foreign", F.lit("text-x")).otherwise(F.concat(F.lit("text-"), c("doc_id"))).alias("expected_hash"),
         F.lit("").alias("raw_value"), null("double").alias("value"), F.lit("exact").alias("qualifier"),
         *[null("double").alias(x) for x in ("lower_bound", "upper_bound", "uncertainty", "ci_lower", "ci_upper", "time_value")],
@@ -45,13 +44,13 @@ def candidates(spark, sf):
 
 
 @query("verified_candidates", """WITH lines AS (
-  SELECT doc_id, list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> '')[1] AS line FROM documents),
-k AS (SELECT l.doc_id, l.line, x.kind FROM lines l, (VALUES ('supported'), ('invented'), ('foreign'), ('table')) x(kind) WHERE l.line IS NOT NULL)
+  SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ') <> '')) AS n FROM documents),
+k AS (SELECT l.doc_id, l.n, x.kind FROM lines l, (VALUES ('supported'), ('invented'), ('foreign'), ('table')) x(kind) WHERE l.n > 0)
 SELECT 'm-' || doc_id || '-' || kind AS measurement_id,
   CASE WHEN kind = 'foreign' OR doc_id % 9 = 0 OR kind = 'invented' OR doc_id % 5 = 0 THEN 'rejected'
        WHEN doc_id % 20 = 0 OR doc_id % 13 = 0 OR (kind = 'table' AND doc_id % 2 <> doc_id % 3) THEN 'uncertain' ELSE 'accepted' END AS status,
-  CAST((CASE WHEN kind = 'foreign' THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 9 = 0 THEN 1 ELSE (CASE WHEN kind = 'invented' THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) END) AS BIGINT) AS failures,
-  CAST(CASE WHEN doc_id % 9 = 0 THEN 0 ELSE (CASE WHEN doc_id % 20 = 0 THEN 1 ELSE 0 END) + (CASE WHEN kind = 'table' AND doc_id % 2 <> doc_id % 3 THEN 1 ELSE 0 END) END AS BIGINT) AS ambiguities
+  CAST(n * ((CASE WHEN kind = 'foreign' THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 9 = 0 THEN 1 ELSE (CASE WHEN kind = 'invented' THEN 1 ELSE 0 END) + (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END) END)) AS BIGINT) AS failures,
+  CAST(n * CASE WHEN doc_id % 9 = 0 THEN 0 ELSE (CASE WHEN doc_id % 20 = 0 THEN 1 ELSE 0 END) + (CASE WHEN kind = 'table' AND doc_id % 2 <> doc_id % 3 THEN 1 ELSE 0 END) END AS BIGINT) AS ambiguities
 FROM k""")
 def verified_candidates(spark, sf):
     v = ver.verify_measurements(candidates(spark, sf), pages(spark, sf))

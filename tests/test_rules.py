@@ -321,6 +321,14 @@ def test_inference_ladder(spark):
     assert done["pairs"]["estimate"] is not None and done["plain"]["status"] == "completed"
 
 
+def test_prefixed_units(spark):
+    rows = [(2.0, "km", 2e12), (3.0, "dL", None), (5.0, "pM", None), (1.0, "kilometer", 1e12), (4.0, "nm", 4.0), (1.0, "min", None)]
+    frame = spark.createDataFrame(rows, "v double, unit string, want double")
+    for r in frame.select("*", units.convert(F.col("v"), F.col("unit"), "nm").alias("nm"), units.unit_name(F.col("unit")).alias("name")).collect():
+        assert r["nm"] == r["want"] or r["nm"] == pytest.approx(r["want"])
+        assert r["name"] == {"km": "kilometer", "dL": "deciliter", "pM": "picomole / liter", "kilometer": "kilometer", "nm": "nanometer", "min": "minute"}[r["unit"]]
+
+
 def test_axis_calibration(spark):
     rows = [("lin", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0), (110.0, 10.0))] + [("log", "log", p, v) for p, v in ((10.0, 1.0), (60.0, 10.0), (110.0, 100.0))] + \
         [("broken", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0), (110.0, 3.0))] + [("two", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 5.0))] + [("bent", "linear", p, v) for p, v in ((10.0, 0.0), (60.0, 9.0), (110.0, 10.0))]
