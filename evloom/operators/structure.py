@@ -51,16 +51,23 @@ def inventory_totals(units: DataFrame) -> DataFrame:
         F.sum("tables").alias("table_candidates"), F.sum("figures").alias("figure_candidates"))
 
 
-def region_links(regions: DataFrame, evidence: DataFrame) -> DataFrame:
+def region_links(regions: DataFrame, evidence: DataFrame, table_id: str = r"page-\d+-table-\d+") -> DataFrame:
     """Measurements linked to each table (named in a locator) or figure (equal id) of the same page.
 
-    Both sides meet on (document_hash, page); the locator test runs inside that equi-join.
+    The ids that a locator names are taken out of it, so both sides meet on (document_hash, page,
+    region_id) and no page is paired row by row. A locator names an id also where more digits follow it.
     """
     c = F.col
-    j = regions.join(evidence, ["document_hash", "page"], "left")
-    linked = F.when(c("kind") == "table", F.contains("locator", "region_id")).otherwise(c("figure_id") == c("region_id"))
-    return j.groupBy("document_hash", "page", "region_id", "kind").agg(
-        F.countDistinct(F.when(linked, c("measurement_id"))).alias("supported_measurements"))
+    long = F.explode(F.array_distinct(F.regexp_extract_all("locator", F.lit(table_id), 0))).alias("__id")
+    digits = F.char_length(F.regexp_extract("__id", r"(\d+)$", 1))
+    cut_off = F.explode(F.sequence(F.lit(0), digits - 1)).alias("__less")
+    tables = (evidence.select("document_hash", "page", "measurement_id", long).select("*", cut_off)
+              .select("document_hash", "page", "measurement_id", F.substr("__id", F.lit(1), F.char_length("__id") - c("__less")).alias("region_id"), F.lit("table").alias("kind")))
+    figures = evidence.where("figure_id is not null").select("document_hash", "page", "measurement_id", c("figure_id").alias("region_id"), F.lit("figure").alias("kind"))
+    named = tables.unionByName(figures).withColumnRenamed("kind", "__kind")
+    own = regions.withColumn("__kind", F.when(c("kind") == "table", "table").otherwise("figure"))
+    return own.join(named, ["document_hash", "page", "region_id", "__kind"], "left").groupBy("document_hash", "page", "region_id", "kind").agg(
+        F.countDistinct("measurement_id").alias("supported_measurements"))
 
 
 def merge_attributes(attributes: DataFrame) -> DataFrame:
