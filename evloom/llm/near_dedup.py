@@ -7,11 +7,12 @@ How links are found without listing all pairs of a group:
    buckets. The centre of a crowd of near copies leads all its buckets, so this needs about one
    comparison per member. Every comparison is made on the full shingle sets.
 3. The links found are closed to components. Buckets inside one component are settled: more links there
-   change nothing. In the others, members of different components are compared by signature in blocks
-   of bounded size, and only pairs that may reach the threshold are compared on their full sets.
+   change nothing. In the others, members of different components are compared by bottom-k sketches in
+   blocks of bounded size. The sketch of a small set is the set, so only pairs that reach the threshold,
+   or for large sets may reach it, leave a block; they are then compared on their full sets.
 
 A link at the threshold of 0.85 is missed with a probability of about 6e-11 by the banding and 1e-6 by
-the signature filter; nothing is capped.
+the sketches of large sets; nothing is capped.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) |
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROWS = 1000
 _BLOCK = 512
+_SKETCH = 256
 
 
 def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -99,23 +101,22 @@ def band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, words: int, size: int, bands: int) -> DataFrame:
-    """(__id, __n, __a, __b, __bands, __sig): set size, two set digests, band keys and short signature of every document."""
+    """(__id, __n, __a, __b, __bands, __sketch): set size, two set digests, band keys and smallest hashes of every document."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), _ROWS):
                 part = batch.slice(at, _ROWS)
                 sets = shingle_sets(part.column(1).to_pylist(), words)
                 some = [s for s in sets if len(s)]
-                full = super_minhash(some, size)
-                keys = iter(band_keys(full, bands).view(np.int64).tolist())
-                short = iter((mix(full) >> np.uint64(48)).astype("<u2"))
+                keys = iter(band_keys(super_minhash(some, size), bands).view(np.int64).tolist())
                 digests = [[mix(s ^ f).sum(dtype=np.uint64).astype(np.int64).item() if len(s) else None for s in sets] for f in _FACTORS[-2:]]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(d, pa.int64()) for d in digests),
                      pa.array([next(keys) if len(s) else [] for s in sets], pa.list_(pa.int64())),
-                     pa.array([next(short).tobytes() if len(s) else None for s in sets], pa.binary())], ["__id", "__n", "__a", "__b", "__bands", "__sig"])
+                     pa.array([(s[:_SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for s in sets], pa.binary())],
+                    ["__id", "__n", "__a", "__b", "__bands", "__sketch"])
 
-    return docs.mapInArrow(describe, f"__id {docs.schema['__id'].dataType.simpleString()}, __n bigint, __a bigint, __b bigint, __bands array<bigint>, __sig binary")
+    return docs.mapInArrow(describe, f"__id {docs.schema['__id'].dataType.simpleString()}, __n bigint, __a bigint, __b bigint, __bands array<bigint>, __sketch binary")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -140,24 +141,53 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     return both.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
-def _similar_in_blocks(members: DataFrame, kind: str, size: int, least: float) -> DataFrame:
-    """Pairs (a, b) of a block whose components differ and whose signatures agree in a share of ``least`` slots.
+def sketch_pairs(sketches: list[bytes], sizes: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray | None,
+                 percent: int) -> list[tuple[int, int]]:
+    """Pairs (i, j) of different components that reach ``percent``, or may reach it where a sketch is not the whole set.
 
-    ``members``: __k, __lo, __hi, __side, __c, __rep, __sig; a block holds at most two times ``_BLOCK`` rows or so.
+    ``right`` None compares ``left`` with itself. A sketch holds the smallest hashes of a set; below
+    the smaller of two largest hashes both sketches are complete, which gives the estimate.
+    """
+    arrays = [np.frombuffer(s, "<u4") for s in sketches]
+    words, at = np.unique(np.concatenate(arrays), return_inverse=True)
+    place = np.full((len(arrays), _SKETCH), len(words))  # padding points behind the last word
+    for row, (a, b) in enumerate(zip(np.cumsum([0, *map(len, arrays)]), np.cumsum([0, *map(len, arrays)])[1:])):
+        place[row, :b - a] = at[a:b]
+    whole = sizes <= _SKETCH
+    top = np.where(whole, len(words), place.max(axis=1, initial=0, where=place < len(words)))
+    mark = np.zeros(len(words) + 1, bool)
+    slack = 4.75 * (percent / 100 * (1 - percent / 100) / _SKETCH) ** 0.5
+    found = []
+    for n, i in enumerate(left):
+        others = left[n + 1:] if right is None else right
+        others = others[component[others] != component[i]]
+        if not len(others):
+            continue
+        mark[place[i]] = True
+        mark[len(words)] = False
+        same = np.count_nonzero(mark[place[others]], axis=1)
+        mark[place[i]] = False
+        limit = np.minimum(top[i], top[others])
+        own = np.searchsorted(place[i][place[i] < len(words)], limit, side="right")
+        theirs = np.count_nonzero((place[others] <= limit[:, None]) & (place[others] < len(words)), axis=1)
+        union = np.maximum(own + theirs - same, 1)
+        # short hashes that coincide can only add to what is shared, so whole sets lose nothing
+        reached = np.where(whole[i] & whole[others], 100 * same >= percent * union, same >= (percent / 100 - slack) * union)
+        found += [(i, j) for j in others[reached]]
+    return found
+
+
+def _similar_in_blocks(members: DataFrame, kind: str, percent: int) -> DataFrame:
+    """Pairs (a, b) of a block whose components differ and whose sketches may reach the threshold.
+
+    ``members``: __k, __lo, __hi, __side, __c, __rep, __n, __sketch; a block holds about two times ``_BLOCK`` rows at most.
     """
     def block(part: pa.Table) -> list[tuple[int, int]]:
         side, component = part["__side"].to_numpy(), part["__c"].to_numpy()
-        signature = np.frombuffer(b"".join(part["__sig"].to_pylist()), "<u2").reshape(-1, size)
         within = part["__lo"][0].as_py() == part["__hi"][0].as_py()
         left = np.arange(len(side)) if within else np.flatnonzero(side == side.min())
-        right = left if within else np.flatnonzero(side != side.min())
-        found = []
-        for i in left:
-            others = right[right > i] if within else right
-            others = others[component[others] != component[i]]
-            agree = np.count_nonzero(signature[others] == signature[i], axis=1)
-            found += [(i, j) for j in others[agree >= least * size]]
-        return found
+        right = None if within else np.flatnonzero(side != side.min())
+        return sketch_pairs(part["__sketch"].to_pylist(), part["__n"].to_numpy(), component, left, right, percent)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None
@@ -177,7 +207,7 @@ def _similar_in_blocks(members: DataFrame, kind: str, size: int, least: float) -
             waiting = waiting.slice(done[-1])
 
     ordered = members.repartition("__k", "__lo", "__hi").sortWithinPartitions("__k", "__lo", "__hi")
-    return ordered.select("__k", "__lo", "__hi", "__side", "__c", "__rep", "__sig").mapInArrow(compare, f"a {kind}, b {kind}")
+    return ordered.select("__k", "__lo", "__hi", "__side", "__c", "__rep", "__n", "__sketch").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _then_none(items):
@@ -202,8 +232,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     described = written(_described(source, words, size, bands), "shingles")
     usable = described.where(F.col("__id").isNotNull() & (F.col("__n") > 0))
-    sets = written(usable.groupBy("__a", "__b").agg(F.min("__id").alias("__rep"), F.first("__bands").alias("__bands"),
-                                                    F.first("__sig").alias("__sig")), "sets")
+    sets = written(usable.groupBy("__a", "__b").agg(F.min("__id").alias("__rep"), F.first("__bands").alias("__bands")), "sets")
     keys = sets.select("__rep", F.explode("__bands").alias("__k"))
     buckets = written(keys.groupBy("__k").agg(F.count("*").alias("__m")).where("__m > 1"), "buckets")
     live = written(keys.join(buckets, "__k"), "members")
@@ -217,13 +246,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unsettled = written(placed.groupBy("__k").agg(F.min("__c").alias("__x"), F.max("__c").alias("__y")).where("__x <> __y").select("__k"), "unsettled")
     blocks = F.ceil(F.col("__m") / _BLOCK).cast("int")
     side = F.pmod(F.xxhash64("__rep"), blocks).cast("int")
-    members = (placed.join(unsettled, "__k").join(sets.select("__rep", "__sig"), "__rep")
+    members = (placed.join(unsettled, "__k").join(usable.select(F.col("__id").alias("__rep"), "__n", "__sketch"), "__rep")
                .withColumn("__side", side).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
                .select("__k", F.least("__side", "__other").alias("__lo"), F.greatest("__side", "__other").alias("__hi"),
-                       "__side", F.xxhash64("__c").alias("__c"), "__rep", "__sig"))
-    threshold = percent / 100
-    least = threshold - 4.75 * (threshold * (1 - threshold) / size) ** 0.5
-    more = written(_similar_in_blocks(members, kind, size, least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+                       "__side", F.xxhash64("__c").alias("__c"), "__rep", "__n", "__sketch"))
+    more = written(_similar_in_blocks(members, kind, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     more_links = _confirmed(more, source, words, percent)
 
     own = described.join(sets.select("__a", "__b", "__rep"), ["__a", "__b"], "left")
