@@ -70,6 +70,8 @@ class FactorizationMachine:
     bias: float
     weights: np.ndarray
     factors: np.ndarray
+    #: False if the labels it was fitted on lacked a class, so that its scores tell nothing apart.
+    both_classes: bool = True
 
     def margin(self, rows: np.ndarray, columns: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         linear = np.bincount(rows, self.weights[columns], n)
@@ -86,7 +88,8 @@ def fit(rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, n_terms: int,
     """Adam on the mean logistic loss over all rows; repeatable for a given seed and row order."""
     rng = np.random.default_rng(seed)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
-    model = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, n_factors)))
+    model = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(n_terms), rng.normal(0, 0.05, (n_terms, n_factors)),
+                                 bool(0 < labels.sum() < len(labels)))
     moments: dict[str, list] = {k: [0.0, 0.0] for k in ("bias", "weights", "factors")}
     for step in range(1, epochs + 1):
         margin, sums = model.margin(rows, columns, len(labels))
@@ -114,7 +117,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     That bound, the number of terms and the number of factors fix the size of everything that reaches
     the driver (a few megabytes). Term counts of the sample are summed in Spark over its whole texts;
     the terms with the largest log-likelihood ratio against the label are kept. Rows with a null id,
-    label or text teach nothing. Without usable labels the model is the constant one half.
+    label or text teach nothing. Without usable labels the model is the constant one half; the model says
+    whether it saw both classes.
     """
     sample = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
               .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__y"))
@@ -135,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals = known.agg(F.count("*"), F.coalesce(F.sum("__y"), F.lit(0))).first()
     n, positive = int(totals[0]), int(totals[1])
     if n == 0:
-        return Vocabulary(np.zeros(0, np.int64)), FactorizationMachine(0.0, np.zeros(0), np.zeros((0, 1)))
+        return Vocabulary(np.zeros(0, np.int64)), FactorizationMachine(0.0, np.zeros(0), np.zeros((0, 1)), both_classes=False)
     share = positive / n
     seen = (known.select("__text", "__y").mapInPandas(counts, "__t bigint, __n bigint, __p bigint")
             .groupBy("__t").agg(F.sum("__n").alias("n"), F.sum("__p").alias("p")).where(F.col("n") >= min_documents))
@@ -182,6 +186,12 @@ def score(docs: DataFrame, vocabulary: Vocabulary, model: FactorizationMachine,
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` that score below ``threshold``, with their columns; trained on ``labels``."""
+    """Rows of ``docs`` that score below ``threshold``, with their columns; trained on ``labels``.
+
+    A model that did not see both classes rejects nothing.
+    """
     names = docs.columns
-    return score(docs, *train(docs, labels), name="__toxicity").where(F.col("__toxicity") < threshold).select(*names)
+    vocabulary, model = train(docs, labels)
+    if not model.both_classes:
+        return docs
+    return score(docs, vocabulary, model, name="__toxicity").where(F.col("__toxicity") < threshold).select(*names)

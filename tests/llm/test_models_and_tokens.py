@@ -166,6 +166,16 @@ def test_toxicity_on_held_out_rows(spark, awkward, nothing):
     assert toxicity.score(nothing, *toxicity.train(nothing, labels.limit(0))).count() == 0
 
 
+def test_nothing_is_toxic_without_labels_of_both_classes(spark, awkward):
+    every = sorted(map(repr, awkward.collect()))
+    for rows in ([], [(77, 1), (99, 0)], [(1, None), (None, 1)], [(1, 1), (3, 1)], [(1, 0), (3, 0)]):
+        labels = spark.createDataFrame(rows, "doc_id long, toxic int")
+        assert sorted(map(repr, toxicity.drop_toxic(awkward, labels).collect())) == every, rows
+    docs = spark.createDataFrame([(i, "a vile word" if i % 2 else "a kind word") for i in range(40)], "doc_id long, text string")
+    left = toxicity.drop_toxic(docs, docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic").where("doc_id < 30")).collect()
+    assert [r["doc_id"] for r in left] == list(range(0, 40, 2))
+
+
 def test_factorization_machine_learns_a_pair():
     rng = np.random.default_rng(0)
     x = rng.random((600, 6)) < 0.5
