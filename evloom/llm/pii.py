@@ -27,6 +27,8 @@ PATTERNS = {
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds nothing to find; the whole pattern is then not tried.
 _HINT = f"[0-9@]|(?i:{_SECRET})|\\b(?:{MALE}|{FEMALE})\\b"
+#: So many attempts keep the form of an entity; each later one widens it, so that no kind runs out of values.
+STRICT = 20
 _SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "a", "n", "er"), "cyrillic": ("бвгдклмнпрстз", "аеиоу", "а", "н", "ов"), "greek": ("βγδκλμνπρστζ", "αειου", "α", "ν", "ης")}
 
 
@@ -62,8 +64,11 @@ def _character(c: Column, n: Column, letters: Column) -> Column:
             .otherwise(c))
 
 
-def _spelled(entity: Column, kind: Column, stream: Column) -> Column:
-    """Every letter and digit replaced by one of its class; country code, issuer, key family and top domain stay."""
+def _spelled(entity: Column, kind: Column, stream: Column, extra: Column) -> Column:
+    """Every letter and digit replaced by one of its class; country code, issuer, key family and top domain stay.
+
+    ``extra`` letters in front of an address, or digits behind anything else, widen the form.
+    """
     head = (F.when(kind == "phone", F.char_length(F.regexp_extract(entity, "^\\+\\d{1,3}(?=[ .(-])", 0))).when(kind == "card", 1)
             .when(kind == "key", 4).when(kind == "iban", 2).otherwise(0))
     tail = F.when(kind == "email", F.char_length(F.regexp_extract(entity, "\\.[A-Za-z]+$", 0))).otherwise(0)
@@ -73,22 +78,34 @@ def _spelled(entity: Column, kind: Column, stream: Column) -> Column:
         rank = F.char_length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^0-9A-Za-z]", ""))
         return F.when((i < head) | (i >= F.char_length(entity) - tail), c).otherwise(_character(c, _number(stream, rank), letters))
 
-    return F.array_join(F.transform(F.split(entity, ""), one), "")
+    more = _repeat(extra, lambda i: F.when(kind == "email", F.chr(F.lit(97) + F.pmod(_number(stream, -i), F.lit(26))))
+                   .otherwise(F.pmod(_number(stream, -i), F.lit(10)).cast("string")))
+    new = F.array_join(F.transform(F.split(entity, ""), one), "")
+    return F.when(extra == 0, new).when(kind == "email", F.concat(more, new)).otherwise(F.concat(new, more))
+
+
+def _repeat(times: Column, make) -> Column:
+    """make(1) to make(times) in a row; nothing if ``times`` is 0."""
+    return F.array_join(F.transform(F.slice(F.sequence(F.lit(0), times), F.lit(2), times), make), "")
 
 
-def _address(entity: Column, stream: Column) -> Column:
+def _address(entity: Column, stream: Column, extra: Column) -> Column:
+    """Octets of as many digits; widened first to any octet, then by further digits."""
     def octet(o, i):
         n, size = _number(stream, i, 4), F.char_length(o)
-        return F.when(size == 1, F.pmod(n, F.lit(10))).when(size == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(156)) + 100).cast("string")
+        strict = F.when(size == 1, F.pmod(n, F.lit(10))).when(size == 2, F.pmod(n, F.lit(90)) + 10).otherwise(F.pmod(n, F.lit(156)) + 100).cast("string")
+        more = _repeat(extra - 1, lambda k: F.pmod(_number(stream, k * 4 + i + 16), F.lit(10)).cast("string"))
+        return F.when(extra == 0, strict).otherwise(F.concat(F.pmod(n, F.lit(256)).cast("string"), F.when(extra > 1, more).otherwise("")))
     return F.array_join(F.transform(F.split(entity, "\\."), octet), ".")
 
 
-def _named(word: Column, kind: Column, stream: Column) -> Column:
-    """A name of syllables in the script of ``word``, ending by gender or as a surname."""
+def _named(word: Column, kind: Column, stream: Column, extra: Column) -> Column:
+    """A name of syllables in the script of ``word``, ``extra`` ones included, ending by gender or as a surname."""
     def made(script: str) -> Column:
         consonants, vowels, female, male, last = _SYLLABLES[script]
-        syllable = [F.concat(_pick(consonants, _number(stream, F.lit(2 * i))), _pick(vowels, _number(stream, F.lit(2 * i + 1)))) for i in range(4)]
-        stem = F.concat(*syllable[:3], F.when(F.char_length(word) > 7, syllable[3]).otherwise(""))
+        syllable = lambda i: F.concat(_pick(consonants, _number(stream, 2 * i)), _pick(vowels, _number(stream, 2 * i + 1)))
+        stem = F.concat(*(syllable(F.lit(i)) for i in range(3)), F.when(F.char_length(word) > 7, syllable(F.lit(3))).otherwise(""),
+                        F.when(extra > 0, _repeat(extra, lambda k: syllable(k + 3))).otherwise(""))
         return F.initcap(F.concat(stem, F.when(kind == "given_f", female).when(kind == "given_m", male).otherwise(last)))
     return (F.when(word.rlike("\\p{IsCyrillic}"), made("cyrillic")).when(word.rlike("\\p{IsGreek}"), made("greek")).otherwise(made("latin")))
 
@@ -106,25 +123,27 @@ def _words(entity: Column) -> Column:
 def surrogate(text: Column, kind: Column, attempt: Column, key: str) -> Column:
     """The surrogate of one part; deterministic in the key, so all mentions of an entity agree."""
     stream = _stream(key, kind, _canonical(text), attempt)
-    return (F.when(kind.isin("given_f", "given_m", "surname"), _named(text, kind, stream))
-            .when(kind == "ip", _address(text, stream)).otherwise(_spelled(text, kind, stream)))
+    extra = F.greatest(attempt - (STRICT - 1), F.lit(0))
+    return (F.when(kind.isin("given_f", "given_m", "surname"), _named(text, kind, stream, extra))
+            .when(kind == "ip", _address(text, stream, extra)).otherwise(_spelled(text, kind, stream, extra)))
 
 
 def _found(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(_ANY), 0))
 
 
-def assign(parts: DataFrame, key: str, rounds: int = 20) -> DataFrame:
+def assign(parts: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, attempt) of the distinct parts whose first surrogate is taken, so that they use another.
 
     A surrogate is taken if an earlier part (in the order of its canonical form) has it or if it is
     itself a real part of the corpus. Groups of parts with one surrogate are tiny, as surrogates are
-    hashes. Raises if the rounds do not suffice (a form with fewer values than entities).
+    hashes. A form may have fewer values than entities; parts without one after ``STRICT`` attempts
+    get a longer form with each attempt, whose values soon outnumber any table.
     """
     distinct = written(parts.groupBy("kind", F.col("canonical")).agg(F.min("text").alias("text")), "entities")
     real = distinct.select("kind", F.col("canonical").alias("new"), F.lit(True).alias("real"))
     now = written(distinct.withColumn("attempt", F.lit(0)), "attempts")
-    for _ in range(rounds):
+    while True:
         made = written(now.withColumn("new", _canonical(surrogate(F.col("text"), F.col("kind"), F.col("attempt"), key))), "surrogates")
         owner = made.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canonical")).alias("owner"))
         taken = made.join(owner, ["kind", "new"]).join(real, ["kind", "new"], "left")
@@ -133,7 +152,6 @@ def assign(parts: DataFrame, key: str, rounds: int = 20) -> DataFrame:
         now = after.drop("again")
         if after.where("again").isEmpty():
             return written(now.where("attempt > 0").select("kind", "canonical", "attempt"), "exceptions")
-    raise RuntimeError("no distinct surrogates left for a kind of entity")
 
 
 def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,7 +159,7 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     Equal entities get equal surrogates in all documents, different entities different ones (checked
     over the whole table), and no surrogate is an entity of the corpus. Form, letter case, script, and
-    the gender of names after a title are kept. Text around them is unchanged.
+    the gender of names after a title are kept; where a form has too few values, some surrogates are longer. Text around them is unchanged.
 
     Null texts stay null, texts without findings stay as they are, with a count of zero. Null ids and
     repeated rows do not matter. An existing column ``n_replaced`` is replaced. An empty table gives an

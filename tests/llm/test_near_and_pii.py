@@ -141,6 +141,23 @@ def test_distinct_entities_stay_distinct(spark):
     assert all(a == b for a, b in out) and len({a for a, _ in out}) == 400 and not {a for a, _ in out} & real
 
 
+def test_a_form_without_free_values_is_widened(spark):
+    """All 10,000 addresses of one-digit octets: none of that form is left for a surrogate."""
+    frame = spark.range(10000).select(F.col("id").alias("doc_id"), F.regexp_replace(F.lpad(F.col("id").cast("string"), 4, "0"), "(.)(.)(.)(.)", "$1.$2.$3.$4").alias("text"))
+    real = {r["text"] for r in frame.collect()}
+    new = {r["text"] for r in pii.replace_private(frame, "key").collect()}
+    assert len(real) == len(new) == 10000 and not new & real and all(re.fullmatch(r"(\d+\.){3}\d+", x) for x in new)
+
+
+def test_every_kind_widens(spark):
+    rows = [("email", "a@b.io"), ("ip", "1.2.3.4"), ("surname", "Lee"), ("surname", "Ωνάσης"), ("given_f", "Anna"), ("ssn", "078-05-1120"), ("secret", "abc123")]
+    frame = spark.createDataFrame([(k, t, a) for k, t in rows for a in (0, 19, 20, 23)], "kind string, text string, attempt int")
+    made = frame.withColumn("new", pii.surrogate(F.col("text"), F.col("kind"), F.col("attempt"), "key")).collect()
+    for kind, text in rows:
+        strict, last, wide, wider = [r["new"] for r in sorted((r for r in made if r["text"] == text), key=lambda r: r["attempt"])]
+        assert len(strict) == len(last) <= len(wide) < len(wider), (kind, text)
+
+
 def test_private_strings_of_the_corpus_are_gone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before = {r["doc_id"]: r["text"] for r in docs.collect()}
