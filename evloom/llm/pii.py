@@ -12,17 +12,30 @@ MALE = "Mr|Herr|Monsieur|Señor|Sr|Господин"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа"
 _SECRET = "password|passwd|pwd|secret|token|api_?key"
 _OCTET = "(?:25[0-5]|2[0-4]\\d|1?\\d?\\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: Characters of an IBAN by country, so that one in groups of four ends where it should.
+_IBAN = {15: "NO", 16: "BE", 18: "DK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+         23: "AE|GI|IL|IQ|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+         28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU"}
+_GROUPED_IBAN = "|".join(f"(?:{c})\\d{{2}}(?:[ -][A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f"[ -][A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _IBAN.items())
+_WORD = "\\p{Lu}(?:\\p{L}|['’-](?!s\\b)(?=\\p{L}))+"
 #: What counts as personal data or a secret; an earlier kind wins at the same place.
 PATTERNS = {
     "email": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
     "ip": f"(?<![\\d.])(?:{_OCTET}\\.){{3}}{_OCTET}(?!\\.?\\d)",
+    # eight groups, or :: behind a first group of three digits or more, with a decimal digit; times and slices have neither
+    "ipv6": f"(?<![\\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]*\\d)[0-9A-Fa-f]{{3,4}}:(?:{_HEX}:){{0,5}}(?::{_HEX}){{1,6}}|"
+            f"(?=[A-Fa-f:]*\\d)[0-9A-Fa-f]{{3,4}}:(?:{_HEX}:){{1,6}}:)(?![\\w:])",
     "key": "\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b",
     "secret": f"(?<=(?i:{_SECRET})\\s{{0,2}}[=:]\\s{{0,2}}[\"']?)[A-Za-z0-9_/+.~-]{{5,}}[A-Za-z0-9_/+~-]",
-    "iban": "\\b[A-Z]{2}\\d{2}[A-Z0-9]{11,30}\\b",
-    "card": "(?<![\\w.-])\\d{4}(?:[ -]?\\d{4}){2}[ -]?\\d{1,7}(?![\\w-])",
+    "iban": f"\\b[A-Z]{{2}}\\d{{2}}[A-Z0-9]{{11,30}}\\b|\\b(?=[A-Z]{{2}}\\d{{2}}[ -])(?=(?:[A-Z -]*\\d){{6}})(?:{_GROUPED_IBAN})\\b",
+    "card": "(?<![\\w.-])\\d{4}(?:[ -]?\\d{4}){2}[ -]?\\d{1,7}(?![\\w-])|(?<![\\w.-])3[04-9]\\d{2}[ -]\\d{6}[ -]\\d{4,5}(?![\\w-])",
     "ssn": "(?<![\\w-])\\d{3}-\\d{2}-\\d{4}(?![\\w-])",
-    "phone": "(?<![\\w+])(?:\\+?\\d{1,3}[ .-]?)?\\(\\d{2,4}\\)[ .-]?\\d{3,4}[ .-]?\\d{3,4}(?!\\d)|(?<![\\w+])\\+\\d{1,3}(?:[ .-]?\\d{2,4}){3,4}(?!\\d)",
-    "name": f"\\b(?:{MALE}|{FEMALE})\\.? \\p{{Lu}}[\\p{{L}}'’-]+(?: \\p{{Lu}}[\\p{{L}}'’-]+)?",
+    "phone": "(?<![\\w+])(?:\\+?\\d{1,3}[ .-]?)?\\(\\d{2,4}\\)[ .-]?\\d{3,4}[ .-]?\\d{3,4}(?!\\d)|(?<![\\w+])\\+\\d{1,3}(?:[ .-]?\\d{2,4}){3,4}(?!\\d)"
+             # without + or parentheses only in the usual groups, and not inside a longer row of numbers
+             "|(?<![\\w.+-])(?<!\\d )(?:(?:1-)?\\d{3}-\\d{3}-\\d{4}|(?:1\\.)?\\d{3}\\.\\d{3}\\.\\d{4}|(?:1 )?[2-9]\\d{2} \\d{3}[ -]\\d{4}"
+             "|0\\d{2,4}[ -]\\d{3,4}[ -]?\\d{3,4}|0\\d{2,4}\\.\\d{3,4}\\.\\d{3,4}|0\\d(?:[ .-]\\d{2}){4})(?![\\w-]|[. ]\\d)",
+    "name": f"\\b(?:{MALE}|{FEMALE})\\.? {_WORD}(?: {_WORD})?",
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds nothing to find; the whole pattern is then not tried.
@@ -34,14 +47,14 @@ _SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "a", "n", "er"), "cyrillic":
 
 def _kind(entity: Column) -> Column:
     out = F.lit("secret")
-    for kind in ("name", "phone", "ssn", "card", "iban", "key", "ip", "email"):
+    for kind in ("name", "phone", "ssn", "card", "iban", "key", "ipv6", "ip", "email"):
         out = F.when(entity.rlike(f"^(?:{PATTERNS[kind]})$"), kind).otherwise(out)
     return out
 
 
-def _canonical(entity: Column) -> Column:
-    """Spellings of one entity agree in this: letters and digits only, without case; addresses keep their dots."""
-    return F.when(entity.rlike("^[0-9.]+$"), entity).otherwise(F.lower(F.regexp_replace(entity, "[^\\p{L}\\d]", "")))
+def _canonical(entity: Column, kind: Column) -> Column:
+    """Spellings of one entity agree in this: letters and digits only, without case; addresses keep their dots and colons."""
+    return F.when(kind.isin("ip", "ipv6"), F.lower(entity)).otherwise(F.lower(F.regexp_replace(entity, "[^\\p{L}\\d]", "")))
 
 
 def _number(stream: Column, k: Column, digits: int = 2) -> Column:
@@ -69,10 +82,10 @@ def _spelled(entity: Column, kind: Column, stream: Column, extra: Column) -> Col
 
     ``extra`` letters in front of an address, or digits behind anything else, widen the form.
     """
-    head = (F.when(kind == "phone", F.char_length(F.regexp_extract(entity, "^\\+\\d{1,3}(?=[ .(-])", 0))).when(kind == "card", 1)
+    head = (F.when(kind == "phone", F.char_length(F.regexp_extract(entity, "^(?:\\+\\d{1,3}|1)(?=[ .(-])", 0))).when(kind == "card", 1)
             .when(kind == "key", 4).when(kind == "iban", 2).otherwise(0))
     tail = F.when(kind == "email", F.char_length(F.regexp_extract(entity, "\\.[A-Za-z]+$", 0))).otherwise(0)
-    letters = F.when(F.lower(entity).rlike("^[0-9a-f]+$"), 6).otherwise(26)
+    letters = F.when(F.lower(entity).rlike("^[0-9a-f:]+$"), 6).otherwise(26)
 
     def one(c, i):
         rank = F.char_length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^0-9A-Za-z]", ""))
@@ -122,7 +135,7 @@ def _words(entity: Column) -> Column:
 
 def surrogate(text: Column, kind: Column, attempt: Column, key: str) -> Column:
     """The surrogate of one part; deterministic in the key, so all mentions of an entity agree."""
-    stream = _stream(key, kind, _canonical(text), attempt)
+    stream = _stream(key, kind, _canonical(text, kind), attempt)
     extra = F.greatest(attempt - (STRICT - 1), F.lit(0))
     return (F.when(kind.isin("given_f", "given_m", "surname"), _named(text, kind, stream, extra))
             .when(kind == "ip", _address(text, stream, extra)).otherwise(_spelled(text, kind, stream, extra)))
@@ -144,7 +157,7 @@ def assign(parts: DataFrame, key: str) -> DataFrame:
     real = distinct.select("kind", F.col("canonical").alias("new"), F.lit(True).alias("real"))
     now = written(distinct.withColumn("attempt", F.lit(0)), "attempts")
     while True:
-        made = written(now.withColumn("new", _canonical(surrogate(F.col("text"), F.col("kind"), F.col("attempt"), key))), "surrogates")
+        made = written(now.withColumn("new", _canonical(surrogate(F.col("text"), F.col("kind"), F.col("attempt"), key), F.col("kind"))), "surrogates")
         owner = made.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canonical")).alias("owner"))
         taken = made.join(owner, ["kind", "new"]).join(real, ["kind", "new"], "left")
         again = F.coalesce("real", F.lit(False)) | (F.struct("attempt", "canonical") != F.col("owner"))
@@ -161,6 +174,9 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     over the whole table), and no surrogate is an entity of the corpus. Form, letter case, script, and
     the gender of names after a title are kept; where a form has too few values, some surrogates are longer. Text around them is unchanged.
 
+    A name is known by a title before it. Its words are then keys of that document: mentions without a
+    title, in any part of the text, get the same surrogates and count as replaced.
+
     Null texts stay null, texts without findings stay as they are, with a count of zero. Null ids and
     repeated rows do not matter. An existing column ``n_replaced`` is replaced. An empty table gives an
     empty table.
@@ -168,7 +184,7 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     source = keyed(docs, id_col, text_col).where(F.col("__text").isNotNull())
     parts = (source.select("__id", "__th", F.explode(F.array_distinct(_found(F.col("__text")))).alias("e"))
              .select("__id", "__th", F.explode(_words(F.col("e"))).alias("p"))
-             .select("__id", "__th", "p.kind", _canonical(F.col("p.text")).alias("canonical"), "p.text"))
+             .select("__id", "__th", "p.kind", _canonical(F.col("p.text"), F.col("p.kind")).alias("canonical"), "p.text"))
     parts = written(parts, "parts")  # far smaller than the texts: only what was found
     exceptions = assign(parts, key)
     marked = parts.join(exceptions, ["kind", "canonical"]).select("__id", "__th", F.concat("kind", F.lit("|"), "canonical").alias("k"), "attempt").distinct()
@@ -180,7 +196,7 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
     full = full.join(own, (F.col("__th") == F.col("__mth")) & F.col(id_col).eqNullSafe(F.col("__mid")), "left")
 
     def attempt(text: Column, kind: Column) -> Column:
-        return F.coalesce(F.element_at("__again", F.concat(kind, F.lit("|"), _canonical(text))), F.lit(0))
+        return F.coalesce(F.element_at("__again", F.concat(kind, F.lit("|"), _canonical(text, kind))), F.lit(0))
 
     def render(entity: Column) -> Column:
         new = F.transform(_words(entity), lambda p: surrogate(p["text"], p["kind"], attempt(p["text"], p["kind"]), key))
@@ -189,6 +205,22 @@ def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col:
 
     full = full.withColumn("__m", _found(F.col(text_col)))
     gaps = F.split(F.col(text_col), _ANY, -1)
+    titled = F.flatten(F.transform(F.filter("__m", lambda e: _kind(e) == "name"), _words))
+    words = F.array_distinct(F.transform(titled, lambda p: p["text"]))
+    full = full.withColumn("__titled", titled).withColumn("__mention", F.when(F.size(words) > 0, F.concat(
+        F.lit("(?<![\\p{L}\\d])(?:"), F.array_join(F.sort_array(words, asc=False), "|"), F.lit(")(?![\\p{L}\\d])"))))
+
+    def mentions(gap: Column) -> Column:
+        return F.regexp_extract_all(gap, F.col("__mention"), F.lit(0))
+
+    def untitled(gap: Column) -> Column:
+        def one(word: Column) -> Column:
+            kind = F.get(F.filter("__titled", lambda p: p["text"] == word), F.lit(0))["kind"]
+            return surrogate(word, kind, attempt(word, kind), key)
+        return F.array_join(F.zip_with(F.split(gap, F.col("__mention"), -1), F.transform(mentions(gap), one), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+    again = F.when(F.col("__mention").isNotNull(), F.aggregate(gaps, F.lit(0), lambda n, g: n + F.size(mentions(g)))).otherwise(0)
+    gaps = F.when(F.col("__mention").isNotNull(), F.transform(gaps, untitled)).otherwise(gaps)
     text = F.when(F.size("__m") > 0, F.array_join(F.zip_with(gaps, F.transform("__m", render), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), ""))
     return full.select(*[F.coalesce(text, F.col(c)).alias(c) if c == text_col else F.col(c) for c in names],
-                       F.when(F.size("__m") > 0, F.size("__m")).otherwise(0).cast("long").alias("n_replaced"))
+                       F.when(F.size("__m") > 0, F.size("__m") + again).otherwise(0).cast("long").alias("n_replaced"))

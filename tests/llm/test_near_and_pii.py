@@ -141,6 +141,25 @@ def test_distinct_entities_stay_distinct(spark):
     assert all(a == b for a, b in out) and len({a for a, _ in out}) == 400 and not {a for a, _ in out} & real
 
 
+def test_usual_spellings_and_untitled_names(spark):
+    private = ["555-123-4567", "555.123.4567", "1-800-555-0199", "020 7946 0958", "01 23 45 67 89", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32",
+               "NO93 8601 1117 947", "3782 822463 10005", "3782-822463-10005", "2001:db8:85a3::8a2e:370:7334", "fe80::1", "2001:0db8:0:0:8:800:200c:417a"]
+    plain = "12:30:45 x[1::2] std::abc 1 000 000 12-34 3.14159.2 2024-01-15 100 200 3000 4 v1.2.3 AB12 CODE NAME page 555-123 0.0123 1234567 10 20 30 40 50"
+    story = "Smith wrote: Mr. John Smith's dog, Mrs. O'Neill. John Smith left; Smith's hat, Smithson, smith. O'Neill and Johnny stayed."
+    rows = [(0, plain), (1, story), *((i + 2, f"see {p}, or so") for i, p in enumerate(private))]
+    out = {r["doc_id"]: r for r in pii.replace_private(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    assert out[0]["text"] == plain and out[0]["n_replaced"] == 0
+    shape = lambda s: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", s)))
+    for i, p in enumerate(private, 2):
+        new = out[i]["text"]
+        assert p not in new and out[i]["n_replaced"] == 1 and new.startswith("see ") and new.endswith(", or so"), (p, new)
+        assert shape(new) == shape(f"see {p}, or so"), (p, new)
+    digits = lambda i: re.sub(r"\D", "", out[i]["text"])
+    assert digits(2) == digits(3) and out[2]["text"] != out[3]["text"] and digits(10) == digits(11)
+    got = re.fullmatch(r"(\w+) wrote: Mr\. (\w+) (\w+)'s dog, Mrs\. (\w+)\. (\w+) (\w+) left; (\w+)'s hat, Smithson, smith\. (\w+) and Johnny stayed\.", out[1]["text"]).groups()
+    assert got[0] == got[2] == got[5] == got[6] != "Smith" and got[1] == got[4] != "John" and got[3] == got[7] and out[1]["n_replaced"] == 7
+
+
 def test_a_form_without_free_values_is_widened(spark):
     """All 10,000 addresses of one-digit octets: none of that form is left for a surrogate."""
     frame = spark.range(10000).select(F.col("id").alias("doc_id"), F.regexp_replace(F.lpad(F.col("id").cast("string"), 4, "0"), "(.)(.)(.)(.)", "$1.$2.$3.$4").alias("text"))
