@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evloom.llm import line_dedup, near_dedup, packing, pii, toxicity
 from evloom.llm.tables import table, written
-from evloom.llm.vocabulary import read_ranks
+from evloom.llm.vocabulary import read_added, read_ranks
 
 #: Key of the surrogates; a deployment passes its own secret.
 SURROGATE_KEY = "corpus"
@@ -56,7 +56,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of 1024 tokens."""
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return packing.pack(docs, ranks, public_tokenizers.PATTERN)
+    return packing.pack(docs, ranks, public_tokenizers.PATTERN, added=read_added(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 STAGES = [("toxicity", toxicity_stage), ("line dedup", line_dedup_stage), ("near dedup", near_dedup_stage),

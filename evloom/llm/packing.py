@@ -57,11 +57,12 @@ def pack_pieces(lengths: list[int], capacity: int, linear: float = 1.0, quadrati
 
 
 def pack(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-         capacity: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024) -> DataFrame:
+         capacity: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 1024,
+         added: tuple[tuple[str, int], ...] = ()) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, piece_cost.
 
     A document is its token ids (rank file content ``ranks``, splits by ``pattern``, ids under 65,536) and
-    ``end_id``. Whole multiples of ``capacity`` become sequences of their own; what remains of each
+    ``end_id``. Texts are split at the tokens ``added`` (text, id) first, which get their ids. Whole multiples of ``capacity`` become sequences of their own; what remains of each
     document is packed by ``pack_pieces`` in groups of about ``GROUP_ROWS`` documents, whose number
     grows with the table, so that no task holds more than one group. Groups are dealt by a hash of id
     and tokens, and equal rows within a task are spread by a running number.
@@ -74,13 +75,13 @@ def pack(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", te
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoding(shared.value, pattern)
+        encoder = encoding(shared.value, pattern, added)
         repeats: Counter[tuple] = Counter()
         for batch in batches:
             row, start, length, crc, total, group, kept = [], [], [], [], [], [], []
             ids = batch.column(0).to_pylist()
             for number, text in enumerate(batch.column(1)):
-                tokens = np.append(encoder.encode_to_numpy(text.as_py() or "", disallowed_special=()), end_id).astype("<u4")
+                tokens = np.append(encoder.encode_to_numpy(text.as_py() or "", allowed_special="all"), end_id).astype("<u4")
                 n = len(tokens)
                 whole = zlib.crc32(tokens.tobytes())
                 key = zlib.crc32(f"{ids[number]} {whole}".encode())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evloom.llm import bpe, chat_format, line_dedup, near_dedup, packing, pii, quality_rules, substring_dedup, topk_search, toxicity
 from evloom.llm.tables import table
-from evloom.llm.vocabulary import read_ranks
+from evloom.llm.vocabulary import read_added, read_ranks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,7 +110,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, sf_dir, "documents"), _ranks(), public_tokenizers.PATTERN,
+                        added=read_added(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @query("op8_chat_format", CHAT)

@@ -68,6 +68,19 @@ def test_packing(spark, awkward, nothing, reference_ids):
     assert packing.pack(nothing, RANKS, PATTERN).count() == 0
 
 
+def test_packing_knows_added_tokens(spark, tmp_path):
+    """The library at its defaults, through the query and the stage of the pipeline."""
+    import corpus_pipeline
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = list(enumerate(["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>\n y", "<|endoftext", "plain  text ", "é<|endoftext|>" * 900]))
+    ids = lambda text: np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+    assert list(ids(texts[0][1])) == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    check_packing(queries.QUERIES["op3_packing"](spark, str(tmp_path)).collect(), texts, ids)
+    check_packing(corpus_pipeline.packing_stage(spark, docs, str(tmp_path)).collect(), texts, ids)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_pack_pieces_places_every_token_once(lengths):
