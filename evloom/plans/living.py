@@ -101,6 +101,11 @@ def _split(spark, sf, df, label, parts=4):
     return path, df.schema
 
 
+def _files(df, rows=20_000):
+    """How many files a lot lands in: two, or more as it grows."""
+    return max(2, -(-df.count() // rows))
+
+
 @query("stream_status", f"""SELECT doi_plain AS doi, {NAME.format(f"max({RANK.format('status')})")} AS status FROM fx_citations WHERE doi_plain IS NOT NULL GROUP BY 1""")
 def stream_status(spark, sf):
     landed, schema = _split(spark, sf, view(spark, sf, "fx_citations").select(F.col("doi_text").alias("doi"), "status"), "citations")
@@ -131,8 +136,8 @@ def upsert_changes(spark, sf):
     out, mark = lv.folders(spark, "upserts")
     path = lv.folders(spark, "landed")[0]
     for part in (first, second):  # the second run resumes behind the first and reads only what is new
-        part.coalesce(1).write.mode("append").parquet(path)
-        lv.run_upsert(lv.landed(spark, path, first.schema, files_per_batch=1), out, mark, "key", ["segment"])
+        part.repartition(_files(part)).write.mode("append").parquet(path)
+        lv.run_upsert(lv.landed(spark, path, first.schema), out, mark, "key", ["segment"])  # all that is new is one batch
     return lv.read_snapshot(spark, out, "key", ["segment"]).groupBy("change").agg(F.count("*").alias("n"))
 
 
@@ -185,8 +190,9 @@ def resumed_ingest(spark, sf):
     path = lv.folders(spark, "pages")[0]
     out, mark = lv.folders(spark, "ingest")
     for lot in lots:
-        lot.coalesce(2).write.mode("append").parquet(path)
-        lv.run_ingest(spark, path, schema, out, mark, "pages of a site")
+        n = _files(lot)
+        lot.repartition(n).write.mode("append").parquet(path)
+        lv.run_ingest(spark, path, schema, out, mark, "pages of a site", files_per_batch=-(-n // 2))
     got = lv.read_ingest(spark, out, schema, "pages of a site")
     return got.agg(F.count("*").alias("pages"), F.sum(F.length("html")).cast("bigint").alias("characters"), F.lit(3).cast("bigint").alias("runs"))
 

@@ -138,17 +138,24 @@ def tick_numbers(spark, sf):
 
 
 @query("scanned_files", """SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(2 AS BIGINT) AS copies FROM documents GROUP BY 1""")
-def scanned_files(spark, sf):
-    """Documents of each source land as one XML file, in two folders; the scan finds every content once, with both copies."""
+def scanned_files(spark, sf, rows_per_file=50_000):
+    """Documents of each source land as XML files, in two folders; the scan finds every content once, with both copies.
+
+    ``rows_per_file`` rows (about 5 MB) at most go to a file, far below the size at which a scan leaves one out, and
+    tasks are dealt by document, so that a large source is many tasks. The number of a row keeps contents apart.
+    """
     from evloom.session import scratch_path
     root = scratch_path(spark, "folder")
-    rows = table(spark, sf, "documents").select(F.col("source").alias("folder"), "source", "doc_id").repartition("folder").sortWithinPartitions("folder", "doc_id")
+    d = table(spark, sf, "documents").select(F.col("source").alias("folder"), "source", "doc_id")
+    rows = (d.repartition(max(1, -(-d.count() // rows_per_file)), "doc_id").sortWithinPartitions("folder", "doc_id")
+            .withColumn("row", F.monotonically_increasing_id()))
     for name in ("first", "second"):
-        rows.write.partitionBy("folder").format("xml").option("rowTag", "document").save(f"{root}/{name}")
+        rows.write.option("maxRecordsPerFile", rows_per_file).partitionBy("folder").format("xml").option("rowTag", "document").save(f"{root}/{name}")
     found = files.scan_folder(spark, root).where("reason is null")
     inside = spark.read.format("xml").schema("doc_id bigint, source string").option("rowTag", "document").load(f"{root}/first")
     per = inside.withColumn("path", F.regexp_replace(F.input_file_name(), "^file:/+", "/")).groupBy("path", "source").agg(F.count("*").alias("documents"))
-    return found.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(per, "path").select("source", "documents", "copies")
+    return found.withColumn("path", F.regexp_replace("path", "^file:/+", "/")).join(per, "path").groupBy("source", "copies").agg(
+        F.sum("documents").alias("documents")).select("source", "documents", "copies")
 
 
 @query("nested_dataset", """SELECT o_orderkey AS experiment, CAST(count(*) AS BIGINT) AS measurements, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")

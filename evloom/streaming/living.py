@@ -114,10 +114,10 @@ def query_hash(*parts: str) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
 
 
-def run_ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, query: str = "") -> None:
+def run_ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, query: str = "", files_per_batch: int = 1) -> None:
     """Land the pages that arrived since the last run of the same query; ``schema`` must hold page_id and complete."""
     name = query_hash(query, schema)
-    _log(landed(spark, path, schema, files_per_batch=1), f"{out}/query={name}", f"{checkpoint}/{name}", lambda batch: batch)
+    _log(landed(spark, path, schema, files_per_batch=files_per_batch), f"{out}/query={name}", f"{checkpoint}/{name}", lambda batch: batch)
 
 
 def read_ingest(spark: SparkSession, out: str, schema: str, query: str = "") -> DataFrame:

@@ -21,6 +21,17 @@ def test_query(spark, con, name):
     assert rows >= 0
 
 
+def test_scan_counts_sources_of_many_files(spark, con, monkeypatch):
+    """Files above the bound are left out by the scan: a source must not be one file that grows with it."""
+    from evloom.plans import structure
+    from evloom.sources import files
+    monkeypatch.setattr(files, "MAX_BYTES", 700)  # seven rows or so; every source has ten
+    for rows, whole in ((3, True), (1000, False)):
+        fn = lambda s, sf: structure.scanned_files(s, sf, rows)  # noqa: E731, B023
+        ok, _, _, message = compare(spark, "scanned_files", fn, ORACLES["scanned_files"], SF, con)
+        assert ok == whole, message
+
+
 def test_only_known_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == {"pooled_intervals", "clustered_estimates"}
 
