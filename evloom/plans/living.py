@@ -178,6 +178,40 @@ def stream_check_activity(spark, sf, files=4):
     return lv.read_check_activity(spark, out).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "source", "records", F.col("complete").cast("string").alias("complete"))
 
 
+def _changes(spark, sf):
+    """Status changes of publications, each sent twice: first one step milder, then as it is."""
+    k = F.col("s_suppkey")
+    final = F.when(k % 6 == 0, "retracted").when(k % 6 == 1, "corrected").when(k % 6 == 2, "concern").otherwise("active")
+    s = table(spark, sf, "supplier").where("s_suppkey % 5 <> 0").select(
+        F.concat(F.lit("pub-"), k).alias("publication_id"), F.concat(F.lit("https://doi.org/10.1234/S"), k).alias("doi"), final.alias("status"))
+    return s, s.withColumn("status", F.when(F.col("status") == "retracted", "corrected").otherwise(F.col("status")))
+
+
+def _cascaded(spark, sf):
+    final, mild = _changes(spark, sf)
+    path, mark = lv.folders(spark, "cascade")
+    lv.land_cascade(view(spark, sf, "fx_documents"), evidence_rows(spark, sf), path)
+    landed = lv.folders(spark, "changes")[0]
+    for part in (mild, final, mild):  # the last one comes late and lowers nothing
+        part.repartition(_files(part)).write.mode("append").parquet(landed)
+        lv.run_cascade(lv.landed(spark, landed, final.schema), path, mark)
+    return path
+
+
+@query("stream_cascade", FLAG + " SELECT document_hash, publication_status, status FROM inval")
+def stream_cascade(spark, sf):
+    """Documents kept by a stream of status changes: the same rows as the batch form gives."""
+    return lv.read_documents(spark, _cascaded(spark, sf))
+
+
+@query("stream_stale", FLAG + f""", e AS (SELECT measurement_id, document_hash FROM fx_measurements UNION ALL SELECT measurement_id, second_document FROM fx_measurements WHERE page = 1)
+SELECT e.measurement_id, 'publication status: ' || {NAME.format(f"max({RANK.format('i.publication_status')})")} AS note
+FROM e JOIN inval i ON i.document_hash = e.document_hash WHERE i.publication_status <> 'active' GROUP BY 1""")
+def stream_stale(spark, sf):
+    """Measurements that the same stream made stale."""
+    return lv.read_stale(spark, _cascaded(spark, sf))
+
+
 @query("resumed_ingest", """SELECT CAST(count(*) AS BIGINT) AS pages, CAST(sum(length(html)) AS BIGINT) AS characters, CAST(3 AS BIGINT) AS runs FROM pages WHERE page_id % 7 <> 0""")
 def resumed_ingest(spark, sf):
     """Pages land in three lots with a run after each; every seventh page never completes, every fifth completes in the last lot."""

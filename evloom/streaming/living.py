@@ -1,7 +1,8 @@
 """Living maintenance with Structured Streaming: monotone status, idempotent upserts, cascades.
 
 Sources are landed files. The only streaming state is a rank per DOI. All other rules keep a reduced log
-per batch, written in ``foreachBatch``: a replayed batch rewrites its own folder, and reading reduces the log.
+per batch, written in ``foreachBatch`` and folded into a base of buckets (``store.MergeLog``): a replayed batch
+rewrites its own folder, and a read touches the base and the few open batches.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from evloom.functions import status as st
 from evloom.functions.dates import next_weekly_check
 from evloom.functions.text import canonical_doi
 from evloom.session import scratch_path
+from evloom.streaming.store import MergeLog, RankedTable, cascade
 
 
 def landed(spark: SparkSession, path: str, schema, fmt: str = "parquet", glob: str | None = None, files_per_batch: int = 0) -> DataFrame:
@@ -38,45 +40,55 @@ def status_updates(stream: DataFrame) -> DataFrame:
             .groupBy("doi").agg(F.max("rank").alias("rank")))
 
 
+def _log(stream: DataFrame, log: MergeLog, checkpoint: str, reduce) -> None:
+    """Append ``reduce(batch)`` of every batch. No watermark and no state: late rows are as good as early ones."""
+    _drain(stream.writeStream.foreachBatch(lambda batch, batch_id: log.append(reduce(batch), batch_id)), checkpoint)
+
+
+def status_log(spark: SparkSession, path: str) -> MergeLog:
+    return MergeLog(spark, path, ["doi"], lambda rows: rows.groupBy("doi").agg(F.max("rank").alias("rank"), F.max("batch_id").alias("batch_id")),
+                    "doi string, rank int, batch_id bigint")
+
+
 def run_status(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Append each batch's changed ranks; a retried batch overwrites its own folder."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    _drain(status_updates(stream).writeStream.outputMode("update").foreachBatch(write), checkpoint)
+    """Append each batch's changed ranks."""
+    log = status_log(stream.sparkSession, path)
+    _drain(status_updates(stream).writeStream.outputMode("update").foreachBatch(log.append), checkpoint)
 
 
 def read_status(spark: SparkSession, path: str) -> DataFrame:
     """Current status per DOI: the highest rank in the change log."""
-    log = spark.read.schema("doi string, rank int, batch_id bigint").parquet(path)
-    return log.groupBy("doi").agg(st.from_priority(F.max("rank")).alias("status"))
+    return status_log(spark, path).rows().groupBy("doi").agg(st.from_priority(F.max("rank")).alias("status"))
 
 
-def _log(stream: DataFrame, path: str, checkpoint: str, reduce) -> None:
-    """Write ``reduce(batch)`` to a folder of each batch; a retried batch overwrites its own folder, so nothing counts twice.
+def _sources() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources"))))
 
-    No watermark and no state: late rows are as good as early ones, and the log is reduced when it is read.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        reduce(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-    _drain(stream.writeStream.foreachBatch(write), checkpoint)
+
+def upsert_log(spark: SparkSession, path: str, key: str) -> MergeLog:
+    def merge(rows: DataFrame) -> DataFrame:
+        return (rows.groupBy(key).agg(F.max(F.struct("batch_id", "last")).alias("w"), F.max("rank").alias("rank"), _sources().alias("sources"))
+                .select("*", "w.batch_id", "w.last"))
+    return MergeLog(spark, path, [key], merge)
 
 
 def run_upsert(stream: DataFrame, path: str, checkpoint: str, key: str, payload: list[str]) -> None:
     """Change log of publications: per batch and key the last payload by ``seq``, the highest status and all sources."""
     c = F.col
-    _log(stream, path, checkpoint, lambda batch: batch.groupBy(key).agg(
+    _log(stream, upsert_log(stream.sparkSession, path, key), checkpoint, lambda batch: batch.groupBy(key).agg(
         F.max(F.struct("seq", *payload)).alias("last"), F.max(st.priority(c("status"))).alias("rank"), F.collect_set("source").alias("sources")))
 
 
 def read_snapshot(spark: SparkSession, path: str, key: str, payload: list[str]) -> DataFrame:
     """Current publications with accumulated sources; ``change`` says what the latest batch did: added, changed or same."""
     c = F.col
-    log = spark.read.parquet(path)
-    earlier = c("batch_id") < F.lit(log.agg(F.max("batch_id")).first()[0])  # one number
+    held = upsert_log(spark, path, key)
+    log = held.rows()
+    earlier = c("batch_id") < F.lit(max(held.batches(-1)))  # the newest batch is never part of the base
     state = lambda when: F.max(F.when(when, F.struct("batch_id", c("last.seq").alias("seq"), *[c(f"last.{p}").alias(p) for p in payload])))
     merged = log.groupBy(key).agg(
         state(F.lit(True)).alias("now"), state(earlier).alias("old"), F.max("rank").alias("rank"), F.max(F.when(earlier, c("rank"))).alias("old_rank"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
+        _sources().alias("sources"))
     differs = c("rank") > c("old_rank")
     for p in payload:
         differs = differs | ~c(f"now.{p}").eqNullSafe(c(f"old.{p}"))
@@ -84,6 +96,11 @@ def read_snapshot(spark: SparkSession, path: str, key: str, payload: list[str])
     return merged.select(key, *[c(f"now.{p}").alias(p) for p in payload], "rank", "sources", change.alias("change"))
 
 
+def notice_log(spark: SparkSession, path: str) -> MergeLog:
+    return MergeLog(spark, path, ["kind", "value"], lambda rows: rows.groupBy("kind", "value").agg(F.max("rank").alias("rank"), F.max("batch_id").alias("batch_id")),
+                    "kind string, value string, rank int, batch_id bigint")
+
+
 def run_notices(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Log of the highest rank per target identifier; the target need not be known yet.
 
@@ -92,7 +109,7 @@ def run_notices(stream: DataFrame, path: str, checkpoint: str) -> None:
     c = F.col
     targets = {"doi": lambda: canonical_doi(c("target_doi")), "pmid": lambda: F.trim("target_pmid"), "pmcid": lambda: F.upper(F.trim("target_pmcid"))}
     known = [F.struct(F.lit(kind).alias("kind"), value().alias("value")) for kind, value in targets.items() if f"target_{kind}" in stream.columns]
-    _log(stream, path, checkpoint, lambda batch: batch.where("direction = 'updates'").select(
+    _log(stream, notice_log(stream.sparkSession, path), checkpoint, lambda batch: batch.where("direction = 'updates'").select(
         st.priority(c("status")).alias("rank"), F.explode(F.array(*known)).alias("t")).select("rank", "t.*").where("value is not null")
         .groupBy("kind", "value").agg(F.max("rank").alias("rank")))
 
@@ -100,7 +117,7 @@ def run_notices(stream: DataFrame, path: str, checkpoint: str) -> None:
 def read_notices(spark: SparkSession, publications: DataFrame, path: str) -> DataFrame:
     """Status of every publication after all notices so far, matched by DOI, PMID or PMCID when it is read."""
     c = F.col
-    log = spark.read.schema("kind string, value string, rank int, batch_id bigint").parquet(path).groupBy("kind", "value").agg(F.max("rank").alias("__raised"))
+    log = notice_log(spark, path).rows().groupBy("kind", "value").agg(F.max("rank").alias("__raised"))
     values = {"doi": lambda: canonical_doi(c("doi")), "pmid": lambda: F.trim("pmid"), "pmcid": lambda: F.upper(F.trim("pmcid"))}
     own = [F.struct(F.lit(kind).alias("kind"), value().alias("value")) for kind, value in values.items() if kind in publications.columns]
     named = publications.select("publication_id", F.explode(F.array(*own)).alias("t")).select("publication_id", "t.*").where("value is not null")
@@ -114,41 +131,95 @@ def query_hash(*parts: str) -> str:
     return hashlib.sha256("\n".join(parts).encode()).hexdigest()[:16]
 
 
+def ingest_log(spark: SparkSession, out: str, schema: str, query: str) -> MergeLog:
+    """Complete pages in the base; a page that is not complete comes again, whole, in a later batch."""
+    def merge(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c not in ("page_id", "batch_id")]
+        return rows.where("complete").groupBy("page_id").agg(F.max(F.struct("batch_id", *rest)).alias("p")).select("page_id", "p.*")
+    return MergeLog(spark, f"{out}/query={query_hash(query, schema)}", ["page_id"], merge, f"{schema}, batch_id bigint")
+
+
 def run_ingest(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, query: str = "", files_per_batch: int = 1) -> None:
     """Land the pages that arrived since the last run of the same query; ``schema`` must hold page_id and complete."""
-    name = query_hash(query, schema)
-    _log(landed(spark, path, schema, files_per_batch=files_per_batch), f"{out}/query={name}", f"{checkpoint}/{name}", lambda batch: batch)
+    _log(landed(spark, path, schema, files_per_batch=files_per_batch), ingest_log(spark, out, schema, query),
+         f"{checkpoint}/{query_hash(query, schema)}", lambda batch: batch)
 
 
 def read_ingest(spark: SparkSession, out: str, schema: str, query: str = "") -> DataFrame:
     """Complete pages of a query; a page that arrived in part and then whole counts once."""
-    log = spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{out}/query={query_hash(query, schema)}")
-    return log.where("complete").groupBy("page_id").agg(F.max(F.struct("batch_id", *[c for c in log.columns if c not in ("page_id", "batch_id")])).alias("p")).select(
-        "page_id", "p.*").drop("batch_id")
+    log = ingest_log(spark, out, schema, query)
+    return log.merge(log.rows()).drop("batch_id")
+
+
+def unique_log(spark: SparkSession, path: str, keys: list[str]) -> MergeLog:
+    return MergeLog(spark, path, keys, lambda rows: rows.groupBy(*keys).agg(F.min(F.struct("batch_id", "first")).alias("f")).select(*keys, "f.batch_id", "f.first"))
 
 
 def run_deduplicated(stream: DataFrame, keys: list[str], path: str, checkpoint: str, time: str = "ts") -> None:
     """Log of the earliest submission per key and batch."""
     rest = [c for c in stream.columns if c not in keys]
-    _log(stream, path, checkpoint, lambda batch: batch.groupBy(*keys).agg(F.min(F.struct(time, *[c for c in rest if c != time])).alias("first")))
+    _log(stream, unique_log(stream.sparkSession, path, keys), checkpoint,
+         lambda batch: batch.groupBy(*keys).agg(F.min(F.struct(time, *[c for c in rest if c != time])).alias("first")))
 
 
 def read_deduplicated(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """One row per key for ever: the submission of the earliest batch, and in it the earliest by time."""
-    log = spark.read.parquet(path)
-    return log.groupBy(*keys).agg(F.min(F.struct("batch_id", "first")).alias("f")).select(*keys, "f.first.*")
+    log = unique_log(spark, path, keys)
+    return log.merge(log.rows()).select(*keys, "first.*")
+
+
+def activity_log(spark: SparkSession, path: str) -> MergeLog:
+    return MergeLog(spark, path, ["window", "source"], lambda rows: rows.groupBy("window", "source").agg(
+        F.sum("records").alias("records"), F.min("complete").alias("complete"), F.max("batch_id").alias("batch_id")))
 
 
 def run_check_activity(stream: DataFrame, path: str, checkpoint: str, width: str = "1 day", time: str = "ts") -> None:
     """Log of record counts per source and time window of each batch."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp"))
-    _log(timed, path, checkpoint, lambda batch: batch.groupBy(F.window(time, width), "source").agg(F.count("*").alias("records"), F.min("complete").alias("complete")))
+    _log(timed, activity_log(stream.sparkSession, path), checkpoint,
+         lambda batch: batch.groupBy(F.window(time, width), "source").agg(F.count("*").alias("records"), F.min("complete").alias("complete")))
 
 
 def read_check_activity(spark: SparkSession, path: str) -> DataFrame:
     """Records per source and window over all batches; open windows and late records are included."""
-    log = spark.read.parquet(path)
-    return log.groupBy("window", "source").agg(F.sum("records").alias("records"), F.min("complete").alias("complete"))
+    log = activity_log(spark, path)
+    return log.merge(log.rows()).drop("batch_id")
+
+
+def cascade_tables(spark: SparkSession, path: str, buckets: int = 32) -> tuple[RankedTable, RankedTable]:
+    """The documents and the measurements that a stream of status changes keeps up to date."""
+    return RankedTable(spark, f"{path}/documents", "document_hash", buckets), RankedTable(spark, f"{path}/measurements", "measurement_id", buckets)
+
+
+def land_cascade(documents: DataFrame, evidence: DataFrame, path: str, buckets: int = 32) -> None:
+    """Documents answer to their DOI and publication id, measurements (of ``evidence``) to the documents they cite."""
+    c = F.col
+    own, cited = cascade_tables(documents.sparkSession, path, buckets)
+    names = F.explode(F.array(F.concat(F.lit("doi:"), canonical_doi(c("doi"))), F.concat(F.lit("publication:"), c("publication_id"))))
+    own.land(documents.select("document_hash", "status"), documents.select("document_hash", names.alias("name")))
+    cited.land(evidence.select("measurement_id").distinct(), evidence.select("measurement_id", c("document_hash").alias("name")))
+
+
+def run_cascade(stream: DataFrame, path: str, checkpoint: str, buckets: int = 32) -> None:
+    """Status changes (publication_id, doi, status) reach documents and, through these, measurements."""
+    c = F.col
+    names = F.explode(F.array(F.concat(F.lit("doi:"), canonical_doi(c("doi"))), F.concat(F.lit("publication:"), c("publication_id"))))
+    changes = stream.where("status <> 'active'").select(names.alias("name"), st.priority(c("status")).alias("rank"))
+    tables = list(cascade_tables(stream.sparkSession, path, buckets))
+    _drain(changes.writeStream.foreachBatch(lambda batch, batch_id: cascade(tables, batch, batch_id)), checkpoint)
+
+
+def read_documents(spark: SparkSession, path: str, rule: str = "workflow", buckets: int = 32) -> DataFrame:
+    """Documents with the state that the changes so far force on them, as ``invalidate`` gives it."""
+    name = st.from_priority(F.col("rank"))
+    return cascade_tables(spark, path, buckets)[0].rows().select(
+        "document_hash", name.alias("publication_status"), F.when(F.col("rank") > 0, document_status(name, rule)).otherwise(F.col("status")).alias("status"))
+
+
+def read_stale(spark: SparkSession, path: str, buckets: int = 32) -> DataFrame:
+    """Measurements that cite a document with a changed status, with the note to add."""
+    return cascade_tables(spark, path, buckets)[1].rows().where("rank > 0").select(
+        "measurement_id", F.concat(F.lit("publication status: "), st.from_priority(F.col("rank"))).alias("note"))
 
 
 def folders(spark: SparkSession, label: str) -> tuple[str, str]:
