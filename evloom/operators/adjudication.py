@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evloom.functions.stats import wilson
-from evloom.operators.primitives import dense_index
 
 SOURCE_TYPES = ["text", "table", "figure", "microscopy"]
 TARGETS = {"accepted_field_precision": 0.98, "text_table": 0.95, "figure": 0.90}
@@ -58,29 +60,35 @@ def counts(decisions: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(c("decisions") == 0, "not_run").when(c("pending") == 0, "completed").otherwise("partial_adjudication"))
 
 
+def poisson_steps() -> list[float]:
+    """Where a uniform draw of 48 bits passes from one weight of mean one to the next."""
+    steps, term = [], math.exp(-1)
+    while not steps or steps[-1] < 1 - 2.0 ** -48:
+        steps.append((steps[-1] if steps else 0.0) + term)
+        term /= len(steps)
+    return steps
+
+
 def family_bootstrap(decisions: DataFrame, seed: str = "2026", replicates: int = 1000) -> DataFrame:
     """Percentile intervals of precision and recall from resampled study families.
 
-    Families are summed first, numbered densely, and drawn by a hash of (seed, replicate, draw), so
-    the result does not depend on partitions. One row; nulls when there are fewer than two families.
+    Every family enters a replicate with a Poisson weight drawn by a hash of (seed, replicate, family), so
+    replicates need no common draw: a task keeps one row of four sums per replicate and these rows, of
+    whatever number of families, are all that is shuffled. The result does not depend on partitions. One
+    row; null bounds when there are fewer than two families.
     """
     c = F.col
-    spark = decisions.sparkSession
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
     d = split(decisions).where("complete")
     family = d.groupBy("study_family").agg(
         n(c("accepted")).alias("acc"), n(c("accepted") & c("correct")).alias("acc_ok"), n(c("recoverable")).alias("rec"),
         n(c("recoverable") & c("accepted") & c("correct")).alias("rec_ok"))
-    numbered = dense_index(family, [c("study_family")], "idx")
-    size = numbered.count()
-    if size < 2:
-        return spark.createDataFrame([(size, None, None, None, None)], "families long, precision_lower double, precision_upper double, recall_lower double, recall_upper double")
-    draws = spark.range(replicates * size).select((c("id") / size).cast("bigint").alias("rep"), (c("id") % size).alias("draw"))
-    text = F.concat_ws(":", F.lit(seed), c("rep").cast("string"), c("draw").cast("string"))
-    draws = draws.select("rep", (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") % size).alias("idx"))
-    sums = draws.groupBy("rep", "idx").agg(F.count("*").alias("m")).join(numbered, "idx").groupBy("rep").agg(
-        *[F.sum(c("m") * c(x)).alias(x) for x in ("acc", "acc_ok", "rec", "rec_ok")])
-    ratio = sums.select(F.try_divide(c("acc_ok"), c("acc")).alias("p"), F.try_divide(c("rec_ok"), c("rec")).alias("r"))
-    q = lambda col, at: F.percentile(col, F.lit(at))
-    return ratio.agg(F.lit(size).cast("bigint").alias("families"), q("p", 0.025).alias("precision_lower"), q("p", 0.975).alias("precision_upper"),
-                     q("r", 0.025).alias("recall_lower"), q("r", 0.975).alias("recall_upper"))
+    every = F.sequence(F.lit(0), F.lit(replicates - 1))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), c("rep").cast("string"), F.coalesce("study_family", F.lit("")))), 1, 12), 16, 10).cast("bigint") / 2.0 ** 48
+    weight = reduce(lambda m, bound: m + (c("u") >= bound).cast("bigint"), poisson_steps(), F.lit(0).cast("bigint"))
+    weighted = (family.withColumn("rep", F.explode(every)).withColumn("u", drawn).withColumn("m", weight))
+    sums = weighted.groupBy("rep").agg(*[F.sum(c("m") * c(x)).alias(x) for x in ("acc", "acc_ok", "rec", "rec_ok")], F.count("*").alias("families"))
+    ratio = sums.select("families", F.try_divide(c("acc_ok"), c("acc")).alias("p"), F.try_divide(c("rec_ok"), c("rec")).alias("r"))
+    q = lambda col, at: F.when(F.max("families") >= 2, F.percentile(col, F.lit(at)))
+    return ratio.agg(F.coalesce(F.max("families"), F.lit(0)).cast("bigint").alias("families"), q("p", 0.025).alias("precision_lower"),
+                     q("p", 0.975).alias("precision_upper"), q("r", 0.025).alias("recall_lower"), q("r", 0.975).alias("recall_upper"))

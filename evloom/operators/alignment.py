@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evloom.functions import text, units
@@ -98,11 +101,138 @@ def in_available(rows: DataFrame, available: DataFrame) -> DataFrame:
     return rows.join(have, "doi", "left_semi")
 
 
-def possible_matches(fields: DataFrame, experiments: DataFrame, reference: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Pairs of condition signatures that agree, with the owners of each signature.
+@dataclass
+class Matches:
+    """Of condition signatures: how many reference rows each may be (and the smallest), and how many experiments each row may be."""
+
+    partners: DataFrame
+    rivals: DataFrame
+
+
+_BITS = {f: 1 << n for n, f in enumerate(CONDITIONS)}
+#: Numbers within the tolerance lie in the same or in neighbouring steps of this size on a logarithmic scale.
+_STEP = 1.005 * -math.log(1 - TOLERANCE)
+#: Below this size numbers share one step: there the absolute tolerance can exceed the relative one.
+_TINY = 1e-6
+_LEAST = math.floor(math.log(_TINY) / _STEP)
+#: So many numerical fields narrow a key by their step; the others only by being numbers.
+_STEPPED = 3
+
+
+def _bit(field: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in _BITS.items() for x in pair])[field]
+
+
+def _mask(fields: Column, counts=None) -> Column:
+    """The condition fields of an array as bits; ``counts`` says which of them to take."""
+    taken = F.filter(fields, counts) if counts else fields
+    return F.aggregate(taken, F.lit(0), lambda m, f: m.bitwiseOR(_bit(f["field"])))
+
+
+def _step(value: Column) -> Column:
+    return F.when(F.abs(value) < _TINY, F.lit(_LEAST)).otherwise(F.greatest(F.floor(F.log(F.abs(value)) / _STEP).cast("int"), F.lit(_LEAST)))
+
+
+def _named(step: Column, sign: Column) -> Column:
+    return F.when(step <= _LEAST, F.lit("n")).otherwise(F.concat(F.lit("n"), sign, step.cast("string")))
+
+
+def _alternatives(value: Column) -> Column:
+    """Keys of all numbers that may agree with ``value``; none for a null."""
+    at, sign = _step(value), F.when(value < 0, "-").otherwise("+")
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: _named(at + d, sign))
+    both = F.when(at == _LEAST, F.array(_named(at + 1, F.lit("+")), _named(at + 1, F.lit("-")))).otherwise(F.array().cast("array<string>"))
+    return F.when(value.isNotNull(), F.array_distinct(F.concat(around, both))).otherwise(F.array().cast("array<string>"))
+
+
+def _folded(literal: Column) -> Column:
+    return F.concat(F.lit("t"), text.casefold(text.strip(literal)))
+
+
+def _is_stepped(field: Column) -> Column:
+    """Among the first numerical fields of the class; ``numbers`` and ``shared`` are columns of the class."""
+    before = F.col("numbers").bitwiseAND(F.col("shared")).bitwiseAND(_bit(field) - 1)
+    return F.bit_count(before) < _STEPPED
+
+
+def _keys(fields: Column, of) -> Column:
+    """All joined keys of an array of fields, given the alternatives of each field."""
+    one = F.array(F.lit(""))
+    return F.aggregate(fields, one, lambda keys, f: F.flatten(F.transform(keys, lambda k: F.transform(of(f), lambda x: F.concat(k, F.lit("\n"), x)))))
+
 
-    Experiments of one DOI that state the same conditions are compared once, and so are reference
-    rows: a DOI with a third of all records is compared signature by signature, not row by row.
+def _candidate_key(f: Column) -> Column:
+    number = F.when(_is_stepped(f["field"]), _alternatives(f["actual"])).otherwise(F.array(F.lit("n")))
+    return F.when(F.col("numbers").bitwiseAND(_bit(f["field"])) != 0, number).otherwise(F.array(f["folded"]))
+
+
+def _reference_key(f: Column) -> Column:
+    sign = F.when(f["goal"] < 0, "-").otherwise("+")
+    number = F.when(_is_stepped(f["field"]), _named(_step(f["goal"]), sign)).otherwise(F.lit("n"))
+    return F.array(F.when(f["goal"].isNotNull(), number).otherwise(f["folded"]))
+
+
+def condition_meetings(e: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What of the two sides has to be compared, and which signatures stand behind each part.
+
+    A reference signature has a class: the fields it states and which of them are numbers. For each class
+    of its DOI an experiment signature is reduced to the fields both state; equal reductions are one. Two
+    reductions meet only if every shared field has the same literal or neighbouring numbers, through one
+    key over all of them, so that a value common to a whole DOI makes no pairs by itself.
+
+    ``e``: doi, esig, fields, experiments. ``r``: doi, rsig, rfields, rows. Returns (meetings with both
+    reductions, esig to reduction, rsig to reduction).
+    """
+    c = F.col
+    e = e.withColumn("emask", _mask(c("fields")))
+    r = r.withColumn("stated", _mask(c("rfields"))).withColumn("numbers", _mask(c("rfields"), lambda f: f["goal"].isNotNull()))
+    classes = r.select("doi", "stated", "numbers").distinct()
+    both = c("emask").bitwiseAND(c("stated"))
+    shared_by = e.select("doi", "emask").distinct().join(classes, "doi").withColumn("shared", both).where(F.bit_count("shared") >= 2)
+    keys = ["doi", "stated", "numbers", "shared"]
+
+    def reduced(side: DataFrame, fields: str) -> DataFrame:
+        kept = F.filter(c(fields), lambda f: c("shared").bitwiseAND(_bit(f["field"])) != 0)
+        return side.withColumn("kept", kept).withColumn("part", F.sha2(F.to_json(F.struct(*keys, "kept")), 256))
+
+    left = cut(reduced(e.join(shared_by, ["doi", "emask"]), "fields").select(*keys, "esig", "experiments", "kept", "part"))
+    right = cut(reduced(r.join(shared_by.select(*keys).distinct(), ["doi", "stated", "numbers"]), "rfields").select(*keys, "rsig", "rows", "kept", "part"))
+    ours = left.groupBy(*keys, "part").agg(F.first("kept").alias("fields"), F.sum("experiments").alias("experiments"))
+    theirs = right.groupBy(*keys, "part").agg(F.first("kept").alias("rfields"), F.sum("rows").alias("rows"), F.min("rsig").alias("rsig"))
+    ours = ours.withColumn("key", F.explode(_keys(c("fields"), _candidate_key))).withColumnRenamed("part", "epart")
+    theirs = theirs.withColumn("key", F.element_at(_keys(c("rfields"), _reference_key), 1)).withColumnRenamed("part", "rpart")
+    return ours.join(theirs, [*keys, "key"]).drop("key"), left.select("esig", c("part").alias("epart")), right.select("rsig", c("part").alias("rpart"))
+
+
+def _agreeing(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs without a shared field that disagrees; ``pairs``: keys, fields, rfields and what else to keep."""
+    c = F.col
+    shared = F.filter(c("fields"), lambda f: F.exists("rfields", lambda g: g["field"] == f["field"]))
+    rest = [x for x in pairs.columns if x not in ("fields", "rfields", *keys)]
+    opened = pairs.select(*keys, *rest, "rfields", F.explode_outer(shared).alias("f"))
+    ref_of = F.filter(c("rfields"), lambda g: g["field"] == c("f.field"))
+    flat = opened.select(*keys, *rest, "f.*", F.try_element_at(ref_of, F.lit(1))["reference"].alias("reference")).drop("actual", "folded")
+    return with_agreement(flat).groupBy(*keys).agg(
+        *[F.first(x).alias(x) for x in rest], F.sum(F.when(c("field").isNotNull() & ~c("agreement"), 1).otherwise(0)).alias("against")).where("against = 0")
+
+
+def _with_actual(e: DataFrame) -> DataFrame:
+    """Signatures whose fields also hold the number in the unit of the reference, and the folded literal."""
+    c = F.col
+    opened = e.select("doi", "esig", "experiments", F.explode_outer("fields").alias("f")).select("doi", "esig", "experiments", "f.*")
+    j = units.attach_conversion(opened, c("field"), c("unit"), FIELD_UNITS, aliases=False)
+    convertible = c("field").isin(*FIELD_UNITS) & (F.coalesce(c("unit"), F.lit("")) != "")
+    told = F.struct("field", "raw", "value", "unit", "qualifier", "basis", "ambiguous", F.when(convertible, units.converted(c("value"))).otherwise(c("value")).alias("actual"),
+                    _folded(F.coalesce(c("raw"), F.lit("None"))).alias("folded"))
+    return cut(j.groupBy("doi", "esig").agg(F.first("experiments").alias("experiments"), F.array_sort(F.collect_list(F.when(c("field").isNotNull(), told))).alias("fields")))
+
+
+def possible_matches(fields: DataFrame, experiments: DataFrame, reference: DataFrame, rows: DataFrame) -> tuple[Matches, DataFrame, DataFrame]:
+    """Which condition signatures agree, with the owners of each signature.
+
+    Experiments of one DOI that state the same conditions are compared once, and so are reference rows.
+    A DOI with one reference row asks for no shared field; otherwise two signatures must share at least
+    two fields, all in agreement, and meet through an index of conditions.
     """
     c = F.col
     relevant = fields.where(c("field").isin(*CONDITIONS)).withColumn("__v", F.struct("field", "raw", "value", "unit", "qualifier", "basis", "ambiguous"))
@@ -116,30 +246,28 @@ def possible_matches(fields: DataFrame, experiments: DataFrame, reference: DataF
     empty = F.array().cast(packed_rows.schema["rfields"].dataType)
     refs = cut(rows.select("row_id", "doi").join(packed_rows, "row_id", "left").withColumn("rfields", F.coalesce("rfields", empty))
             .withColumn("rsig", F.sha2(F.to_json(F.struct("doi", "rfields")), 256)))
-    e = exps.groupBy("doi", "esig").agg(F.first("fields").alias("fields"), F.count("*").alias("experiments"))
+    # only sources with reference rows are compared at all
+    e = _with_actual(exps.join(rows.select("doi").distinct(), "doi", "left_semi").groupBy("doi", "esig").agg(F.first("fields").alias("fields"), F.count("*").alias("experiments")))
     r = refs.groupBy("doi", "rsig").agg(F.first("rfields").alias("rfields"), F.count("*").alias("rows"))
-    per_doi = refs.groupBy("doi").agg(F.count("*").alias("rows_in_doi"))
-    pairs = e.join(r.join(per_doi, "doi"), "doi")
-    shared = F.filter(c("fields"), lambda f: F.exists("rfields", lambda g: g["field"] == f["field"]))
-    opened = pairs.select("doi", "esig", "rsig", "experiments", "rows", "rows_in_doi", "rfields", F.explode_outer(shared).alias("f"))
-    ref_of = F.filter(c("rfields"), lambda g: g["field"] == c("f.field"))
-    flat = opened.select("doi", "esig", "rsig", "experiments", "rows", "rows_in_doi", "f.*", F.try_element_at(ref_of, F.lit(1))["reference"].alias("reference"))
-    judged = with_agreement(flat)
-    n = F.count("field")
-    agreed = judged.groupBy("doi", "esig", "rsig").agg(
-        F.first("experiments").alias("experiments"), F.first("rows").alias("rows"), F.first("rows_in_doi").alias("rows_in_doi"),
-        n.alias("shared"), F.sum(F.when(c("field").isNotNull() & ~c("agreement"), 1).otherwise(0)).alias("against"))
-    ok = agreed.where((c("against") == 0) & ((c("rows_in_doi") == 1) | (c("shared") >= 2)))
-    return cut(ok.select("doi", "esig", "rsig", "experiments", "rows")), exps.select("experiment_id", "doi", "esig"), refs.select("row_id", "doi", "rsig")
-
-
-def align(pairs: DataFrame, exps: DataFrame, refs: DataFrame) -> DataFrame:
+    r = cut(r.withColumn("rfields", F.transform("rfields", lambda g: F.struct(
+        g["field"].alias("field"), g["reference"].alias("reference"), text.parse_cell(g["reference"])["value"].alias("goal"), _folded(g["reference"]).alias("folded")))))
+    per_doi = refs.groupBy("doi").agg((F.count("*") == 1).alias("alone"))
+    r = r.join(per_doi, "doi")
+    alone = _agreeing(e.join(r.where("alone").drop("alone"), "doi").drop("doi"), ["esig", "rsig"])
+    met, e_parts, r_parts = condition_meetings(e, r.where("not alone").drop("alone"))
+    agreed = cut(_agreeing(met.select("epart", "rpart", "fields", "rfields", "experiments", "rows", "rsig"), ["epart", "rpart"]))
+    partners = e_parts.join(agreed.groupBy("epart").agg(F.sum("rows").alias("rows"), F.min("rsig").alias("rsig")), "epart").select("esig", "rows", "rsig")
+    rivals = r_parts.join(agreed.groupBy("rpart").agg(F.sum("experiments").alias("experiments")), "rpart").select("rsig", "experiments")
+    found = Matches(partners.unionByName(alone.select("esig", "rows", "rsig")).groupBy("esig").agg(F.sum("rows").alias("partners"), F.min("rsig").alias("rsig")),
+                    rivals.unionByName(alone.select("rsig", "experiments")).groupBy("rsig").agg(F.sum("experiments").alias("rivals")))
+    return found, exps.select("experiment_id", "doi", "esig"), refs.select("row_id", "doi", "rsig")
+
+
+def align(matches: Matches, exps: DataFrame, refs: DataFrame) -> DataFrame:
     """(experiment_id, doi, outcome, row_id): matched only if each side has exactly one partner."""
     c = F.col
-    for_exp = pairs.groupBy("esig").agg(F.sum("rows").alias("partners"), F.min("rsig").alias("rsig"))
-    for_row = pairs.groupBy("rsig").agg(F.sum("experiments").alias("rivals"))
     single = refs.groupBy("rsig").agg(F.min("row_id").alias("row_id"))
-    j = (exps.join(for_exp, "esig", "left").join(for_row, "rsig", "left").join(single, "rsig", "left"))
+    j = exps.join(matches.partners, "esig", "left").join(matches.rivals, "rsig", "left").join(single, "rsig", "left")
     matched = (c("partners") == 1) & (c("rivals") == 1)
     return j.select("experiment_id", "doi", F.when(matched, "matched").when(c("partners") >= 1, "ambiguous").otherwise("unmatched").alias("outcome"),
                     F.when(matched, c("row_id")).alias("row_id"), F.coalesce("partners", F.lit(0)).alias("candidate_rows"))

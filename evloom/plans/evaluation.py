@@ -43,8 +43,8 @@ def aligned(spark, sf):
         "experiment_id", "x.*", F.lit(None).cast("double").alias("value"), null.alias("basis"))
     none = syn.with_normalized(view(spark, sf, "fx_measurements").where("status = 'unused'"))
     fields = cut(al.candidate_fields(attrs, none))
-    pairs, exps, refs = al.possible_matches(fields, al.in_available(e.select("experiment_id", "doi"), available(spark, sf)), reference, ids)
-    return al.align(pairs, exps, refs), fields, reference, ids
+    matches, exps, refs = al.possible_matches(fields, al.in_available(e.select("experiment_id", "doi"), available(spark, sf)), reference, ids)
+    return al.align(matches, exps, refs), fields, reference, ids
 
 
 ALIGN = """WITH ref AS (SELECT reference_row_id AS row_id, doi, oil_type, emulsion_type, droplet_um FROM fx_reference_rows),
@@ -195,10 +195,10 @@ def decision_violations(spark, sf):
 @query("family_bootstrap", f"""WITH d AS (SELECT * FROM fx_decisions WHERE reviewer IS NOT NULL),
 fam AS (SELECT study_family, sum(CASE WHEN accepted THEN 1 ELSE 0 END) AS acc, sum(CASE WHEN accepted AND correct THEN 1 ELSE 0 END) AS acc_ok,
   sum(CASE WHEN recoverable THEN 1 ELSE 0 END) AS rec, sum(CASE WHEN recoverable AND accepted AND correct THEN 1 ELSE 0 END) AS rec_ok FROM d GROUP BY 1),
-num AS (SELECT *, row_number() OVER (ORDER BY study_family) - 1 AS idx, count(*) OVER () AS f FROM fam),
-draw AS (SELECT r.range AS rep, CAST('0x' || substr(md5('2026:' || r.range || ':' || n.idx), 1, 12) AS BIGINT) % n.f AS idx FROM range(1000) r, num n),
-q AS (SELECT rep, sum(acc_ok) / sum(acc) AS p, sum(rec_ok) / sum(rec) AS r FROM draw JOIN num USING (idx) GROUP BY 1)
-SELECT (SELECT CAST(max(f) AS BIGINT) FROM num) AS families, {sql_stable('quantile_cont(p, 0.025)')} AS precision_lower, {sql_stable('quantile_cont(p, 0.975)')} AS precision_upper,
+draw AS (SELECT r.range AS rep, fam.*, CAST(CAST('0x' || substr(md5('2026:' || r.range || ':' || study_family), 1, 12) AS BIGINT) AS DOUBLE) / CAST(281474976710656 AS DOUBLE) AS u FROM range(1000) r, fam),
+wt AS (SELECT *, {' + '.join(f"CAST(u >= CAST('{x!r}' AS DOUBLE) AS BIGINT)" for x in adj.poisson_steps())} AS m FROM draw),
+q AS (SELECT rep, sum(m * acc_ok) / sum(m * acc) AS p, sum(m * rec_ok) / sum(m * rec) AS r FROM wt GROUP BY 1 HAVING sum(m * acc) > 0 AND sum(m * rec) > 0)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM fam) AS families, {sql_stable('quantile_cont(p, 0.025)')} AS precision_lower, {sql_stable('quantile_cont(p, 0.975)')} AS precision_upper,
   {sql_stable('quantile_cont(r, 0.025)')} AS recall_lower, {sql_stable('quantile_cont(r, 0.975)')} AS recall_upper FROM q""")
 def family_bootstrap(spark, sf):
     b = adj.family_bootstrap(view(spark, sf, "fx_decisions"))
