@@ -80,6 +80,34 @@ def dense_index(df: DataFrame, order: list[Column], name: str) -> DataFrame:
         "__pid", "__seq", "__before", "__first", "__n")
 
 
+def group_ordinals(df: DataFrame, keys: list[str], order: list[Column], name: str, block: int = 100_000) -> DataFrame:
+    """Number the rows of every group 1, 2, 3, … in the given order, for groups of any size.
+
+    All rows are numbered through range partitions by (keys, order); a group is then a span of numbers, and
+    a row's ordinal its distance from the start of the span. Spans are looked up by key and block of
+    numbers, so that a lookup key has at most ``block`` rows however large its group is. Null keys are a
+    group of their own. The running number stays in the result as ``name`` + "_at".
+    """
+    at = f"{name}_at"
+    placed = cut(dense_index(df, [*[F.asc_nulls_first(k) for k in keys], *order], at))
+    spans = placed.groupBy(*keys).agg(F.min(at).alias("__from"), F.max(at).alias("__to"))
+    blocks = F.sequence(F.floor(F.col("__from") / block), F.floor(F.col("__to") / block))
+    starts = spans.select(*keys, "__from", F.explode(blocks).alias("__block"))
+    found = null_safe(placed.withColumn("__block", F.floor(F.col(at) / block)), starts, [*keys, "__block"])
+    return found.withColumn(name, F.col(at) - F.col("__from") + 1).drop("__from", "__block")
+
+
+def next_in_group(numbered: DataFrame, keys: list[str], name: str, columns: dict[str, str]) -> DataFrame:
+    """Columns of the following row of the same group, under new names; null for the last one.
+
+    ``numbered`` comes from ``group_ordinals``. Neighbours find each other by their running numbers, all
+    different, so no group is ordered in one task.
+    """
+    at = f"{name}_at"
+    following = numbered.where(F.col(name) > 1).select((F.col(at) - 1).alias(at), *[F.col(c).alias(new) for c, new in columns.items()])
+    return numbered.join(following, at, "left")
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str = "median",
                  weight: str | None = None, slices: int = 32) -> DataFrame:
     """Exact median per group, for groups of any size.

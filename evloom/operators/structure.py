@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evloom.functions import text
+from evloom.operators.primitives import group_ordinals
 
 
 def family_members(measurements: DataFrame, experiments: DataFrame, documents: DataFrame) -> DataFrame:
@@ -146,3 +147,15 @@ def contract_violations(measurements: DataFrame, experiments: DataFrame, numbers
         wild = wild | (c(x).isNotNull() & ~text.finite(c(x)))
     out.append(measurements.where(wild).select(c("measurement_id").cast("string").alias("id"), F.lit("number is not finite").alias("violation")))
     return reduce(DataFrame.unionByName, out)
+
+
+def condition_records(experiments: DataFrame, attributes: DataFrame, unit: str = "document_hash", position: str = "position") -> DataFrame:
+    """What tells apart experiments of a unit that state no condition: their ordinal, from 0, among all of the unit.
+
+    Experiments with conditions are identified by these and get none. Adds ``condition_record``.
+    """
+    c = F.col
+    stated = attributes.select("experiment_id").distinct().withColumn("__stated", F.lit(True))
+    numbered = group_ordinals(experiments, [unit], [c(position).asc(), c("experiment_id").asc()], "__k")
+    return (numbered.join(stated, "experiment_id", "left").withColumn("condition_record", F.when(c("__stated").isNull(), c("__k") - 1))
+            .drop("__stated", "__k", "__k_at"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evloom.functions import text, urls
 from evloom.operators import projections as pr
 from evloom.operators import synthesis as syn
-from evloom.operators.primitives import dense_index
+from evloom.operators.primitives import dense_index, group_ordinals, next_in_group
 from evloom.plans.fixtures import table, view
 from evloom.plans.registry import query, sql_stable, stable
 from evloom.plans.synthesis import current
@@ -312,15 +312,17 @@ arm AS (SELECT m.measurement_id, m.experiment_id, e.study_family, m.page, m.docu
   WHEN outcome <> 'Droplet_Size_um' OR measurement_method IS DISTINCT FROM 'microscopy' OR concentration_basis IS NOT NULL OR time_value IS DISTINCT FROM 7 THEN 'differs from the registered specification' END AS reason,
   CASE WHEN unit = 'nm' THEN value / 1000 ELSE value END AS mean, CASE WHEN unit = 'nm' THEN uncertainty / 1000 ELSE uncertainty END AS sd, n_independent AS n
   FROM m JOIN fx_experiments e ON e.experiment_id = m.experiment_id JOIN fx_documents d ON d.document_hash = m.document_hash),
-p AS (SELECT t.measurement_id AS t, c.measurement_id AS c FROM (SELECT measurement_id, row_number() OVER (PARTITION BY document_hash ORDER BY measurement_id) AS rn, document_hash FROM arm) t
-  JOIN (SELECT measurement_id, row_number() OVER (PARTITION BY document_hash ORDER BY measurement_id) AS rn, document_hash FROM arm) c ON c.document_hash = t.document_hash AND c.rn = t.rn + 1)
-SELECT p.t || '/' || p.c AS contrast_id, CASE WHEN a.reason IS NOT NULL THEN 'treatment: ' || a.reason WHEN b.reason IS NOT NULL THEN 'control: ' || b.reason WHEN a.experiment_id = b.experiment_id THEN 'arms are not distinct'
+p AS (SELECT measurement_id AS t, lead(measurement_id) OVER (PARTITION BY document_hash ORDER BY measurement_id) AS c FROM arm)
+SELECT p.t || '/' || p.c AS contrast_id, CASE WHEN a.reason IS NOT NULL THEN 'treatment: ' || a.reason WHEN b.reason IS NOT NULL THEN 'control: ' || b.reason
+  WHEN a.page % 4 = 3 OR b.page % 4 = 2 THEN 'supplied numbers disagree with the evidence' WHEN a.experiment_id = b.experiment_id THEN 'arms are not distinct'
   WHEN a.study_family <> b.study_family THEN 'arms belong to different study families' END AS reason,
-  CASE WHEN a.reason IS NULL AND b.reason IS NULL AND a.experiment_id <> b.experiment_id AND a.study_family = b.study_family THEN """ + sql_stable("a.mean - b.mean") + """ END AS difference
-FROM p JOIN arm a ON a.measurement_id = p.t JOIN arm b ON b.measurement_id = p.c""")
+  CASE WHEN a.reason IS NULL AND b.reason IS NULL AND a.page % 4 <> 3 AND b.page % 4 <> 2 AND a.experiment_id <> b.experiment_id AND a.study_family = b.study_family THEN """ + sql_stable("a.mean - b.mean") + """ END AS difference
+FROM p JOIN arm a ON a.measurement_id = p.t JOIN arm b ON b.measurement_id = p.c WHERE p.c IS NOT NULL""")
 def derived_contrasts(spark, sf):
-    """Neighbouring measurements of every document proposed as treatment and control."""
-    from pyspark.sql import Window
+    """Neighbouring measurements of every document proposed as treatment and control, most with numbers of their own.
+
+    On every fourth page the supplied mean or replicate count is wrong; the others repeat what the evidence says.
+    """
     c = F.col
     m = view(spark, sf, "fx_measurements")
     once = m.groupBy("measurement_id").agg(F.count("*").alias("k")).where("k = 1").select("measurement_id")
@@ -329,9 +331,12 @@ def derived_contrasts(spark, sf):
     row = lambda n, v: F.struct(F.lit(n).alias("name"), v.alias("text"))
     attrs = e.select("experiment_id", "part", F.explode(F.array(row("outcome_definition", F.lit("mean size")), row("comparator", F.lit("no particles")), row("arms_independent", F.lit("true")))).alias("x")).select(
         "experiment_id", "x.*", F.when((c("part") % 9 == 0) & (c("x.name") == "comparator"), "uncertain").otherwise("accepted").alias("status"), F.lit(1).alias("evidence_count"), F.lit(0).alias("foreign_evidence"))
-    nxt = F.lead("measurement_id").over(Window.partitionBy("document_hash").orderBy("measurement_id"))
-    p = m.select("document_hash", c("measurement_id").alias("treatment_measurement_id"), nxt.alias("control_measurement_id")).where("control_measurement_id is not null").withColumn(
-        "contrast_id", F.concat_ws("/", "treatment_measurement_id", "control_measurement_id"))
+    told = m.select("document_hash", "measurement_id", "page", F.when(c("unit") == "nm", c("value") / 1000).otherwise(c("value")).alias("mean"), c("n_independent").alias("n"))
+    numbered = group_ordinals(told, ["document_hash"], [c("measurement_id").asc()], "place")
+    p = next_in_group(numbered, ["document_hash"], "place", {"measurement_id": "control_measurement_id", "page": "next_page", "n": "next_n"}).where("control_measurement_id is not null").select(
+        F.concat_ws("/", "measurement_id", "control_measurement_id").alias("contrast_id"), c("measurement_id").alias("treatment_measurement_id"), "control_measurement_id",
+        F.when(c("page") % 4 != 0, F.when(c("page") % 4 == 3, c("mean") + 0.25).otherwise(c("mean"))).alias("treatment_mean"),
+        F.when(c("next_page") % 4 == 2, c("next_n") + 1).otherwise(c("next_n")).alias("control_n"))
     spec = {"outcome": "Droplet_Size_um", "measurement_method": "microscopy", "concentration_basis": None, "time_point": "7 day", "outcome_definition": "mean size", "comparator": "no particles", "unit": "um"}
     d = syn.derive_contrasts(p, m, e, syn.experiment_definitions(attrs), spec)
     return d.select("contrast_id", "reason", stable(c("mean_t") - c("mean_c")).alias("difference"))

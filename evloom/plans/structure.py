@@ -498,3 +498,22 @@ def contract_violations(spark, sf):
                  F.when(c("l_partkey") % 300 == 9, F.lit(float("nan"))).otherwise(c("l_quantity")).alias("value"))
     e = l.where("l_partkey % 500 <> 3").select(c("l_partkey").alias("experiment_id")).distinct()
     return sx.contract_violations(m, e, ["value"])
+
+
+@query("element_ids", """SELECT l_orderkey, l_linenumber, position, 'page-' || page || '-' || CASE WHEN kind = 'table' THEN 'table' ELSE 'figure-candidate' END || '-' || k AS element_id FROM (
+  SELECT *, row_number() OVER (PARTITION BY document, page, kind = 'table' ORDER BY kind = 'vector', position) AS k FROM (
+    SELECT l_orderkey, l_linenumber, 'doc-' || l_suppkey AS document, l_linenumber AS page, CASE l_returnflag WHEN 'A' THEN 'vector' WHEN 'N' THEN 'table' ELSE 'raster' END AS kind,
+      CAST(l_orderkey AS BIGINT) * 1000000 + l_partkey AS position FROM lineitem) x) y""")
+def element_ids(spark, sf):
+    """Tables and figure candidates of every page, named by their order on it."""
+    c = F.col
+    kind = F.when(c("l_returnflag") == "A", "vector").when(c("l_returnflag") == "N", "table").otherwise("raster")
+    boxes = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("doc-"), "l_suppkey").alias("document_hash"), c("l_linenumber").alias("page"), kind.alias("kind"),
+                                                (c("l_orderkey").cast("bigint") * 1000000 + c("l_partkey")).alias("position"))
+    return fig.element_ids(boxes).select("l_orderkey", "l_linenumber", "position", "element_id")
+
+
+@query("condition_records", """SELECT experiment_id, CASE WHEN part % 9 = 0 THEN row_number() OVER (PARTITION BY document_hash ORDER BY part, experiment_id) - 1 END AS condition_record FROM fx_experiments""")
+def condition_records(spark, sf):
+    e = view(spark, sf, "fx_experiments").select("experiment_id", "document_hash", F.col("part").alias("position"))
+    return sx.condition_records(e, e.where("position % 9 <> 0")).select("experiment_id", "condition_record")
