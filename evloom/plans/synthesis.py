@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evloom.operators import synthesis as syn
-from evloom.plans.fixtures import view
+from evloom.plans.fixtures import table, view
 from evloom.plans.registry import query, sql_stable, stable
 
 
@@ -105,3 +105,21 @@ SELECT outcome, nunit AS unit, measurement_method, statistic, time_value, time_u
 FROM usable WHERE measurement_method IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7, 8""")
 def group_histogram(spark, sf):
     return syn.histogram(current(spark, sf), 5.0)
+
+
+# unit texts of the query below by number, with the factor to the goal of their outcome and the resulting name; written out by hand
+COMPOUND = [("mg/mL", "Density", 1.0, "milligram / milliliter"), ("m s^-1", "Speed", 1.0, "meter / second"), ("kg·m/s²", "Force", 1.0, "kilogram * meter / second ** 2"),
+            ("J/cm²", "Surface_Energy_mJ_m2", 1e7, "millijoule / meter ** 2"), ("µmol/mg", "Surface_Charge_Density_mmol_g", 1.0, "millimole / gram"),
+            ("mol/m**3", "Electrolyte_Concentration_mM", 1.0, "millimole / liter"), ("N/m", "Surface_Energy_mJ_m2", 1e3, "millijoule / meter ** 2"),
+            ("mg/mL", "Temperature", None, None), ("furlong/week", "Speed", None, None), ("J/(mol K)", "Heat", None, None), ("1/s", "Rate", 1.0, "1 / second")]
+
+
+@query("compound_units", "SELECT l_partkey % " + str(len(COMPOUND)) + " AS k, CAST(count(*) AS BIGINT) AS n, " + sql_stable("max(l_quantity * f)") + " AS largest, max(name) AS normalized_unit, max(CASE WHEN name IS NULL THEN 'unit unsupported or incompatible, normalization withheld' ELSE 'converted, original value retained' END) AS note FROM lineitem JOIN (VALUES "
+       + ", ".join(f"({n}, {f!r}, '{name}')" if name else f"({n}, NULL, NULL)" for n, (_, _, f, name) in enumerate(COMPOUND)) + f") v(i, f, name) ON v.i = l_partkey % {len(COMPOUND)} GROUP BY 1")
+def compound_units(spark, sf):
+    """Quantities in compound units, converted where the outcome has a unit of its own, withheld with a reason where that fails."""
+    c = F.col
+    k = c("l_partkey") % len(COMPOUND)
+    pick = lambda at: F.element_at(F.array(*[F.lit(row[at]) for row in COMPOUND]), (k + 1).cast("int"))
+    m = table(spark, sf, "lineitem").select(k.alias("k"), c("l_quantity").cast("double").alias("value"), pick(0).alias("unit"), pick(1).alias("outcome"), F.lit(None).cast("string").alias("concentration_basis"), F.lit("accepted").alias("status"))
+    return syn.with_normalized(m).groupBy("k").agg(F.count("*").alias("n"), stable(F.max("normalized_value")).alias("largest"), F.max("normalized_unit").alias("normalized_unit"), F.max("normalization_note").alias("note"))
