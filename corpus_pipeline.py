@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evloom.llm import line_dedup, near_dedup, packing, pii, toxicity
-from evloom.llm.tables import table, written
+from evloom.llm.tables import bounded_batches, table, written
 from evloom.llm.vocabulary import read_added, read_ranks
 
 #: Key of the surrogates; a deployment passes its own secret.
@@ -29,6 +29,7 @@ def _recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score one half or more go. Trained on the labels that no test holds out."""
+    bounded_batches(spark)
     labels = table(spark, sf_dir, "labels")
     known = labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     return toxicity.drop_toxic(docs, known)
@@ -55,6 +56,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in a sequence of 1024 tokens."""
+    bounded_batches(spark)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return packing.pack(docs, ranks, public_tokenizers.PATTERN, added=read_added(public_tokenizers.path("byte_bpe_50k.json")))
 

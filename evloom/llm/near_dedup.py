@@ -25,13 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evloom.llm.hashing import mix, word_hashes
-from evloom.llm.tables import written
+from evloom.llm.tables import bounded_batches, slices, written
 from evloom.operators.primitives import connected_components
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-_ROWS = 1000
 _BLOCK = 512
 _SKETCH = 256
 
@@ -104,8 +103,7 @@ def _described(docs: DataFrame, words: int, size: int, bands: int) -> DataFrame:
     """(__id, __n, __a, __b, __bands, __sketch): set size, two set digests, band keys and smallest hashes of every document."""
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), _ROWS):
-                part = batch.slice(at, _ROWS)
+            for part in slices(batch):
                 sets = shingle_sets(part.column(1).to_pylist(), words)
                 some = [s for s in sets if len(s)]
                 keys = iter(band_keys(super_minhash(some, size), bands).view(np.int64).tolist())
@@ -123,8 +121,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= ``percent`` * union."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), _ROWS):
-                part = batch.slice(at, _ROWS)
+            for part in slices(batch):
                 sides = [c.to_pylist() for c in part.columns]
                 other = list(dict.fromkeys(sides[3]))  # leaders repeat
                 right = dict(zip(other, shingle_sets(other, words)))
@@ -228,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one counts for all. Repeated rows, equal texts and extra columns need no care. An empty table gives
     an empty table.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     described = written(_described(source, words, size, bands), "shingles")

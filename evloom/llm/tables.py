@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,35 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut Arrow batches of this session by bytes too: a number of rows says nothing about the memory of long texts.
+
+    A smaller bound that the session already has stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > _BATCH:
+        spark.conf.set(name, str(_BATCH))
+
+
+def slices(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``limit`` bytes, of one row at least."""
+    row = max(1, batch.nbytes // max(1, len(batch)))
+    step = max(1, limit // row)
+    for at in range(0, len(batch), step):
+        part = batch.slice(at, step)
+        # rows differ in size: what is still too large is halved
+        if len(part) > 1 and part.nbytes > 2 * limit:
+            middle = len(part) // 2
+            yield from slices(part.slice(0, middle), limit)
+            yield from slices(part.slice(middle), limit)
+        else:
+            yield part
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Document key and text only, under names that no user column has.
 
