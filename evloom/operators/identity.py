@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evloom.functions import status as st
-from evloom.functions.text import canonical_doi
+from evloom.functions.text import canonical_doi, fingerprint
 from evloom.operators.primitives import connected_components, dense_index
 from evloom.session import cut
 
@@ -54,6 +54,17 @@ def _node(doi: Column, pmid: Column, pmcid: Column, source: Column, source_id: C
                       F.concat_ws(":", source, source_id))
 
 
+def _once(relations: DataFrame) -> DataFrame:
+    """Relations of a work without repeats: equal in whole content, nested values and maps included; the first one stays.
+
+    The content is compared through a digest of its JSON, since maps and deep nests are no grouping keys.
+    """
+    content = [x for x in relations.columns if x not in ("input_pos", "component")]
+    digest = fingerprint(*[F.col(x) for x in content], length=64)
+    return (relations.withColumn("__digest", digest).groupBy("component", "__digest")
+            .agg(F.min_by(F.struct(*content), "input_pos").alias("r")).select("component", "r.*"))
+
+
 def reconcile(citations: DataFrame, relations: DataFrame | None = None) -> Reconciled:
     """Resolve citations to works.
 
@@ -121,7 +132,7 @@ def reconcile(citations: DataFrame, relations: DataFrame | None = None) -> Recon
     related = others.where(~c("related_doi").eqNullSafe(c("__doi"))).select("component", "related_doi").distinct()
     kept = None
     if relations is not None:
-        kept = relations.join(members.where("same_version").select("input_pos", "component"), "input_pos").drop("input_pos").distinct()
+        kept = _once(relations.join(members.where("same_version").select("input_pos", "component"), "input_pos"))
     return Reconciled(records, members, related, kept)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evloom.functions import text
-from evloom.operators.primitives import group_ordinals
+from evloom.operators.primitives import group_ordinals, null_safe
 
 
 def family_members(measurements: DataFrame, experiments: DataFrame, documents: DataFrame) -> DataFrame:
@@ -159,3 +159,51 @@ def condition_records(experiments: DataFrame, attributes: DataFrame, unit: str =
     numbered = group_ordinals(experiments, [unit], [c(position).asc(), c("experiment_id").asc()], "__k")
     return (numbered.join(stated, "experiment_id", "left").withColumn("condition_record", F.when(c("__stated").isNull(), c("__k") - 1))
             .drop("__stated", "__k", "__k_at"))
+
+
+def document_violations(documents: DataFrame) -> DataFrame:
+    """(id, violation) of documents without a text id, filename, SHA-256 or status."""
+    c = F.col
+    needed = {"document_id": "document id is missing", "filename": "filename is missing", "sha256": "hash is missing", "status": "status is missing"}
+    found = F.array_compact(F.array(*[F.when(F.trim(F.coalesce(c(x), F.lit(""))) == "", message) for x, message in needed.items()],
+                                    F.when(~F.lower(c("sha256")).rlike("^[0-9a-f]{64}$"), "hash is not a SHA-256")))
+    return documents.select(F.coalesce("document_id", F.lit("")).alias("id"), F.explode(found).alias("violation"))
+
+
+def snapshot_violations(tables: dict[str, DataFrame], numbers: list[str]) -> DataFrame:
+    """All that forbids publishing documents, experiments and measurements together."""
+    c = F.col
+    m = tables["measurements"]
+    nameless = m.where(F.trim(F.coalesce(c("measurement_id").cast("string"), F.lit(""))) == "").select(F.lit("").alias("id"), F.lit("measurement id is missing").alias("violation"))
+    return (contract_violations(m, tables["experiments"], numbers).unionByName(nameless).unionByName(document_violations(tables["documents"])))
+
+
+def tied_by_label(rows: DataFrame, document: str = "document_hash", label: str = "sample_label") -> DataFrame:
+    """Add ``experiment_key``, the same for all rows of a document whose stripped labels agree; null for a blank label."""
+    stripped = text.strip(F.col(label))
+    return rows.withColumn("experiment_key", F.when(stripped != "", text.fingerprint(F.col(document), stripped)))
+
+
+def merge_conditions(attributes: DataFrame) -> DataFrame:
+    """Attributes of tied experiments: equal ones once, the first value of a name kept, others marked as conflicts.
+
+    ``attributes``: experiment_key, pos, name, text, value, unit, basis, status. Nothing is dropped: a
+    differing value stays as its own row with ``conflict`` true. Rows without a key take no part.
+    """
+    c = F.col
+    merged = merge_attributes(attributes.where("experiment_key is not null").withColumnRenamed("experiment_key", "experiment_id"))
+    first = merged.groupBy("experiment_id", "name").agg(F.min("pos").alias("__first"))
+    return (null_safe(merged, first, ["experiment_id", "name"]).withColumn("conflict", c("pos") > c("__first")).drop("__first")
+            .withColumnRenamed("experiment_id", "experiment_key"))
+
+
+def union_evidence(evidence: DataFrame, owner: list[str], payload: list[str]) -> DataFrame:
+    """Every distinct piece of evidence of an owner once, at its first position.
+
+    Pieces are compared by a digest of their whole content, nested values included, so that the union is one
+    aggregate over rows and no list of an owner's evidence is ever built.
+    """
+    c = F.col
+    keyed = evidence.withColumn("evidence_key", text.fingerprint(*[c(x) for x in payload], length=64))
+    rest = F.struct("pos", *payload)
+    return keyed.groupBy(*owner, "evidence_key").agg(F.min_by(rest, "pos").alias("e")).select(*owner, "evidence_key", "e.*")

@@ -68,6 +68,20 @@ def citation_related(spark, sf):
     return idn.reconcile(citations(spark, sf)).related
 
 
+@query("citation_relations", f"""{GRAPH}, told AS (SELECT input_pos, input_pos % 3 AS t, status AS kind FROM fx_citations UNION ALL SELECT input_pos, 0, status FROM fx_citations WHERE input_pos % 2 = 0)
+SELECT DISTINCT s.component, '10.1234/notice' || t AS target, kind, 'day ' || t AS first_date, 'registry' AS origin FROM told JOIN same s ON s.input_pos = told.input_pos""")
+def citation_relations(spark, sf):
+    """Update relations of every work, once each however many of its records repeat them; they hold an array and a map."""
+    c = F.col
+    r = citations(spark, sf)
+    t = F.explode(F.when(c("input_pos") % 2 == 0, F.array(c("input_pos") % 3, F.lit(0))).otherwise(F.array(c("input_pos") % 3)))
+    told = r.select("input_pos", "status", t.alias("t")).select(
+        "input_pos", F.concat(F.lit("10.1234/notice"), "t").alias("target"), c("status").alias("kind"),
+        F.array(F.struct(F.concat(F.lit("day "), "t").alias("date"))).alias("dates"), F.create_map(F.lit("origin"), F.lit("registry")).alias("more"))
+    found = idn.reconcile(r, told).relations
+    return found.select("component", "target", "kind", c("dates")[0]["date"].alias("first_date"), c("more")["origin"].alias("origin"))
+
+
 @query("canonical_dois", """SELECT input_pos, doi_plain AS doi,
   CASE WHEN doi_plain IS NOT NULL THEN 'doi:' || doi_plain WHEN source = 'arxiv' THEN 'arxiv:' || source_id ELSE source || ':' || source_id END AS citation_key,
   CASE WHEN source = 'arxiv' THEN 'arxiv:arxiv.org/abs/rec-' || input_pos ELSE source || ':' || source_id END AS source_key

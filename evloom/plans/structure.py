@@ -517,3 +517,49 @@ def element_ids(spark, sf):
 def condition_records(spark, sf):
     e = view(spark, sf, "fx_experiments").select("experiment_id", "document_hash", F.col("part").alias("position"))
     return sx.condition_records(e, e.where("position % 9 <> 0")).select("experiment_id", "condition_record")
+
+
+@query("merged_batches", """WITH a AS (SELECT 'doc-' || l_suppkey AS document_hash, CASE WHEN l_linenumber = 7 THEN '' ELSE l_returnflag END AS label, l_linestatus AS text, l_linenumber % 3 AS page,
+  CAST(l_orderkey AS BIGINT) * 1000000000 + l_linenumber * 100000000 + l_partkey * 1000 + l_quantity AS pos FROM lineitem),
+v AS (SELECT document_hash, label, text, min(pos) AS pos FROM a WHERE label <> '' GROUP BY 1, 2, 3), f AS (SELECT document_hash, label, min(pos) AS first FROM v GROUP BY 1, 2),
+e AS (SELECT document_hash, label, text, CAST(count(DISTINCT page) AS BIGINT) AS evidence FROM a WHERE label <> '' GROUP BY 1, 2, 3)
+SELECT v.document_hash, v.label, v.text, CAST(v.pos > f.first AS STRING) AS conflict, e.evidence FROM v JOIN f ON f.document_hash = v.document_hash AND f.label = v.label
+  JOIN e ON e.document_hash = v.document_hash AND e.label = v.label AND e.text = v.text
+UNION ALL SELECT document_hash, '', NULL, NULL, CAST(count(*) AS BIGINT) FROM a WHERE label = '' GROUP BY 1""")
+def merged_batches(spark, sf):
+    """Batches of a document tied by stripped label: values, conflicts and distinct evidence; rows without a label are counted."""
+    c = F.col
+    l = table(spark, sf, "lineitem")
+    label = F.when(c("l_linenumber") == 7, F.lit("  ")).when(c("l_linenumber") % 2 == 0, F.concat(F.lit(" "), "l_returnflag")).otherwise(F.concat("l_returnflag", F.lit("\t ")))
+    a = sx.tied_by_label(l.select(F.concat(F.lit("doc-"), "l_suppkey").alias("document_hash"), label.alias("sample_label"), F.lit("Line").alias("name"), c("l_linestatus").alias("text"),
+                                  F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("basis"), F.lit("accepted").alias("status"),
+                                  F.struct((c("l_linenumber") % 3).alias("page"), F.array(F.lit("cell")).alias("path")).alias("place"),
+                                  (c("l_orderkey").cast("bigint") * 1000000000 + c("l_linenumber") * 100000000 + c("l_partkey") * 1000 + c("l_quantity")).alias("pos")))
+    names = a.where("experiment_key is not null").groupBy("experiment_key", "document_hash").agg(text.strip(F.min("sample_label")).alias("label"))
+    merged = sx.merge_conditions(a)
+    evidence = sx.union_evidence(a.where("experiment_key is not null"), ["experiment_key", "name", "text"], ["place"]).groupBy("experiment_key", "text").agg(F.count("*").alias("evidence"))
+    told = merged.join(evidence, ["experiment_key", "text"]).join(names, "experiment_key").select("document_hash", "label", "text", c("conflict").cast("string").alias("conflict"), "evidence")
+    blank = a.where("experiment_key is null").groupBy("document_hash").agg(F.count("*").alias("evidence"))
+    return told.unionByName(blank.withColumn("label", F.lit("")), allowMissingColumns=True)
+
+
+@query("publication_gate", """SELECT 'published' AS what, CAST(count(*) AS BIGINT) AS n FROM supplier UNION ALL SELECT 'hash is missing', CAST(count(*) AS BIGINT) FROM supplier WHERE s_suppkey % 10 = 0
+UNION ALL SELECT 'filename is missing', CAST(count(*) AS BIGINT) FROM supplier WHERE s_suppkey % 15 = 0""")
+def publication_gate(spark, sf):
+    """A snapshot is published, a faulty successor is refused and leaves the first one readable."""
+    from evloom.sources.publication import Publications
+    from evloom.streaming.living import folders
+    c = F.col
+    m = view(spark, sf, "fx_measurements").groupBy("measurement_id").agg(F.min("experiment_id").alias("experiment_id"), F.min("qualifier").alias("qualifier"), F.min("value").alias("value"))
+    good = {"documents": table(spark, sf, "supplier").select(F.concat(F.lit("doc-"), "s_suppkey").alias("document_id"), F.concat("s_name", F.lit(".pdf")).alias("filename"),
+                                                            F.sha2(c("s_suppkey").cast("string"), 256).alias("sha256"), F.lit("completed").alias("status"), c("s_suppkey").alias("k")),
+            "experiments": view(spark, sf, "fx_experiments").select("experiment_id"), "measurements": m}
+    faulty = good | {"documents": good["documents"].withColumn("sha256", F.when(c("k") % 10 != 0, c("sha256"))).withColumn("filename", F.when(c("k") % 15 == 0, " ").otherwise(c("filename")))}
+    store = Publications(spark, folders(spark, "published")[0])
+    audit = lambda tables: sx.snapshot_violations(tables, ["value"])
+    first = store.publish(good, audit)
+    refused = store.publish(faulty, audit)
+    if first or not refused:
+        raise RuntimeError(f"the gate let a faulty snapshot pass or held a sound one: {first[:3]}")
+    wrong = sx.document_violations(faulty["documents"]).groupBy(c("violation").alias("what")).agg(F.count("*").alias("n"))
+    return store.read()["documents"].agg(F.lit("published").alias("what"), F.count("*").alias("n")).unionByName(wrong)
