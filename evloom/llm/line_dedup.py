@@ -2,96 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evloom.llm.tables import keyed
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2,
-                   min_chars: int = 40, long_chars: int = 200) -> DataFrame:
-    """(__id, __th, __lines): per document the positions of lines that lie in a later copy of a repeated run.
+def _prints(docs: DataFrame, id_col: str, text_col: str, window: int, min_chars: int) -> DataFrame:
+    """(__id, __th, line, windows): selected positions, their line digest and the windows they stand for.
 
-    1. *Fingerprints*: the smallest line hash of every window of ``window`` lines is selected (the last
-       one on ties), so two texts that share a run of ``window`` lines share a fingerprint. A line of
-       ``long_chars`` characters is a window of its own.
-    2. *Positions are joined* on fingerprints that occur at two positions or more.
-    3. *Extension*: around such a position every window that holds it, to the left and to the right,
-       is compared as a whole with the earliest equal window. Overlapping equal windows chain into
-       maximal runs, so a run reaches as far as the lines agree.
-    4. Lines of a run are marked everywhere but at the earliest place (by id, content hash, position).
-
-    Windows with less than ``min_chars`` characters are no evidence and are ignored.
+    ``line`` is a digest of 128 bits. ``windows`` holds (start, content, chars): every window of lines whose smallest
+    hash is at this position, so that each window of a text is named once, and the line alone if it has ``min_chars``.
     """
     source = keyed(docs, id_col, text_col).where(F.col("__text").isNotNull())
     trimmed = F.transform(F.split("__text", "\n"), lambda l: F.btrim(l))
     lines = (source.select("__id", "__th", trimmed.alias("__l"))
              .select("__id", "__th", F.transform("__l", lambda l: F.xxhash64(l)).alias("__h"),
+                     F.transform("__l", lambda l: F.xxhash64(F.lit("line"), l)).alias("__g"),
                      F.transform("__l", lambda l: F.char_length(l)).alias("__c")))
     last = F.size("__h") - 1
 
-    def hashes(start, width):
-        return F.slice(F.col("__h"), start + 1, width)
-
-    def chars(start, width):
-        return F.aggregate(F.slice(F.col("__c"), start + 1, width), F.lit(0), lambda a, c: a + c)
+    def hashes(start: Column) -> Column:
+        return F.slice(F.col("__h"), start + 1, window)
 
     # position of the smallest hash of the window; array_max of (negated order, position) takes the last on ties
-    def minimum(start):
-        low = F.array_min(hashes(start, window))
-        return start + F.array_max(F.transform(hashes(start, window), lambda h, i: F.when(h == low, i).otherwise(-1)))
+    def minimum(start: Column) -> Column:
+        low = F.array_min(hashes(start))
+        return start + F.array_max(F.transform(hashes(start), lambda h, i: F.when(h == low, i).otherwise(-1)))
 
     starts = F.when(last >= window - 1, F.sequence(F.lit(0), last - (window - 1))).otherwise(F.array().cast("array<int>"))
-    minima = F.transform(F.filter(starts, lambda s: chars(s, window) >= min_chars), minimum)
-    alone = F.filter(F.sequence(F.lit(0), last), lambda p: F.element_at("__c", p + 1) >= long_chars)
-    prints = lines.withColumn("__p", F.explode(F.array_distinct(F.concat(minima, alone))))
-    # the lines a window around the position can reach, so that the arrays of a long document are not repeated
-    left = F.greatest(F.lit(0), F.col("__p") - (window - 1))
-    prints = prints.select("__id", "__th", F.col("__p"), left.alias("__left"), F.element_at("__h", F.col("__p") + 1).alias("__f"),
-                           F.slice("__h", left + 1, F.lit(2 * window - 1)).alias("__h"),
-                           F.slice("__c", left + 1, F.lit(2 * window - 1)).alias("__c"))
-    shared = prints.groupBy("__f").agg(F.count("*").alias("__n")).where("__n > 1").select("__f")
-    candidates = prints.join(shared, "__f")
-
-    at = F.col("__p") - F.col("__left")
-    # windows inside the kept slice that hold the position
-    around = F.filter(F.sequence(F.lit(0), at), lambda s: (s + window > at) & (s + window <= F.size("__h")) & (chars(s, window) >= min_chars))
-    wide = F.transform(around, lambda s: F.struct((F.col("__left") + s).alias("start"), F.lit(window).alias("width"),
-                                                  F.xxhash64(hashes(s, window)).alias("content")))
-    own = F.when(F.element_at("__c", at + 1) >= long_chars, F.array(F.struct(
-        F.col("__p").alias("start"), F.lit(1).alias("width"), F.element_at("__h", at + 1).alias("content"))))
-    windows = (candidates.select("__id", "__th", F.explode(F.concat(wide, F.coalesce(own, F.filter(wide, lambda w: F.lit(False))))).alias("__w"))
+    lines = lines.withColumn("__m", F.transform(starts, minimum))
+
+    def named(start: Column, width: int) -> Column:
+        part = [F.xxhash64(F.slice(F.col(name), start + 1, width)) for name in ("__h", "__g")]
+        return F.struct(start.alias("start"), F.struct(part[0].alias("a"), part[1].alias("b")).alias("content"),
+                        F.slice(F.col("__c"), start + 1, width).alias("chars"))
+
+    def described(p: Column) -> Column:
+        held = F.filter(F.sequence(F.greatest(F.lit(0), p - (window - 1)), p), lambda s: F.get(F.col("__m"), s) == p)
+        alone = F.filter(F.array(p), lambda s: F.get(F.col("__c"), s) >= min_chars)
+        return F.struct(F.struct(F.get("__h", p).alias("a"), F.get("__g", p).alias("b")).alias("line"), p.alias("p"),
+                        F.concat(F.transform(held, lambda s: named(s, window)), F.transform(alone, lambda s: named(s, 1))).alias("windows"))
+
+    long = F.filter(F.sequence(F.lit(0), last), lambda p: F.get(F.col("__c"), p) >= min_chars)
+    # described before the explode, so that the arrays of a long document are not repeated for each of its lines
+    found = F.explode(F.transform(F.array_distinct(F.concat(F.col("__m"), long)), described))
+    return lines.select("__id", "__th", found.alias("__d")).select("__id", "__th", "__d.*")
+
+
+def _repeated(rows: DataFrame, key: str, place: Column) -> DataFrame:
+    """(repeated, __first): values of the pair ``key`` that stand at two places or more, and the earliest.
+
+    Grouped by the parts and joined by the whole: the join then deals out both sides anew, and a hot value may be split.
+    """
+    return (rows.groupBy(F.col(f"{key}.a").alias("a"), F.col(f"{key}.b").alias("b")).agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
+            .where(~F.col("__first").eqNullSafe(F.col("__last"))).select(F.struct("a", "b").alias("repeated"), "__first"))
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_chars: int = 40) -> DataFrame:
+    """(__id, __th, __lines): per document the positions of lines that lie in a later copy of a repeated run.
+
+    1. *Fingerprints*: the smallest line hash of every window of ``window`` lines is selected (the last
+       one on ties), so two texts that share a run of ``window`` lines share a fingerprint. So is every
+       line of ``min_chars`` characters.
+    2. *Positions are joined* on fingerprints that occur at two places or more.
+    3. *Extension*: the windows of such a position are compared as a whole with the earliest equal window.
+       A window that has an earlier copy ties its lines together, so from any fingerprint a run grows to the left and
+       to the right as long as the next window agrees as well, however short its lines are.
+    4. Evidence is counted over the whole run: its lines are marked if they have ``min_chars`` characters together.
+       Places are ordered by id, content hash and position, and the earliest place of a line is never marked.
+
+    Windows of a run may have their earliest copies in different documents.
+    """
+    prints = _prints(docs, id_col, text_col, window, min_chars)
+    shared = _repeated(prints, "line", F.struct("__id", "__th", "p")).select("repeated")
+    windows = (prints.join(shared, F.col("line") == F.col("repeated")).select("__id", "__th", F.explode("windows").alias("__w"))
                .select("__id", "__th", "__w.*"))
-    place = F.struct("__id", "__th", "start")
-    first = (windows.groupBy("content", "width").agg(F.min(place).alias("__first"), F.max(place).alias("__last"))
-             .where(~F.col("__first").eqNullSafe(F.col("__last"))).drop("__last"))
-    later = windows.join(first, ["content", "width"]).where(~place.eqNullSafe(F.col("__first")))
-    covered = later.select("__id", "__th", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("__line"))
-    return covered.groupBy("__id", "__th").agg(F.array_sort(F.collect_set("__line")).alias("__lines"))
+    # the characters belong to the place only so that both uses of the windows read the same columns, shuffled once
+    place = F.struct("__id", "__th", "start", "chars")
+    later = (windows.join(_repeated(windows, "content", place), F.col("content") == F.col("repeated"))
+             .where(~place.eqNullSafe(F.col("__first"))))
+    ties = later.select("__id", "__th", "start", F.posexplode("chars").alias("__i", "__n")).select(
+        "__id", "__th", (F.col("start") + F.col("__i")).alias("__line"), "__n", (F.col("__i") > 0).alias("__tied"))
+    # dealt once by document, which then serves the grouping and both windows
+    covered = (ties.repartition("__id", "__th").groupBy("__id", "__th", "__line")
+               .agg(F.max("__n").alias("__n"), F.max("__tied").alias("__tied")))
+    run = F.sum(F.when(F.col("__tied"), 0).otherwise(1)).over(Window.partitionBy("__id", "__th").orderBy("__line"))
+    covered = covered.withColumn("__run", run)
+    size = F.sum("__n").over(Window.partitionBy("__id", "__th", "__run"))
+    marked = covered.withColumn("__size", size).where(F.col("__size") >= min_chars)
+    return marked.groupBy("__id", "__th").agg(F.array_sort(F.collect_set("__line")).alias("__lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2,
-                        min_chars: int = 40, long_chars: int = 200) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_chars: int = 40) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from the text, plus ``n_lines`` and ``n_removed_lines``.
 
     Every row stays, with all its columns; a text whose lines are all repeated becomes empty. Null
     text stays null with zero lines; an empty text has one (empty) line. Null ids rank first. Rows
     that share id and text are one document and share the result: such a row never counts as a later copy of
-    itself. Existing columns named ``n_lines`` or ``n_removed_lines`` are replaced. An empty table
-    gives an empty table.
+    itself. Existing columns named ``n_lines`` or ``n_removed_lines`` are replaced; all others stay as they are,
+    whatever their names. An empty table gives an empty table.
     """
-    marked = (repeated_lines(docs, id_col, text_col, window, min_chars, long_chars)
+    marked = (repeated_lines(docs, id_col, text_col, window, min_chars)
               .withColumnRenamed("__id", "__mid").withColumnRenamed("__th", "__mth"))
-    own = docs.drop("n_lines", "n_removed_lines").withColumn("__th", F.xxhash64(F.col(text_col)))
-    joined = own.join(marked, (F.col("__th") == F.col("__mth")) & F.col(id_col).eqNullSafe(F.col("__mid")), "left")
-    split = joined.withColumn("__l", F.split(text_col, "\n")).withColumn("n_lines", F.coalesce(F.size("__l"), F.lit(0)).cast("long"))
-    split = split.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
+    own = docs.drop("n_lines", "n_removed_lines")
+    names = own.columns
+    # positions instead of names while columns of this function stand beside those of the user
+    at = {name: f"u{i}" for i, name in enumerate(names)}
+    own = own.toDF(*at.values()).withColumn("__th", F.xxhash64(F.col(at[text_col])))
+    joined = own.join(marked, (F.col("__th") == F.col("__mth")) & F.col(at[id_col]).eqNullSafe(F.col("__mid")), "left")
+    split = joined.withColumn("__l", F.split(at[text_col], "\n"))
+    count = F.when(F.col(at[text_col]).isNull(), F.lit(0)).otherwise(F.size("__l")).cast("long")
     # kept lines are the gaps between deleted positions; copying gap by gap stays linear in the lines
     edges = F.concat(F.array(F.lit(-1)), F.col("__lines"), F.array(F.size("__l")))
     split = split.withColumn("__e", F.when(F.col("__lines").isNotNull(), edges))
     gaps = F.transform(F.sequence(F.lit(1), F.size("__e") - 1), lambda k: F.slice(
         F.col("__l"), F.element_at("__e", k) + 2, F.element_at("__e", k + 1) - F.element_at("__e", k) - 1))
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    text = F.when(F.col("__lines").isNull(), F.col(at[text_col])).otherwise(F.array_join(F.flatten(gaps), "\n"))
     removed = F.coalesce(F.when(F.col("__lines").isNotNull(), F.size("__lines")), F.lit(0)).cast("long")
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines")]
-    return split.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], "n_lines", removed.alias("n_removed_lines"))
+    return split.select(*[(text if name == text_col else F.col(at[name])).alias(name) for name in names],
+                        count.alias("n_lines"), removed.alias("n_removed_lines"))

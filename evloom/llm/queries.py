@@ -37,11 +37,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LINES = r"""WITH d AS (SELECT *, string_split(text, chr(10)) AS ls, list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')) AS ts FROM documents),
-w AS (SELECT doc_id, unnest(list_concat(
-    list_transform(list_filter(range(1, len(ts)), lambda i: length(ts[i]) + length(ts[i + 1]) >= 40), lambda i: {'s': i, 'n': 2, 'k': ts[i] || chr(10) || ts[i + 1]}),
-    list_transform(list_filter(range(1, len(ts) + 1), lambda i: length(ts[i]) >= 200), lambda i: {'s': i, 'n': 1, 'k': ts[i]}))) AS x FROM d),
-later AS (SELECT doc_id, s, n FROM (SELECT doc_id, x.s AS s, x.n AS n, row_number() OVER (PARTITION BY x.k, x.n ORDER BY doc_id, x.s) AS rn FROM w) y WHERE rn > 1),
-gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM later) z GROUP BY 1)
+l AS (SELECT doc_id, unnest(range(1, len(ts) + 1)) AS p, unnest(ts) AS t FROM d),
+x AS (SELECT doc_id, p, length(t) AS n, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) > 1 AND length(t) >= 40 AS alone, lag(t) OVER o || chr(10) || t AS pair FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+y AS (SELECT *, pair IS NOT NULL AND row_number() OVER (PARTITION BY pair ORDER BY doc_id, p) > 1 AS tied FROM x),
+z AS (SELECT *, coalesce(lead(tied) OVER (PARTITION BY doc_id ORDER BY p), false) AS ties FROM y),
+r AS (SELECT doc_id, p, n, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM z WHERE alone OR tied OR ties),
+gone AS (SELECT doc_id, list(p) AS ps FROM (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id, run) AS size FROM r) s WHERE size >= 40 GROUP BY 1)
 SELECT d.doc_id, array_to_string(list_transform(list_filter(range(1, len(ls) + 1), lambda i: NOT coalesce(list_contains(ps, i), false)), lambda i: ls[i]), chr(10)) AS text,
   lang, source, n_chars, CAST(len(ls) AS BIGINT) AS n_lines, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed_lines FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id"""
 NEAR = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

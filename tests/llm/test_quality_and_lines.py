@@ -66,19 +66,30 @@ def test_estimate_matches_plain_em(spark):
         assert abs(a - b) < 1e-9
 
 
-def plain_lines(rows, window=2, min_chars=40, long_chars=200):
-    """Lines covered by a window that stands earlier, for rows (id, text) in order with distinct ids."""
+def plain_lines(rows, window=2, min_chars=40):
+    """Runs of lines with an earlier copy, for rows (id, text) in order with distinct ids.
+
+    A boundary between two lines holds if a window over it stands earlier; a run is what lies between boundaries that do not.
+    """
     seen, dropped = set(), {}
     for i, text in sorted(rows):
         lines = [x.strip(" ") for x in text.split("\n")]
-        spans = [(p, p + window) for p in range(len(lines) - window + 1) if sum(map(len, lines[p:p + window])) >= min_chars]
-        spans += [(p, p + 1) for p in range(len(lines)) if len(lines[p]) >= long_chars]
-        drop = set()
-        for a, b in sorted(set(spans)):
-            key = tuple(lines[a:b])
-            if key in seen:
-                drop |= set(range(a, b))
-            seen.add(key)
+        marked, held = [False] * len(lines), [False] * (len(lines) + 1)
+        for width in {window, 1}:
+            for p in range(len(lines) - width + 1):
+                key = tuple(lines[p:p + width])
+                if key in seen and (width == window or len(lines[p]) >= min_chars):
+                    marked[p:p + width] = [True] * width
+                    held[p + 1:p + width] = [True] * (width - 1)
+                seen.add(key)
+        drop, p = set(), 0
+        while p < len(lines):
+            q = p + 1
+            while q < len(lines) and held[q]:
+                q += 1
+            if marked[p] and sum(map(len, lines[p:q])) >= min_chars:
+                drop |= set(range(p, q))
+            p = q
         dropped[i] = (len(drop), "\n".join(x for p, x in enumerate(text.split("\n")) if p not in drop))
     return dropped
 
@@ -101,6 +112,21 @@ def test_line_dedup_matches_plain(spark, awkward, nothing):
     assert line_dedup.drop_repeated_lines(nothing).count() == 0
 
 
+def test_maximal_runs_of_lines(spark):
+    short = "\n".join(f"item {i}" for i in range(15))
+    mixed = "\n".join(["L" * 45, "a", "b", "c", "M" * 45])
+    alone = "only one line of its own kind " * 4
+    rows = [(1, short), (2, "before\n" + short + "\nafter"), (3, mixed), (4, "x\n" + mixed + "\ny"), (5, alone), (6, "p\n" + alone + "\nq"),
+            (7, "yes\nno\nthanks"), (8, "yes\nno\nthanks"), (9, "a\n\n\n"), (10, "\n\n\n" + short)]
+    frame = spark.createDataFrame([(i, t, "t", "l") for i, t in rows], "doc_id long, text string, __th string, __l string")
+    out = line_dedup.drop_repeated_lines(frame)
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert {i: got[i] for i in (2, 4, 6)} == {2: "before\nafter", 4: "x\ny", 6: "p\nq"}
+    assert all(got[i] == t for i, t in rows if i in (1, 3, 5, 7, 8, 9))
+    assert {i: (r["n_removed_lines"], r["text"]) for r in out.collect() for i in [r["doc_id"]]} == plain_lines(rows)
+    assert out.select("__th", "__l").distinct().collect() == [("t", "l")]
+
+
 def test_hot_line_stays_once(spark):
     hot = "z" * 300
     frame = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.concat(F.lit(hot + "\nown "), F.col("id")))
