@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 from evloom.llm.tables import keyed, written
 
-_SENTENCE_END = re.compile(r"[.!?]+\s+|\n+")
+#: Sentence marks that a space follows, marks of scripts that write none, and line breaks.
+_SENTENCE_END = re.compile(r"[.!?\u061f\u06d4\u0964\u0965]+\s+|[\u3002\uff01\uff1f\uff0e]+\s*|\n+")
 
 
-def split_units(text: str, unit_words: int) -> list[tuple[int, int, int, int]]:
+def split_units(text: str, unit_words: int) -> list[tuple[int, int, int, bytes]]:
     """(start, end, words, digest) of the units of a text; together they cover it.
 
-    A unit ends at a line break, or at a sentence end once it holds ``unit_words`` words, so that a
-    passage keeps its units wherever it is pasted. The digest ignores case and the kind of white space.
+    A unit ends at a line break, or at a sentence end once it holds ``unit_words`` words. With one word, as by default,
+    every sentence is a unit, so that the first sentence of a passage does not depend on what stands before it. The digest,
+    of 128 bits, ignores case and the kind of white space.
     """
     units, start = [], 0
     ends = [m.end() for m in _SENTENCE_END.finditer(text)]
@@ -29,16 +31,15 @@ def split_units(text: str, unit_words: int) -> list[tuple[int, int, int, int]]:
         words = text[start:end].split()
         if len(words) >= unit_words or text[end - 1:end] == "\n" or end == len(text):
             if words:
-                digest = xxhash.xxh3_64_intdigest(" ".join(words).lower())
-                units.append((start, end, len(words), digest - (1 << 64) if digest >> 63 else digest))
+                units.append((start, end, len(words), xxhash.xxh3_128_digest(" ".join(words).lower().encode("utf-8", "replace"))))
                 start = end
     return units
 
 
-def repeated_runs(units: list[tuple[int, int, int, int]], repeated: set[int], min_words: int) -> list[tuple[int, int]]:
+def repeated_runs(units: list[tuple[int, int, int, bytes]], repeated: set[int], min_words: int) -> list[tuple[int, int]]:
     """Spans (start, end) of maximal runs of repeated units with at least ``min_words`` words."""
     spans, words, start, end = [], 0, None, 0
-    for k, (unit_start, unit_end, n, _) in enumerate([*units, (0, 0, 0, 0)]):
+    for k, (unit_start, unit_end, n, _) in enumerate([*units, (0, 0, 0, b"")]):
         if k < len(units) and k in repeated:
             start, end, words = unit_start if start is None else start, unit_end, words + n
         else:
@@ -48,13 +49,15 @@ def repeated_runs(units: list[tuple[int, int, int, int]], repeated: set[int], mi
     return spans
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 30, unit_words: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 12, unit_words: int = 1) -> DataFrame:
     """(id, text, n_units, n_removed_chars, removed) for every row of ``docs``.
 
     Units are sentences (at least ``unit_words`` words where the line allows it). A unit is repeated
     if the same normalised unit stands earlier, ordered by id, then content hash, then position;
-    consecutive repeated units of at least ``min_words`` words in all are cut out. ``removed`` lists
-    their offsets in the original text. The earliest occurrence always stays.
+    consecutive repeated units of at least ``min_words`` words in all are cut out, in every document but the first:
+    a single sentence or line of so many words is enough, shorter ones go as part of a run. ``removed`` lists
+    their offsets in the original text. The earliest occurrence always stays. Half a sentence is no unit: where a passage starts
+    or ends within a sentence, its outer words stay.
 
     Null or empty text: no units, text unchanged. Null ids rank first. Rows that share id and text
     share the result. An empty table gives an empty table. Other columns are ignored.
@@ -85,8 +88,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     source = keyed(docs, id_col, text_col)
     id_type = docs.schema[id_col].dataType.simpleString()
-    # split once: both the grouping and the join back read the digests, eight bytes a unit
-    units = (written(source.mapInPandas(digests, f"__id {id_type}, __th bigint, __units array<bigint>"), "units")
+    # split once: both the grouping and the join back read the digests, sixteen bytes a unit
+    units = (written(source.mapInPandas(digests, f"__id {id_type}, __th bigint, __units array<binary>"), "units")
              .select("__id", "__th", F.posexplode("__units").alias("__pos", "__h")))
     place = F.struct("__id", "__th", "__pos")
     # written, so that both sides of the join are dealt by it alone and a hot digest may be split

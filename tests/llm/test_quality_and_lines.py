@@ -144,21 +144,33 @@ def test_units_cover_the_text(text):
     assert sum(u[2] for u in units) == len(text.split())
 
 
+def plain_substrings(rows, min_words=12):
+    """Spans of repeated sentences per id, by the sentences' words themselves instead of digests; distinct ids."""
+    seen, spans = set(), {}
+    for i, text in sorted(rows):
+        parts = [m for m in re.finditer(r"\S.*?(?:[.!?؟۔।॥]+\s+|[。！？．]+\s*|\n+|$(?!\n))", text or "", re.DOTALL)]
+        spans[i], run = [], []
+        for m in [*parts, None]:
+            key = tuple(m.group().lower().split()) if m else None
+            if key in seen:
+                run.append(m)
+                continue
+            seen.add(key) if m else None
+            if sum(len(x.group().split()) for x in run) >= min_words:
+                spans[i].append((run[0].start(), run[-1].end() - run[0].start()))
+            run = []
+    return spans
+
+
 def test_substring_dedup_matches_plain(spark, awkward, nothing):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    seen, want = set(), {}
-    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
-        units = substring_dedup.split_units(r["text"], 4)
-        again = set()
-        for p, u in enumerate(units):
-            again |= {p} if u[3] in seen else set()
-            seen.add(u[3])
-        spans = substring_dedup.repeated_runs(units, again, 30)
-        want[r["doc_id"]] = (len(units), [(a, b - a) for a, b in spans])
+    want = plain_substrings([(r["doc_id"], r["text"]) for r in docs.collect()])
     out = substring_dedup.remove_repeats(docs).collect()
-    assert {r["doc_id"]: (r["n_units"], [tuple(x) for x in r["removed"]]) for r in out} == want
     original = {r["doc_id"]: r["text"] for r in docs.collect()}
     for r in out:
+        # a unit that follows blank lines holds them, the plain sentence starts at its first word
+        got = [(s + len(t) - len(t.lstrip()), len(t.lstrip())) for s, n in r["removed"] for t in [original[r["doc_id"]][s:s + n]]]
+        assert got == want[r["doc_id"]]
         assert len(r["text"]) + r["n_removed_chars"] == len(original[r["doc_id"]])
     rows = substring_dedup.remove_repeats(awkward).collect()
     assert len(rows) == awkward.count() and {r["text"] for r in rows if r["doc_id"] in (4, 5)} == {None, ""}
@@ -166,6 +178,18 @@ def test_substring_dedup_matches_plain(spark, awkward, nothing):
     assert substring_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_every_later_copy_of_a_line_goes(spark):
+    line = "this line of fourteen words stands in every one of the fifty documents here"
+    frame = spark.createDataFrame([(i, f"Own text {i}. Hm {i}.\n{line}\nend {i}") for i in range(50)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(frame).collect()}
+    assert [i for i in out if line in out[i]] == [0] and out[7] == "Own text 7. Hm 7.\nend 7"
+    # a short sentence before a passage does not hide its first sentence
+    passage = " ".join(f"Sentence number {i} has a few words of its own." for i in range(6))
+    frame = spark.createDataFrame([(1, passage), (2, f"Oh. {passage} Bye now."), (3, "これは文です。" + "短い。")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["text"], r["n_units"]) for r in substring_dedup.remove_repeats(frame).collect()}
+    assert out[2][0] == "Oh. Bye now." and out[3] == ("これは文です。短い。", 2)
+
+
 def test_passage_inside_a_line_is_found(spark):
     passage = " ".join(f"Word{i} goes on and on{i}." for i in range(14))
     frame = spark.createDataFrame([(1, f"A start of its own here. {passage} An end."), (2, f"Another one begins so. {passage}"), (3, "Nothing in common here at all.")],
