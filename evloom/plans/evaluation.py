@@ -13,7 +13,8 @@ from evloom.operators import pooling
 from evloom.operators import synthesis as syn
 from evloom.plans.fixtures import view
 from evloom.plans.registry import query, sql_stable, stable
-from evloom.session import cut
+from evloom.session import cut, scratch_path
+from evloom.sources import reference
 
 FIELDS = ["Oil_Type", "Emulsion_Type", "Droplet_Size_um"]
 
@@ -138,6 +139,29 @@ def reference_violations(spark, sf):
         "origin", F.when(k % 9 == 0, "imputed")))
 
 
+@query("landed_reference", """WITH t AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS reference_row_id,
+  CASE WHEN p_partkey % 13 = 0 THEN '{"DOI": "10.1234/s' || p_partkey || '", "Oil_Type": '
+       ELSE '{"DOI": "' || CASE WHEN p_partkey % 7 = 0 THEN 'none' ELSE 'https://doi.org/10.1234/S' || p_partkey END || '", "Oil_Type": "' || p_type || '", "Droplet_Size_um": '
+         || CASE WHEN p_partkey % 11 = 0 THEN '[' || p_size || ']' WHEN p_partkey % 5 = 0 THEN 'null' ELSE CAST(p_size AS STRING) END || '}' END AS raw FROM part),
+r AS (SELECT *, CASE WHEN p_partkey % 13 = 0 THEN 'no JSON object' WHEN p_partkey % 11 = 0 THEN 'nested field' WHEN p_partkey % 7 = 0 THEN 'no valid DOI' END AS reason FROM t)
+SELECT CAST(reference_row_id AS BIGINT) AS reference_row_id, sha256(raw) AS row_hash, reason, CASE WHEN reason IS NULL THEN lower('10.1234/S' || p_partkey) END AS doi,
+  CASE WHEN reason IS NULL THEN p_type END AS oil_type, CASE WHEN reason IS NULL AND p_partkey % 5 <> 0 THEN CAST(p_size AS STRING) END AS droplet
+FROM r JOIN part USING (p_partkey)""")
+def landed_reference(spark, sf):
+    """Reference rows of all parts land as JSON lines, some of them broken, nested or without a DOI, and are read with reasons."""
+    c = F.col
+    k = c("p_partkey")
+    doi = F.when(k % 7 == 0, "none").otherwise(F.concat(F.lit("https://doi.org/10.1234/S"), k))
+    size = F.when(k % 11 == 0, F.concat(F.lit("["), "p_size", F.lit("]"))).when(k % 5 == 0, "null").otherwise(c("p_size").cast("string"))
+    whole = F.concat(F.lit('{"DOI": "'), doi, F.lit('", "Oil_Type": "'), "p_type", F.lit('", "Droplet_Size_um": '), size, F.lit("}"))
+    line = F.when(k % 13 == 0, F.concat(F.lit('{"DOI": "10.1234/s'), k, F.lit('", "Oil_Type": '))).otherwise(whole)
+    path = scratch_path(spark, "reference")
+    view(spark, sf, "part").repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").select(line.alias("value")).write.text(path)
+    field = lambda name: F.try_element_at("fields", F.lit(name))
+    return reference.read_reference_rows(spark, path).select("reference_row_id", "row_hash", "reason", "doi", field("Oil_Type").alias("oil_type"),
+                                                             field("Droplet_Size_um").alias("droplet"))
+
+
 @query("family_partition", """SELECT s_name AS study_family, CASE WHEN CAST(CAST('0x' || substr(sha256('evloom-split:' || s_name), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0 < 0.2
   THEN 'holdout' ELSE 'development' END AS part FROM supplier""")
 def family_partition(spark, sf):
@@ -262,7 +286,9 @@ def pooled_intervals(spark, sf):
 def dependent(spark, sf):
     """Effects of families with several members, and a within-family covariance at correlation 0.5."""
     c = F.col
-    e = effects(spark, sf).where("effect_reason is null").dropDuplicates(["contrast_id"]).select("analysis_id", "contrast_id", "study_family", "yi", "vi")
+    # where an id repeats, the least row stays, whichever task reads it
+    e = effects(spark, sf).where("effect_reason is null").groupBy("contrast_id").agg(F.min(F.struct("analysis_id", "study_family", "yi", "vi")).alias("x")).select(
+        "x.analysis_id", "contrast_id", "x.study_family", "x.yi", "x.vi")
     i, j = e.alias("i"), e.alias("j")
     v = i.join(j, (c("i.analysis_id") == c("j.analysis_id")) & (c("i.study_family") == c("j.study_family"))).select(
         c("i.analysis_id").alias("analysis_id"), c("i.contrast_id").alias("id_i"), c("j.contrast_id").alias("id_j"),

@@ -70,7 +70,8 @@ SELECT status, note, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'accepted', NULL FROM cur) x GROUP BY 1, 2""")
 def reextraction(spark, sf):
     m = view(spark, sf, "fx_measurements").select("document_hash", "measurement_id", "status", "page")
-    current = m.where("page <= 3 and status = 'accepted'").dropDuplicates(["measurement_id"])
+    current = m.where("page <= 3 and status = 'accepted'").groupBy("measurement_id").agg(
+        F.min(F.struct("document_hash", "status", "page")).alias("x")).select("x.document_hash", "measurement_id", "x.status", "x.page")
     return lv.reextract(m, current).groupBy("status", "note").agg(F.count("*").alias("n"))
 
 

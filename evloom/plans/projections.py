@@ -355,7 +355,9 @@ def contrast_reasons(spark, sf):
     return syn.contrast_reasons(x, spec).groupBy(F.size("reasons").alias("reasons")).agg(F.count("*").alias("n"))
 
 
-@query("measurement_view", """SELECT experiment_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT document_hash) AS BIGINT) AS documents FROM fx_measurements GROUP BY 1""")
+@query("measurement_view", f"""WITH {STATE} SELECT measurement_id, experiment_id, document_hash, source_status, page, origin, excerpt, raw_value, unit,
+  CASE WHEN blocked = 1 THEN 'stale' ELSE status END AS status FROM s""")
 def measurement_view(spark, sf):
-    m = current(spark, sf)
-    return m.groupBy("experiment_id").agg(F.count("*").alias("n"), F.countDistinct("document_hash").alias("documents"))
+    """Every measurement with the document it comes from, that document's standing, and the words it was read from."""
+    s = pr.current_state(view(spark, sf, "fx_measurements"), view(spark, sf, "fx_experiments"), view(spark, sf, "fx_documents"))
+    return s.select("measurement_id", "experiment_id", "document_hash", "source_status", "page", "origin", "excerpt", "raw_value", "unit", "status")

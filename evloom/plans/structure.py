@@ -345,13 +345,31 @@ def arxiv_records(spark, sf):
     return r.select("source_id", "doi", "title", F.array_join("authors", ";").alias("authors"), c("year").cast("bigint").alias("year"))
 
 
-@query("provider_union", """SELECT source, CAST(count(*) AS BIGINT) AS n FROM fx_citations WHERE source IN ('openalex', 'arxiv') GROUP BY 1""")
+@query("provider_union", """SELECT source, CASE source WHEN 'crossref' THEN doi_plain WHEN 'pubmed' THEN CAST(input_pos AS STRING) WHEN 'europepmc' THEN 'MED:' || input_pos ELSE source_id END AS source_id,
+  CASE WHEN source = 'pubmed' THEN '10.1234/x' || input_pos ELSE doi_plain END AS doi, title, CASE WHEN source = 'openalex' AND input_pos % 4 = 0 THEN 'retracted' WHEN source = 'europepmc' AND input_pos % 4 = 1 THEN 'retracted' ELSE 'active' END AS status
+FROM fx_citations
+UNION ALL SELECT 'scopus', source_id, doi_plain, title, 'active' FROM fx_citations WHERE source = 'openalex'""")
 def provider_union(spark, sf):
+    """Every landed record of six providers in one table; what OpenAlex knows, Scopus holds as well."""
     c = F.col
-    a = providers.openalex(_item(spark, sf, "openalex", F.struct(c("source_id").alias("id")), providers.OPENALEX_ITEM))
-    xml = F.concat(F.lit("<entry><id>"), c("source_id"), F.lit("</id></entry>"))
-    b = providers.arxiv(view(spark, sf, "fx_citations").where("source = 'arxiv'").select(F.from_xml(xml, providers.ARXIV_ENTRY, {"rowTag": "entry"}).alias("entry")))
-    return providers.union_citations(a, b).groupBy("source").agg(F.count("*").alias("n"))
+    k = c("input_pos").cast("string")
+    doi, title = c("doi_text"), c("title")
+    tag = lambda name, v: F.concat(F.lit(f"<{name}>"), v, F.lit(f"</{name}>"))
+    xml = lambda source, text, schema, row: view(spark, sf, "fx_citations").where(c("source") == source).select(
+        F.from_xml(text, schema, {"rowTag": row}).alias("record"))
+    article = F.concat(F.lit("<PubmedArticle><MedlineCitation>"), tag("PMID", k), tag("Article", tag("ArticleTitle", title)),
+                       F.lit('</MedlineCitation><PubmedData><ArticleIdList><ArticleId IdType="doi">10.1234/X'), k, F.lit("</ArticleId></ArticleIdList></PubmedData></PubmedArticle>"))
+    entry = tag("entry", F.concat(tag("id", c("source_id")), tag("title", title), tag("doi", doi)))
+    parts = [
+        providers.crossref(_item(spark, sf, "crossref", F.struct(doi.alias("DOI"), F.array(title).alias("title")), providers.CROSSREF_ITEM)),
+        providers.openalex(_item(spark, sf, "openalex", F.struct(c("source_id").alias("id"), doi.alias("doi"), title.alias("display_name"), (c("input_pos") % 4 == 0).alias("is_retracted")),
+                                 providers.OPENALEX_ITEM)),
+        providers.europepmc(_item(spark, sf, "europepmc", F.struct(k.alias("id"), F.lit("MED").alias("source"), doi.alias("doi"), title.alias("title"), F.when(c("input_pos") % 4 == 1, "Y").alias("isRetracted")),
+                                  providers.EUROPEPMC_ITEM)),
+        providers.scopus(_item(spark, sf, "openalex", F.struct(c("source_id").alias("dc:identifier"), doi.alias("prism:doi"), title.alias("dc:title")), providers.SCOPUS_ITEM)),
+        providers.pubmed(xml("pubmed", article, providers.PUBMED_ARTICLE, "PubmedArticle"), "record"),
+        providers.arxiv(xml("arxiv", entry, providers.ARXIV_ENTRY, "entry"), "record")]
+    return providers.union_citations(*parts).select("source", "source_id", "doi", "title", "status")
 
 
 @query("id_conversions", """SELECT CAST(c_custkey AS STRING) AS requested_id, 'PMC' || c_custkey AS pmcid FROM customer WHERE c_custkey % 3 <> 0 AND c_custkey % 5 <> 0""")
