@@ -144,6 +144,9 @@ def verify_measurements(measurements: DataFrame, pages: DataFrame) -> DataFrame:
     tied = F.array_contains(counted, c("n_independent").cast("string"))
     independent_bad = c("n_independent").isNotNull() & ~F.when(_find(body, INDEPENDENT), tied).otherwise(F.lit(False))
     technical_bad = c("n_technical").isNotNull() & ~_find(body, TECHNICAL)
+    # each decides a note and a column: tested once per row
+    m = m.withColumns({f"__{name}": F.coalesce(reported & bad, F.lit(False)) for name, bad in {
+        "basis": basis_bad, "spread": spread_bad, "independent": independent_bad, "technical": technical_bad}.items()})
 
     failures = F.array_compact(F.concat(
         F.when(c("__cited"), F.array().cast("array<string>")).otherwise(F.array(F.lit("no source evidence"))),
@@ -157,10 +160,10 @@ def verify_measurements(measurements: DataFrame, pages: DataFrame) -> DataFrame:
         F.array(*[F.when(reported & present(x) & ~literal(x), f"{x} is not literal in the excerpt")
                   for x in ("unit", "time_unit", "measurement_method")],
                 F.when(reported & statistic_bad, "statistic is not named"),
-                F.when(reported & basis_bad, "concentration basis is not supported, withheld"),
-                F.when(reported & spread_bad, "uncertainty is not defined, kept unknown"),
-                F.when(reported & independent_bad, "independent n is not tied to preparations, withheld"),
-                F.when(reported & technical_bad, "technical n is not defined, withheld"),
+                F.when(c("__basis"), "concentration basis is not supported, withheld"),
+                F.when(c("__spread"), "uncertainty is not defined, kept unknown"),
+                F.when(c("__independent"), "independent n is not tied to preparations, withheld"),
+                F.when(c("__technical"), "technical n is not defined, withheld"),
                 F.when(c("origin") == "curve_sample", "curve samples carry no replication"),
                 F.when(c("qualifier") == "missing", "missing observation kept without imputation"))))
     curve = c("origin") == "curve_sample"
@@ -169,10 +172,10 @@ def verify_measurements(measurements: DataFrame, pages: DataFrame) -> DataFrame:
               .when((F.size("ambiguities") > 0) | c("origin").isin("digitized", "derived", "curve_sample"), "uncertain").otherwise("accepted"))
     null = lambda cond, name: F.when(~cond, c(name))
     replaced = {
-        "status": status, "concentration_basis": null(reported & basis_bad, "concentration_basis"),
-        "uncertainty_type": F.when(reported & spread_bad, "unknown").otherwise(c("uncertainty_type")),
-        "n_independent": null((reported & independent_bad) | curve, "n_independent"),
-        "n_technical": null((reported & technical_bad) | curve, "n_technical")}
+        "status": status, "concentration_basis": null(c("__basis"), "concentration_basis"),
+        "uncertainty_type": F.when(c("__spread"), "unknown").otherwise(c("uncertainty_type")),
+        "n_independent": null(c("__independent") | curve, "n_independent"),
+        "n_technical": null(c("__technical") | curve, "n_technical")}
     keep = [x for x in measurements.columns if x not in replaced]
     return out.select(*keep, *[v.alias(k) for k, v in replaced.items()], "failures", "ambiguities",
                       F.concat("failures", "ambiguities").alias("validation_notes"))

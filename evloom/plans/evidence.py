@@ -8,7 +8,7 @@ from evloom.functions import text
 from evloom.operators import verification as ver
 from evloom.plans.fixtures import view
 from evloom.plans.registry import query
-from evloom.session import cut
+from evloom.session import written
 
 NO_TABLES = "array<struct<id:string,rows:array<array<string>>>>"
 CANON = "trim(regexp_replace(replace(replace(lower(replace(replace({0}, '−', '-'), 'µ', 'μ')), 'ß', 'ss'), ' ', ' '), '\\s+', ' ', 'g'))"
@@ -73,8 +73,8 @@ def verified_measurements(spark, sf):
     m = view(spark, sf, "fx_measurements")
     # an id may repeat in the source table, so a row is known by its whole content; derived once, read by both sides of the check
     m = m.withColumn("original", c("measurement_id")).withColumn("measurement_id", F.concat_ws("-", "measurement_id", F.xxhash64(*m.columns)))
-    # dealt out before the cut: a small file is one partition, and what follows a checkpoint keeps its partitions
-    m = cut(m.repartition("measurement_id"))
+    # dealt out and written: a small file is one partition, and each side of the check reads only its own columns
+    m = written(m.repartition("measurement_id"), "rows")
     key = F.concat(F.lit("row-"), "measurement_id")
     page = m.select(key.alias("document_hash"), F.lit(1).cast("bigint").alias("page"), F.concat(F.lit("Results: "), "excerpt", F.lit(".")).alias("text"),
                     F.array().cast(NO_TABLES).alias("tables"), F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit("extracted").alias("text_status"))
