@@ -35,13 +35,12 @@ def unescape(text: str) -> str:
 
 
 def format_conversations(turns: DataFrame, ranks: bytes, pattern: str, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """(conv_id, part, ids, mask, n_chars): the formatted token sequence of every conversation.
+    """(conv_id, part, ids, mask): the formatted token sequence of every conversation.
 
     A conversation is ``<s>`` and, per row in the order of turn, ``[INST]`` role ``[/INST]`` text ``</s>``.
     Role and text are escaped and encoded on their own, so no content can become a control id; the
     reserved ids are spliced between them. The mask is the prefix sum of +1 where a text of
-    ``loss_roles`` starts and -1 where it ends. ``ids`` are little-endian unsigned 32-bit integers,
-    ``mask`` bytes, ``n_chars`` the code points of the formatted text.
+    ``loss_roles`` starts and -1 where it ends. ``ids`` are little-endian unsigned 32-bit integers, ``mask`` bytes.
 
     Null texts and roles are empty; rows without an id form one conversation, with null as its id;
     equal turns are ordered by role, then text; repeated rows are turns of their own. Other columns are
@@ -55,7 +54,7 @@ def format_conversations(turns: DataFrame, ranks: bytes, pattern: str, loss_role
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoding(shared.value, pattern)
         for batch in batches:
-            ids, masks, chars = [], [], []
+            ids, masks = [], []
             for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 parts = [escape(role or ""), escape(text or "")]
                 coded = [encoder.encode_to_numpy(p, disallowed_special=()).astype("<u4") for p in parts]
@@ -66,36 +65,35 @@ def format_conversations(turns: DataFrame, ranks: bytes, pattern: str, loss_role
                     np.add.at(change, starts[[3, 4]], np.array([1, -1], np.int8))
                 ids.append(np.concatenate(pieces).tobytes())
                 masks.append(np.cumsum(change[:-1], dtype=np.int8).tobytes())
-                chars.append(len(ROLE) + len(TEXT) + len(END) + sum(map(len, parts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(masks, pa.binary()), pa.array(chars, pa.int64())],
-                                             ["conv_id", "turn", "role", "text", "ids", "mask", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary()), pa.array(masks, pa.binary())],
+                                             ["conv_id", "turn", "role", "text", "ids", "mask"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: object = assemble  # no id equals it
-        part, chars = 0, 0
+        part = 0
         held: tuple[list[bytes], list[bytes]] = ([], [])
 
         def row() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([key], id_type), pa.array([part], pa.int64()), pa.array([b"".join(held[0])], pa.binary()),
-                                               pa.array([b"".join(held[1])], pa.binary()), pa.array([chars], pa.int64())],
-                                              ["conv_id", "part", "ids", "mask", "n_chars"])
+                                               pa.array([b"".join(held[1])], pa.binary())],
+                                              ["conv_id", "part", "ids", "mask"])
 
         ready: list[pa.RecordBatch] = []
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for conv, ids, mask, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for conv, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if key is assemble or conv != key:
                     if key is not assemble:
                         ready.append(row())
-                    key, part, chars, size = conv, 0, len(BEGIN), 1
+                    key, part, size = conv, 0, 1
                     held = ([reserved[BEGIN].tobytes()], [b"\0"])
                 elif size >= _PART:
                     ready.append(row())
-                    part, chars, size = part + 1, 0, 0
+                    part, size = part + 1, 0
                     held = ([], [])
                 held[0].append(ids)
                 held[1].append(mask)
-                chars, size = chars + n, size + len(mask)
+                size += len(mask)
             if ready:
                 yield from pa.Table.from_batches(ready).combine_chunks().to_batches()
                 ready = []
@@ -103,9 +101,9 @@ def format_conversations(turns: DataFrame, ranks: bytes, pattern: str, loss_role
             yield row()
 
     coded = turns.select("conv_id", "turn", "role", "text").mapInArrow(
-        segments, f"conv_id {kind}, turn {turns.schema['turn'].dataType.simpleString()}, role string, text string, ids binary, mask binary, n_chars bigint")
-    placed = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "mask", "n_chars")
-    return placed.mapInArrow(assemble, f"conv_id {kind}, part bigint, ids binary, mask binary, n_chars bigint")
+        segments, f"conv_id {kind}, turn {turns.schema['turn'].dataType.simpleString()}, role string, text string, ids binary, mask binary")
+    placed = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "ids", "mask")
+    return placed.mapInArrow(assemble, f"conv_id {kind}, part bigint, ids binary, mask binary")
 
 
 def read_turns(ids: bytes, mask: bytes, tokens: dict[int, bytes]) -> Iterator[tuple[str, str, str]]:
@@ -122,6 +120,16 @@ def read_turns(ids: bytes, mask: bytes, tokens: dict[int, bytes]) -> Iterator[tu
         yield text(flat[a + 1:b]), text(flat[b + 1:c]), text(flat[b + 1:c][under[b + 1:c] == 1])
 
 
+def code_points(tokens: dict[int, bytes]) -> np.ndarray:
+    """Code points that begin in each token, by id; a reserved id stands for its control string."""
+    counts = np.zeros(max(*tokens, *RESERVED.values()) + 1, np.int64)
+    for rank, token in tokens.items():
+        counts[rank] = sum(b & 0xC0 != 0x80 for b in token)
+    for control, rank in RESERVED.items():
+        counts[rank] = len(control)
+    return counts
+
+
 @dataclass
 class _Digest:
     turns: int = 0
@@ -134,12 +142,15 @@ class _Digest:
 def read_back(formatted: DataFrame, ranks: bytes) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars), decoded from the formatted output.
 
+    ``formatted_chars`` counts the code points of the decoded ids, template and escapes included.
+
     ``formatted`` comes from ``format_conversations``, whose parts stand in order in their partition.
     """
     shared = formatted.sparkSession.sparkContext.broadcast(ranks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = {rank: token for token, rank in parse_ranks(shared.value).items()}
+        counts = code_points(tokens)
         key: object = read
         seen = _Digest()
         rows: list[tuple] = []
@@ -155,12 +166,12 @@ def read_back(formatted: DataFrame, ranks: bytes) -> DataFrame:
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for conv, part, ids, mask, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv, part, ids, mask in zip(*(c.to_pylist() for c in batch.columns)):
                 if part == 0:
                     if key is not read:
                         close()
                     key, seen = conv, _Digest()
-                seen.chars += n
+                seen.chars += int(counts[np.frombuffer(ids, "<u4")].sum())
                 for role, text, loss in read_turns(ids, mask, tokens):
                     seen.turns += 1
                     seen.all.update(f"{role}\n{text}\n".encode())
