@@ -242,19 +242,25 @@ def test_search_is_exact(spark, awkward, nothing):
     assert topk_search.search(nothing, asked).count() == 0 and topk_search.search(awkward, asked.limit(0)).count() == 0
 
 
-def test_pruning_skips_nothing():
+@pytest.mark.parametrize("topics", [1, 7])
+def test_pruning_skips_blocks_and_no_answer(topics):
     rng = np.random.default_rng(3)
-    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, 80) if x < 500) for _ in range(700)]
+    texts = [" ".join(f"w{int(x)}t{int(x) % 3 and i * topics // 700}" for x in rng.zipf(1.3, 80) if x < 500) for i in range(700)]
+    texts[40] = texts[650] = texts[333]
     owner, term, count, length = topk_search.term_counts(texts)
-    shard = topk_search.Shard(length.astype("<u4").tobytes(), owner.astype("<u2").tobytes(), term.tobytes(), count.astype("<u4").tobytes(), float(length.mean()))
+    shard = topk_search.Shard([cells for _, cells in topk_search.block_cells(owner, term, count, length)], float(length.mean()))
+    impact = count * 2.2 / (count + 1.2 * (0.25 + 0.75 * length[owner] / length.mean()))
+    assert shard.n == 700 and shard.blocks == 11
     for q in range(0, 700, 23):
-        use = np.unique(shard.row_terms[shard.row_starts[q]:shard.row_starts[q + 1]])
-        weight = np.log(1 + 700 / np.diff(shard.starts)[use])
-        every, full = np.arange(700), None
-        full = shard.score(every, use, weight)
+        asked = term[owner == q]
+        use = np.searchsorted(shard.vocabulary, asked)
+        weight = np.log(1 + 700 / np.array([(term == t).sum() for t in asked]))
+        full = np.zeros(700)
+        for t, w in zip(asked, weight):
+            full[owner[term == t]] += w * impact[term == t]
         best = np.sort(full)[::-1]
-        for threshold in (0.0, best[9], best[40], best[0]):
+        for threshold in (0.0, best[9], best[40], best[0], best[0] + 1):
             docs, scores = shard.search(use, weight, threshold, 10)
-            assert np.allclose(scores, full[docs])
-            need = set(np.flatnonzero(full >= max(threshold, best[9])))
-            assert need <= set(docs)
+            assert np.allclose(scores, full[docs], atol=1e-8, rtol=0) and len(set(docs)) == len(docs)
+            assert set(np.flatnonzero(full >= max(threshold, best[9]))) == set(docs)
+    assert shard.read and shard.skipped > (shard.read if topics > 1 else 0)
