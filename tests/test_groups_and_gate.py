@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evloom.operators import structure as sx
 from evloom.operators.identity import _once
-from evloom.operators.primitives import group_ordinals, next_in_group
+from evloom.operators.primitives import group_ordinals, neighbours, next_in_group
 from evloom.sources.publication import Publications
 from evloom.streaming.living import folders
 
@@ -66,3 +66,12 @@ def test_gate(spark):
     assert store.current()["number"] == 1 and store.read()["documents"].count() == 1
     assert len([n for n in store.folder.names() if n.startswith("snapshot")]) == 1  # the refused one is gone
     assert store.publish(tables | {"documents": more.limit(1)}, audit) == [] and store.current()["number"] == 2
+
+
+def test_neighbours_across_blocks_and_partitions(spark):
+    """The following row is found in the same block, in the next block and in the next partition, and never in another group."""
+    rows = [(k, i) for k, n in (("a", 1), ("b", 500), (None, 90), ("c", 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, id int").repartition(5)
+    got = neighbours(df, ["k"], [F.col("id").asc()], {"id": "next", "k": "same"}, block=40).collect()
+    assert sorted(got, key=repr) == sorted([(k, i, i + 1 if (k, i + 1) in rows else None, k if (k, i + 1) in rows else None) for k, i in rows], key=repr)
+    assert neighbours(df.limit(0), ["k"], [F.col("id").asc()], {"id": "next"}).count() == 0
