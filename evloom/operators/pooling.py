@@ -138,28 +138,35 @@ def _matrices(y, cov) -> tuple[np.ndarray, np.ndarray]:
     return np.array([e["v"] for e in y], dtype=float), (m + m.T) / 2
 
 
+def _by_size(ys, covs) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Families of one batch by their number of effects: positions, effects (families x m) and covariances (families x m x m)."""
+    sizes: dict[int, list[int]] = {}
+    for n, y in enumerate(ys):
+        sizes.setdefault(len(y), []).append(n)
+    for at in sizes.values():
+        found = [_matrices(ys.iloc[n], covs.iloc[n]) for n in at]
+        yield at, np.stack([y for y, _ in found]), np.stack([v for _, v in found])
+
+
 def family_spectra(families: DataFrame) -> DataFrame:
     """Eigenvalues of each family's covariance with the projections of 1 and of y.
 
-    The dense work is one family at a time and happens once; all later iterations are sums over
+    The dense work happens once, for all families of a size in a batch together; all later iterations are sums over
     these rows. Families of one effect need no matrix and stay out of Python.
-    (analysis_id, study_family, lam, a, b).
+    (analysis_id, study_family, lam, a, b, alone).
     """
     schema = "analysis_id string, study_family string, lam double, a double, b double"
 
     def spectra(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for analysis, family, ys, cov in zip(batch["analysis_id"], batch["study_family"], batch["y"], batch["cov"]):
-                y, v = _matrices(ys, cov)
+            for at, y, v in _by_size(batch["y"], batch["cov"]):
                 lam, q = np.linalg.eigh(v)
-                parts.append(pd.DataFrame({"analysis_id": analysis, "study_family": family, "lam": lam, "a": q.sum(axis=0), "b": q.T @ y}))
-            if parts:
-                yield pd.concat(parts)
+                named = {x: np.repeat(batch[x].to_numpy()[at], y.shape[1]) for x in ("analysis_id", "study_family")}
+                yield pd.DataFrame(named | {"lam": lam.ravel(), "a": q.sum(axis=1).ravel(), "b": np.einsum("fij,fi->fj", q, y).ravel()})
 
     one = families.where(F.size("y") == 1).select(
-        "analysis_id", "study_family", F.col("cov")[0]["v"].alias("lam"), F.lit(1.0).alias("a"), F.col("y")[0]["v"].alias("b"))
-    return one.unionByName(families.where(F.size("y") > 1).mapInPandas(spectra, schema))
+        "analysis_id", "study_family", F.col("cov")[0]["v"].alias("lam"), F.lit(1.0).alias("a"), F.col("y")[0]["v"].alias("b"), F.lit(True).alias("alone"))
+    return one.unionByName(families.where(F.size("y") > 1).mapInPandas(spectra, schema).withColumn("alone", F.lit(False)))
 
 
 def not_positive_definite(spectra: DataFrame) -> DataFrame:
@@ -167,27 +174,41 @@ def not_positive_definite(spectra: DataFrame) -> DataFrame:
     return spectra.groupBy("analysis_id", "study_family").agg(F.min("lam").alias("smallest")).where("smallest <= 0")
 
 
+def _checked(effects: DataFrame, covariance: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Refused analyses as in :func:`refused_covariance`, and families and spectra of the others; families meet their covariance once."""
+    named = written(covariance_violations(effects, covariance), "violations")
+    families = written(_family_matrices(effects.join(named, "analysis_id", "left_anti"), covariance), "families")
+    spectra = written(family_spectra(families), "spectra")
+    singular = not_positive_definite(spectra).select("analysis_id", F.lit("covariance is not positive definite").alias("reason"))
+    refused = written(named.unionByName(singular).groupBy("analysis_id").agg(F.min("reason").alias("reason")), "refused")
+    return refused, families.join(refused, "analysis_id", "left_anti"), spectra.join(refused, "analysis_id", "left_anti")
+
+
 def refused_covariance(effects: DataFrame, covariance: DataFrame) -> DataFrame:
     """(analysis_id, reason) of analyses whose covariance is incomplete, inconsistent or not positive definite."""
-    named = cut(covariance_violations(effects, covariance))
-    whole = effects.join(named, "analysis_id", "left_anti")
-    singular = not_positive_definite(family_spectra(_family_matrices(whole, covariance))).select("analysis_id", F.lit("covariance is not positive definite").alias("reason"))
-    return named.unionByName(singular).groupBy("analysis_id").agg(F.min("reason").alias("reason"))
+    return _checked(effects, covariance)[0]
 
 
-def _family_sums(spectra: DataFrame, state: DataFrame) -> DataFrame:
-    """Per-family scalars of the marginal precision matrix at the current variances."""
+def _family_sums(alone: DataFrame, spectra: DataFrame, state: DataFrame) -> DataFrame:
+    """Per-family scalars of the marginal precision matrix at the current variances.
+
+    ``alone`` (analysis_id, lam, b) holds the families of one effect, whose sums are their only row; ``spectra`` the others.
+    """
     c = F.col
     w = 1 / (c("lam") + c("s2"))
-    per = spectra.join(state, "analysis_id").groupBy("analysis_id", "study_family").agg(
+    many = spectra.join(state, "analysis_id").groupBy("analysis_id", "study_family").agg(
         F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum(w).alias("w1"), F.sum(w * w).alias("w2"),
         F.sum(c("a") * c("a") * w).alias("aw"), F.sum(c("a") * c("b") * w).alias("bw"),
         F.sum(c("a") * c("a") * w * w).alias("aw2"), F.sum(c("a") * c("a") * w * w * w).alias("aw3"),
-        F.sum(c("a") * c("b") * w * w).alias("abw2"), F.sum(c("b") * c("b") * w * w).alias("bw2"))
+        F.sum(c("a") * c("b") * w * w).alias("abw2"), F.sum(c("b") * c("b") * w * w).alias("bw2")).drop("study_family")
+    one = alone.join(state, "analysis_id").select(
+        "analysis_id", "s1", "s2", w.alias("w1"), (w * w).alias("w2"), w.alias("aw"), (c("b") * w).alias("bw"), (w * w).alias("aw2"),
+        (w * w * w).alias("aw3"), (c("b") * w * w).alias("abw2"), (c("b") * c("b") * w * w).alias("bw2"))
+    per = many.unionByName(one)
     g = 1 + c("s1") * c("aw")
     k = c("s1") / g
     return per.select(
-        "analysis_id", "study_family", "s1", "s2", (c("aw") / g).alias("p"), (c("bw") / g).alias("r"), (c("aw2") / (g * g)).alias("q"),
+        "analysis_id", "s1", "s2", (c("aw") / g).alias("p"), (c("bw") / g).alias("r"), (c("aw2") / (g * g)).alias("q"),
         (c("aw3") / (g * g) - k * F.pow(c("aw2") / g, 2)).alias("m3"),
         (c("w2") - 2 * k * c("aw3") + k * k * c("aw2") * c("aw2")).alias("t22"), (c("w1") - k * c("aw2")).alias("t2"),
         # the residual quadratic form of the second variance as a polynomial in the mean
@@ -200,10 +221,11 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: i
     """(analysis_id, s1, s2, mu, total): REML variances between families and between effects.
 
     Projected Fisher scoring, all analyses at once; a variance at zero whose score is negative stays
-    there. An analysis that does not settle gives no row. The spectra are laid out by family once, so an iteration shuffles only per-family sums.
+    there. An analysis that does not settle gives no row. The spectra of larger families are laid out by family once, so an iteration shuffles only sums per analysis.
     """
     c = F.col
-    spectra = cut(spectra.repartition("analysis_id", "study_family"))
+    alone = written(spectra.where("alone").select("analysis_id", "lam", "b"), "alone")
+    larger = cut(spectra.where("not alone").drop("alone").repartition("analysis_id", "study_family"))
     start = spectra.groupBy("analysis_id").agg((F.avg("lam") / 4).alias("s1")).select(
         "analysis_id", "s1", c("s1").alias("s2"), F.lit(float("inf")).alias("delta"))
     state, change = _settle(start)
@@ -211,7 +233,7 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: i
         if change <= tolerance:
             break
         moving = state.where(c("delta") > tolerance)
-        agg = _family_sums(spectra, moving).groupBy("analysis_id").agg(
+        agg = _family_sums(alone, larger, moving).groupBy("analysis_id").agg(
             F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.sum("p").alias("n1"), F.sum("r").alias("pull"),
             F.sum(c("p") * c("p")).alias("p2"), F.sum("q").alias("q1"), F.sum("m3").alias("m3"), F.sum("t22").alias("t22"), F.sum("t2").alias("trw"),
             F.sum(F.pow(c("p"), 3)).alias("p3"), F.sum(c("p") * c("q")).alias("pq"),
@@ -235,7 +257,7 @@ def cluster_variances(spectra: DataFrame, tolerance: float = 1e-7, max_rounds: i
         n1, n2 = F.greatest(F.lit(0.0), c("s1") + c("d1")), F.greatest(F.lit(0.0), c("s2") + c("d2"))
         state, change = _settle(a.select("analysis_id", n1.alias("s1"), n2.alias("s2"), F.greatest(
             F.abs(n1 - c("s1")), F.abs(n2 - c("s2"))).alias("delta")).unionByName(state.where(c("delta") <= tolerance)))
-    fam = _family_sums(spectra, state.where(c("delta") <= tolerance))
+    fam = _family_sums(alone, larger, state.where(c("delta") <= tolerance))
     return fam.groupBy("analysis_id").agg(F.first("s1").alias("s1"), F.first("s2").alias("s2"),
                                           (F.sum("r") / F.sum("p")).alias("mu"), F.sum("p").alias("total"))
 
@@ -247,29 +269,35 @@ def cluster_robust(effects: DataFrame, covariance: DataFrame, tolerance: float =
     reason as ``limitation``; no family is left out silently. Families are the clusters. The bias-reduction matrix of a family depends on that family and one
     scalar of the analysis, so each family contributes a handful of numbers that are summed.
     """
-    checked = written(refused_covariance(effects, covariance), "refused")
+    checked, families, spectra = _checked(effects, covariance)
     sound = effects.join(checked, "analysis_id", "left_anti")
-    families = cut(_family_matrices(sound, covariance))
-    fitted = written(cluster_variances(family_spectra(families), tolerance), "fitted")
-    rows = families.join(fitted, "analysis_id")
+    fitted = written(cluster_variances(spectra, tolerance), "fitted")
+    rows = families.join(fitted, "analysis_id").select("analysis_id", "y", "cov", "s1", "s2", "mu", "total")
     schema = "analysis_id string, score double, own double, h double, n long"
 
     def adjust(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for analysis, ys, cov, s1, s2, mu, total in zip(*[batch[x] for x in ("analysis_id", "y", "cov", "s1", "s2", "mu", "total")]):
-                y, v = _matrices(ys, cov)
-                one = np.ones(len(y))
-                theta = v + s1 * np.outer(one, one) + s2 * np.eye(len(y))
-                upper = np.linalg.cholesky(theta).T
-                lam, q = np.linalg.eigh(upper @ (theta - np.outer(one, one) / total) @ upper.T)
-                root = np.where(lam > 1e-12 * max(lam.max(), 1e-300), 1 / np.sqrt(np.maximum(lam, 1e-300)), 0.0)
-                g = upper.T @ ((q * root) @ q.T) @ upper @ np.linalg.solve(theta, one) / total
-                out.append((analysis, float(g @ (y - mu)), float(g @ theta @ g - g.sum() ** 2 / total), float(g.sum()), len(y)))
-            yield pd.DataFrame(out, columns=["analysis_id", "score", "own", "h", "n"])
-
-    parts = rows.select("analysis_id", "y", "cov", "s1", "s2", "mu", "total").mapInPandas(adjust, schema)
+            for at, y, v in _by_size(batch["y"], batch["cov"]):
+                s1, s2, mu, total = (batch[x].to_numpy()[at][:, None, None] for x in ("s1", "s2", "mu", "total"))
+                m = y.shape[1]
+                theta = v + s1 + s2 * np.eye(m)
+                lower = np.linalg.cholesky(theta)
+                upper = lower.transpose(0, 2, 1)
+                lam, q = np.linalg.eigh(upper @ (theta - 1 / total) @ lower)
+                least = 1e-12 * np.maximum(lam.max(axis=1, keepdims=True), 1e-300)
+                root = np.where(lam > least, 1 / np.sqrt(np.maximum(lam, 1e-300)), 0.0)
+                g = (lower @ ((q * root[:, None, :]) @ q.transpose(0, 2, 1)) @ upper @ np.linalg.solve(theta, np.ones((len(at), m, 1))))[..., 0] / total[..., 0]
+                own = np.einsum("fi,fij,fj->f", g, theta, g) - g.sum(axis=1) ** 2 / total[:, 0, 0]
+                yield pd.DataFrame({"analysis_id": batch["analysis_id"].to_numpy()[at], "score": (g * (y - mu[..., 0])).sum(axis=1), "own": own, "h": g.sum(axis=1), "n": m})
+
     c = F.col
+    # the same for a family of one effect, without matrices
+    theta = c("cov")[0]["v"] + c("s1") + c("s2")
+    lam = theta * (theta - 1 / c("total"))
+    g = F.when(lam > 0, 1 / (F.sqrt(lam) * c("total"))).otherwise(0.0)
+    single = rows.where(F.size("y") == 1).withColumn("h", g).select(
+        "analysis_id", (c("h") * (c("y")[0]["v"] - c("mu"))).alias("score"), (c("h") * c("h") * (theta - 1 / c("total"))).alias("own"), "h", F.lit(1).cast("bigint").alias("n"))
+    parts = single.unionByName(rows.where(F.size("y") > 1).mapInPandas(adjust, schema))
     s = parts.groupBy("analysis_id").agg(
         F.sum(c("score") * c("score")).alias("var"), F.sum("own").alias("own"), F.sum(c("own") * c("own")).alias("own2"),
         F.sum(c("h") * c("h")).alias("h2"), F.sum(F.pow(c("h"), 4)).alias("h4"), F.sum("n").alias("k"), F.count("*").alias("study_families"))

@@ -13,7 +13,7 @@ from evloom.operators import pooling
 from evloom.operators import synthesis as syn
 from evloom.plans.fixtures import view
 from evloom.plans.registry import query, sql_stable, stable
-from evloom.session import cut, scratch_path
+from evloom.session import cut, scratch_path, written
 from evloom.sources import reference
 
 FIELDS = ["Oil_Type", "Emulsion_Type", "Droplet_Size_um"]
@@ -289,11 +289,12 @@ def dependent(spark, sf):
     # where an id repeats, the least row stays, whichever task reads it
     e = effects(spark, sf).where("effect_reason is null").groupBy("contrast_id").agg(F.min(F.struct("analysis_id", "study_family", "yi", "vi")).alias("x")).select(
         "x.analysis_id", "contrast_id", "x.study_family", "x.yi", "x.vi")
+    e = written(e, "effects")
     i, j = e.alias("i"), e.alias("j")
     v = i.join(j, (c("i.analysis_id") == c("j.analysis_id")) & (c("i.study_family") == c("j.study_family"))).select(
         c("i.analysis_id").alias("analysis_id"), c("i.contrast_id").alias("id_i"), c("j.contrast_id").alias("id_j"),
         F.when(c("i.contrast_id") == c("j.contrast_id"), c("i.vi")).otherwise(0.5 * F.sqrt(c("i.vi") * c("j.vi"))).alias("cov"))
-    return e, v
+    return e, written(v, "covariance")
 
 
 @query("clustered_estimates")
