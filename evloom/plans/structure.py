@@ -85,19 +85,17 @@ def uncovered_regions(spark, sf):
     return left.agg(F.count("*").alias("n"), F.sum("box_no").cast("bigint").alias("checksum"))
 
 
-def _regions_sql(rounds: int = 4) -> str:
-    """Rounds of near pairs, their closure and bounding boxes; the fixture settles in fewer rounds."""
-    parts = ["r0 AS (SELECT row_number() OVER (ORDER BY page_key, x0, y0, x1, y1) AS id, page_key, x0, y0, x1, y1 FROM (SELECT DISTINCT page_key, x0, y0, x1, y1 FROM fx_boxes WHERE x1 > x0 OR y1 > y0) d)"]
-    for k in range(rounds):
-        near = "b.page_key = a.page_key AND a.x0 <= b.x1 + 10 AND a.x1 >= b.x0 - 10 AND a.y0 <= b.y1 + 10 AND a.y1 >= b.y0 - 10"
-        parts.append(f"e{k} AS (SELECT a.id AS a, b.id AS b FROM r{k} a JOIN r{k} b ON {near})")
-        parts.append(f"c{k} AS (SELECT id AS node, id AS low FROM r{k} UNION SELECT e{k}.b, c{k}.low FROM c{k} JOIN e{k} ON e{k}.a = c{k}.node)")
-        parts.append(f"g{k} AS (SELECT node, min(low) AS g FROM c{k} GROUP BY 1)")
-        parts.append(f"r{k + 1} AS (SELECT g AS id, page_key, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM r{k} JOIN g{k} ON node = id GROUP BY g, page_key)")
-    return "WITH RECURSIVE " + ",\n".join(parts) + f"\nSELECT page_key, x0, y0, x1, y1 FROM r{rounds} WHERE x1 - x0 >= 30 AND y1 - y0 >= 30"
-
-
-@query("merged_regions", _regions_sql())
+# every box becomes the bounding box of all boxes near it, on every page until its boxes stay as they are; what is left is not near each other
+REGIONS = """WITH RECURSIVE r AS (SELECT DISTINCT 0 AS step, page_key, x0, y0, x1, y1 FROM fx_boxes WHERE x1 > x0 OR y1 > y0
+  UNION ALL SELECT DISTINCT step, page_key, x0, y0, x1, y1 FROM (
+    SELECT step + 1 AS step, page_key, nx0 AS x0, ny0 AS y0, nx1 AS x1, ny1 AS y1, max(CASE WHEN nx0 < x0 OR ny0 < y0 OR nx1 > x1 OR ny1 > y1 THEN 1 ELSE 0 END) OVER (PARTITION BY page_key) AS moved
+    FROM (SELECT a.step, a.page_key, a.x0, a.y0, a.x1, a.y1, min(b.x0) AS nx0, min(b.y0) AS ny0, max(b.x1) AS nx1, max(b.y1) AS ny1 FROM r a JOIN r b
+      ON b.page_key = a.page_key AND a.x0 <= b.x1 + 10 AND a.x1 >= b.x0 - 10 AND a.y0 <= b.y1 + 10 AND a.y1 >= b.y0 - 10 GROUP BY 1, 2, 3, 4, 5, 6) g) h WHERE moved = 1),
+last AS (SELECT page_key, max(step) AS step FROM r GROUP BY 1)
+SELECT r.page_key, x0, y0, x1, y1 FROM r JOIN last ON last.page_key = r.page_key AND last.step = r.step WHERE x1 - x0 >= 30 AND y1 - y0 >= 30"""
+
+
+@query("merged_regions", REGIONS)
 def merged_regions(spark, sf):
     return fig.merge_regions(view(spark, sf, "fx_boxes").select("page_key", "x0", "y0", "x1", "y1"))
 
