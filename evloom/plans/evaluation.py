@@ -86,10 +86,10 @@ def field_comparisons(spark, sf):
                                                              stable(F.col("absolute_error")).alias("absolute_error"), "reason")
 
 
-@query("agreement_summary", ALIGN + f""", tot AS (SELECT CAST(sum(2 + CASE WHEN droplet_um IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS d FROM ref WHERE doi IN (SELECT doi FROM have))
-SELECT CAST(sum(CASE WHEN agreement THEN 1 ELSE 0 END) AS BIGINT) AS exact_matches, CAST(count(*) AS BIGINT) AS compared_fields, {sql_stable('avg(err)')} AS numerical_mae,
-  max(d) AS manual_nonmissing_fields, {sql_stable('sum(CASE WHEN agreement THEN 1 ELSE 0 END) / count(*)')} AS proportion,
-  {sql_stable('sum(CASE WHEN agreement THEN 1 ELSE 0 END) / max(d)')} AS recovery_agreement FROM cmp, tot""")
+@query("agreement_summary", ALIGN + f""", tot AS (SELECT CAST(coalesce(sum(2 + CASE WHEN droplet_um IS NULL THEN 0 ELSE 1 END), 0) AS BIGINT) AS d FROM ref WHERE doi IN (SELECT doi FROM have)),
+agg AS (SELECT CAST(coalesce(sum(CASE WHEN agreement THEN 1 ELSE 0 END), 0) AS BIGINT) AS exact_matches, CAST(count(*) AS BIGINT) AS compared_fields, avg(err) AS mae FROM cmp)
+SELECT exact_matches, compared_fields, {sql_stable('mae')} AS numerical_mae, d AS manual_nonmissing_fields, {sql_stable('exact_matches / nullif(compared_fields, 0)')} AS proportion,
+  {sql_stable('exact_matches / nullif(d, 0)')} AS recovery_agreement FROM agg, tot""")
 def agreement_summary(spark, sf):
     a, fields, reference, _ = aligned(spark, sf)
     s = al.agreement_summary(al.field_comparisons(a, fields, reference), reference, available(spark, sf))
