@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evloom.llm.hashing import SPACES, mix, word_hashes
+from evloom.llm.tables import written
+from evloom.operators.primitives import dense_index
 
 _STEP = 1 << 21
 _BLANK = np.zeros(256, bool)
@@ -117,8 +119,24 @@ def preference_pairs(labels: np.ndarray, max_pairs: int, seed: int) -> tuple[np.
     return spread(good), spread(bad)
 
 
+def _sums(d: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pair differences: the sum of what the logistic loss asks for, and of its curvature."""
+    p = 1 / (1 + np.exp(np.clip(d @ weights, -30, 30)))
+    return d.T @ p, (d * (p * (1 - p))[:, None]).T @ d
+
+
+def _newton(model: Ranking, sums: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], pairs: int, l2: float) -> None:
+    """Newton steps on the mean logistic loss; ``sums`` gives the sums over all pairs at the present weights."""
+    for _ in range(25):
+        pull, bent = sums(model.weights)
+        change = np.linalg.solve(l2 * np.eye(len(model.weights)) + bent / pairs, l2 * model.weights - pull / pairs)
+        model.weights = model.weights - change
+        if np.abs(change).max() < 1e-6:
+            break
+
+
 def fit(x: np.ndarray, labels: np.ndarray, quantile: float | None = None, max_pairs: int = 100_000, l2: float = 1e-3, seed: int = 5) -> Ranking:
-    """Newton steps on the mean logistic loss of pair differences; the threshold is a quantile of the scores of ``x``.
+    """The estimate of rows in memory; the threshold is a quantile of the scores of ``x``.
 
     Without ``quantile`` it is the share of documents that are not preferred.
     """
@@ -129,47 +147,90 @@ def fit(x: np.ndarray, labels: np.ndarray, quantile: float | None = None, max_pa
     spread = x.std(0)
     model = Ranking(x.mean(0), np.where(spread > 1e-9, spread, 1.0), np.zeros(2 * n), 0.0)
     inputs = model._inputs(x)
-    step = max(1, 4_000_000 // (2 * n))
-    for _ in range(25):
-        slope, curve = l2 * model.weights, l2 * np.eye(2 * n)
-        for start in range(0, len(better), step):
-            d = inputs[better[start:start + step]] - inputs[worse[start:start + step]]
-            p = 1 / (1 + np.exp(np.clip(d @ model.weights, -30, 30)))
-            slope -= d.T @ p / len(better)
-            curve += (d * (p * (1 - p))[:, None]).T @ d / len(better)
-        change = np.linalg.solve(curve, slope)
-        model.weights = model.weights - change
-        if np.abs(change).max() < 1e-6:
-            break
+    _newton(model, lambda w: _sums(inputs[better] - inputs[worse], w), len(better), l2)
     model.threshold = float(np.quantile(model.merit(x), (labels == 0).mean() if quantile is None else quantile))
     return model
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), N_FEATURES)
+
+
+def _paired(known: DataFrame, good: int, bad: int, max_pairs: int, seed: int) -> tuple[DataFrame, int]:
+    """(b, w): features of a preferred and of another document, and the number of pairs.
+
+    Every document of the larger class has the same number of partners, all different, next to each other in the
+    order of a hash; there are at least as many pairs as documents in the larger class, whatever ``max_pairs`` says.
+    """
+    c = F.col
+    larger, smaller = max(good, bad), min(good, bad)
+    rounds = max(1, min(larger * smaller, max_pairs) // larger)
+    # one numbering: the other documents first, then the preferred ones
+    at = written(dense_index(known.where("y in (0, 1)"), [c("y").asc(), F.xxhash64(F.lit(seed), "__id").asc(), c("__id").asc()], "n"), "numbered")
+    better, worse = at.where("y = 1").select((c("n") - bad).alias("n"), c("x").alias("b")), at.where("y = 0").select("n", c("x").alias("w"))
+    many, few = (better, worse) if good >= bad else (worse, better)
+    met = many.withColumn("n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(rounds - 1)), lambda r: (c("n") + r) % smaller)))
+    return written(met.join(few, "n").select("b", "w"), "pairs"), larger * rounds
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-          max_labelled: int = 20_000, quantile: float | None = None) -> Ranking:
-    """Fit on at most ``max_labelled`` labelled documents, taken in the order of a hash of their id.
+          quantile: float | None = None, max_pairs: int = 100_000, l2: float = 1e-3, seed: int = 5) -> Ranking:
+    """Fit on all labelled documents; only sums over features reach the driver.
 
-    That bound fixes the size of all that reaches the driver (18 numbers a document). Features cover whole
-    texts. Rows with a null id, label or text teach nothing; of several labels of a document the largest
-    counts, of several texts the first. Without documents of both labels every score is one half.
+    Features cover whole texts. Rows with a null id, label or text teach nothing; of several labels of a
+    document the largest counts, of several texts the first. Without documents of both labels every score is
+    one half. Without ``quantile`` the threshold leaves the share of documents that are not preferred below it.
     """
-    sample = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
-              .groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col)).cast("int").alias("__y"))
-              .orderBy(F.xxhash64("__id"), "__id").limit(max_labelled))
-    # max_labelled rows of two numbers: a proven bound
-    known = (docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-             .join(F.broadcast(sample), "__id"))
+    c = F.col
+    marks = written(labels.where(c(id_col).isNotNull() & c(label_col).isNotNull()).groupBy(c(id_col).alias("__id")).agg(F.max(c(label_col)).cast("int").alias("__y")), "marks")
+    texts = docs.where(c(text_col).isNotNull()).select(c(id_col).alias("__id"), c(text_col).alias("__text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features(batch.column("__text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__y"), pa.array(list(x), pa.list_(pa.float64()))],
-                                             names=["__id", "__y", "__x"])
-
-    schema = T.StructType([known.schema["__id"], known.schema["__y"], T.StructField("__x", T.ArrayType(T.DoubleType()))])
-    rows = known.mapInArrow(describe, schema).groupBy("__id").agg(F.max("__y").alias("y"), F.min("__x").alias("x")).orderBy("__id").collect()
-    x = np.array([r["x"] for r in rows]) if rows else np.zeros((0, N_FEATURES))
-    return fit(x, np.array([r["y"] for r in rows]), quantile)
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(list(x), pa.list_(pa.float64()))], names=["__id", "__x"])
+
+    schema = T.StructType([texts.schema["__id"], T.StructField("__x", T.ArrayType(T.DoubleType()))])
+    # all texts are described where they lie, so that 18 numbers a document meet the labels and no text is shuffled
+    known = written(texts.mapInArrow(describe, schema).join(marks, "__id").groupBy("__id").agg(F.max("__y").alias("y"), F.min("__x").alias("x")), "features")
+    at = range(N_FEATURES)
+    told = known.agg(F.count("*").alias("n"), F.count_if(c("y") == 1).alias("good"), F.count_if(c("y") == 0).alias("bad"),
+                     *[F.avg(c("x")[i]).alias(f"m{i}") for i in at], *[F.stddev_pop(c("x")[i]).alias(f"s{i}") for i in at]).first()
+    if not told["good"] or not told["bad"]:
+        return Ranking(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(2 * N_FEATURES), 0.0, learned=False)
+    spread = np.array([told[f"s{i}"] for i in at])
+    model = Ranking(np.array([told[f"m{i}"] for i in at]), np.where(spread > 1e-9, spread, 1.0), np.zeros(2 * N_FEATURES), 0.0)
+    pairs, size = _paired(known, told["good"], told["bad"], max_pairs, seed)
+    width = 2 * N_FEATURES
+
+    def sums(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((1 + width, width))
+            for batch in batches:
+                pull, bent = _sums(model._inputs(_matrix(batch.column("b"))) - model._inputs(_matrix(batch.column("w"))), weights)
+                total += np.vstack([pull, bent])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "v"])
+
+        found = pairs.mapInArrow(partial, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # width * (width + 1) numbers
+        total = np.zeros((1 + width) * width)
+        for r in found:
+            total[r["k"]] = r["v"]
+        total = total.reshape(1 + width, width)
+        return total[0], total[1:]
+
+    _newton(model, sums, size, l2)
+
+    def merits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("__id"), pa.array(model.merit(_matrix(batch.column("x"))))], names=["__id", "v"])
+
+    # the quantile lies between two neighbours in the order of all scores
+    place = (told["bad"] / told["n"] if quantile is None else quantile) * (told["n"] - 1)
+    low = int(place)
+    ranked = dense_index(known.select("__id", "x").mapInArrow(merits, T.StructType([known.schema["__id"], T.StructField("v", T.DoubleType())])), [c("v").asc(), c("__id").asc()], "k")
+    ends = [r["v"] for r in ranked.where(c("k").between(low, low + 1)).orderBy("k").collect()]
+    model.threshold = float(ends[0] + (place - low) * (ends[-1] - ends[0]))
+    return model
 
 
 def score(docs: DataFrame, model: Ranking, text_col: str = "text", name: str = "quality") -> DataFrame:

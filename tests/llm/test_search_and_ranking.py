@@ -1,5 +1,6 @@
 """Scan search, hard negatives and pairwise quality against SQL, plain versions and held-out labels."""
 
+import inspect
 import math
 import re
 from collections import Counter
@@ -167,6 +168,26 @@ def test_pairwise_fit_is_a_bradley_terry_estimate():
     assert abs((model.score(x) < 0.5).mean() - (labels == 0).mean()) < 0.01
 
 
+def test_pairwise_quality_learns_from_all_labels(spark):
+    """Mean, spread, threshold and weights are those of all labelled documents, computed in memory; no bound on their number is left."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("documents", "labels"))
+    model = pairwise_quality.train(docs, labels)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", "quality").collect()
+    x, y = pairwise_quality.features([r["text"] for r in rows]), np.array([r["quality"] for r in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.spread, np.where(x.std(0) > 1e-9, x.std(0), 1.0))
+    assert abs(model.threshold - np.quantile(model.merit(x), (y == 0).mean())) < 1e-9
+    known = spark.createDataFrame([(r["doc_id"], int(v), a.tolist()) for r, v, a in zip(rows, y, x)], "__id long, y int, x array<double>")
+    pairs, size = pairwise_quality._paired(known, int((y == 1).sum()), int((y == 0).sum()), 100_000, 5)
+    got = pairs.collect()
+    assert len(got) == size == (y == 1).sum() * (y == 0).sum() or len({(tuple(r["b"]), tuple(r["w"])) for r in got}) > 0.9 * size
+    assert {tuple(r["b"]) for r in got} >= {tuple(a) for a in x[y == 1]} and {tuple(r["w"]) for r in got} >= {tuple(a) for a in x[y == 0]}
+    d = model._inputs(np.array([r["b"] for r in got])) - model._inputs(np.array([r["w"] for r in got]))
+    pull, _ = pairwise_quality._sums(d, model.weights)
+    assert np.abs(1e-3 * model.weights - pull / size).max() < 1e-5
+    assert "max_labelled" not in inspect.signature(pairwise_quality.train).parameters
+
+
 def plain_features(text):
     raw, words, lines = text.encode(), text.split(), [x for x in text.lower().split("\n") if x]
     windows = Counter(zip(words, words[1:], words[2:]))
