@@ -5,7 +5,7 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,17 +103,40 @@ def _nodes(body: bytes | str | None) -> list[tuple]:
     return rows if len(ids) == len(set(ids)) else refuse("element ids are not unique")
 
 
+# A frame of node rows is sent on once it holds so many rows or characters.
+FRAME_ROWS, FRAME_CHARS = 2_000, 4_000_000
+
+
+def _frames(articles: Iterator[tuple[str, bytes | str | None]]) -> Iterator[pa.RecordBatch]:
+    """Node rows of (key, body) pairs in frames that a few articles fill, whatever the number of articles."""
+    shape = pa.schema([(name, pa.int64() if kind == "long" else pa.string()) for name, kind in (f.split() for f in NODES.split(", "))])
+    text_at = shape.get_field_index("text") - 1
+    rows: list[tuple] = []
+    chars = 0
+
+    def frame() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), shape.types)], schema=shape)
+
+    for key, body in articles:
+        for row in _nodes(body):
+            rows.append((key, *row))
+            chars += len(row[text_at] or "")
+            if len(rows) >= FRAME_ROWS or chars >= FRAME_CHARS:
+                yield frame()
+                rows, chars = [], 0
+    if rows:
+        yield frame()
+
+
 def article_nodes(documents: DataFrame) -> DataFrame:
     """Elements of articles (document_hash, content) in document order: the one place that needs Python.
 
-    Positional paths and mixed content have no built-in expression. Everything after this table is SQL.
+    Positional paths and mixed content have no built-in expression. Everything after this table is SQL. A task
+    holds one article and one frame of rows as Python objects, however many articles an Arrow batch brings.
     """
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in NODES.split(", ")]
-        for batch in batches:
-            rows = [(key, *row) for key, body in zip(batch["document_hash"], batch["content"]) for row in _nodes(body)]
-            yield pd.DataFrame(rows, columns=names).astype({"position": "Int64", "parent": "Int64"})
-    return documents.select("document_hash", "content").mapInPandas(parse, NODES)
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _frames((key.as_py(), body.as_py()) for batch in batches for key, body in zip(batch["document_hash"], batch["content"]))
+    return documents.select("document_hash", "content").mapInArrow(parse, NODES)
 
 
 def article_elements(documents: DataFrame) -> DataFrame:

@@ -60,6 +60,19 @@ def test_articles_are_refused_with_a_reason(spark):
     assert {r["document_hash"] for r in rows} == {"e", "d", "x", "n"} and all(r["kind"] == "rejected" for r in rows)
 
 
+def test_article_rows_leave_a_task_in_frames(monkeypatch):
+    body = "<article>" + "<p>word</p>" * 7 + "</article>"
+    monkeypatch.setattr(files, "FRAME_ROWS", 3)
+    read = []
+    frames = files._frames((read.append(k) or k, body) for k in "abcd")
+    first = next(frames)
+    assert first.num_rows == 3 and read == ["a"]  # nothing of the next article is held yet
+    rows = [r for f in (first, *frames) for r in f.to_pylist()]
+    assert len(rows) == 32 and {r["document_hash"] for r in rows} == set("abcd") and sum(r["text"] == "word" for r in rows) == 28
+    monkeypatch.setattr(files, "FRAME_CHARS", 4)
+    assert max(f.num_rows for f in files._frames([("a", body)])) <= 2
+
+
 def test_article_elements(spark):
     body = ('<article xmlns:xlink="http://www.w3.org/1999/xlink"><front><article-meta><article-id pub-id-type="doi">10.1234/X</article-id><title-group><article-title>On <i>x</i></article-title></title-group>'
             '<abstract><p id="p1">Short</p></abstract></article-meta></front><body><sec><title>Results</title><p>Size <b>7</b> um</p></sec><p>Narrative</p></body>'
