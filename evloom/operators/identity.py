@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evloom.functions import status as st
 from evloom.functions.text import canonical_doi, fingerprint
 from evloom.operators.primitives import connected_components, dense_index
-from evloom.session import cut
+from evloom.session import cut, written
 
 
 class Reconciled(NamedTuple):
@@ -165,6 +165,17 @@ def status_by_doi(updates: DataFrame) -> DataFrame:
             .groupBy("doi").agg(st.max_status(F.col("status")).alias("status")))
 
 
+def linked_keys(links: DataFrame, key: str, identifier: str) -> DataFrame:
+    """(key, component) of the keys that a chain of shared identifiers ties to another key; ``links`` has distinct pairs.
+
+    The graph has keys as its only nodes: an identifier under one key alone, as a record's own number is, makes no
+    edge, and one under several keys makes an edge from the smallest to each other one. Components never see the rest.
+    """
+    shared = links.groupBy(identifier).agg(F.min(key).alias("__low"), F.max(key).alias("__high")).where("__low < __high")
+    edges = links.join(shared.select(identifier, "__low"), identifier).select("__low", key)
+    return connected_components(edges, "__low", key).withColumnRenamed("node", key)
+
+
 def merge_publications(existing: DataFrame, incoming: DataFrame, carried: list[str]) -> dict[str, DataFrame]:
     """Merge incoming citations into known publications that share any identifier.
 
@@ -181,12 +192,12 @@ def merge_publications(existing: DataFrame, incoming: DataFrame, carried: list[s
             F.lit(1).alias("__new"), c("input_pos").cast("bigint").alias("__pos"),
             F.lit(None).cast("string").alias("publication_id"), "identifiers", "status",
             F.lit(None).cast("string").alias("state"), F.coalesce(c("notice"), F.lit(False)).alias("notice"), *carried))
-    # both the links and the merged rows read this, so it is derived once
-    rows = cut(rows.withColumn("__node", F.concat_ws("#", F.lit("~row"), c("__new").cast("string"), c("__pos").cast("string"))))
-    links = rows.select("__node", F.explode("identifiers").alias("identifier"))
-    component = connected_components(links, "__node", "identifier")
-    placed = rows.join(component.withColumnRenamed("node", "__node"), "__node", "left").withColumn(
-        "component", F.coalesce("component", "__node"))
+    # both the links and the merged rows read this, so it is derived once; a row is known by its first identifier
+    alone = F.concat_ws("#", F.lit("~row"), c("__new").cast("string"), c("__pos").cast("string"))
+    rows = written(rows.withColumn("__key", F.coalesce(F.get("identifiers", F.lit(0)), alone)), "merging")
+    links = written(rows.select("__key", F.explode("identifiers").alias("identifier")).distinct(), "links")
+    component = linked_keys(links, "__key", "identifier")
+    placed = rows.join(component, "__key", "left").withColumn("component", F.coalesce("component", "__key"))
     old, new = c("__new") == 0, c("__new") == 1
     keep = lambda name: F.coalesce(
         F.max_by(c(name), F.when(new & c(name).isNotNull(), c("__pos"))),
@@ -203,8 +214,8 @@ def merge_publications(existing: DataFrame, incoming: DataFrame, carried: list[s
     aliases = (placed.where(old).select("component", c("publication_id").alias("alias")).distinct()
                .join(records.select("component", "publication_id"), "component").where("alias <> publication_id")
                .select("publication_id", "alias"))
-    found = (links.join(component.withColumnRenamed("node", "__node"), "__node", "left")
-             .withColumn("component", F.coalesce("component", "__node")).select("component", "identifier").distinct()
+    found = (links.join(component, "__key", "left")
+             .withColumn("component", F.coalesce("component", "__key")).select("component", "identifier").distinct()
              .join(records.select("component", "publication_id"), "component").select("publication_id", "identifier"))
     return {"records": records.drop("component"), "aliases": aliases, "identifiers": found}
 
