@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evloom.functions import text, units
 from evloom.functions.text import canonical_doi
-from evloom.session import cut
+from evloom.session import cut, written
 
 # Fields that decide whether an experiment and a reference row describe the same sample.
 CONDITIONS = ["Emulsion_Type", "Oil_Type", "Oil_Content_vol_percent", "Oil_Content_wt_percent",
@@ -238,16 +238,18 @@ def possible_matches(fields: DataFrame, experiments: DataFrame, reference: DataF
     relevant = fields.where(c("field").isin(*CONDITIONS)).withColumn("__v", F.struct("field", "raw", "value", "unit", "qualifier", "basis", "ambiguous"))
     packed = relevant.groupBy("experiment_id").agg(F.array_sort(F.collect_list("__v")).alias("fields"))
     none = F.array().cast(packed.schema["fields"].dataType)
+    # only sources with reference rows are compared at all; an experiment of any other has no signature and stays unmatched
+    named = rows.select("doi").distinct().withColumn("__named", F.lit(True))
+    everyone = written(experiments.select("experiment_id", "doi").join(named, "doi", "left"), "compared")
     # signatures are read twice: once collapsed for the comparison, once to find their owners
-    exps = cut(experiments.select("experiment_id", "doi").join(packed, "experiment_id", "left").withColumn("fields", F.coalesce("fields", none))
-            .withColumn("esig", F.sha2(F.to_json(F.struct("doi", "fields")), 256)))
+    exps = written(everyone.where("__named").drop("__named").join(packed, "experiment_id", "left").withColumn("fields", F.coalesce("fields", none))
+                   .withColumn("esig", F.sha2(F.to_json(F.struct("doi", "fields")), 256)), "signatures")
     packed_rows = reference.where(c("field").isin(*CONDITIONS)).groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("field", "reference"))).alias("rfields"))
     empty = F.array().cast(packed_rows.schema["rfields"].dataType)
     refs = cut(rows.select("row_id", "doi").join(packed_rows, "row_id", "left").withColumn("rfields", F.coalesce("rfields", empty))
             .withColumn("rsig", F.sha2(F.to_json(F.struct("doi", "rfields")), 256)))
-    # only sources with reference rows are compared at all
-    e = _with_actual(exps.join(rows.select("doi").distinct(), "doi", "left_semi").groupBy("doi", "esig").agg(F.first("fields").alias("fields"), F.count("*").alias("experiments")))
+    e = _with_actual(exps.groupBy("doi", "esig").agg(F.first("fields").alias("fields"), F.count("*").alias("experiments")))
     r = refs.groupBy("doi", "rsig").agg(F.first("rfields").alias("rfields"), F.count("*").alias("rows"))
     r = cut(r.withColumn("rfields", F.transform("rfields", lambda g: F.struct(
         g["field"].alias("field"), g["reference"].alias("reference"), text.parse_cell(g["reference"])["value"].alias("goal"), _folded(g["reference"]).alias("folded")))))
@@ -260,7 +262,8 @@ def possible_matches(fields: DataFrame, experiments: DataFrame, reference: DataF
     rivals = r_parts.join(agreed.groupBy("rpart").agg(F.sum("experiments").alias("experiments")), "rpart").select("rsig", "experiments")
     found = Matches(partners.unionByName(alone.select("esig", "rows", "rsig")).groupBy("esig").agg(F.sum("rows").alias("partners"), F.min("rsig").alias("rsig")),
                     rivals.unionByName(alone.select("rsig", "experiments")).groupBy("rsig").agg(F.sum("experiments").alias("rivals")))
-    return found, exps.select("experiment_id", "doi", "esig"), refs.select("row_id", "doi", "rsig")
+    others = everyone.where("__named is null").select("experiment_id", "doi", F.lit(None).cast("string").alias("esig"))
+    return found, exps.select("experiment_id", "doi", "esig").unionByName(others), refs.select("row_id", "doi", "rsig")
 
 
 def align(matches: Matches, exps: DataFrame, refs: DataFrame) -> DataFrame:

@@ -29,21 +29,23 @@ def aligned(spark, sf):
     rows = view(spark, sf, "fx_reference_rows").withColumnsRenamed({"oil_type": "Oil_Type", "emulsion_type": "Emulsion_Type", "droplet_um": "Droplet_Size_um"})
     reference = al.reference_fields(rows, FIELDS)
     ids = rows.select(c("reference_row_id").alias("row_id"), text.canonical_doi(c("doi")).alias("doi"))
-    e = view(spark, sf, "fx_experiments")
+    # read by the conditions and by the comparison: derived once
+    e = written(view(spark, sf, "fx_experiments").select("experiment_id", "doi", "oil_type", "emulsion_type", "droplet", "part"), "experiments")
     null = F.lit(None).cast("string")
 
     def attribute(name, value, unit, status):
         return F.struct(F.lit(name).alias("name"), value.alias("text"), unit.alias("unit"), status.alias("status"))
 
     accepted = F.lit("accepted")
-    attrs = e.select("experiment_id", F.explode(F.array(
+    # an experiment whose DOI has no reference row matches none, so its conditions are never looked at
+    attrs = e.join(ids.select("doi").distinct(), "doi", "left_semi").select("experiment_id", F.explode(F.array(
         attribute("Oil_Type", F.upper("oil_type"), null, accepted), attribute("Emulsion_Type", c("emulsion_type"), null, accepted),
         attribute("Emulsion_Type", F.lit("twice"), null, F.when(c("part") % 13 == 0, "uncertain").otherwise("rejected")),
         attribute("Droplet_Size_um", (c("droplet") * 1000).cast("string"), F.when(c("part") % 7 == 0, "mV").otherwise("nm"),
                   F.when(c("part") % 3 == 0, "rejected").otherwise("accepted")))).alias("x")).select(
         "experiment_id", "x.*", F.lit(None).cast("double").alias("value"), null.alias("basis"))
     none = syn.with_normalized(view(spark, sf, "fx_measurements").where("status = 'unused'"))
-    fields = cut(al.candidate_fields(attrs, none))
+    fields = written(al.candidate_fields(attrs, none), "fields")
     matches, exps, refs = al.possible_matches(fields, al.in_available(e.select("experiment_id", "doi"), available(spark, sf)), reference, ids)
     return al.align(matches, exps, refs), fields, reference, ids
 

@@ -121,3 +121,12 @@ def test_bootstrap_weights(spark):
     draws = sorted(sum(x[1] for x in d) / sum(x[0] for x in d) for d in (rng.choices(families, k=60) for _ in range(2000)))
     assert got["families"] == 60
     assert abs(got["precision_lower"] - draws[50]) < 0.03 and abs(got["precision_upper"] - draws[-50]) < 0.03
+
+
+def test_sources_without_reference_rows_get_no_signature(spark):
+    data = tables(spark, [("a", "d1", {"pH": number(7), "Oil_Type": ("oil", None, None, None)}), ("b", "d2", {"pH": number(7)}), ("c", "d3", {})],
+                  [(1, "d1", {"pH": "7", "Oil_Type": "oil"}), (2, "d1", {"pH": "9", "Oil_Type": "oil"})])
+    matches, exps, refs = al.possible_matches(*data)
+    assert {r["experiment_id"]: r["esig"] is None for r in exps.collect()} == {"a": False, "b": True, "c": True}
+    got = {r["experiment_id"]: (r["outcome"], r["candidate_rows"]) for r in al.align(matches, exps, refs).collect()}
+    assert got == {"a": ("matched", 1), "b": ("unmatched", 0), "c": ("unmatched", 0)}
