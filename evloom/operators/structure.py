@@ -105,7 +105,8 @@ def dataset_fingerprint(rows: DataFrame, exclude: list[str] | None = None, bucke
     c = F.col
     cols = sorted(x for x in rows.columns if x not in (exclude or []))
     digest = rows.select(F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256).alias("h"))
-    pieces = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)") for i in range(8)]
+    # a 64-bit sum of 32-bit pieces holds two thousand million rows of a bucket
+    pieces = [F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("bigint") for i in range(8)]
     bucket = digest.withColumn("b", F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int"), F.lit(buckets)))
     sums = bucket.groupBy("b").agg(F.count("*").alias("n"), *[F.sum(p).alias(f"s{i}") for i, p in enumerate(pieces)])
     line = F.sha2(F.concat_ws("|", c("b").cast("string"), c("n").cast("string"), *[c(f"s{i}").cast("string") for i in range(8)]), 256)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evloom.functions import text
 from evloom.operators import figures as fig
 from evloom.operators import structure as sx
-from evloom.plans.fixtures import table, view
+from evloom.plans.fixtures import VIEWS, table, view
 from evloom.plans.registry import query, sql_stable, stable
 from evloom.sources import files, providers
 
@@ -479,11 +479,17 @@ def first_seen_notes(spark, sf):
 
 
 @query("dataset_fingerprint", """SELECT CAST(count(*) AS BIGINT) AS rows, 'true' AS order_free, 'true' AS content_bound FROM fx_measurements""")
-def dataset_fingerprint(spark, sf):
-    """The same table in two layouts and once altered: equal, then different."""
+def dataset_fingerprint(spark, sf, rows_per_task=500_000):
+    """The same table in two layouts and once altered: equal, then different.
+
+    The second layout deals the table by row into tasks of ``rows_per_task`` rows, before its texts are formed.
+    """
     m = view(spark, sf, "fx_measurements")
+    lines = table(spark, sf, "lineitem")
+    dealt = lines.repartition(max(7, -(-lines.count() // rows_per_task)), "l_orderkey", "l_linenumber", "l_partkey")
+    other = spark.sql(VIEWS["fx_measurements"], lineitem=dealt)
     a = sx.dataset_fingerprint(m).withColumnRenamed("fingerprint", "a")
-    b = sx.dataset_fingerprint(m.repartition(7, "raw_value")).select(F.col("fingerprint").alias("b"))
+    b = sx.dataset_fingerprint(other).select(F.col("fingerprint").alias("b"))
     c = sx.dataset_fingerprint(m.withColumn("value", F.when(F.col("page") == 7, F.col("value") + 1).otherwise(F.col("value")))).select(F.col("fingerprint").alias("c"))
     return a.crossJoin(b).crossJoin(c).select("rows", (F.col("a") == F.col("b")).cast("string").alias("order_free"), (F.col("a") != F.col("c")).cast("string").alias("content_bound"))
 

@@ -75,3 +75,12 @@ def test_neighbours_across_blocks_and_partitions(spark):
     got = neighbours(df, ["k"], [F.col("id").asc()], {"id": "next", "k": "same"}, block=40).collect()
     assert sorted(got, key=repr) == sorted([(k, i, i + 1 if (k, i + 1) in rows else None, k if (k, i + 1) in rows else None) for k, i in rows], key=repr)
     assert neighbours(df.limit(0), ["k"], [F.col("id").asc()], {"id": "next"}).count() == 0
+
+
+def test_fingerprint_query_deals_rows_into_tasks_by_their_number(spark):
+    from evloom.plans import load
+    df = load()[0]["dataset_fingerprint"](spark, "/root/testdata/sf0.001", rows_per_task=200)
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = df._jdf.queryExecution().toString()
+    assert "raw_value" not in "".join(x for x in plan.splitlines() if "RepartitionByExpression" in x) and f", {-(-lines // 200)}" in plan
+    assert [tuple(r) for r in df.collect()] == [(lines, "true", "true")]
