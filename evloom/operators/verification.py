@@ -59,7 +59,9 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
     regrouping afterwards holds one owner's evidence, which was one nested array before.
     """
     c = F.col
-    joined = evidence.join(page_index(pages), ["document_hash", "page"], "left")
+    # settled before the rows move, so that one hash travels and not two
+    settled = evidence.withColumn("__foreign", c("document_hash") != c("expected_hash")).drop("expected_hash")
+    joined = settled.join(page_index(pages), ["document_hash", "page"], "left")
     found = c("__page_text").isNotNull()
     textual = c("source_type").isin("text", "table")
     exact = (text.strip(c("excerpt")) != "") & _contains(c("__page_text"), text.canonical_text(c("excerpt")))
@@ -67,7 +69,7 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
     checked = joined.select(
         *owner, "pos",
         F.array_compact(F.array(
-            F.when(c("document_hash") != c("expected_hash"), "evidence cites another source"),
+            F.when(c("__foreign"), "evidence cites another source"),
             F.when(~found, "page is outside the document"),
             F.when(found & textual & ~F.coalesce(exact, F.lit(False)), "excerpt not found on the stated page"),
             F.when(found & ~textual & c("is_reported"), "figure value without calibrated geometry"),

@@ -1,6 +1,7 @@
 """Ordinals in groups of any size, merges that keep conflicts, and a gate that refuses faulty snapshots."""
 
 import random
+import re
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -84,3 +85,12 @@ def test_fingerprint_query_deals_rows_into_tasks_by_their_number(spark):
     plan = df._jdf.queryExecution().toString()
     assert "raw_value" not in "".join(x for x in plan.splitlines() if "RepartitionByExpression" in x) and f", {-(-lines // 200)}" in plan
     assert [tuple(r) for r in df.collect()] == [(lines, "true", "true")]
+
+
+def test_verification_moves_each_page_once(spark):
+    from evloom.plans import load
+    df = load()[0]["verified_measurements"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # pages are grouped by both keys of the check, so that the check finds them where they are
+    assert re.search(r"hashpartitioning\(document_hash#\d+L?, page#\d+L?, ", plan) and not re.search(r"hashpartitioning\(document_hash#\d+, \d+\)", plan)
+    assert "#" not in df.first()["measurement_id"]
