@@ -197,7 +197,7 @@ def land_cascade(documents: DataFrame, evidence: DataFrame, path: str, buckets:
     own, cited = cascade_tables(documents.sparkSession, path, buckets)
     names = F.explode(F.array(F.concat(F.lit("doi:"), canonical_doi(c("doi"))), F.concat(F.lit("publication:"), c("publication_id"))))
     own.land(documents.select("document_hash", "status"), documents.select("document_hash", names.alias("name")))
-    cited.land(evidence.select("measurement_id").distinct(), evidence.select("measurement_id", c("document_hash").alias("name")))
+    cited.land(None, evidence.select("measurement_id", c("document_hash").alias("name")))
 
 
 def run_cascade(stream: DataFrame, path: str, checkpoint: str, buckets: int = 32) -> None:

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: So many names of a batch at most are sent to every task that reads the index; more of them meet it through a shuffle.
+BROADCAST_NAMES = 250_000
+
+
 class Folder:
     """The few file operations that need no job, on whatever store the path names."""
 
@@ -161,67 +165,138 @@ class MergeLog:
 class RankedTable:
     """Rows with a ``rank`` that only rises, found by the names they answer to.
 
-    ``rows`` lie in buckets by a hash of ``key``. ``names`` is an index in buckets by a hash of the name: which
-    row, in which bucket, answers to it. A change reads the index buckets of its names and the row buckets
-    they lead to, and overwrites only the row buckets in which a rank really rises.
+    ``keys`` holds the rows as they landed, each under a number, and is never written again. ``names`` is an index
+    in buckets by a hash of the name: the numbers, and their buckets, of the rows that answer to it. ``rows`` holds
+    number and rank of the rows that ever rose; a row that is not there has rank 0. A change reads the index buckets
+    of its names and the rank buckets they lead to, and writes only those in which a rank really rises. So only
+    numbers travel with a change, and what a row carries is looked up when it is read.
+
+    The manifest of the highest number names the version of every rank bucket, so that a batch is seen whole or not
+    at all. A replayed batch finds its version whole, or starts from the manifest before it and writes it again.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: str, buckets: int = 32) -> None:
         self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
         self.folder = Folder(spark, path)
+        #: ranks that the names have been given so far: what a batch repeats needs no search
+        self.applied = MergeLog(spark, f"{self.path}/applied", ["name"], lambda rows: rows.groupBy("name").agg(
+            F.max("rank").alias("rank"), F.max("batch_id").alias("batch_id")), "name string, rank int, batch_id bigint", buckets)
 
-    def land(self, rows: DataFrame, names: DataFrame) -> None:
-        """Write the rows, all at rank 0, and the index. ``names``: the key and a name; null names find nothing."""
-        n = self.buckets
-        dealt = rows.withColumn("rank", F.lit(0)).withColumn("bucket", bucket_of([self.key], n))
-        dealt.repartition(F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/rows")
-        index = (names.where("name is not null").select(self.key, "name", bucket_of([self.key], n).alias("bucket"), bucket_of(["name"], n).alias("name_bucket"))
-                 .distinct())
+    def land(self, rows: DataFrame | None, names: DataFrame) -> None:
+        """Write the rows, all at rank 0, and the index. ``names``: the key and a name; null names find nothing.
+
+        A row has few names: they are gathered by row. Without ``rows`` these are the different keys of ``names``.
+        """
+        c, n = F.col, self.buckets
+        part = bucket_of([self.key], 4 * n)
+        if rows is None:
+            dealt = (names.select(self.key, "name").withColumn("__part", part).repartition(c("__part"))
+                     .groupBy(self.key, "__part").agg(F.collect_set("name").alias("__names")))
+        else:
+            gathered = names.groupBy(self.key).agg(F.collect_set("name").alias("__names"))
+            dealt = rows.join(gathered, self.key, "left").withColumn("__part", part).repartition(c("__part"))
+        # numbered in the job that writes them, so that every file has its numbers for good
+        numbered = dealt.withColumn("__row", F.monotonically_increasing_id()).withColumn("bucket", c("__part") % n).drop("__part")
+        numbered.write.partitionBy("bucket").parquet(f"{self.path}/keys")
+        index = (self._keys().where(c(self.key).isNotNull()).select("__row", "bucket", F.explode("__names").alias("name"))
+                 .withColumn("name_bucket", bucket_of(["name"], n)))
         # a name may be very common: its rows need not meet in one task to be written
-        salted = index.repartition(F.col("name_bucket"), bucket_of([self.key], 4))
+        salted = index.repartition(c("name_bucket"), c("bucket") % 4).sortWithinPartitions("name_bucket", "name", "bucket", "__row")
         salted.write.partitionBy("name_bucket").parquet(f"{self.path}/names")
 
+    def _keys(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/keys")
+
+    def _manifest(self, before: int | None = None) -> dict:
+        """Version of every rank bucket, now or before a batch."""
+        names = [int(x) for x in self.folder.names("manifest") if x.isdigit()]
+        held = [x for x in names if before is None or x < before]
+        return json.loads(self.folder.read(f"manifest/{max(held)}")) if held else {}
+
+    def _ranks(self, files: dict[str, int]) -> DataFrame:
+        reader = self.spark.read.option("basePath", f"{self.path}/rows").schema("__row bigint, rank int, rises boolean, version bigint, bucket int")
+        paths = [f"{self.path}/rows/version={v}/bucket={b}" for b, v in sorted(files.items())]
+        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], "__row bigint, rank int, rises boolean, version bigint, bucket int")
+
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows").drop("bucket")
+        ranks = self._ranks(self._manifest()).select("__row", F.col("rank").alias("__rank"))
+        return self._keys().join(ranks, "__row", "left").withColumn("rank", F.coalesce("__rank", F.lit(0))).drop("__row", "__rank", "__names", "bucket")
 
     def _numbers(self, df: DataFrame, column: str) -> list[int]:
         return [r[0] for r in df.select(column).distinct().collect()]  # at most one number per bucket
 
     def raise_ranks(self, changes: DataFrame, batch_id: int) -> DataFrame:
-        """Raise the rows that answer to a changed name; returns the rows of the table that rose (key, rank).
-
-        ``changes``: name, rank. The new buckets are staged before any old one goes, so that a replay of a
-        batch that failed half-way puts the staged ones in place again.
-        """
+        """Raise the rows that answer to a changed name; returns the rows of the table that rose (key, rank). ``changes``: name, rank."""
         c = F.col
-        staged = f"staged/batch_id={batch_id}"
-        if not self.folder.complete(f"{staged}/risen"):
-            asked = changes.where("name is not null and rank > 0").groupBy("name").agg(F.max("rank").alias("__rank"))
-            asked = asked.withColumn("name_bucket", bucket_of(["name"], self.buckets))
-            index = self.spark.read.parquet(f"{self.path}/names").where(c("name_bucket").isin(self._numbers(asked, "name_bucket")))
-            hit = index.join(asked.drop("name_bucket"), "name").groupBy(self.key, "bucket").agg(F.max("__rank").alias("__rank"))
-            hit.write.mode("overwrite").parquet(f"{self.path}/{staged}/hit")
-            hit = self.spark.read.parquet(f"{self.path}/{staged}/hit")
-            every = self.spark.read.parquet(f"{self.path}/rows")
-            near = every.where(c("bucket").isin(self._numbers(hit, "bucket"))).join(hit.drop("bucket"), self.key, "left")
-            rises = F.coalesce(c("__rank") > c("rank"), F.lit(False))
-            rising = self._numbers(near.where(rises), "bucket")
-            if not rising:
-                return every.select(self.key, "rank").limit(0)
-            near = near.where(c("bucket").isin(rising))
-            new = near.withColumn("__rises", rises).withColumn("rank", F.when(rises, c("__rank")).otherwise(c("rank"))).drop("__rank")
-            new.repartition(F.col("bucket")).write.mode("overwrite").parquet(f"{self.path}/{staged}/rows")
-            (self.spark.read.schema(new.schema).parquet(f"{self.path}/{staged}/rows").where("__rises").select(self.key, "rank")
-             .write.mode("overwrite").parquet(f"{self.path}/{staged}/risen"))
-        new = self.spark.read.parquet(f"{self.path}/{staged}/rows").drop("__rises")
-        (new.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows"))
-        return self.spark.read.parquet(f"{self.path}/{staged}/risen")
+        staged = f"{self.path}/staged/batch_id={batch_id}"
+        before = self._manifest(batch_id)
+        nothing = self._keys().select(self.key, F.lit(0).alias("rank")).limit(0)
+        if self._whole(batch_id):
+            self.applied.append(self.spark.read.schema("name string, rank int").parquet(f"{staged}/asked"), batch_id)
+            return self._risen(batch_id)
+        known = self.applied.rows().where(c("batch_id") < batch_id).groupBy("name").agg(F.max("rank").alias("__known"))
+        asked = (changes.where("name is not null and rank > 0").groupBy("name").agg(F.max("rank").alias("rank"))
+                 .join(known, "name", "left").where(c("rank") > F.coalesce("__known", F.lit(0))).select("name", "rank"))
+        # written, so that its size is known: a few names are sent to the index, which then stays where it is
+        asked.write.mode("overwrite").parquet(f"{staged}/asked")
+        asked = self.spark.read.schema(asked.schema).parquet(f"{staged}/asked")
+        if not (asked_buckets := self._numbers(asked.select(bucket_of(["name"], self.buckets).alias("b")), "b")):
+            return nothing
+        index = self.spark.read.parquet(f"{self.path}/names").where(c("name_bucket").isin(asked_buckets))
+        few = asked.count() <= BROADCAST_NAMES
+        hit = index.join(F.broadcast(asked) if few else asked, "name").select("__row", "bucket", "rank")
+        hit.write.mode("overwrite").parquet(f"{staged}/hit")
+        hit = self.spark.read.schema(hit.schema).parquet(f"{staged}/hit")
+        touched = self._numbers(hit, "bucket")
+        old = self._ranks({b: v for b, v in before.items() if int(b) in touched})
+        # several names may lead to a row
+        both = hit.select("__row", "bucket", c("rank").alias("new"), F.lit(0).alias("old")).unionByName(
+            old.select("__row", "bucket", F.lit(0).alias("new"), c("rank").alias("old")))
+        met = both.withColumn("__part", bucket_of(["__row"], 4)).repartition(c("bucket"), c("__part"))
+        ranked = met.groupBy("bucket", "__part", "__row").agg(F.max("new").alias("new"), F.max("old").alias("old")).select(
+            "bucket", "__row", F.greatest("new", "old").alias("rank"), (c("new") > c("old")).alias("rises"))
+        version = f"rows/version={batch_id}"
+        ranked.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{version}")
+        now = self._ranks(dict.fromkeys(map(str, touched), batch_id)).where("rises")
+        rising = self._numbers(now, "bucket")
+        for b in set(touched) - set(rising):
+            self.folder.delete(f"{version}/bucket={b}")
+        if rising:
+            self.folder.delete(f"manifest/{batch_id}")
+            self.folder.publish(f"manifest/{batch_id}", json.dumps({**before, **dict.fromkeys(map(str, rising), batch_id)}))
+        self.applied.append(asked, batch_id)
+        return self._risen(batch_id) if rising else nothing
+
+    def _own(self, batch_id: int) -> list[str]:
+        """The buckets that a batch wrote."""
+        return [b for b, v in self._manifest(batch_id + 1).items() if v == batch_id]
+
+    def _whole(self, batch_id: int) -> bool:
+        """Whether a batch is seen already and all it wrote is still there."""
+        own = {f"bucket={b}" for b in self._own(batch_id)}
+        return bool(own) and own <= set(self.folder.names(f"rows/version={batch_id}")) and self.folder.complete(f"staged/batch_id={batch_id}/asked")
+
+    def _risen(self, batch_id: int) -> DataFrame:
+        own = self._own(batch_id)
+        risen = self._ranks(dict.fromkeys(own, batch_id)).where("rises").select("__row", "rank")
+        return risen.join(self._keys().where(F.col("bucket").isin([int(b) for b in own])).select("__row", self.key), "__row").select(self.key, "rank")
 
     def forget(self, before: int) -> None:
-        """Drop what was staged for batches below ``before``; those are committed and never come again."""
+        """Drop what belongs only to batches below ``before``; those are committed and never come again."""
         for name in self.folder.names("staged"):
             if int(name.partition("=")[2]) < before:
                 self.folder.delete(f"staged/{name}")
+        numbers = sorted(int(x) for x in self.folder.names("manifest") if x.isdigit())
+        # a replay of ``before`` starts from the last manifest below it
+        kept = [x for x in numbers if x >= before] + [x for x in numbers if x < before][-1:]
+        held = {(b, v) for x in kept for b, v in json.loads(self.folder.read(f"manifest/{x}")).items()}
+        for folder in self.folder.names("rows"):
+            version = int(folder.partition("=")[2])
+            for name in self.folder.names(f"rows/{folder}"):
+                if name.startswith("bucket=") and version < before and (name.partition("=")[2], version) not in held:
+                    self.folder.delete(f"rows/{folder}/{name}")
+        for x in set(numbers) - set(kept):
+            self.folder.delete(f"manifest/{x}")
 
 
 def cascade(tables: list[RankedTable], changes: DataFrame, batch_id: int) -> None:

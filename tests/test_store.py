@@ -129,6 +129,32 @@ def test_rank_table(spark):
     assert table.folder.names("staged") == ["batch_id=2"]
 
 
+def test_change_does_not_write_what_rows_carry(spark):
+    """A batch writes numbers and ranks of the rows that rose: what rows carry and rows that never rose are not written again."""
+    path = lv.folders(spark, "carried")[0]
+    table = RankedTable(spark, path, "id", buckets=2)
+    rows = spark.createDataFrame([(i, f"payload {i}") for i in range(40)], "id int, payload string")
+    table.land(rows, spark.createDataFrame([(i, f"n{i % 4}") for i in range(40)], "id int, name string"))
+    keys = files(f"{path}/keys")
+    assert table.raise_ranks(spark.createDataFrame([("n1", 2)], "name string, rank int"), 0).count() == 10
+    written = spark.read.parquet(f"{path}/rows")
+    assert "payload" not in written.columns and written.count() == 10 and files(f"{path}/keys") == keys
+    # the same names no higher than before: nothing is searched or written
+    assert table.raise_ranks(spark.createDataFrame([("n1", 1)], "name string, rank int"), 1).count() == 0 and table.folder.names("staged/batch_id=1") == ["asked"]
+    assert {(r["id"], r["payload"], r["rank"]) for r in table.rows().collect()} == {(i, f"payload {i}", 2 if i % 4 == 1 else 0) for i in range(40)}
+
+
+def test_more_names_than_are_broadcast(spark, monkeypatch):
+    from evloom.streaming import store
+    monkeypatch.setattr(store, "BROADCAST_NAMES", 1)
+    path = lv.folders(spark, "many")[0]
+    table = RankedTable(spark, path, "id", buckets=4)
+    table.land(None, spark.createDataFrame([(i, f"n{i % 4}") for i in range(40)] + [(3, None), (99, None), (3, "n3")], "id int, name string"))
+    risen = table.raise_ranks(spark.createDataFrame([("n1", 2), ("n3", 4)], "name string, rank int"), 0)
+    assert {(r["id"], r["rank"]) for r in risen.collect()} == {(i, 2 if i % 4 == 1 else 4) for i in range(40) if i % 2}
+    assert table.rows().count() == 41 and table.rows().where("rank = 0").count() == 21
+
+
 def test_cascade_is_the_batch_form(spark):
     documents = spark.createDataFrame([("d1", "10.1234/A", "p1", "completed"), ("d2", None, "p2", "completed"), ("d3", "10.1234/c", None, "uploaded"), ("d4", None, None, "completed")],
                                       "document_hash string, doi string, publication_id string, status string")
