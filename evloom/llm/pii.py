@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evloom.functions.text import bind
 from evloom.llm.tables import keyed, written
 
 # Titles that show the gender of the name after them.
@@ -67,8 +68,8 @@ def _stream(key: str, kind: Column, canonical: Column, attempt: Column) -> Colum
     return F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("+")), 256))
 
 
-def _pick(pool: str, n: Column) -> Column:
-    return F.substr(F.lit(pool), F.pmod(n, F.lit(len(pool))) + 1, F.lit(1))
+def _pick(pool: Column, n: Column) -> Column:
+    return F.substr(pool, F.pmod(n, F.char_length(pool)) + 1, F.lit(1))
 
 
 def _character(c: Column, n: Column, letters: Column) -> Column:
@@ -87,14 +88,15 @@ def _spelled(entity: Column, kind: Column, stream: Column, extra: Column) -> Col
     tail = F.when(kind == "email", F.char_length(F.regexp_extract(entity, "\\.[A-Za-z]+$", 0))).otherwise(0)
     letters = F.when(F.lower(entity).rlike("^[0-9a-f:]+$"), 6).otherwise(26)
 
-    def one(c, i):
+    def one(form, c, i):
         rank = F.char_length(F.regexp_replace(F.substr(entity, F.lit(1), i), "[^0-9A-Za-z]", ""))
-        return F.when((i < head) | (i >= F.char_length(entity) - tail), c).otherwise(_character(c, _number(stream, rank), letters))
+        return F.when((i < form["head"]) | (i >= F.char_length(entity) - form["tail"]), c).otherwise(_character(c, _number(stream, rank), form["letters"]))
 
     more = _repeat(extra, lambda i: F.when(kind == "email", F.chr(F.lit(97) + F.pmod(_number(stream, -i), F.lit(26))))
                    .otherwise(F.pmod(_number(stream, -i), F.lit(10)).cast("string")))
-    new = F.array_join(F.transform(F.split(entity, ""), one), "")
-    return F.when(extra == 0, new).when(kind == "email", F.concat(more, new)).otherwise(F.concat(new, more))
+    form = F.struct(head.alias("head"), tail.alias("tail"), letters.alias("letters"))
+    spelled = bind(form, lambda f: F.array_join(F.transform(F.split(entity, ""), lambda c, i: one(f, c, i)), ""))
+    return bind(spelled, lambda new: F.when(extra == 0, new).when(kind == "email", F.concat(more, new)).otherwise(F.concat(new, more)))
 
 
 def _repeat(times: Column, make) -> Column:
@@ -114,13 +116,16 @@ def _address(entity: Column, stream: Column, extra: Column) -> Column:
 
 def _named(word: Column, kind: Column, stream: Column, extra: Column) -> Column:
     """A name of syllables in the script of ``word``, ``extra`` ones included, ending by gender or as a surname."""
-    def made(script: str) -> Column:
-        consonants, vowels, female, male, last = _SYLLABLES[script]
+    scripts = {script: F.struct(*[F.lit(x).alias(f"s{n}") for n, x in enumerate(pools)]) for script, pools in _SYLLABLES.items()}
+    own = F.when(word.rlike("\\p{IsCyrillic}"), scripts["cyrillic"]).when(word.rlike("\\p{IsGreek}"), scripts["greek"]).otherwise(scripts["latin"])
+
+    def made(script: Column) -> Column:
+        consonants, vowels, female, male, last = [script[f"s{n}"] for n in range(5)]
         syllable = lambda i: F.concat(_pick(consonants, _number(stream, 2 * i)), _pick(vowels, _number(stream, 2 * i + 1)))
         stem = F.concat(*(syllable(F.lit(i)) for i in range(3)), F.when(F.char_length(word) > 7, syllable(F.lit(3))).otherwise(""),
                         F.when(extra > 0, _repeat(extra, lambda k: syllable(k + 3))).otherwise(""))
         return F.initcap(F.concat(stem, F.when(kind == "given_f", female).when(kind == "given_m", male).otherwise(last)))
-    return (F.when(word.rlike("\\p{IsCyrillic}"), made("cyrillic")).when(word.rlike("\\p{IsGreek}"), made("greek")).otherwise(made("latin")))
+    return bind(own, made)
 
 
 def _words(entity: Column) -> Column:
@@ -128,17 +133,24 @@ def _words(entity: Column) -> Column:
     words = F.split(entity, " ")
     given = F.when(entity.rlike(f"^(?:{FEMALE})\\b"), "given_f").otherwise("given_m")
     part = lambda text, kind: F.struct(text.alias("text"), kind.alias("kind"))
-    kind = _kind(entity)
-    return (F.when((kind == "name") & (F.size(words) > 2), F.array(part(F.get(words, F.lit(1)), given), part(F.get(words, F.lit(2)), F.lit("surname"))))
-            .when(kind == "name", F.array(part(F.get(words, F.lit(1)), F.lit("surname")))).otherwise(F.array(part(entity, kind))))
+    return bind(_kind(entity), lambda kind: (
+        F.when((kind == "name") & (F.size(words) > 2), F.array(part(F.get(words, F.lit(1)), given), part(F.get(words, F.lit(2)), F.lit("surname"))))
+        .when(kind == "name", F.array(part(F.get(words, F.lit(1)), F.lit("surname")))).otherwise(F.array(part(entity, kind)))))
 
 
 def surrogate(text: Column, kind: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of one part; deterministic in the key, so all mentions of an entity agree."""
-    stream = _stream(key, kind, _canonical(text, kind), attempt)
-    extra = F.greatest(attempt - (STRICT - 1), F.lit(0))
-    return (F.when(kind.isin("given_f", "given_m", "surname"), _named(text, kind, stream, extra))
-            .when(kind == "ip", _address(text, stream, extra)).otherwise(_spelled(text, kind, stream, extra)))
+    """The surrogate of one part; deterministic in the key, so all mentions of an entity agree.
+
+    The stream and the attempt are bound once: written out wherever a character asks for them, they make a plan that the
+    driver has to hold, optimise and compile many times over.
+    """
+    def made(seen: Column) -> Column:
+        stream, extra = seen["stream"], seen["extra"]
+        return (F.when(kind.isin("given_f", "given_m", "surname"), _named(text, kind, stream, extra))
+                .when(kind == "ip", _address(text, stream, extra)).otherwise(_spelled(text, kind, stream, extra)))
+
+    return bind(attempt, lambda n: bind(F.struct(
+        _stream(key, kind, _canonical(text, kind), n).alias("stream"), F.greatest(n - (STRICT - 1), F.lit(0)).alias("extra")), made))
 
 
 def _found(text: Column) -> Column:

@@ -207,3 +207,9 @@ def test_pipeline_stages(spark, awkward):
     want = plain_components([(r["doc_id"], r["text"]) for r in third.collect()], 80)
     kept = {r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, third, SF).collect()}
     assert kept == {i for i, c in want.items() if i == c} | {None}
+
+
+def test_a_surrogate_is_a_small_expression(spark):
+    """The driver holds and compiles it at every place that shows a surrogate: 27,000 characters when the stream was written out each time."""
+    c = pii.surrogate(F.col("text"), F.col("kind"), F.col("attempt"), "k")
+    assert len(c._jc.toString()) < 9_000
