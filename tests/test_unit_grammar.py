@@ -34,3 +34,13 @@ def test_listed_units_keep_the_table(spark):
     got = units.attach_conversion(frame, F.col("outcome"), F.col("unit"), units.OUTCOME_TARGETS).collect()
     assert [(r["__unit"], r["__mul"], r["__div"]) for r in got] == [
         ("millimole / liter", 1.0, 1.0), ("millimole / liter", 1.0, 1.0), (None, None, None), ("degree_Celsius", 1.0, 1.0), ("percent", 1.0, 1.0), (None, None, None)]
+
+
+def test_a_text_is_read_once_per_batch(monkeypatch):
+    """Rows are many and units few: the work of reading must not grow with the rows."""
+    import pandas as pd
+    seen = []
+    monkeypatch.setattr(unit_grammar, "_read", lambda t, read=unit_grammar._read: seen.append(t) or read(t))
+    got = unit_grammar._parsed.func(pd.Series(["mg/mL", None, "furlong", "m s^-1"] * 1000))
+    assert sorted(seen) == ["furlong", "m s^-1", "mg/mL"] and len(got) == 4000
+    assert got["name"][:4].tolist() == ["milligram / milliliter", None, None, "meter / second"]
