@@ -62,23 +62,29 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
     # settled before the rows move, so that one hash travels and not two
     settled = evidence.withColumn("__foreign", c("document_hash") != c("expected_hash")).drop("expected_hash")
     joined = settled.join(page_index(pages), ["document_hash", "page"], "left")
-    found = c("__page_text").isNotNull()
     textual = c("source_type").isin("text", "table")
-    exact = (text.strip(c("excerpt")) != "") & _contains(c("__page_text"), text.canonical_text(c("excerpt")))
+    # tested once per citation, and only where a page was found: several notes read the result
+    # a lower-cased excerpt within canonical text is canonical itself but for blanks at its ends, so most need no more than that
+    body = c("__page_text")
+    # lower case within canonical text is canonical but for blanks at its ends: most excerpts need no more than that
+    stated = c("excerpt").rlike(text.WORD) & (_contains(body, F.lower("excerpt")) | _contains(body, text.canonical_text(c("excerpt"))))
+    joined = joined.withColumns({"__found": body.isNotNull(),
+                                 "__exact": F.when(textual & body.isNotNull(), F.coalesce(stated, F.lit(False))).otherwise(False)}).drop("__page_text")
+    found, exact = c("__found"), c("__exact")
     located = F.exists("__tables", lambda t: F.contains(c("locator"), t))
     checked = joined.select(
         *owner, "pos",
         F.array_compact(F.array(
             F.when(c("__foreign"), "evidence cites another source"),
             F.when(~found, "page is outside the document"),
-            F.when(found & textual & ~F.coalesce(exact, F.lit(False)), "excerpt not found on the stated page"),
+            F.when(found & textual & ~exact, "excerpt not found on the stated page"),
             F.when(found & ~textual & c("is_reported"), "figure value without calibrated geometry"),
             F.when(found & c("bounding_box").isNotNull() & ~_box_inside(c("bounding_box"), c("__width"), c("__height")),
                    "bounding box outside the page"))).alias("failures"),
         F.array_compact(F.array(
             F.when(found & F.startswith("__text_status", F.lit("ocr")), "OCR page needs visual verification"),
             F.when(found & (c("source_type") == "table") & ~F.coalesce(located, F.lit(False)), "table locator unknown"))).alias("ambiguities"),
-        F.when(found & textual & F.coalesce(exact, F.lit(False)), c("excerpt")).alias("excerpt"))
+        F.when(exact, c("excerpt")).alias("excerpt"))
     gathered = checked.groupBy(*owner).agg(F.array_sort(F.collect_list(
         F.struct("pos", "failures", "ambiguities", "excerpt"))).alias("e"))
     return gathered.select(
