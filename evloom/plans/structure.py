@@ -157,14 +157,18 @@ def scanned_files(spark, sf, rows_per_file=50_000):
 
 
 @query("nested_dataset", """SELECT o_orderkey AS experiment, CAST(count(*) AS BIGINT) AS measurements, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
-def nested_dataset(spark, sf):
-    """Orders with their lines written as nested datasets and read back through the versioned loader."""
+def nested_dataset(spark, sf, orders_per_file=10_000):
+    """Orders with their lines written as nested datasets and read back through the versioned loader.
+
+    A dataset is a file, which is listed, opened and parsed as one record: ``orders_per_file`` keys are about 2 MB, so that files
+    are few beside the rows and one still fits a task.
+    """
     from evloom.session import scratch_path
     line = F.struct(F.col("l_linenumber").cast("bigint").alias("measurement"), F.col("l_quantity").cast("bigint").alias("value"))
     lines = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(line).alias("measurements"))
     experiments = table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey")
-    # one dataset per file, with the experiments of a slice of 100 orders
-    sets = experiments.groupBy((F.col("o_orderkey") / 100).cast("bigint").alias("name")).agg(
+    # one dataset per file, with the experiments of a slice of the order keys
+    sets = experiments.groupBy(F.floor(F.col("o_orderkey") / orders_per_file).alias("name")).agg(
         F.collect_list(F.struct(F.col("o_orderkey").alias("experiment"), "measurements")).alias("experiments")).withColumn("schema_version", F.lit(2))
     path = scratch_path(spark, "dataset")
     sets.write.option("maxRecordsPerFile", 1).json(path)

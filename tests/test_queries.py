@@ -32,6 +32,19 @@ def test_scan_counts_sources_of_many_files(spark, con, monkeypatch):
         assert ok == whole, message
 
 
+def test_nested_datasets_are_few_beside_the_orders(spark, con, monkeypatch, tmp_path):
+    """A file per 100 orders was half a million files at size; the rows do not depend on the slices."""
+    from evloom import session
+    from evloom.plans import structure
+    for size, most in ((None, 1), (100, 16)):
+        folder = tmp_path / str(size)
+        monkeypatch.setattr(session, "scratch_path", lambda *_: str(folder))  # noqa: B023
+        fn = lambda s, sf: structure.nested_dataset(s, sf, **({"orders_per_file": size} if size else {}))  # noqa: E731, B023
+        ok, _, _, message = compare(spark, "nested_dataset", fn, ORACLES["nested_dataset"], SF, con)
+        assert ok, message
+        assert len(list(folder.glob("*.json"))) <= most
+
+
 def test_only_known_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == {"pooled_intervals", "clustered_estimates"}
 
