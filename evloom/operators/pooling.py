@@ -100,20 +100,38 @@ def covariance_violations(effects: DataFrame, covariance: DataFrame) -> DataFram
     """
     c = F.col
     e = effects.select("analysis_id", "contrast_id", "study_family", "vi")
+    tol = lambda a, b, rel: F.abs(a - b) <= 1e-12 + rel * F.abs(b)
+    infinite = c("cov").isNull() | F.isnan("cov") | (F.abs("cov") == float("inf"))
+    diagonal = F.coalesce(c("id_i") == c("id_j"), F.lit(False))
+    # the variance entry of an effect is its own mirror: one sum by effect settles it, where neither is repeated
+    rows = e.select("analysis_id", "contrast_id", F.lit(1).alias("effect"), F.lit(0).alias("entry"), c("study_family").isNotNull().alias("known"), "vi",
+                    F.lit(None).cast("double").alias("cov")).unionByName(
+        covariance.where(diagonal).select("analysis_id", c("id_i").alias("contrast_id"), F.lit(0).alias("effect"), F.lit(1).alias("entry"),
+                                          F.lit(False).alias("known"), F.lit(None).cast("double").alias("vi"), "cov"))
+    own = rows.groupBy("analysis_id", "contrast_id").agg(F.sum("effect").alias("effects"), F.sum("entry").alias("entries"), F.max("known").alias("known"),
+                                                         F.max("vi").alias("vi"), F.max("cov").alias("cov"))
+    nowhere, repeated = c("analysis_id").isNull(), ((c("entries") > 1) & (c("effects") > 0)) | ((c("effects") > 1) & (c("entries") > 0))
+    entry = (F.when(nowhere | (c("effects") == 0) | ~c("known") & ~repeated, "entry names no retained effect")
+             .when(~repeated & infinite, "entry is not finite")
+             .when(~repeated & ~tol(c("cov"), c("vi"), 1e-6), "diagonal differs from the sampling variance"))
+    missing = F.when((c("effects") > 0) & (nowhere | (c("entries") == 0)), "an effect has no variance entry")
+    settled = own.select("analysis_id", F.when(repeated, c("contrast_id")).alias("again"),
+                         F.explode(F.array(F.when(c("entries") > 0, entry), missing)).alias("reason")).where("again is not null or reason is not null")
+    settled = written(settled.distinct(), "variances")
+    again = covariance.where(diagonal).join(settled.select("analysis_id", c("again").alias("id_i")).distinct(), ["analysis_id", "id_i"], "left_semi")
+    left = covariance.where(~diagonal).unionByName(again.select(*covariance.columns))
     one = e.withColumnsRenamed({"contrast_id": "id_i", "study_family": "fi", "vi": "vi_i"})
     two = e.select("analysis_id", c("contrast_id").alias("id_j"), c("study_family").alias("fj"))
-    placed = covariance.join(one, ["analysis_id", "id_i"], "left").join(two, ["analysis_id", "id_j"], "left")
-    mirror = covariance.select("analysis_id", c("id_j").alias("id_i"), c("id_i").alias("id_j"), c("cov").alias("mirror"))
+    placed = left.join(one, ["analysis_id", "id_i"], "left").join(two, ["analysis_id", "id_j"], "left")
+    mirror = left.select("analysis_id", c("id_j").alias("id_i"), c("id_i").alias("id_j"), c("cov").alias("mirror"))
     pair = placed.join(mirror, ["analysis_id", "id_i", "id_j"], "left")
-    tol = lambda a, b, rel: F.abs(a - b) <= 1e-12 + rel * F.abs(b)
     reason = (F.when(c("fi").isNull() | c("fj").isNull(), "entry names no retained effect")
-              .when(c("cov").isNull() | F.isnan("cov") | (F.abs("cov") == float("inf")), "entry is not finite")
+              .when(infinite, "entry is not finite")
               .when(c("mirror").isNull() | ~tol(c("cov"), c("mirror"), 1e-8), "not symmetric")
               .when((c("id_i") == c("id_j")) & ~tol(c("cov"), c("vi_i"), 1e-6), "diagonal differs from the sampling variance")
               .when((c("fi") != c("fj")) & (F.abs("cov") > 1e-12), "covariance between families"))
-    bad = pair.select("analysis_id", reason.alias("reason")).where("reason is not null").distinct()
-    missing = e.join(covariance.where("id_i = id_j").select("analysis_id", c("id_i").alias("contrast_id")), ["analysis_id", "contrast_id"], "left_anti")
-    return bad.unionByName(missing.select("analysis_id", F.lit("an effect has no variance entry").alias("reason")).distinct())
+    bad = pair.select("analysis_id", reason.alias("reason")).unionByName(settled.select("analysis_id", "reason"))
+    return bad.where("reason is not null").distinct()
 
 
 def _family_matrices(effects: DataFrame, covariance: DataFrame) -> DataFrame:
