@@ -20,6 +20,7 @@ COUNT_AFTER = r"(?iU)(?<=(?:independent|separate|biological).{0,55})\bn\s*[=:]\s
 TECHNICAL = r"technical|particles|droplets|repeat|replicat|measurements"
 ARMS = r"independent(?:ly)?[^.]{0,60}(?:arms|groups)|(?:arms|groups)[^.]{0,60}independent"
 
+NOT_PLAIN = r"[^ -~]|  |^ | \z"
 NUMBERS = ["value", "lower_bound", "upper_bound", "uncertainty", "ci_lower", "ci_upper", "time_value"]
 
 
@@ -66,8 +67,9 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
     # tested once per citation, and only where a page was found: several notes read the result
     # a lower-cased excerpt within canonical text is canonical itself but for blanks at its ends, so most need no more than that
     body = c("__page_text")
-    # lower case within canonical text is canonical but for blanks at its ends: most excerpts need no more than that
-    stated = c("excerpt").rlike(text.WORD) & (_contains(body, F.lower("excerpt")) | _contains(body, text.canonical_text(c("excerpt"))))
+    # lower case within canonical text is canonical but for blanks at its ends; plain text in single blanks has no other canonical form
+    stated = c("excerpt").rlike(text.WORD) & (_contains(body, F.lower("excerpt")) | (
+        c("excerpt").rlike(NOT_PLAIN) & _contains(body, text.canonical_text(c("excerpt")))))
     joined = joined.withColumns({"__found": body.isNotNull(),
                                  "__exact": F.when(textual & body.isNotNull(), F.coalesce(stated, F.lit(False))).otherwise(False)}).drop("__page_text")
     found, exact = c("__found"), c("__exact")
