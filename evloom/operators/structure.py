@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evloom.functions import text
 from evloom.operators.primitives import group_ordinals, null_safe
+from evloom.session import written
 
 
 def family_members(measurements: DataFrame, experiments: DataFrame, documents: DataFrame) -> DataFrame:
@@ -135,19 +136,28 @@ def bounds_violations(rows: DataFrame, key: list[str], limit: int, label: str) -
 
 
 def contract_violations(measurements: DataFrame, experiments: DataFrame, numbers: list[str]) -> DataFrame:
-    """(id, violation) of a snapshot that must not be published."""
+    """(id, violation) of a snapshot that must not be published.
+
+    Experiment ids of both tables meet in one aggregate, which tells repeated and missing ones; measurement ids are looked
+    for among equal hashes. Whole ids travel again only for what is found, rarely any.
+    """
     c = F.col
-    out = [
-        experiments.groupBy("experiment_id").agg(F.count("*").alias("n")).where("n > 1").select(c("experiment_id").cast("string").alias("id"), F.lit("experiment id repeats").alias("violation")),
-        measurements.groupBy("measurement_id").agg(F.count("*").alias("n")).where("n > 1").select(c("measurement_id").cast("string").alias("id"), F.lit("measurement id repeats").alias("violation")),
-        measurements.join(experiments.select("experiment_id"), "experiment_id", "left_anti").select(c("measurement_id").cast("string").alias("id"), F.lit("parent experiment is missing").alias("violation")),
-        measurements.where((c("qualifier") == "missing") & c("value").isNotNull()).select(c("measurement_id").cast("string").alias("id"), F.lit("missing observation has a value").alias("violation")),
-    ]
+    ids = experiments.select("experiment_id", F.lit(1).alias("e")).unionByName(measurements.select("experiment_id", F.lit(0).alias("e")))
+    odd = written(ids.groupBy("experiment_id").agg(F.sum("e").alias("n")).where("n <> 1"), "odd_experiments")
+    hashed = measurements.withColumn("__h", F.xxhash64("measurement_id"))
+    suspects = written(hashed.groupBy("__h").agg(F.count("*").alias("n")).where("n > 1").select("__h"), "suspects")
+    repeated = hashed.join(suspects, "__h", "left_semi").groupBy("measurement_id").agg(F.count("*").alias("n")).where("n > 1")
+    orphans = measurements.join(odd.where("n = 0"), "experiment_id", "left_semi").unionByName(measurements.where("experiment_id is null"))
+    found = lambda df, name, violation: df.select(c(name).cast("string").alias("id"), F.lit(violation).alias("violation"))
     wild: Column = F.lit(False)
     for x in numbers:
         wild = wild | (c(x).isNotNull() & ~text.finite(c(x)))
-    out.append(measurements.where(wild).select(c("measurement_id").cast("string").alias("id"), F.lit("number is not finite").alias("violation")))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, [
+        found(odd.where("n > 1"), "experiment_id", "experiment id repeats"),
+        found(repeated, "measurement_id", "measurement id repeats"),
+        found(orphans, "measurement_id", "parent experiment is missing"),
+        found(measurements.where((c("qualifier") == "missing") & c("value").isNotNull()), "measurement_id", "missing observation has a value"),
+        found(measurements.where(wild), "measurement_id", "number is not finite")])
 
 
 def condition_records(experiments: DataFrame, attributes: DataFrame, unit: str = "document_hash", position: str = "position") -> DataFrame:

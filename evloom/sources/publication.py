@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +19,7 @@ class Publications:
     A snapshot is staged in a folder of its own, and the audit reads the staged files, not the plan that
     made them. Only a snapshot without violations gets a pointer, which appears whole under the next
     number; readers follow the highest pointer. What was refused is deleted, with its violations returned.
+    A pointer names the folder of every table, so that a snapshot may keep tables of the one before it.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -28,22 +29,32 @@ class Publications:
         numbers = sorted(int(n) for n in self.folder.names("pointer") if n.isdigit())
         return json.loads(self.folder.read(f"pointer/{numbers[-1]}")) if numbers else None
 
+    @staticmethod
+    def _places(now: dict | None) -> dict[str, str]:
+        tables = now["tables"] if now else {}
+        return tables if isinstance(tables, dict) else {name: f"{now['snapshot']}/{name}" for name in tables}  # a list in older pointers
+
     def read(self) -> dict[str, DataFrame]:
         """The published tables; empty before the first publication."""
-        now = self.current()
-        return {name: self.spark.read.parquet(f"{self.path}/{now['snapshot']}/{name}") for name in now["tables"]} if now else {}
+        return {name: self.spark.read.parquet(f"{self.path}/{place}") for name, place in self._places(self.current()).items()}
+
+    def publish(self, tables: dict[str, DataFrame], audit: Audit, kept: Iterable[str] = ()) -> list[tuple]:
+        """Violations as (id, violation), at most a thousand of them; none if the snapshot was published.
 
-    def publish(self, tables: dict[str, DataFrame], audit: Audit) -> list[tuple]:
-        """Violations as (id, violation), at most a thousand of them; none if the snapshot was published."""
+        Tables named in ``kept`` are those of the current snapshot: audited with the others, not written again.
+        """
         before = self.current()
         snapshot = f"snapshot-{uuid.uuid4().hex}"
+        places = {name: self._places(before)[name] for name in kept}
+        staged = {name: self.spark.read.parquet(f"{self.path}/{place}") for name, place in places.items()}
         for name, df in tables.items():
-            df.write.parquet(f"{self.path}/{snapshot}/{name}")
-        staged = {name: self.spark.read.schema(df.schema).parquet(f"{self.path}/{snapshot}/{name}") for name, df in tables.items()}
+            places[name] = f"{snapshot}/{name}"
+            df.write.parquet(f"{self.path}/{places[name]}")
+            staged[name] = self.spark.read.schema(df.schema).parquet(f"{self.path}/{places[name]}")
         found = [tuple(r) for r in audit(staged).take(1000)]
         if found:
             self.folder.delete(snapshot)
             return found
         number = before["number"] + 1 if before else 1
-        self.folder.publish(f"pointer/{number}", json.dumps({"number": number, "snapshot": snapshot, "tables": sorted(tables)}))
+        self.folder.publish(f"pointer/{number}", json.dumps({"number": number, "snapshot": snapshot, "tables": places}))
         return []

@@ -69,6 +69,35 @@ def test_gate(spark):
     assert store.publish(tables | {"documents": more.limit(1)}, audit) == [] and store.current()["number"] == 2
 
 
+def test_a_successor_keeps_tables_by_name_and_is_audited_whole(spark):
+    store = Publications(spark, folders(spark, "kept")[0])
+    documents = spark.createDataFrame([("d", "a.pdf", "0" * 64, "completed")], "document_id string, filename string, sha256 string, status string")
+    experiments = lambda *ids: spark.createDataFrame([(i,) for i in ids], "experiment_id string")
+    measurements = spark.createDataFrame([("m", "e", "exact", 1.0), ("n", "f", "exact", 2.0)], "measurement_id string, experiment_id string, qualifier string, value double")
+    audit = lambda staged: sx.snapshot_violations(staged, ["value"])
+    assert store.publish({"documents": documents, "experiments": experiments("e", "f"), "measurements": measurements}, audit) == []
+    first = store.current()["snapshot"]
+    # kept measurements are checked against the new experiments
+    assert store.publish({"experiments": experiments("e", "e", "g")}, audit, kept=["documents", "measurements"]) and store.current()["number"] == 1
+    assert sorted(store.publish({"experiments": experiments("e", "e", "g")}, audit, kept=["documents", "measurements"])) == [("e", "experiment id repeats"), ("n", "parent experiment is missing")]
+    assert store.publish({"experiments": experiments("e", "f", "g")}, audit, kept=["documents", "measurements"]) == []
+    names = store.folder.names(store.current()["snapshot"])
+    assert names == ["experiments"] and store.folder.names(first) == ["documents", "experiments", "measurements"]
+    assert {k: v.count() for k, v in store.read().items()} == {"documents": 1, "experiments": 3, "measurements": 2}
+
+
+def test_contract_violations_of_odd_ids(spark):
+    measurements = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "x"), (None, "x"), ("b", None), ("c", "gone"), ("d", "gone")], "measurement_id string, experiment_id string").selectExpr(
+        "*", "'exact' AS qualifier", "1.0D AS value")
+    experiments = spark.createDataFrame([("x",), ("y",), ("y",), (None,)], "experiment_id string")
+    got = sx.contract_violations(measurements, experiments, ["value"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("y", "experiment id repeats"), ("a", "measurement id repeats"), (None, "measurement id repeats"), ("b", "parent experiment is missing"),
+                                                                  ("c", "parent experiment is missing"), ("d", "parent experiment is missing")], key=repr)
+    # whole ids are not dealt out to be counted: one aggregate of experiment ids and one of hashes come before
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 0 and plan.count("Aggregate [measurement_id") == 1 and "LeftSemi" in plan
+
+
 def test_neighbours_across_blocks_and_partitions(spark):
     """The following row is found in the same block, in the next block and in the next partition, and never in another group."""
     rows = [(k, i) for k, n in (("a", 1), ("b", 500), (None, 90), ("c", 7)) for i in range(n)]
