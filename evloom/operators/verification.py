@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evloom.functions import text
 from evloom.functions.units import MASS_BASIS, VOLUME_BASIS
@@ -20,7 +21,6 @@ COUNT_AFTER = r"(?iU)(?<=(?:independent|separate|biological).{0,55})\bn\s*[=:]\s
 TECHNICAL = r"technical|particles|droplets|repeat|replicat|measurements"
 ARMS = r"independent(?:ly)?[^.]{0,60}(?:arms|groups)|(?:arms|groups)[^.]{0,60}independent"
 
-NOT_PLAIN = r"[^ -~]|  |^ | \z"
 NUMBERS = ["value", "lower_bound", "upper_bound", "uncertainty", "ci_lower", "ci_upper", "time_value"]
 
 
@@ -38,8 +38,11 @@ def page_index(pages: DataFrame) -> DataFrame:
     ``pages``: document_hash, page, text, tables (array of id, rows), width, height, text_status.
     """
     table_ids = F.transform("tables", lambda t: t["id"])
+    # without rows of tables the text may be plain as it is
+    bare = F.size(F.flatten(F.transform("tables", lambda t: t["rows"]))) == 0
+    whole = F.when(bare, F.col("text")).otherwise(text.source_text(F.col("text"), F.col("tables")))
     return pages.select(
-        "document_hash", "page", text.canonical_text(text.source_text(F.col("text"), F.col("tables"))).alias("__page_text"),
+        "document_hash", "page", text.canonical_text(whole).alias("__page_text"),
         table_ids.alias("__tables"), F.col("width").alias("__width"), F.col("height").alias("__height"),
         F.coalesce("text_status", F.lit("")).alias("__text_status"))
 
@@ -55,9 +58,21 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
     """One row per owner with the notes and the supported excerpts of all its evidence.
 
     ``evidence``: owner columns, pos, document_hash, expected_hash, page, source_type, locator,
-    excerpt, bounding_box. The containment test runs behind an equi-join on (document_hash, page),
-    which adaptive execution may split when one page is cited by a large share of the rows. The
-    regrouping afterwards holds one owner's evidence, which was one nested array before.
+    excerpt, bounding_box. The regrouping holds one owner's evidence, which was one nested array before.
+    """
+    c = F.col
+    gathered = _checked(evidence, pages, [*owner, "pos"]).groupBy(*owner).agg(F.array_sort(F.collect_list(
+        F.struct("pos", "failures", "ambiguities", "excerpt"))).alias("e"))
+    return gathered.select(
+        *owner, F.flatten(c("e.failures")).alias("__failures"), F.flatten(c("e.ambiguities")).alias("__ambiguities"),
+        F.array_compact(c("e.excerpt")).alias("__excerpts"))
+
+
+def _checked(evidence: DataFrame, pages: DataFrame, carried: list[str]) -> DataFrame:
+    """Failures, ambiguities and, where it is supported, the excerpt of each row of evidence, beside the ``carried`` columns.
+
+    The containment test runs behind an equi-join on (document_hash, page), which adaptive execution
+    may split when one page is cited by a large share of the rows.
     """
     c = F.col
     # settled before the rows move, so that one hash travels and not two
@@ -69,13 +84,13 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
     body = c("__page_text")
     # lower case within canonical text is canonical but for blanks at its ends; plain text in single blanks has no other canonical form
     stated = c("excerpt").rlike(text.WORD) & (_contains(body, F.lower("excerpt")) | (
-        c("excerpt").rlike(NOT_PLAIN) & _contains(body, text.canonical_text(c("excerpt")))))
+        c("excerpt").rlike(text.NOT_PLAIN) & _contains(body, text.canonical_text(c("excerpt")))))
     joined = joined.withColumns({"__found": body.isNotNull(),
                                  "__exact": F.when(textual & body.isNotNull(), F.coalesce(stated, F.lit(False))).otherwise(False)}).drop("__page_text")
     found, exact = c("__found"), c("__exact")
     located = F.exists("__tables", lambda t: F.contains(c("locator"), t))
-    checked = joined.select(
-        *owner, "pos",
+    return joined.select(
+        *carried,
         F.array_compact(F.array(
             F.when(c("__foreign"), "evidence cites another source"),
             F.when(~found, "page is outside the document"),
@@ -87,16 +102,25 @@ def check_evidence(evidence: DataFrame, pages: DataFrame, owner: list[str]) -> D
             F.when(found & F.startswith("__text_status", F.lit("ocr")), "OCR page needs visual verification"),
             F.when(found & (c("source_type") == "table") & ~F.coalesce(located, F.lit(False)), "table locator unknown"))).alias("ambiguities"),
         F.when(exact, c("excerpt")).alias("excerpt"))
-    gathered = checked.groupBy(*owner).agg(F.array_sort(F.collect_list(
-        F.struct("pos", "failures", "ambiguities", "excerpt"))).alias("e"))
-    return gathered.select(
-        *owner, F.flatten(c("e.failures")).alias("__failures"), F.flatten(c("e.ambiguities")).alias("__ambiguities"),
-        F.array_compact(c("e.excerpt")).alias("__excerpts"))
 
 
 def _attach(rows: DataFrame, checks: DataFrame, key: str) -> DataFrame:
+    return _with_texts(rows.join(checks, key, "left"))
+
+
+def _attach_one(rows: DataFrame, pages: DataFrame, reported: Column) -> DataFrame:
+    """The same for rows that cite one place each: a row goes to the page it cites and is not brought together again."""
+    c = F.col
+    cited = c("evidence").isNotNull()
+    own = {x: f"__own_{x}" for x in rows.columns}  # a row may have columns named like those of its evidence
+    asked = rows.select(*[c(x).alias(y) for x, y in own.items()], cited.alias("__cited"), c("expected_hash"), reported.alias("is_reported"), "evidence.*")
+    told = _checked(asked, pages, [*own.values(), "__cited"])
+    return _with_texts(told.select(*[c(y).alias(x) for x, y in own.items()], *[F.when(c("__cited"), x).alias(f"__{name}") for name, x in (
+        ("failures", c("failures")), ("ambiguities", c("ambiguities")), ("excerpts", F.array_compact(F.array("excerpt"))))]))
+
+
+def _with_texts(joined: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
-    joined = rows.join(checks, key, "left")
     joined = joined.withColumn("__cited", F.col("__excerpts").isNotNull())
     for name in ("__failures", "__ambiguities", "__excerpts"):
         joined = joined.withColumn(name, F.coalesce(name, empty))
@@ -113,13 +137,16 @@ def _evidence_rows(rows: DataFrame, key: str, reported: Column) -> DataFrame:
 def verify_measurements(measurements: DataFrame, pages: DataFrame) -> DataFrame:
     """Status, notes and withheld counts of each candidate measurement.
 
-    ``measurements`` carries measurement_id, expected_hash, evidence (array of struct) and the
-    measurement columns. Supported-number checks run on the counts as stated, before any is withheld.
+    ``measurements`` carries measurement_id, expected_hash, evidence (array of struct, or one struct where
+    each cites one place) and the measurement columns; a page occurs once. Supported-number checks run on
+    the counts as stated, before any is withheld.
     """
     c = F.col
-    evidence = _evidence_rows(measurements, "measurement_id", c("origin") == "reported")
-    m = _attach(measurements, check_evidence(evidence, pages, ["measurement_id"]), "measurement_id")
     reported = c("origin") == "reported"
+    if isinstance(measurements.schema["evidence"].dataType, StructType):
+        m = _attach_one(measurements, pages, reported)
+    else:
+        m = _attach(measurements, check_evidence(_evidence_rows(measurements, "measurement_id", reported), pages, ["measurement_id"]), "measurement_id")
     nums, body, canonical = c("__numbers"), c("__text"), c("__canonical")
     unsupported = lambda name: c(name).isNotNull() & ~F.coalesce(
         text.supported_number(c(name).cast("double"), nums), F.lit(False))

@@ -123,3 +123,34 @@ def test_verification_moves_each_page_once(spark):
     # pages are grouped by both keys of the check, so that the check finds them where they are
     assert re.search(r"hashpartitioning\(document_hash#\d+L?, page#\d+L?, ", plan) and not re.search(r"hashpartitioning\(document_hash#\d+, \d+\)", plan)
     assert "#" not in df.first()["measurement_id"]
+
+
+def test_one_citation_each_gives_the_same_without_a_second_move(spark):
+    """Evidence as one struct: same verdicts as a list of one, null evidence and columns named like evidence included."""
+    from evloom.operators import verification as ver
+    cite = "struct<document_hash:string,page:bigint,source_type:string,locator:string,excerpt:string,bounding_box:array<double>>"
+    measured = "value double, time_value double, lower_bound double, upper_bound double, uncertainty double, ci_lower double, ci_upper double, unit string, time_unit string, measurement_method string, " \
+               "statistic string, concentration_basis string, uncertainty_type string, n_independent bigint, n_technical bigint, raw_value string, qualifier string, origin string, status string"
+    sign = {"value": 17.0, "unit": "um", "n_technical": 6, "raw_value": "17 um", "qualifier": "exact", "origin": "reported", "status": "candidate", "uncertainty_type": "none"}
+    numbers = tuple(sign.get(x.split()[0]) for x in measured.split(", "))
+    stated = "mean of 17 um over n = 6 particles"
+    told = [("a", "d", ("d", 1, "text", "p", stated, None)), ("b", "d", ("d", 1, "text", "p", stated + " more", None)), ("c", "x", ("d", 1, "text", "p", stated, [1.0, 1.0, 2.0, 2.0])), ("d", "d", ("d", 9, "text", "p", stated, None)),
+            ("e", "d", ("d", 1, "table", "t-9", stated, [1.0, 1.0, 900.0, 2.0])), ("f", "d", ("d", 1, "figure", "p", None, None)), ("g", "d", None), ("h", None, (None, None, None, None, None, None))]
+    rows = spark.createDataFrame([(i, h, "own", e, *numbers) for i, h, e in told], f"measurement_id string, expected_hash string, excerpt string, evidence {cite}, {measured}")
+    pages = spark.createDataFrame([("d", 1, f"Results: {stated}.", [("t-1", [])], 600.0, 800.0, "ocr")], "document_hash string, page bigint, text string, tables array<struct<id:string,rows:array<array<string>>>>, width double, height double, text_status string")
+    one = ver.verify_measurements(rows, pages)
+    listed = ver.verify_measurements(rows.withColumn("evidence", F.when(F.col("evidence").isNotNull(), F.array("evidence"))), pages)
+    told_of = lambda df: {r["measurement_id"]: (r["status"], r["validation_notes"], r["n_technical"], r["excerpt"]) for r in df.collect()}
+    got = told_of(one)
+    assert got == told_of(listed) and len(got) == 8 and one.columns == listed.columns
+    assert got["a"][0] == "uncertain" and "no source evidence" in got["g"][1] and "evidence cites another source" in got["c"][1]
+    assert "collect_list" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_verified_measurements_deals_rows_once(spark):
+    """Both sides of the check read the same dealt rows, and a row meets its page in one shuffle."""
+    from evloom.plans import load
+    df = load()[0]["verified_measurements"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    # a filter on one side only would keep the two from being one shuffle
+    assert plan.count("RepartitionByExpression") == 2 and "isnotnull(l_linenumber" not in plan and "collect_list" not in plan
