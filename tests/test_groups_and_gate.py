@@ -154,3 +154,38 @@ def test_verified_measurements_deals_rows_once(spark):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     # a filter on one side only would keep the two from being one shuffle
     assert plan.count("RepartitionByExpression") == 2 and "isnotnull(l_linenumber" not in plan and "collect_list" not in plan
+
+
+def test_neighbours_of_small_groups_move_once(spark):
+    rows = [(k, i) for k, n in (("a", 3), (None, 2), ("b", 90)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, id int").repartition(3)
+    want = sorted([(k, i, i + 1 if (k, i + 1) in rows else None) for k, i in rows], key=repr)
+    small = neighbours(df, ["k"], [F.col("id").asc()], {"id": "next"})
+    mixed = neighbours(df, ["k"], [F.col("id").asc()], {"id": "next"}, block=10)
+    assert sorted(small.collect(), key=repr) == sorted(mixed.collect(), key=repr) == want
+    # neither dealt out by range nor written, which large groups need
+    assert "__seq" not in small._jdf.queryExecution().optimizedPlan().toString() and "__seq" in mixed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contrasts_tell_the_first_reason_and_move_numbers_of_usable_arms_only(spark):
+    from evloom.operators import synthesis as syn
+    cols = ("measurement_id string, experiment_id string, status string, qualifier string, origin string, statistic string, uncertainty_type string, uncertainty double, n_independent int, value double, unit string, "
+            "outcome string, measurement_method string, concentration_basis string, time_value double, time_unit string, source_active boolean, evidence_count int")
+    sound = ["accepted", "exact", "reported", "mean", "SD", 500.0, 3, 2000.0, "nm", "size", "m", None, 7.0, "day", True, 1]
+    arm = lambda name, e, **other: (name, e, *[other.get(k.split()[0], v) for k, v in zip(cols.split(", ")[2:], sound)])
+    m = spark.createDataFrame([arm("a", "e1"), arm("b", "e2", value=1000.0), arm("gone", "none"), arm("cand", "e1", status="candidate"), arm("off", "e1", source_active=False), arm("late", "e1", time_value=8.0),
+                               arm("kg", "e1", unit="kg"), arm("open", "e3"), arm("other", "e4"), arm("far", "e5"), arm("twin", "e1"), arm("both", "e3", time_value=8.0)], cols)
+    e = spark.createDataFrame([("e1", "f"), ("e2", "f"), ("e3", "f"), ("e4", "f"), ("e5", "g")], "experiment_id string, study_family string")
+    d = spark.createDataFrame([("e1", "d", "c", "true"), ("e2", "d", "c", "true"), ("e3", "d", None, "true"), ("e4", "d", "x", "true"), ("e5", "d", "c", "true")],
+                              "experiment_id string, outcome_definition string, comparator string, arms_independent string")
+    spec = {"outcome": "size", "measurement_method": "m", "concentration_basis": None, "time_point": "7 day", "outcome_definition": "d", "comparator": "c", "unit": "um"}
+    told = {("a", "b"): None, ("gone", "b"): "treatment: no retained measurement", ("cand", "nobody"): "control: no retained measurement", ("cand", "off"): "treatment: not accepted", ("a", "off"): "control: source not active",
+            ("late", "b"): "treatment: differs from the registered specification", ("kg", "b"): "treatment: unit cannot be converted", ("open", "b"): "treatment: definition missing or ambiguous",
+            ("both", "b"): "treatment: definition missing or ambiguous", ("other", "b"): "treatment: differs from the registered specification", ("a", "far"): "arms belong to different study families",
+            ("a", "twin"): "arms are not distinct", ("a", "a"): "arms are not distinct", ("b", "a"): "supplied numbers disagree with the evidence"}
+    p = spark.createDataFrame([(f"{t}/{c}", t, c, 2.0, None, 3) for t, c in told], "contrast_id string, treatment_measurement_id string, control_measurement_id string, treatment_mean double, treatment_sd double, control_n int")
+    got = {(r["treatment_measurement_id"], r["control_measurement_id"]): r for r in syn.derive_contrasts(p, m, e, d, spec).collect()}
+    assert {k: r["reason"] for k, r in got.items()} == told
+    assert tuple(got["a", "b"])[4:] == ("f", 2.0, 0.5, 3, 1.0, 0.5, 3) and tuple(got["b", "a"])[4:] == (None,) * 7
+    arms = {r["measurement_id"]: r for r in syn._arms(m, e, d, spec).collect()}
+    assert {k for k, r in arms.items() if r["numbers"] is not None} == {"a", "b", "far", "twin"} and arms["cand"]["experiment_id"] is None
