@@ -266,3 +266,21 @@ def test_pruning_skips_blocks_and_no_answer(topics):
             assert np.allclose(scores, full[docs], atol=1e-8, rtol=0) and len(set(docs)) == len(docs)
             assert set(np.flatnonzero(full >= max(least, top[9]) - 1e-9)) <= set(docs)
     assert shard.read and shard.skipped > 0
+
+
+def test_shard_holds_postings_of_a_term_as_one_range():
+    import tracemalloc
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.2, 300) if x < 30_000) for _ in range(1500)] + ["", None, "alone"]
+    owner, term, count, length = topk_search.term_counts(texts)
+    cells = [cells for _, cells in topk_search.block_cells(owner, term, count, length)]
+    tracemalloc.start()
+    shard = topk_search.Shard(cells, float(length.mean()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (peak - shard.dense.nbytes) / len(term) < 80  # bytes a posting while a shard is made
+    for t in range(0, len(shard.vocabulary), 97):
+        assert shard.docs[shard.cuts[t * shard.runs]:shard.cuts[(t + 1) * shard.runs]].tolist() == owner[term == shard.vocabulary[t]].tolist()
+        for run in range(shard.runs):
+            docs = shard.docs[shard.cuts[t * shard.runs + run]:shard.cuts[t * shard.runs + run + 1]]
+            assert all(d // topk_search._BLOCK // topk_search._STRIDE == run for d in docs)
